@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import licenses, personal, quality, toxicity
 from .common import held
 
 
@@ -20,13 +20,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held("doc_id", quality.FOLDS, quality.HELD).alias("held_out"), "score", "predicted")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", held("doc_id", toxicity.FOLDS, toxicity.HELD).alias("held_out"), "score", "predicted")
 
 
+def _written(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_licenses, op5_toxicity, op9_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
