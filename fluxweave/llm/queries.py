@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, personal, quality, toxicity
+from . import decontamination, licenses, personal, quality, toxicity
 from .common import held
 
 
@@ -24,6 +24,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0), lambda total, s: total + s.end - s.start).cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", held("doc_id", toxicity.FOLDS, toxicity.HELD).alias("held_out"), "score", "predicted")
@@ -36,12 +42,13 @@ def _written(spans: str) -> Column:
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [F.size(F.filter(kinds, (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{k}") for k in personal.KINDS]
     return found.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_licenses, op5_toxicity, op9_personal)}
+    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op5_toxicity, op9_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
