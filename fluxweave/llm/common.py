@@ -49,6 +49,15 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table up to which sized() has it broadcast.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, marked for broadcast if its rows, counted, fit into BROADCAST_BYTES; else left for a shuffled join."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def with_fields(schema: StructType, **more: str) -> StructType:
     """A new schema of these fields and further nullable ones, by name and type."""
     return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in more.items())).fields])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 
+#: Rounds in which the members of a bucket are held against one of them, drawn anew each time; then what is still apart is held against all.
+STAR_ROUNDS = 3
+
+
 def _mark(df: DataFrame) -> tuple[int, int]:
     """Rows and a hash of all of them, in no order."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -40,3 +46,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _star(a: Column, b: Column, m: Column) -> Column:
     """Links of a node and of its smaller neighbour to the node's smallest one."""
     return F.array(F.struct(a.alias("a"), m.alias("b")), F.struct(b.alias("a"), m.alias("b")))
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = STAR_ROUNDS) -> DataFrame:
+    """Links a, b whose components are those of all verified pairs of buckets.
+
+    buckets: key, rep and large (a pair needs one member that is large). Members of one component need no further
+    pair, so each round holds the members of a bucket against one leader of another component only: a group of n
+    copies costs n pairs, not n * n. Whatever is still in several components after the rounds is held against all that
+    is of another one, so that no link between components is lost.
+    """
+    links, tried = None, None
+    for round_ in range(rounds):
+        drawn = F.when(F.col("large"), F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), F.col("rep").alias("rep")))
+        members = buckets.withColumn("root", F.col("rep")) if links is None else _apart(buckets, links)
+        leaders = members.groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
+        met = members.join(leaders, "key")
+        if links is not None:
+            root_of = members.select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root")).distinct()
+            met = met.join(root_of, ["key", "leader"]).where("root != leader_root")
+        pairs = met.where("rep != leader").select(*_pair(F.col("rep"), F.col("leader"))).distinct()
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = saved(verify(pairs), "links")
+        links = found if links is None else links.union(found)
+    rest = saved(_across(_apart(buckets, links)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.union(saved(verify(rest), "links"))
+
+
+def _apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold several components, with each member's component as root."""
+    found = components(links).withColumnRenamed("id", "rep")
+    rooted = buckets.join(found, "rep", "left").select("key", "rep", "large", F.coalesce("component", "rep").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return saved(rooted.join(open_, "key"), "apart")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of a bucket that are of different components: what is outside its largest one, with all that is of another."""
+    largest = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("largest"))
+    minor = members.join(largest, "key").where("root != largest").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("large").alias("x_large"))
+    met = minor.join(members, "key").where("x_root != root AND (large OR x_large)")
+    return met.select(*_pair(F.col("x"), F.col("rep"))).distinct()

@@ -6,14 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, buffers, chunks, grams, mixed, saved, text_hash, words
-from .graph import components
-
-#: Rounds in which the texts of a bucket are held against one of them, drawn anew each time; after them, what is still apart is held against all.
-STAR_ROUNDS = 3
+from .common import SPACE_BYTES, buffers, chunks, grams, mixed, saved, sized, text_hash, words
+from .graph import components, linked
 
 
 def shingle_sets(hashes: np.ndarray, ptr: np.ndarray, k: int) -> list[np.ndarray]:
@@ -133,10 +130,6 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), f"a {kind}, b {kind}")
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles long, component_id.
 
@@ -160,50 +153,11 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("any")).where("n > 1 AND any").select("key")
     buckets = saved(rows.join(shared, "key"), "buckets")  # only parts that several texts have
 
-    wanted = buckets.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep")
+    wanted = sized(saved(buckets.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"), "wanted"), 32)
     texts = named.join(wanted, (named.doc_id == wanted.rep) & (named.text_hash == wanted.text_hash)).select("rep", wanted.text_hash, "text").dropDuplicates(["rep", "text_hash"])
     sets = saved(texts.select("rep", "text").mapInArrow(_sets(k), f"rep {kind}, shingles array<long>"), "sets")
 
-    links, tried = None, None
-    for round_ in range(STAR_ROUNDS):
-        drawn = F.when(F.col("large"), F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), F.col("rep").alias("rep")))
-        if links is None:
-            members = buckets.withColumn("root", F.col("rep"))
-        else:
-            members = _apart(buckets, links)
-        leaders = members.groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
-        root_of = members.select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root")).distinct()
-        met = members.join(leaders, "key")
-        if links is not None:
-            met = met.join(root_of, ["key", "leader"]).where("root != leader_root")
-        pairs = met.where("rep != leader").select(*_pair(F.col("rep"), F.col("leader"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = saved(_links(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-
-    members = _apart(buckets, links)
-    rest = saved(_all_pairs(members).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(saved(_links(rest, sets, percent), "links"))
-
+    links = linked(buckets, lambda pairs: _links(pairs, sets, percent))
     found = components(links).withColumnRenamed("id", "rep")
     root = some.join(classes.select(*of_set, "rep"), of_set).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return profile.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold several components, with each text's component as root."""
-    found = components(links).withColumnRenamed("id", "rep")
-    rooted = buckets.join(found, "rep", "left").select("key", "rep", "large", F.coalesce("component", "rep").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    return saved(rooted.join(open_, "key"), "apart")
-
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are of different components: what is outside its largest one, with all that is of another."""
-    largest = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("largest"))
-    minor = members.join(largest, "key").where("root != largest").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("large").alias("x_large"))
-    met = minor.join(members, "key").where("x_root != root AND (large OR x_large)")
-    return met.select(*_pair(F.col("x"), F.col("rep"))).distinct()

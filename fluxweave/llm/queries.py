@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, personal, quality, toxicity
+from . import decontamination, jaccard, licenses, lines, personal, quality, toxicity
 from .common import held
 
 
@@ -39,6 +39,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _written(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -52,7 +56,7 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op5_toxicity, op6_jaccard, op9_personal)}
+    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op5_toxicity, op6_jaccard, op8_lines, op9_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
