@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, lines, personal, quality, tokens, toxicity
+from . import decontamination, jaccard, licenses, lines, neighbours, personal, quality, tokens, toxicity
 from .common import held, shared_dir
 
 
@@ -48,6 +48,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,7 +69,7 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op8_lines, op9_personal)}
+    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
