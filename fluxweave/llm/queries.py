@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, lines, neighbours, personal, quality, tokens, toxicity
+from . import decontamination, jaccard, licenses, lines, neighbours, personal, pieces, quality, tokens, toxicity
 from .common import held, shared_dir
 
 
@@ -68,8 +68,18 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    back = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
+    return both.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), back.alias("round_trip"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal)}
+    import corpus_pipeline
+
+    single = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal, op10_sentencepiece)}
+    return {**single, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
