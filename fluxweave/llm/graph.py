@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
-#: Rounds in which the members of a bucket are held against one of them, drawn anew each time; then what is still apart is held against all.
-STAR_ROUNDS = 3
-
-
 def _mark(df: DataFrame) -> tuple[int, int]:
     """Rows and a hash of all of them, in no order."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -48,47 +44,70 @@ def _star(a: Column, b: Column, m: Column) -> Column:
     return F.array(F.struct(a.alias("a"), m.alias("b")), F.struct(b.alias("a"), m.alias("b")))
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+#: An element is common if more than one in so many members of a leader's group differ from the leader by it.
+COMMON = 16
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often later columns name it: a generator keeps it from being merged into them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = STAR_ROUNDS) -> DataFrame:
-    """Links a, b whose components are those of all verified pairs of buckets.
+def _compared(pairs: DataFrame, sets: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
+    """pairs (a, b) with the sets x and y, their sizes, and ok: whether the Jaccard similarity is percent or more."""
+    met = once(sets(sets(pairs, "a", "x"), "b", "y"), "both", F.size(F.array_intersect("x", "y")))
+    met = met.withColumns({"nx": F.size("x"), "ny": F.size("y")})
+    return met.withColumn("ok", 100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
 
-    buckets: key, rep and large (a pair needs one member that is large). Members of one component need no further
-    pair, so each round holds the members of a bucket against one leader of another component only: a group of n
-    copies costs n pairs, not n * n. Whatever is still in several components after the rounds is held against all that
-    is of another one, so that no link between components is lost.
+
+def linked(buckets: DataFrame, sets: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
+    """Links a, b whose components are those of all pairs in buckets with a similarity of percent/100 or more.
+
+    buckets: key, rep and large (a pair needs one member that is large). sets(df, id, name) adds to df the set of distinct
+    hashes, as name, of each id. Each member of a bucket is held against one leader of it only, and what is linked to the
+    same leader is one component. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
+    |E(y)| - 2 |E(x) & E(y)| elements not in common, and linked ones c (|x| + |y|) at most, c = (100 - p) / (100 + p). If not both
+    are linked to the leader, they can be linked only if E(x) and E(y) meet, and in so many elements that their first
+    ones in one order (see _first) do. So members meet again by equal differences instead of pair by pair: a group of n
+    loose copies of one text costs about n pairs, and no link between components is lost.
+    """
+    mates = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = buckets.join(mates, "key").groupBy("rep").agg(F.sum("n").alias("mates"))  # a text whose copies the others are meets most of them
+    drawn = F.when(F.col("large"), F.struct(-F.col("mates"), F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
+    leaders = buckets.join(central, "rep").groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
+    pairs = buckets.join(leaders, "key").where("rep != leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("large").alias("large"))
+    met = _compared(saved(pairs, "pairs"), sets, percent)
+    met = saved(met.select("a", "b", "large", "ok", "nx", _first(percent, F.array().cast("array<long>")).alias("first")), "compared")
+    links = met.where("ok").select("a", "b")
+    found = components(links).withColumnRenamed("id", "a")
+    rooted = met.join(found.withColumnRenamed("component", "root"), "a", "left").join(found.select(F.col("a").alias("b"), F.col("component").alias("leader_root")), "b", "left")
+    rooted = rooted.select("a", "b", "large", "nx", "first", F.coalesce("root", "a").alias("root"), F.coalesce("leader_root", "b").alias("leader_root"))
+    open_ = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count_if(F.col("root") != F.col("leader_root")).alias("n"), F.count(F.lit(1)).alias("members")).where("n > 0 AND x != y").select("b", "members")
+    rooted = saved(rooted.join(open_, "b"), "rooted")
+    counts = rooted.select("b", "members", F.explode("first").alias("e")).groupBy("b", "members", "e").agg(F.count(F.lit(1)).alias("f"))
+    common = counts.where(f"f >= 8 AND {COMMON} * f > members").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("c")).select("b", F.transform("c", lambda s: s.e).alias("common"))
+    again = _compared(rooted.select("a", "b", "large", "root").join(common, "b", "left"), sets, percent)
+    again = once(again, "first", _first(percent, F.coalesce("common", F.array().cast("array<long>"))))
+    rows = saved(again.select("a", "large", "nx", "root", F.explode("first").alias("e"), "b").select("a", "large", "nx", "root", F.xxhash64("b", "e").alias("key")), "differences")
+    shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    rows = saved(rows.join(shared, "key"), "differences")
+    other = rows.select("key", F.col("a").alias("b"), F.col("large").alias("large2"), F.col("nx").alias("ny"), F.col("root").alias("root2"))
+    again = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    more = _compared(saved(again.select("a", "b").distinct(), "pairs"), sets, percent).where("ok").select("a", "b")
+    return links.union(saved(more, "links"))
+
+
+def _first(percent: int, common: Column) -> Column:
+    """The first elements of the difference between x and its leader y, in this order: what the leader lacks, what x lacks, each
+    by hash, and at last what is common, in the order given: elements that many differences from this leader have.
+
+    Linked sets have more than |E| (1 - c) / 2 elements of their differences in common if the other one is not linked to
+    the leader, and |E| - |x| (100 - p) / p at least in any case. Two sets that have o elements in common have one among
+    the first |E| - o + 1 of each, whatever the order is.
     """
-    links, tried = None, None
-    for round_ in range(rounds):
-        drawn = F.when(F.col("large"), F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), F.col("rep").alias("rep")))
-        members = buckets.withColumn("root", F.col("rep")) if links is None else _apart(buckets, links)
-        leaders = members.groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
-        met = members.join(leaders, "key")
-        if links is not None:
-            root_of = members.select("key", F.col("rep").alias("leader"), F.col("root").alias("leader_root")).distinct()
-            met = met.join(root_of, ["key", "leader"]).where("root != leader_root")
-        pairs = met.where("rep != leader").select(*_pair(F.col("rep"), F.col("leader"))).distinct()
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = saved(verify(pairs), "links")
-        links = found if links is None else links.union(found)
-    rest = saved(_across(_apart(buckets, links)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links.union(saved(verify(rest), "links"))
-
-
-def _apart(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold several components, with each member's component as root."""
-    found = components(links).withColumnRenamed("id", "rep")
-    rooted = buckets.join(found, "rep", "left").select("key", "rep", "large", F.coalesce("component", "rep").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    return saved(rooted.join(open_, "key"), "apart")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are of different components: what is outside its largest one, with all that is of another."""
-    largest = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("largest"))
-    minor = members.join(largest, "key").where("root != largest").select("key", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("large").alias("x_large"))
-    met = minor.join(members, "key").where("x_root != root AND (large OR x_large)")
-    return met.select(*_pair(F.col("x"), F.col("rep"))).distinct()
+    more, less = F.array_except("x", "y"), F.array_except("y", "x")
+    difference = F.concat(F.sort_array(F.array_except(more, common)), F.sort_array(F.array_except(less, common)), F.array_intersect(common, F.concat(more, less)))
+    size = F.col("nx") + F.col("ny") - 2 * F.col("both")
+    if_linked = size - F.floor(size * percent / (100 + percent))
+    otherwise = F.floor(F.col("nx") * (100 - percent) / percent) + 1
+    return F.slice(difference, 1, F.greatest(F.least(size, F.when(F.col("ok"), if_linked).otherwise(otherwise)), F.lit(0)).cast("int"))

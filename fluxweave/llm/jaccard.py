@@ -107,29 +107,6 @@ def _sets(k: int):
     return of
 
 
-def _verified(percent: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            (xv, xo), (yv, yo) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (x, y))
-            keep = np.zeros(len(batch), bool)
-            for n in range(len(batch)):
-                s, t = xv[xo[n] : xo[n + 1]], yv[yo[n] : yo[n + 1]]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep[n] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return of
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs a, b, those whose sets are similar."""
-    x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), f"a {kind}, b {kind}")
-
-
 def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles long, component_id.
 
@@ -157,7 +134,7 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     texts = named.join(wanted, (named.doc_id == wanted.rep) & (named.text_hash == wanted.text_hash)).select("rep", wanted.text_hash, "text").dropDuplicates(["rep", "text_hash"])
     sets = saved(texts.select("rep", "text").mapInArrow(_sets(k), f"rep {kind}, shingles array<long>"), "sets")
 
-    links = linked(buckets, lambda pairs: _links(pairs, sets, percent))
+    links = linked(buckets, lambda df, rep, name: df.join(sets.select(F.col("rep").alias(rep), F.col("shingles").alias(name)), rep), percent)
     found = components(links).withColumnRenamed("id", "rep")
     root = some.join(classes.select(*of_set, "rep"), of_set).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return profile.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
