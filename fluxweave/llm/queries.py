@@ -83,4 +83,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lower = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    alnum = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    space = rf"regexp_extract_all({lower}, '[^\x20\x09-\x0D]+')"
+    return {
+        "op3_decontamination": f"""WITH d AS (SELECT doc_id, {alnum} AS w FROM documents), b AS (SELECT item_id, {alnum} AS w FROM benchmark),
+ bi AS (SELECT item_id, w, least(len(w),10) AS k, unnest(range(1, greatest(len(w)-9,1)+1)) AS i FROM b WHERE len(w)>0), bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1],' ') AS win FROM bi),
+ di AS (SELECT doc_id, w, k, unnest(range(1, len(w)-k+2)) AS i FROM d, (SELECT DISTINCT k FROM bw)), dw AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1],' ') AS win FROM di),
+ o AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.k=bw.k AND dw.win=bw.win), p AS (SELECT doc_id, unnest(range(i,i+k)) AS place FROM o), h AS (SELECT doc_id, count(DISTINCT place) AS n FROM p GROUP BY doc_id),
+ t AS (SELECT doc_id, count(DISTINCT item_id) AS n, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS l FROM o GROUP BY doc_id)
+ SELECT d.doc_id, len(w) AS n_words, coalesce(h.n,0) AS n_hit, coalesce(t.n,0) AS n_items, sha256(coalesce(array_to_string(l,','),'')) AS items_sha256, coalesce(h.n,0)>0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+        "op6_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {space} AS w FROM documents), di AS (SELECT doc_id, w, unnest(range(1, greatest(len(w)-2,1)+1)) AS i FROM d WHERE len(w)>0),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2],' ') AS g FROM di), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g=y.g AND x.doc_id<>y.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id=a JOIN n q ON q.doc_id=b WHERE 100*k >= 90*(p.n+q.n-k)),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b=l.a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+ SELECT d.doc_id, coalesce(n.n,0) AS n_shingles, least(d.doc_id, coalesce(c.b,d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a=d.doc_id""",
+    }
