@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+def of_flow() -> WindowSpec:
+    return Window.partitionBy("flow_id")
+
+
+def in_order() -> WindowSpec:
+    return of_flow().orderBy("pkt_no")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before_it() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
 
-FLOW = Window.partitionBy("flow_id")
-ORDER = FLOW.orderBy("pkt_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
 NINE = ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")
 
 
@@ -75,7 +88,7 @@ def running_terms(df: DataFrame, **values: Column | str) -> DataFrame:
     """df with the terms of the recurrence for each value, over the rows where it is not null, in the order of pkt_no."""
     for name, x in values.items():
         x = col(x).cast("double")
-        df = df.withColumns({"_x": x, "_k": F.count(x).over(SO_FAR).cast("double"), "_m1": F.avg(x).over(SO_FAR), "_m0": F.coalesce(F.avg(x).over(BEFORE), F.lit(0.0))})
+        df = df.withColumns({"_x": x, "_k": F.count(x).over(so_far()).cast("double"), "_m1": F.avg(x).over(so_far()), "_m0": F.coalesce(F.avg(x).over(before_it()), F.lit(0.0))})
         d, d2, k = F.col("_x") - F.col("_m0"), F.col("_x") - F.col("_m1"), F.col("_k")
         t3 = d * d2 * d2 * (1 - 3 / k)
         t4 = d * F.pow(d2, F.lit(3.0)) - 4 * d * d * d2 * d2 / k + 6 * F.pow(d2, F.lit(3.0)) / (k * k)
@@ -98,8 +111,8 @@ def entropy(df: DataFrame, value: Column | str, name: str) -> DataFrame:
 
 def autocorrelations(df: DataFrame, value: str, prefix: str, lags=(1, 2, 3, 4, 5), least: int | None = None) -> DataFrame:
     """flow_id and prefix_1.. of the lags: products with the value so many rows on, over the squares of the rows that have one."""
-    d = df.where(F.col(value).isNotNull()).select("flow_id", "pkt_no", (F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(FLOW)).alias("_d"))
-    ahead = d.withColumns({f"_d{k}": F.lead("_d", k).over(ORDER) for k in lags})
+    d = df.where(F.col(value).isNotNull()).select("flow_id", "pkt_no", (F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(of_flow())).alias("_d"))
+    ahead = d.withColumns({f"_d{k}": F.lead("_d", k).over(in_order()) for k in lags})
     n = F.count(F.lit(1))
     parts = []
     for k in lags:

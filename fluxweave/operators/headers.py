@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FlowConfig
-from ..functions.kernels import ORDER, RunningStats, joined, running_terms, summarized
+from ..functions.kernels import in_order, RunningStats, joined, running_terms, summarized
 from ..functions.udfs import byte_entropy, byte_moments, byte_stats
 
-TCP, UDP = F.col("proto") == 0, F.col("proto") == 1
-BYTES = F.col("payload_len") > 0
+
+
+def is_tcp() -> Column:
+    return F.col("proto") == 0
+
+
+def is_udp() -> Column:
+    return F.col("proto") == 1
+
+
+def has_bytes() -> Column:
+    return F.col("payload_len") > 0
+
 
 # Bits of TCP flags, and names of well-known ports.
 FIN, SYN, RST, PSH, ACK, URG = 1, 2, 4, 8, 16, 32
@@ -21,17 +32,17 @@ PORT_NAMES = {
 
 
 def has(bits: int) -> Column:
-    return TCP & (F.col("tcp_flags").bitwiseAND(bits) == bits)
+    return is_tcp() & (F.col("tcp_flags").bitwiseAND(bits) == bits)
 
 
 def tcp_flags(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    w = pk.withColumn("_window", F.lag("tcp_window").over(ORDER))
+    w = pk.withColumn("_window", F.lag("tcp_window").over(in_order()))
     n = lambda c, name: F.count_if(c).alias(name)
-    only_ack = TCP & (F.col("tcp_flags") == ACK) & ~BYTES
+    only_ack = is_tcp() & (F.col("tcp_flags") == ACK) & ~has_bytes()
     out = w.groupBy("flow_id").agg(
-        n(TCP, "_tcp"), n(has(SYN), "tcp_syn_count"), n(has(FIN), "tcp_fin_count"), n(has(RST), "tcp_rst_count"), n(has(ACK), "tcp_ack_count"), n(has(PSH), "tcp_psh_count"), n(has(URG), "tcp_urg_count"),
-        n(has(SYN), "tcp_syn_packets"), n(has(SYN | ACK), "tcp_syn_ack_packets"), n(only_ack, "tcp_ack_only_count"), n(TCP & BYTES, "tcp_payload_packets"), n(TCP & (F.col("tcp_window") == 0), "tcp_zero_window_count"),
-        n(has(ACK) & ~BYTES & (F.col("_window") != F.col("tcp_window")), "window_update_frequency"), F.count(F.lit(1)).alias("l2_packets_count"), n(has(SYN) & ~has(ACK), "_syn_only"),
+        n(is_tcp(), "_tcp"), n(has(SYN), "tcp_syn_count"), n(has(FIN), "tcp_fin_count"), n(has(RST), "tcp_rst_count"), n(has(ACK), "tcp_ack_count"), n(has(PSH), "tcp_psh_count"), n(has(URG), "tcp_urg_count"),
+        n(has(SYN), "tcp_syn_packets"), n(has(SYN | ACK), "tcp_syn_ack_packets"), n(only_ack, "tcp_ack_only_count"), n(is_tcp() & has_bytes(), "tcp_payload_packets"), n(is_tcp() & (F.col("tcp_window") == 0), "tcp_zero_window_count"),
+        n(has(ACK) & ~has_bytes() & (F.col("_window") != F.col("tcp_window")), "window_update_frequency"), F.count(F.lit(1)).alias("l2_packets_count"), n(has(SYN) & ~has(ACK), "_syn_only"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     zero = {c: F.lit(0) for c in ("icmp_packet_count", "header_anomaly_count", "tcp_header_anomaly_count")}
@@ -43,7 +54,7 @@ def tcp_flags(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def tcp_window(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return summarized(running_terms(pk.where(TCP), tcp_window="tcp_window"), [RunningStats("tcp_window", "tcp_window", True)])
+    return summarized(running_terms(pk.where(is_tcp()), tcp_window="tcp_window"), [RunningStats("tcp_window", "tcp_window", True)])
 
 
 def ip(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
@@ -52,7 +63,7 @@ def ip(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def udp(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    u = pk.where(UDP).withColumn("_length", F.col("payload_len") + 8)
+    u = pk.where(is_udp()).withColumn("_length", F.col("payload_len") + 8)
     return summarized(running_terms(u, udp_length="_length"), [RunningStats("udp_length", "_length", True)])
 
 
@@ -71,17 +82,17 @@ def port_range(port: Column) -> Column:
 def retransmissions(pk: DataFrame) -> DataFrame:
     """Non-empty TCP packets with again: not beyond the last such packet's sequence number of their direction."""
     own = Window.partitionBy("flow_id", "direction").orderBy("pkt_no")
-    return pk.where(TCP & BYTES).withColumn("again", F.coalesce(F.col("tcp_seq") <= F.lag("tcp_seq").over(own), F.lit(False)))
+    return pk.where(is_tcp() & has_bytes()).withColumn("again", F.coalesce(F.col("tcp_seq") <= F.lag("tcp_seq").over(own), F.lit(False)))
 
 
 def port(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     again = retransmissions(pk).groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("again").alias("_again"), F.sum("payload_len").alias("_bytes"), F.max(F.when(F.col("direction") == 1, F.struct("pkt_no", "tcp_seq")))["tcp_seq"].alias("tcpiseqn"))
-    resets = pk.where(has(RST)).withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(ORDER)) / 1e6).groupBy("flow_id").agg(F.avg("_gap").alias("rst_trigger_interval"))
+    resets = pk.where(has(RST)).withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(in_order())) / 1e6).groupBy("flow_id").agg(F.avg("_gap").alias("rst_trigger_interval"))
     last = lambda c: F.max_by(c, "pkt_no")
     out = pk.groupBy("flow_id").agg(
         *[last(c).alias(f"_{c}") for c in ("src_ip", "dst_ip", "src_port", "dst_port")], F.max((F.col("frag_offset") > 0).cast("int")).alias("ip_fragmentation_flag"),
         F.avg((F.col("src_port") < 1024).cast("int")).alias("well_known_src_port_ratio"), F.avg((F.col("dst_port") < 1024).cast("int")).alias("well_known_dst_port_ratio"),
-        F.count_if(has(ACK)).alias("tcppackcnt"), F.count_if(TCP).alias("tcppseqcnt"), F.avg(F.when(TCP, F.col("tcp_window"))).alias("tcpinitwinsz"),
+        F.count_if(has(ACK)).alias("tcppackcnt"), F.count_if(is_tcp()).alias("tcppseqcnt"), F.avg(F.when(is_tcp(), F.col("tcp_window"))).alias("tcpinitwinsz"),
     )
     sp, dp = F.col("_src_port"), F.col("_dst_port")
     flag = lambda c: c.cast("int")
@@ -95,17 +106,17 @@ def port(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def payload_size(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    p = pk.where(BYTES).withColumn("_diff", F.abs(F.col("payload_len") - F.lag("payload_len").over(ORDER)))
+    p = pk.where(has_bytes()).withColumn("_diff", F.abs(F.col("payload_len") - F.lag("payload_len").over(in_order())))
     return summarized(running_terms(p, payload_size="payload_len", payload_size_diff="_diff"), [RunningStats("payload_size", "payload_len", True), RunningStats("payload_size_diff", "_diff", True)])
 
 
 def measured(pk: DataFrame) -> DataFrame:
     """Non-empty packets with their byte statistics, in one vectorised call."""
-    return pk.where(BYTES).withColumn("_b", byte_stats("payload")).select("*", *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("entropy", "markov", "autocorr", "zlib", "printable", "alnum", "hist")]).drop("_b")
+    return pk.where(has_bytes()).withColumn("_b", byte_stats("payload")).select("*", *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("entropy", "markov", "autocorr", "zlib", "printable", "alnum", "hist")]).drop("_b")
 
 
 def payload_content(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    total = pk.groupBy("flow_id").agg(F.avg(BYTES.cast("int")).alias("payload_non_empty_ratio"))
+    total = pk.groupBy("flow_id").agg(F.avg(has_bytes().cast("int")).alias("payload_non_empty_ratio"))
     b = measured(pk).groupBy("flow_id").agg((F.sum("_printable") / F.sum("payload_len")).alias("payload_printable_ratio"), (F.sum("_alnum") / F.sum("payload_len")).alias("payload_alnum_ratio"))
     return joined(total, b)
 
@@ -127,7 +138,7 @@ def payload_hist(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     mean = F.col("_s1") / n
     bins = [(F.aggregate(F.slice(h, 16 * k + 1, 16), F.lit(0).cast("long"), lambda a, x: a + x) / n).alias(f"payload_hist_bin_{k}") for k in range(16)]
     out = rows.select("flow_id", *bins, mean.alias("payload_byte_mean"), F.when(n > 1, F.sqrt((F.col("_s2") - n * mean * mean) / (n - 1))).otherwise(0.0).alias("payload_byte_std"), F.array_min(present).cast("double").alias("payload_byte_min"), F.array_max(present).cast("double").alias("payload_byte_max"), at(0.25).alias("payload_byte_q1"), at(0.5).alias("payload_byte_median"), at(0.75).alias("payload_byte_q3"))
-    ordered = pk.where(BYTES).groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", "payload"))).alias("_p")).select("flow_id", byte_moments(F.transform("_p", lambda s: s.payload)).alias("_m"))
+    ordered = pk.where(has_bytes()).groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", "payload"))).alias("_p")).select("flow_id", byte_moments(F.transform("_p", lambda s: s.payload)).alias("_m"))
     return joined(out, ordered.select("flow_id", F.col("_m.skew").alias("payload_byte_skew"), F.col("_m.kurt").alias("payload_byte_kurt")))
 
 
@@ -161,13 +172,13 @@ def looks_like() -> dict[str, Column]:
 
 def first_bytes(pk: DataFrame) -> DataFrame:
     """flow_id and head: the first 256 payload bytes, of the first 256 non-empty packets at most."""
-    first = pk.where(BYTES).select("flow_id", "pkt_no", "payload").withColumn("_r", F.row_number().over(ORDER)).where("_r <= 256")
+    first = pk.where(has_bytes()).select("flow_id", "pkt_no", "payload").withColumn("_r", F.row_number().over(in_order())).where("_r <= 256")
     parts = first.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", F.hex(F.substring("payload", 1, 256)).alias("h")))).alias("_p"))
     return parts.select("flow_id", F.unhex(F.substring(F.array_join(F.transform("_p", lambda s: s.h), ""), 1, 512)).alias("head"))
 
 
 def payload_magic(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    p = pk.where(BYTES)
+    p = pk.where(has_bytes())
     flags = {**{f"payload_magic_{k}": c for k, c in magic_flags().items()}, **{f"payload_looks_like_{k}": c for k, c in looks_like().items()}}
     out = p.groupBy("flow_id").agg(*[F.max(c.cast("int")).alias(k) for k, c in flags.items()])
     known = F.greatest(*[F.col(f"payload_magic_{k}") for k in magic_flags()])

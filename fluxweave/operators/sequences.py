@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FlowConfig
-from ..functions.kernels import FLOW, ORDER, SO_FAR, Stats, autocorrelations, entropy, joined, quantile, summarized
+from ..functions.kernels import of_flow, in_order, so_far, Stats, autocorrelations, entropy, joined, quantile, summarized
 from ..functions.udfs import hurst_rs, lz78_phrases, short_numbers, spectrum
 from .timing import gaps
 
@@ -30,13 +30,13 @@ def sequence(pk: DataFrame, value: Column | str, name: str, where: Column | None
 
 def length_runs(pk: DataFrame) -> DataFrame:
     """flow_id and length of each run of packets of one size."""
-    new = F.coalesce(F.col("pkt_len") != F.lag("pkt_len").over(ORDER), F.lit(True)).cast("int")
-    runs = pk.withColumn("_new", new).withColumn("_run", F.sum("_new").over(SO_FAR))
+    new = F.coalesce(F.col("pkt_len") != F.lag("pkt_len").over(in_order()), F.lit(True)).cast("int")
+    runs = pk.withColumn("_new", new).withColumn("_run", F.sum("_new").over(so_far()))
     return runs.groupBy("flow_id", "_run").agg(F.count(F.lit(1)).alias("run"))
 
 
 def directions(pk: DataFrame) -> DataFrame:
-    d = pk.withColumn("_before", F.lag("direction").over(ORDER))
+    d = pk.withColumn("_before", F.lag("direction").over(in_order()))
     f, b, n = F.count_if(F.col("direction") == 1), F.count_if(F.col("direction") == -1), F.count(F.lit(1))
     pf = f / (f + b)
     h = F.when((f > 0) & (b > 0), -pf * F.log2(pf) - (1 - pf) * F.log2(1 - pf)).otherwise(0.0)
@@ -53,13 +53,13 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def correlations(pk: DataFrame) -> DataFrame:
-    g = pk.withColumn("_gap", F.lead("ts_us").over(ORDER) - F.col("ts_us"))
+    g = pk.withColumn("_gap", F.lead("ts_us").over(in_order()) - F.col("ts_us"))
     return g.groupBy("flow_id").agg(correlation(F.col("pkt_len"), F.col("_gap")).alias("length_iat_correlation"), correlation(F.col("pkt_len"), F.col("direction")).alias("length_direction_correlation"))
 
 
 def length_values(pk: DataFrame) -> DataFrame:
     """How many different sizes, their entropy, and percentiles."""
-    capped = pk.withColumn("_v", F.when(F.max("pkt_len").over(FLOW) < 4096, F.col("pkt_len")).otherwise(F.least(F.col("pkt_len"), F.lit(4095))))
+    capped = pk.withColumn("_v", F.when(F.max("pkt_len").over(of_flow()) < 4096, F.col("pkt_len")).otherwise(F.least(F.col("pkt_len"), F.lit(4095))))
     out = pk.groupBy("flow_id").agg((F.count_distinct("pkt_len") / F.count(F.lit(1))).alias("length_sequence_unique_ratio"), F.sort_array(F.collect_list("pkt_len")).alias("_a"))
     out = out.select("flow_id", "length_sequence_unique_ratio", *[(F.element_at("_a", -1).cast("double") if p == 100 else quantile(F.col("_a"), p, True)).alias(f"packet_length_percentile_{p}") for p in PERCENTILES])
     return joined(out, entropy(capped, "_v", "packet_length_entropy"))
@@ -68,7 +68,7 @@ def length_values(pk: DataFrame) -> DataFrame:
 def bigrams(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Of the nine pairs of neighbouring size classes the five most frequent, one column a rank and pair; the first packet follows a small one, ties go to the first pair."""
     size = F.when(F.col("pkt_len") <= cfg.small_pkt_threshold, 0).when(F.col("pkt_len") <= cfg.large_pkt_threshold, 1).otherwise(2)
-    rows = pk.withColumn("_c", size).withColumn("_pair", F.lag("_c", 1, 0).over(ORDER) * 3 + F.col("_c"))
+    rows = pk.withColumn("_c", size).withColumn("_pair", F.lag("_c", 1, 0).over(in_order()) * 3 + F.col("_c"))
     counts = rows.groupBy("flow_id").agg(F.array(*[F.struct((-F.count_if(F.col("_pair") == k)).alias("n"), F.lit(k).alias("k")) for k in range(9)]).alias("_n"))
     top = counts.select("flow_id", F.sort_array("_n").alias("_n"))
     names = [a + b for a in CLASSES for b in CLASSES]
@@ -78,8 +78,8 @@ def bigrams(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def periodicity(pk: DataFrame) -> DataFrame:
     """Largest of five autocorrelations of the gaps, by the whole sum of squares, over the first; none up to six gaps."""
-    g = gaps(pk).where("iat IS NOT NULL").select("flow_id", "pkt_no", (F.col("iat").cast("double") - F.avg(F.col("iat").cast("double")).over(FLOW)).alias("_d"))
-    g = g.withColumns({f"_d{k}": F.lead("_d", k).over(ORDER) for k in range(1, 6)})
+    g = gaps(pk).where("iat IS NOT NULL").select("flow_id", "pkt_no", (F.col("iat").cast("double") - F.avg(F.col("iat").cast("double")).over(of_flow())).alias("_d"))
+    g = g.withColumns({f"_d{k}": F.lead("_d", k).over(in_order()) for k in range(1, 6)})
     below = F.sum(F.col("_d") * F.col("_d"))
     parts = g.groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n"), *[F.when(below > 0, F.abs(F.sum(F.col("_d") * F.col(f"_d{k}")) / below)).alias(f"_r{k}") for k in range(1, 6)])
     ratio = F.when((F.col("_n") > 6) & (F.col("_r1") > 0), F.greatest(*[f"_r{k}" for k in range(1, 6)]) / F.col("_r1")).otherwise(0.0)
@@ -112,15 +112,15 @@ def raw_sequences(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def chunk_sequences(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Bytes of groups that end where the direction changes or a gap is long."""
-    g = gaps(last_rows(pk, cfg.max_sequence)).withColumn("_new", ((F.col("direction") != F.lag("direction").over(ORDER)) | (F.col("iat") > cfg.chunk_gap_us)))
-    chunks = g.withColumn("_chunk", F.sum(F.coalesce(F.col("_new"), F.lit(False)).cast("int")).over(SO_FAR)).groupBy("flow_id", "_chunk").agg(F.sum("pkt_len").alias("bytes"))
+    g = gaps(last_rows(pk, cfg.max_sequence)).withColumn("_new", ((F.col("direction") != F.lag("direction").over(in_order())) | (F.col("iat") > cfg.chunk_gap_us)))
+    chunks = g.withColumn("_chunk", F.sum(F.coalesce(F.col("_new"), F.lit(False)).cast("int")).over(so_far())).groupBy("flow_id", "_chunk").agg(F.sum("pkt_len").alias("bytes"))
     rows = chunks.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("_chunk", "bytes"))).alias("_p"))
     return rows.select("flow_id", F.array_join(F.transform("_p", lambda s: s.bytes), ",").alias("dl_chunk_seq"), F.size("_p").alias("dl_chunk_seq_len"))
 
 
 def rate_arrays(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """flow_id, up and down: bits a second of each time bin from the first packet to the last, empty ones too."""
-    b = last_rows(pk, cfg.max_sequence).withColumn("_bin", F.floor((F.col("ts_us") - F.min("ts_us").over(FLOW)) / cfg.rate_bin_us))
+    b = last_rows(pk, cfg.max_sequence).withColumn("_bin", F.floor((F.col("ts_us") - F.min("ts_us").over(of_flow())) / cfg.rate_bin_us))
     sums = b.groupBy("flow_id", "_bin").agg(F.coalesce(F.sum(F.when(F.col("direction") == 1, F.col("pkt_len"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("direction") == -1, F.col("pkt_len"))), F.lit(0)).alias("down"))
     rows = sums.groupBy("flow_id").agg(F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("up", "down")))).alias("_m"), F.max("_bin").alias("_last"))
     rate = lambda way: F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda k: F.coalesce(F.try_element_at("_m", k)[way], F.lit(0)) * 8 / (cfg.rate_bin_us / 1e6))

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FlowConfig
-from ..functions.kernels import FLOW, ORDER, SO_FAR, RunningStats, Stats, autocorrelations, entropy, joined, quantile, running_terms, summarized
+from ..functions.kernels import of_flow, in_order, so_far, RunningStats, Stats, autocorrelations, entropy, joined, quantile, running_terms, summarized
 
-FWD, BWD = F.col("direction") == 1, F.col("direction") == -1
-WAYS = (("fwd", FWD), ("bwd", BWD))
+
+def forward() -> Column:
+    return F.col("direction") == 1
+
+
+def backward() -> Column:
+    return F.col("direction") == -1
+
+
+def ways() -> tuple[tuple[str, Column], ...]:
+    return ("fwd", forward()), ("bwd", backward())
 
 
 def counters(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Counts and bytes, ratios, duration: what a flow shows without order, combined before the shuffle."""
     n, b = F.count(F.lit(1)), F.sum("pkt_len")
     out = pk.groupBy("flow_id").agg(
-        n.alias("total_packets"), F.count_if(FWD).alias("fwd_packets"), F.count_if(BWD).alias("bwd_packets"), b.alias("total_bytes"),
-        F.coalesce(F.sum(F.when(FWD, F.col("pkt_len"))), F.lit(0)).alias("fwd_bytes"), F.coalesce(F.sum(F.when(BWD, F.col("pkt_len"))), F.lit(0)).alias("bwd_bytes"),
+        n.alias("total_packets"), F.count_if(forward()).alias("fwd_packets"), F.count_if(backward()).alias("bwd_packets"), b.alias("total_bytes"),
+        F.coalesce(F.sum(F.when(forward(), F.col("pkt_len"))), F.lit(0)).alias("fwd_bytes"), F.coalesce(F.sum(F.when(backward(), F.col("pkt_len"))), F.lit(0)).alias("bwd_bytes"),
         ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("_duration"), F.min("ts_us").alias("_first"), F.min("proto").alias("_proto"), F.max_by("direction", "pkt_no").alias("stream_dir"),
     )
     return out.withColumns({"createtime": F.when(F.col("_proto") == 0, F.col("_first")).otherwise(0), "trans_proto": F.col("_proto")})
@@ -33,14 +42,14 @@ def basic_ratios(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def basic_payload_dir(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    stats = [Stats(f"{w}_payload", F.when(c & (F.col("payload_len") > 0), F.col("payload_len")), True) for w, c in WAYS]
-    more = [a for w, c in WAYS for a in (F.coalesce(F.sum(F.when(c, F.col("payload_len"))), F.lit(0)).alias(f"_{w}_total"), F.count_if(c).alias(f"_{w}_n"))]
+    stats = [Stats(f"{w}_payload", F.when(c & (F.col("payload_len") > 0), F.col("payload_len")), True) for w, c in ways()]
+    more = [a for w, c in ways() for a in (F.coalesce(F.sum(F.when(c, F.col("payload_len"))), F.lit(0)).alias(f"_{w}_total"), F.count_if(c).alias(f"_{w}_n"))]
     then = []
-    for w, _ in WAYS:
+    for w, _ in ways():
         n = F.col(f"_{w}_n")
         then += [F.col(f"_{w}_total").alias(f"{w}_total_payload"), n, F.when(n > 0, F.col(f"_{w}_total") / n).alias(f"{w}_payload_mean_all")]
     out = summarized(pk, stats, more, then)
-    for w, _ in WAYS:
+    for w, _ in ways():
         some = F.col(f"_{w}_n") > 0
         out = out.withColumns({f"{w}_payload_mean": F.col(f"{w}_payload_mean_all"), **{f"{w}_payload_{s}": F.when(some, F.coalesce(f"{w}_payload_{s}", F.lit(0.0))) for s in ("std", "min", "max")}}).drop(f"_{w}_n", f"{w}_payload_mean_all")
     return out
@@ -51,7 +60,7 @@ def basic_first_n(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def basic_pkt_length(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    stats = [Stats(f"{w}_packet_length", F.when(c, F.col("pkt_len")), True) for w, c in WAYS]
+    stats = [Stats(f"{w}_packet_length", F.when(c, F.col("pkt_len")), True) for w, c in ways()]
     size = F.col("pkt_len")
     more = [F.avg((size <= cfg.small_pkt_threshold).cast("int")).alias("small_packet_ratio"), F.avg((size >= cfg.large_pkt_threshold).cast("int")).alias("large_packet_ratio")]
     return summarized(pk, stats, more, ["small_packet_ratio", "large_packet_ratio", *[s.cv() for s in stats]])
@@ -59,16 +68,16 @@ def basic_pkt_length(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def gaps(pk: DataFrame) -> DataFrame:
     """pk with iat: µs since the flow's last packet, null for its first."""
-    return pk.withColumn("iat", F.col("ts_us") - F.lag("ts_us").over(ORDER))
+    return pk.withColumn("iat", F.col("ts_us") - F.lag("ts_us").over(in_order()))
 
 
 def iat_stats(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     g = running_terms(gaps(pk), iat="iat")
-    before = F.lag("iat").over(ORDER)
+    before = F.lag("iat").over(in_order())
     g = g.withColumn("_ratio", F.when(before > 0, F.col("iat") / before))
     run, seq, log = RunningStats("iat", "iat", False), Stats("iat_sequence", "iat", False), Stats("log_iat_sequence", F.log1p("iat"), False)
     out = summarized(g, [run, seq, log], [F.avg("_ratio").alias("_r")], [run.cv().alias("interval_coefficient_of_variation"), F.coalesce("_r", F.lit(0.0)).alias("interval_ratio_mean")])
-    lo, hi = F.min("iat").over(FLOW), F.max("iat").over(FLOW)
+    lo, hi = F.min("iat").over(of_flow()), F.max("iat").over(of_flow())
     binned = g.select("flow_id", F.when(hi > lo, F.floor((F.col("iat") - lo) / (hi - lo) * 31)).otherwise(F.when(F.col("iat").isNotNull(), 0)).alias("bin"))
     out = joined(out, entropy(binned, "bin", "iat_entropy"), autocorrelations(g, "iat", "iat_autocorr_lag"))
     zero = ["iat_median", "iat_q1", "iat_q3", "iat_entropy", "interval_ratio_mean", "interval_coefficient_of_variation", "iat_mean", "iat_std", "iat_skew", "iat_kurt", *[c for c in out.columns if "sequence" in c or "autocorr" in c]]
@@ -77,13 +86,11 @@ def iat_stats(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def iat_fwd_bwd(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Gaps between packets of one direction; the flow's first packet starts none."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy("flow_id", "direction").orderBy("pkt_no")
     g = pk.where("pkt_no > 1 AND direction <> 0").withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(own))
-    g = g.withColumns({f"_{w}": F.when(c, F.col("_gap")) for w, c in WAYS})
+    g = g.withColumns({f"_{w}": F.when(c, F.col("_gap")) for w, c in ways()})
     g = running_terms(g, fwd_iat="_fwd", bwd_iat="_bwd")
-    stats = [RunningStats(f"{w}_iat", f"_{w}", False) for w, _ in WAYS]
+    stats = [RunningStats(f"{w}_iat", f"_{w}", False) for w, _ in ways()]
     return summarized(g, stats, [], [s.cv() for s in stats])
 
 
@@ -97,8 +104,8 @@ def iat_active(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 def responses(pk: DataFrame) -> DataFrame:
     """pk with delay (ms): of a backward packet since the forward one that is the last with a direction before it."""
     d = pk.where("direction <> 0")
-    before = F.lag(F.struct("direction", "ts_us")).over(ORDER)
-    return d.withColumn("delay", F.when(BWD & (before["direction"] == 1), (F.col("ts_us") - before["ts_us"]) / 1000))
+    before = F.lag(F.struct("direction", "ts_us")).over(in_order())
+    return d.withColumn("delay", F.when(backward() & (before["direction"] == 1), (F.col("ts_us") - before["ts_us"]) / 1000))
 
 
 def iat_response(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
@@ -108,10 +115,8 @@ def iat_response(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def bursts(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Groups of packets without a larger gap, closed by a later packet, of two at least: size, packets, duration (µs to the closing packet), the gap that closes."""
-    g = gaps(pk).withColumn("_new", (F.coalesce(F.col("iat"), F.lit(0)) > cfg.burst_iat_threshold_us).cast("int")).withColumn("_burst", F.sum("_new").over(SO_FAR))
+    g = gaps(pk).withColumn("_new", (F.coalesce(F.col("iat"), F.lit(0)) > cfg.burst_iat_threshold_us).cast("int")).withColumn("_burst", F.sum("_new").over(so_far()))
     groups = g.groupBy("flow_id", "_burst").agg(F.sum("pkt_len").alias("size"), F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("start"), F.max("ts_us").alias("last"))
-    from pyspark.sql import Window
-
     next_ = F.lead("start").over(Window.partitionBy("flow_id").orderBy("_burst"))
     closed = groups.withColumn("next", next_).where("next IS NOT NULL AND packets >= 2")
     rank = F.row_number().over(Window.partitionBy("flow_id").orderBy("_burst"))
@@ -130,7 +135,7 @@ def burst(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 def windows(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     """Packets and bytes of each window, from the flow's first packet on, that has a packet."""
     w = cfg.window_size_ms * 1000
-    at = pk.withColumn("_w", F.floor((F.col("ts_us") - F.min("ts_us").over(FLOW)) / w)).where(F.col("_w") < cfg.max_windows)
+    at = pk.withColumn("_w", F.floor((F.col("ts_us") - F.min("ts_us").over(of_flow())) / w)).where(F.col("_w") < cfg.max_windows)
     return at.groupBy("flow_id", "_w").agg(F.count(F.lit(1)).alias("packets"), F.sum("pkt_len").alias("bytes"))
 
 
@@ -166,7 +171,7 @@ def behavior_pattern(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 def behavior_bitrate(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
     w = windows(pk, cfg).withColumn("rate", F.col("bytes") * 8 / (cfg.window_size_ms / 1000))
-    share = F.col("bytes") / F.sum("bytes").over(FLOW)
+    share = F.col("bytes") / F.sum("bytes").over(of_flow())
     w = w.withColumn("_term", F.when(share > 0, -share * F.log2(share)).otherwise(0.0))
     s = Stats("instant_bitrate", "rate", False)
     return summarized(w, [s], [F.avg("_term").alias("traffic_entropy_ts_mean"), F.max("_term").alias("traffic_entropy_ts_peak")], ["traffic_entropy_ts_mean", "traffic_entropy_ts_peak", *[quantile(F.col(s.a + "_all"), p, False).alias(f"bitrate_percentile_{p}") for p in (25, 50, 75, 90)]])
