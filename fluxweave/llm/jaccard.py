@@ -75,23 +75,34 @@ def part_keys(shingles: np.ndarray, band: int, differ: int) -> np.ndarray:
     return keys
 
 
-def _profiles(k: int, bands: Bands):
+def _profiles(k: int):
+    """Size of each text's set and two hashes of it; null without shingles."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for a, b in chunks(offsets):
+                hashes, _, _, ptr = words(data, offsets[a : b + 1], SPACE_BYTES)
+                sets = shingle_sets(hashes, ptr, k)
+                one = [int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
+                two = [int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5DEECE66D))).view(np.int64)) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("text_hash")[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "text_hash", "n_shingles", "one", "two"])
+
+    return of
+
+
+def _parts(k: int, bands: Bands):
+    """The keys of each text's sketch in its own size band (large) and in the next one's."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 hashes, _, _, ptr = words(data, offsets[a : b + 1], SPACE_BYTES)
-                size, one, two, band, own, next_ = [], [], [], [], [], []
-                for s in shingle_sets(hashes, ptr, k):
-                    n = len(s)
-                    size.append(n)
-                    one.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)) if n else None)
-                    two.append(int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5DEECE66D))).view(np.int64)) if n else None)
-                    v = bands.band(n)
-                    band.append(v)
-                    for keys, at in ((own, v), (next_, v + 1)):
-                        keys.append(part_keys(s, at, bands.differ(at)).view(np.int64) if n else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("text_hash")[a:b], pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(next_, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "one", "two", "own", "next"])
+                sets = shingle_sets(hashes, ptr, k)
+                for step in (0, 1):
+                    keys = [part_keys(s, (v := bands.band(len(s)) + step), bands.differ(v)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([step == 0] * (b - a)), pa.array(keys, pa.list_(pa.int64()))], ["rep", "large", "keys"])
 
     return of
 
@@ -119,16 +130,20 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     bands = Bands(percent)
     kind = dict(documents.dtypes)["doc_id"]
     named = documents.select("doc_id", "text", text_hash().alias("text_hash"))
-    profile = saved(named.mapInArrow(_profiles(k, bands), f"doc_id {kind}, text_hash long, n_shingles long, one long, two long, own array<long>, next array<long>"), "profiles")
+    profile = saved(named.mapInArrow(_profiles(k), f"doc_id {kind}, text_hash long, n_shingles long, one long, two long"), "profiles")
     of_set = ["n_shingles", "one", "two"]
     some = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_hash", *of_set)).alias("t")).select("doc_id", "t.*")
     classes = some.groupBy(*of_set).agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(*of_set, F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"))
     classes = saved(classes, "classes")
 
-    reps = profile.join(classes.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("rep"), "own", "next")
-    rows = reps.select(F.explode(F.concat(F.transform("own", lambda x: F.struct(x.alias("key"), F.lit(True).alias("large"))), F.transform("next", lambda x: F.struct(x.alias("key"), F.lit(False).alias("large"))))).alias("e"), "rep").select("e.key", "rep", "e.large")
+    standing = classes.select(F.col("rep").alias("doc_id"), "text_hash")
+    copies = sized(saved(profile.where("n_shingles > 0").select("doc_id", "text_hash").join(standing, ["doc_id", "text_hash"], "left_anti").distinct(), "copies"), 48)
+    reps = named.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
+    if profile.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        reps = reps.dropDuplicates(["doc_id", "text_hash"])
+    rows = reps.mapInArrow(_parts(k, bands), f"rep {kind}, large boolean, keys array<long>").select(F.explode("keys").alias("key"), "rep", "large").repartition("key")
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("any")).where("n > 1 AND any").select("key")
-    buckets = saved(rows.join(shared, "key"), "buckets")  # only parts that several texts have
+    buckets = saved(rows.join(shared, "key"), "buckets")  # only parts that several texts have; both sides read one shuffle
 
     wanted = sized(saved(buckets.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"), "wanted"), 32)
     texts = named.join(wanted, (named.doc_id == wanted.rep) & (named.text_hash == wanted.text_hash)).select("rep", wanted.text_hash, "text").dropDuplicates(["rep", "text_hash"])
