@@ -3,11 +3,12 @@
 import math
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluxweave.config import EVENTS, GROUPS, FlowConfig
+from fluxweave.operators import sequences as S
+from fluxweave.operators import timing as T
 from fluxweave.plans import engine, oracles
 from fluxweave.plans import queries as Q
 from fluxweave.sources import packets
@@ -16,13 +17,22 @@ SF = "/root/testdata/sf0.001"
 F1 = [(1000000, 1, 60, 0), (1000400, -1, 60, 0), (1000900, 1, 52, 0), (1001500, 1, 569, 517), (1041500, -1, 1500, 1448), (1041900, -1, 1500, 1448), (1042300, -1, 700, 648), (1192300, 1, 52, 0), (2292300, 1, 252, 200), (2342300, -1, 52, 0)]
 
 
-def flow(spark, rows, flow_id=1):
-    return spark.createDataFrame([(flow_id, n, *r, 0) for n, r in enumerate(rows, 1)], "flow_id long, pkt_no int, ts_us long, direction int, pkt_len long, payload_len long, proto int")
+EDGES = {2: [(5, 1, 100, 60)], 3: [(5, 1, 100, 60), (9, 1, 100, 60)], 4: [(k * 10, 1, 77, 0) for k in range(40)], 5: [(1, 0, 50, 10), (2, 1, 50, 10)]}
+
+
+def flow(spark, flows):
+    rows = [(i, n, *r, 0) for i, rows in flows.items() for n, r in enumerate(rows, 1)]
+    return spark.createDataFrame(rows, "flow_id long, pkt_no int, ts_us long, direction int, pkt_len long, payload_len long, proto int")
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    return {r.flow_id: r.asDict() for r in engine.flow_features(flow(spark, {1: F1} | EDGES)).collect()}
 
 
 @pytest.fixture(scope="module")
-def first(spark):
-    return engine.flow_features(flow(spark, F1)).head().asDict()
+def first(records):
+    return records[1]
 
 
 def test_all_columns(first):
@@ -37,7 +47,7 @@ def test_all_columns(first):
     "burst_count": 2, "avg_burst_size": 2220.5, "traffic_entropy_ts_mean": 0.170346, "traffic_entropy_ts_peak": 0.252224, "window_packet_count_mean": 5, "window_byte_count_max": 4493, "length_run_mean": 1.25, "length_run_skew": 0.945108,
     "length_autocorr_lag_1": 0.610243, "length_autocorr_lag_5": -0.501492, "lz78_complexity_index": 7, "packet_length_entropy": 2.446439, "length_sequence_unique_ratio": 0.6, "direction_change_frequency": 0.555556, "direction_sequence_entropy": 1.0,
     "length_direction_correlation": -0.508445, "length_iat_correlation": -0.294109, "packet_length_percentile_10": 52, "packet_length_percentile_90": 1500, "all_fft_freq_0_idx": 1, "all_fft_mag_0": 4102.1126, "all_fft_mag_4": 621.9457,
-    "all_fft_magnitude_std": 1752.275, "all_fft_magnitude_skew": 0.3577, "psd_peak": 16827328.0585, "periodic_dominant_freq_ratio": 20.944152, "has_strong_periodicity": 1, "hurst_exponent_estimate": 0.5, "top_1_bigram_ss_freq": 3,
+    "all_fft_magnitude_std": 1752.275, "all_fft_magnitude_skew": 0.357748, "psd_peak": 16827328.0585, "periodic_dominant_freq_ratio": 20.944152, "has_strong_periodicity": 1, "hurst_exponent_estimate": 0.5, "top_1_bigram_ss_freq": 3,
 }.items())
 def test_fixture(first, name, value):
     assert math.isclose(first[name], value, rel_tol=1e-5, abs_tol=1e-5)
@@ -48,48 +58,37 @@ def test_fixture_texts(first):
 
 
 def test_payload_fixture(spark):
-    text = "GET / HTTP/1.1\r\n\r\n"
-    f = engine.flow_features(packets.from_texts(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text")).head()
+    pk = engine.complete(packets.from_texts(spark.createDataFrame([(1, "GET / HTTP/1.1\r\n\r\n")], "id long, text string"), "id", "text"))
+    f = {k: v for group in ("payload_stats", "payload_content", "payload_magic", "payload_hist") for k, v in engine.GROUP_OF[group](pk, FlowConfig()).head().asDict().items()}
     want = {"payload_entropy": 3.350209, "payload_markov_entropy": 0.632640, "payload_autocorrelation_lag1": 0.697780, "payload_compression_ratio": 1.444444, "payload_printable_ratio": 14 / 18, "payload_alnum_ratio": 9 / 18, "payload_chi_square": 44.222222, "payload_magic_http_get": 1, "payload_looks_like_http": 1, "payload_hist_bin_2": 5 / 18}
     assert all(math.isclose(f[k], v, rel_tol=1e-5) for k, v in want.items())
 
 
-def test_edges(spark):
-    one = engine.flow_features(flow(spark, [(5, 1, 100, 60)])).head()
-    assert one.flow_duration == 0 and one.avg_bitrate is None and one.all_fft_mag_0 is None and one.length_run_mean == 1 and one.length_autocorr_lag_1 == 0 and one.iat_min is None
-    up = engine.flow_features(flow(spark, [(5, 1, 100, 60), (9, 1, 100, 60)])).head()
-    assert up.fwd_bwd_packet_ratio == math.inf and up.flow_pattern == "upload_heavy" and up.bwd_packet_length_mean is None and up.direction_sequence_entropy == 0 and up.all_fft_freq_0_idx == 0
-    same = engine.flow_features(flow(spark, [(k * 10, 1, 77, 0) for k in range(40)])).head()
-    assert same.fwd_packet_length_std == 0 and same.fwd_packet_length_skew == 0 and same.length_run_max == 40 and same.fwd_packet_length_median == 77
-    unknown = engine.flow_features(flow(spark, [(1, 0, 50, 10), (2, 1, 50, 10)])).head()
-    assert (unknown.total_packets, unknown.fwd_packets, unknown.bwd_packets) == (2, 1, 0)
-    assert engine.flow_features(flow(spark, [(1, 1, 1, 0)]).limit(0)).count() == 0
+def test_edges(records):
+    one, up, same, unknown = (records[k] for k in (2, 3, 4, 5))
+    assert one["flow_duration"] == 0 and one["avg_bitrate"] is None and one["all_fft_mag_0"] is None and one["length_run_mean"] == 1 and one["length_autocorr_lag_1"] == 0 and one["iat_min"] is None
+    assert up["fwd_bwd_packet_ratio"] == math.inf and up["flow_pattern"] == "upload_heavy" and up["bwd_packet_length_mean"] is None and up["direction_sequence_entropy"] == 0 and up["all_fft_freq_0_idx"] == 0
+    assert same["fwd_packet_length_std"] == 0 and same["fwd_packet_length_skew"] == 0 and same["length_run_max"] == 40 and same["fwd_packet_length_median"] == 77
+    assert (unknown["total_packets"], unknown["fwd_packets"], unknown["bwd_packets"]) == (2, 1, 0)
 
 
 def test_switches_and_config(spark):
-    cfg = FlowConfig.load("[FEATURE]\nfirst_n_packets=0\nburst_iat_threshold_us=7\n[FEATURES]\nenable_payload=0\nenable_fft_fwd=0\n")
+    cfg = FlowConfig.load("[FEATURE]\nfirst_n_packets=0\nburst_iat_threshold_us=7\n[FEATURES]\n" + "".join(f"enable_{m}=0\n" for m in ("payload", "protocol", "sequence", "iat", "behavior", "fft_fwd")))
     assert cfg.first_n_packets == 10 and cfg.burst_iat_threshold_us == 7 and not cfg.on("payload_hist") and not cfg.on("fft_fwd") and cfg.on("fft_bwd")
-    names = engine.flow_features(flow(spark, F1), cfg).columns
-    assert "payload_entropy" not in names and "fwd_fft_mag_0" not in names and "bwd_fft_mag_0" in names
-    assert sum(len(v) for v in GROUPS.values()) == 31 - 1
-
-
-def test_properties(spark):
-    f = engine.flow_features(packets.from_events(spark, SF), EVENTS).toPandas()
-    assert (f.fwd_packets + f.bwd_packets <= f.total_packets).all() and f.hurst_exponent_estimate.between(0, 1.5).all()
-    assert [sum(map(int, s.split(","))) for s in f.dl_chunk_seq] == f.total_bytes.tolist()
-    mags = f[[f"all_fft_mag_{k}" for k in range(5)]].dropna().to_numpy()
-    assert (np.diff(mags, axis=1) <= 1e-9).all()
-    shuffled = engine.flow_features(packets.from_events(spark, SF).orderBy(F.rand(3)), EVENTS).toPandas()
-    a, b = f.set_index("flow_id").sort_index(), shuffled.set_index("flow_id").sort_index()
-    assert (a.dl_chunk_seq == b.dl_chunk_seq).all() and np.allclose(a.iat_kurt, b.iat_kurt)
-
-
-def test_json_and_names(spark):
     rows = spark.createDataFrame([(1, 5, "a" * 200), (1, 9, "later.example"), (2, 1, "")], "flow_id long, ts_us long, server_name string")
-    f = engine.flow_features(flow(spark, [(5, 1, 100, 60)]), names=packets.server_names(rows, rows.limit(0)))
+    f = engine.flow_features(flow(spark, {1: EDGES[2]}), cfg, packets.server_names(rows, rows.limit(0)))
+    assert "payload_entropy" not in f.columns and "fwd_fft_mag_0" not in f.columns and "bwd_fft_mag_0" in f.columns
     text = engine.as_json(f).head().value
     assert '"sni":"later.example"' in text and "Infinity" not in text and "fwd_bwd_packet_ratio" not in text
+    assert sum(len(v) for v in GROUPS.values()) == 30
+
+
+def test_order_of_rows_is_nothing(spark):
+    pk = packets.from_events(spark, SF)
+    a, b = (sorted(map(tuple, Q.plain(S.chunk_sequences(x, EVENTS).join(T.iat_stats(x, EVENTS), "flow_id"), 3).collect())) for x in (pk, pk.orderBy(F.rand(3))))
+    assert a == b
+    totals = {r.flow_id: r.n for r in pk.groupBy("flow_id").agg(F.sum("pkt_len").alias("n")).collect()}
+    assert all(sum(map(int, r.dl_chunk_seq.split(","))) == totals[r.flow_id] for r in S.chunk_sequences(pk, EVENTS).collect())
 
 
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
