@@ -80,7 +80,7 @@ def test_switches_and_config(spark):
     assert "payload_entropy" not in f.columns and "fwd_fft_mag_0" not in f.columns and "bwd_fft_mag_0" in f.columns
     text = engine.as_json(f).head().value
     assert '"sni":"later.example"' in text and "Infinity" not in text and "fwd_bwd_packet_ratio" not in text
-    assert sum(len(v) for v in GROUPS.values()) == 30
+    assert sum(len(v) for v in GROUPS.values()) == 31
 
 
 def test_order_of_rows_is_nothing(spark):
