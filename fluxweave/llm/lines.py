@@ -10,11 +10,9 @@ from .graph import components, linked, once
 
 #: Characters in a shingle, and hundredths of Jaccard similarity from which lines are one.
 SHINGLE, PERCENT = 8, 80
-#: Bands, and minima (of hashes) in each: lines of similarity s share a band with a probability of 1 - (1 - s^ROWS)^BANDS, 0.995 at 0.8.
+#: Bands, and minima (each of a hash function of its own) in a band: lines of similarity s share a band with a probability of
+#: 1 - (1 - s^ROWS)^BANDS, 0.995 at 0.8, however short they are: minima are taken over all shingles and no two bands share a function.
 BANDS, ROWS = 10, 4
-#: A signature is taken over the shingles that follow one of these characters (anything but a lower-case ASCII letter), or over the whole line where there is none: which
-#: shingles of a line these are depends on its characters alone, as MinHash needs. Verification takes all shingles.
-ANCHOR = "[^a-z]"
 
 
 def normal(line: str) -> Column:
@@ -31,17 +29,18 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashed(line, rf"(?s)(?=(.{{{SHINGLE}}}))")))
 
 
-def _bands(df: DataFrame, hashes: str) -> DataFrame:
-    """df with bands: keys of a line, from its distinct hashes in order.
+def _bands(lines: DataFrame) -> DataFrame:
+    """id and bands, the keys of a line, of each distinct line (id, line).
 
-    The range of hashes has BANDS cuts. A band's key is of the ROWS least hashes from its cut on (past the last one,
-    from the least of all on): minima of one hash function over distinct parts of its range serve for many functions.
+    Lines come together by id first, so that the minima over a line's exploded shingles need no further shuffle.
     """
-    cuts = [-(1 << 63) + k * ((1 << 64) // BANDS) for k in range(BANDS)]
-    df = once(df, "_cut", F.sort_array(F.concat(hashes, F.array(*[F.lit(c) for c in cuts]))))
-    df = once(df, "_round", F.concat(hashes, F.slice(hashes, 1, ROWS)))
-    below = [F.array_position("_cut", F.lit(c)).cast("int") - k for k, c in enumerate(cuts)]
-    return df.withColumn("bands", F.array(*[F.xxhash64(F.lit(b), F.slice("_round", x, ROWS)) for b, x in enumerate(below)])).drop("_cut", "_round")
+    distinct = lines.groupBy("id").agg(F.first("line").alias("line"))
+    line = F.col("line")
+    every = F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashed(line, rf"(?s)(?=(.{{{SHINGLE}}}))"))
+    rows = distinct.select("id", F.explode(every).alias("h"))
+    minima = rows.groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
+    return minima.select("id", F.array(*keys).alias("bands"))
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -53,14 +52,10 @@ def occurrences(documents: DataFrame) -> DataFrame:
 def line_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, text_hash, line_no, id), and component of the ids that are similar to another."""
     lines = occurrences(documents)
-    line, after = F.col("line"), F.col("_after")
-    signed = once(lines, "_after", _hashed(line, rf"(?s){ANCHOR}(?=(.{{{SHINGLE}}}))"))
-    signed = once(signed, "_hashes", F.sort_array(F.array_distinct(F.when(F.size(after) > 0, after).otherwise(F.array(F.xxhash64(line))))))
-    signed = _bands(signed, "_hashes").select("doc_id", "text_hash", "line_no", "id", "bands")
-    signed = saved(signed, "signatures")
-    rows = signed.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
+    placed = saved(lines.select("doc_id", "text_hash", "line_no", "id"), "occurrences")
+    rows = saved(_bands(lines), "signatures").select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
     shared = saved(rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x != y").select("key"), "shared")
-    buckets = saved(rows.join(sized(shared, 16), "key").distinct().withColumn("large", F.lit(True)), "buckets")
+    buckets = saved(rows.join(sized(shared, 16), "key").withColumn("large", F.lit(True)), "buckets")
     wanted = sized(saved(buckets.select(F.col("rep").alias("id")).distinct(), "wanted"), 16)
     texts = saved(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
 
@@ -68,7 +63,7 @@ def line_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = df.join(texts.select(F.col("id").alias(rep), F.col("line").alias(f"_{name}")), rep)
         return once(named, name, shingles(F.col(f"_{name}"))).drop(f"_{name}")
 
-    return signed.select("doc_id", "text_hash", "line_no", "id"), saved(components(linked(buckets, sets, PERCENT)), "components")
+    return placed, saved(components(linked(buckets, sets, PERCENT)), "components")
 
 
 def removed(documents: DataFrame) -> DataFrame:

@@ -171,6 +171,24 @@ def test_lines_lose_no_similar_line(spark):
     assert len(wrong) <= 2  # bands find a pair of similarity 0.8 with a probability of 0.995
 
 
+def test_lines_find_short_similar_lines(spark):
+    """Pairs of 3 to 15 words, each of a similarity of 0.8 to 1 and like no other line."""
+    r = random.Random(8)
+    pairs = []
+    while len(pairs) < 600:
+        one = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(3, 16)))
+        other = list(one)
+        for _ in range(r.randrange(1, 3)):
+            other[r.choice([0, 1, 2, -1, -2, -3, r.randrange(len(other))])] = r.choice("abcdefgh 0")
+        other = "".join(other).strip()
+        x, y = ({t[n : n + 8] for n in range(len(t) - 7)} for t in (one, other))
+        if one != other and 100 * len(x & y) >= 80 * len(x | y) > 0:
+            pairs.append((one, other))
+    got = {x.doc_id: x.text for x in lines.dedup(docs(spark, [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)])).collect()}
+    assert all(got[2 * n] == one for n, (one, _) in enumerate(pairs))
+    assert sum(got[2 * n + 1] == "" for n in range(600)) >= 0.99 * 600
+
+
 def test_personal():
     text = "ö a.b@c.de, 10.0.0.1 1.2.3.456 +1 (743) 555-3824, 4111 1111 1111 1111; 4111 1111 1111 1112 x@y"
     assert [(personal.KINDS[k], text[s:e]) for s, k, e in personal.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "10.0.0.1"), ("phone", "+1 (743) 555-3824"), ("card", "4111 1111 1111 1111")]
