@@ -22,8 +22,8 @@ PATTERNS = {
 
 #: Characters in a window, and from one window's start to the next's.
 WINDOW, STEP = 64, 32
-#: A window is read where it has a digit or an at sign: no span without one passes valid().
-_TRIGGER = re.compile(r"[0-9@]")
+#: Any span that passes valid() has one of these: a digit, or an at sign in one of its spellings.
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 EMBED, HIDDEN, EPOCHS, BATCH, RATE, N_TRAIN = 12, 20, 10, 64, 0.01, 2600
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
@@ -85,7 +85,7 @@ def valid(kind: int, found: str) -> bool:
     digits = sum(c in "0123456789" for c in found)
     name = KINDS[kind]
     if name == "email":
-        return 6 <= len(found) <= 254 and not re.search(r"\s\s|\n", found) and bool(re.fullmatch(r"[^\s@]+ ?(@|\(at\)|\[at\]) ?[^\s@]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+", found)) and bool(re.search(r"[0-9@]", found))
+        return 6 <= len(found) <= 254 and not re.search(r"\s\s|\n", found) and bool(re.fullmatch(r"[^\s@]+ ?(@|\(at\)|\[at\]) ?[^\s@]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+", found))
     if name == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(( ?\. ?|\[\.\])[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
     if name == "card":
@@ -264,46 +264,44 @@ class Tagger:
         return tags.T, np.take_along_axis(em, tags[:, :, None], 2)[:, :, 0].T
 
 
-def _window_starts(text: str) -> np.ndarray:
-    """Starts of overlapping windows, a multiple of STEP each, that have a trigger in their middle half or at the text's ends."""
-    at = np.unique(np.fromiter((m.start() // STEP for m in _TRIGGER.finditer(text)), np.int64))
-    return np.unique(np.concatenate([at, np.maximum(at - 1, 0)])) * STEP if len(at) else at
+def _read(codes: list[np.ndarray], triggers: list[set[int]], model: Tagger) -> list[dict[int, np.ndarray]]:
+    """Tags of each text by block of STEP characters, as if all overlapping windows (a multiple of STEP each) were decoded.
+
+    Where windows overlap, the one whose middle is nearer decides. Blocks with a trigger are read first, then every block that
+    a span goes on into, until all spans end: what is never read lies in no span with a trigger.
+    """
+    out: list[dict[int, np.ndarray]] = [{} for _ in codes]
+    decoded: list[dict[int, np.ndarray]] = [{} for _ in codes]
+    wanted = [(n, b) for n, blocks in enumerate(triggers) for b in sorted(blocks)]
+    while wanted:
+        new = sorted({(n, w) for n, b in wanted for w in (b - 1, b) if w >= 0 and w not in decoded[n]})
+        for i in range(0, len(new), 256):
+            x = np.zeros((len(new[i : i + 256]), WINDOW), np.int64)
+            for row, (n, w) in zip(x, new[i : i + 256]):
+                part = codes[n][w * STEP : w * STEP + WINDOW]
+                row[: len(part)] = part
+            for (n, w), tags in zip(new[i : i + 256], model.decode(x)[0]):
+                decoded[n][w] = tags
+        more = set()
+        for n, b in wanted:
+            tags = decoded[n][b][:STEP].copy()
+            if b:
+                tags[: STEP // 2] = decoded[n][b - 1][STEP : STEP + STEP // 2]
+            tags = out[n][b] = tags[: len(codes[n]) - b * STEP]
+            more |= {(n, c) for c, tag in ((b - 1, tags[0]), (b + 1, tags[-1])) if tag and 0 <= c * STEP < len(codes[n])}
+        wanted = sorted((n, c) for n, c in more if c not in out[n])
+    return out
 
 
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text after decoding its windows: where windows overlap, the one whose middle is nearer decides."""
-    starts = [_window_starts(t) for t in texts]
-    counts = [len(s) for s in starts]
+    """Spans of each text that the decoded windows give; those without a trigger, none of them valid, may be missing."""
+    triggers = [{m.start() // STEP for m in _TRIGGER.finditer(t)} for t in texts]
+    read = _read([symbols(t) if x else np.zeros(0, np.int64) for t, x in zip(texts, triggers)], triggers, model)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not sum(counts):
-        return out
-    x = np.zeros((sum(counts), WINDOW), np.int64)
-    k = 0
-    for text, at in zip(texts, starts):
-        if len(at):
-            codes = symbols(text)
-            for s in at:
-                part = codes[s : s + WINDOW]
-                x[k, : len(part)] = part
-                k += 1
-    tags = np.concatenate([model.decode(x[i : i + 256])[0] for i in range(0, len(x), 256)])
-    ptr = np.concatenate([[0], np.cumsum(counts)])
-    middle = WINDOW - np.abs(np.arange(WINDOW) - (WINDOW - 1) / 2)
-    for n, text in enumerate(texts):
-        if not counts[n]:
-            continue
-        best, tag = {}, {}
-        for w in range(ptr[n], ptr[n + 1]):
-            s = int(starts[n][w - ptr[n]])
-            for p in range(min(WINDOW, len(text) - s)):
-                if tags[w, p] or s + p in tag:
-                    if middle[p] > best.get(s + p, -1):
-                        best[s + p], tag[s + p] = middle[p], int(tags[w, p])
-                elif middle[p] > best.get(s + p, -1):
-                    best[s + p] = middle[p]
+    for n, blocks in enumerate(read):
+        tag = {b * STEP + int(p): int(blocks[b][p]) for b in sorted(blocks) for p in np.flatnonzero(blocks[b])}
         run: list[int] = []
-        for p in sorted(q for q, v in tag.items() if v):
-            v = tag[p]
+        for p, v in tag.items():
             kind, begins = (v - 1) // 2, v % 2 == 1
             if run and p == run[2] and kind == run[1] and not begins:
                 run[2] = p + 1

@@ -211,6 +211,21 @@ def test_personal_operator(spark):
     assert got[1]["spans"] == [] and personal.find(docs(spark, []), model).count() == 0
 
 
+def test_personal_without_digits():
+    """Addresses without a digit or an at sign, far from any other sign, and no window unread that a span reaches into."""
+    model, r = personal.model(), random.Random(4)
+    before = "The committee met again in spring to look over the plans for the old harbour, and after a long talk the members agreed to ask for another estimate. Questions go to "
+    after = " who will answer them, and the minutes of the last meeting are kept in the library where every member can read them during the opening hours of the house."
+    for found in ("anna.meier(at)firma.com", "anna.meier [at] firma [dot] com", "anna.meier[at]firma[dot]com", "henter_lation(at)conung.com"):
+        text = before + found + after
+        assert personal.merged(text, personal.base_spans(text), personal.tagged([text], model)[0]) == [(len(before), 0, len(before) + len(found))], found
+    texts = [t for t, _ in personal.labelled(40, 78)]
+    texts = [prose(r, 30).join(texts[n : n + 4]) for n in range(0, 40, 4)]
+    every = personal._read([personal.symbols(t) for t in texts], [set(range(-(-len(t) // personal.STEP))) for t in texts], model)
+    some = personal._read([personal.symbols(t) for t in texts], [{m.start() // personal.STEP for m in personal._TRIGGER.finditer(t)} for t in texts], model)
+    assert all((every[n][b] == tags).all() for n, x in enumerate(some) for b, tags in x.items()) and sum(map(len, some)) < sum(map(len, every))
+
+
 def test_codec():
     r = np.random.default_rng(4)
     for n in (0, 1, 2047, 2048, 2049, 9000):
