@@ -22,7 +22,7 @@ def closed_flows(packets: DataFrame, idle: str = "60 seconds", delay: str = "10
     """Packets of flows that closed, numbered in the order of their times.
 
     A flow closes with a FIN or RST, or when event time has passed its last packet by idle; packets later than delay are
-    dropped with the watermark. State keeps a flow's last cfg.max_sequence packets.
+    dropped with the watermark. State keeps all packets of an open flow; cfg.max_sequence bounds the sequence groups alone.
     """
     missing = {c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in packets.columns}
     stream = packets.withColumns(missing).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
@@ -39,7 +39,7 @@ def closed_flows(packets: DataFrame, idle: str = "60 seconds", delay: str = "10
             new = pdf[_CARRIED].astype(object).where(pdf[_CARRIED].notna(), None)
             rows += [tuple(None if v is None else (bytes(v) if isinstance(v, (bytes, bytearray)) else v if isinstance(v, str) else int(v)) for v in r) for r in new.itertuples(index=False)]
             closes = closes or any(f is not None and int(f) & (FIN | RST) for f in new["tcp_flags"])
-        rows = sorted(rows, key=lambda r: r[0])[-cfg.max_sequence :]
+        rows = sorted(rows, key=lambda r: r[0])
         if closes:
             held.remove()
             yield pd.DataFrame([(key[0], n, *r) for n, r in enumerate(rows, 1)], columns=[f.name for f in out.fields])

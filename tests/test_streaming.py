@@ -1,6 +1,6 @@
 from dataclasses import replace
 
-from fluxweave.config import EVENTS, GROUPS
+from fluxweave.config import EVENTS, GROUPS, FlowConfig
 from fluxweave.plans.engine import flow_features
 from fluxweave.sources import packets
 from fluxweave.streaming.flows import write_features
@@ -30,3 +30,17 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {r.flow_id: r for r in flow_features(packets.numbered(pk, "ts_us"), CFG).select("flow_id", "total_bytes", "dl_chunk_seq", "all_fft_mag_0").collect()}
     got.pop(-1, None)
     assert got == want
+
+
+def test_long_flow_equals_batch(spark, tmp_path):
+    """A flow of more packets than the sequence groups keep, in two files: all other groups count every packet."""
+    flags = "IF(id = 11999, 1, IF(id % 7 = 0, 24, 16)) AS tcp_flags"
+    pk = spark.range(12000).selectExpr("id DIV 6000 AS flow_id", "id % 6000 * 1000 + id % 13 AS ts_us", "CAST(id % 3 = 0 AS INT) AS direction", "CAST(id * id % 1400 AS INT) AS payload_len", "CAST(id * id % 1400 + 40 AS INT) AS pkt_len", "6 AS proto", flags)
+    pk = pk.where("flow_id = 1")
+    path = str(tmp_path / "in")
+    pk.where("ts_us < 2500000").coalesce(1).write.parquet(path)
+    pk.where("ts_us >= 2500000").coalesce(1).write.mode("append").parquet(path)
+    cfg, got = replace(FlowConfig(), off=frozenset({"payload", "fft", "sequence", "udp", "port", "ip", "tcp_window"})), []
+    write_features(spark.readStream.schema(pk.schema).option("maxFilesPerTrigger", 1).parquet(path), lambda f, _: got.extend(f.collect()), str(tmp_path / "state"), cfg).awaitTermination()
+    want = flow_features(packets.numbered(pk, "ts_us"), cfg).collect()
+    assert len(got) == 1 and got == want and got[0].total_packets == 6000
