@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, sized
 
 
 def _mark(df: DataFrame) -> tuple[int, int]:
@@ -53,48 +53,79 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _compared(pairs: DataFrame, sets: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
-    """pairs (a, b) with the sets x and y, their sizes, and ok: whether the Jaccard similarity is percent or more."""
-    met = once(sets(sets(pairs, "a", "x"), "b", "y"), "both", F.size(F.array_intersect("x", "y")))
-    met = met.withColumns({"nx": F.size("x"), "ny": F.size("y")})
+def _compared(pairs: DataFrame, content: DataFrame, elements: Callable[[Column], Column], percent: int) -> DataFrame:
+    """pairs (a, b) with the sets x and y, their sizes, how many elements both have, and ok: whether the Jaccard similarity is percent or more.
+
+    The contents are joined as they are and made into sets only then: no set is shuffled.
+    """
+    one = content.select(F.col("rep").alias("a"), F.col("content").alias("_a"))
+    two = content.select(F.col("rep").alias("b"), F.col("content").alias("_b"))
+    met = once(once(pairs.join(one, "a").join(two, "b"), "x", elements(F.col("_a"))), "y", elements(F.col("_b"))).drop("_a", "_b")
+    met = once(met, "both", F.size(F.array_intersect("x", "y"))).withColumns({"nx": F.size("x"), "ny": F.size("y")})
     return met.withColumn("ok", 100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both")))
 
 
-def linked(buckets: DataFrame, sets: Callable[[DataFrame, str, str], DataFrame], percent: int) -> DataFrame:
+def leaders(buckets: DataFrame) -> DataFrame:
+    """key and leader: of each bucket the large member that meets the most others in all of its buckets."""
+    mates = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    central = buckets.join(mates, "key").groupBy("rep").agg(F.sum("n").alias("mates"))  # a text whose copies the others are meets most of them
+    drawn = F.when(F.col("large"), F.struct(-F.col("mates"), F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
+    return buckets.join(central, "rep").groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
+
+
+def _sketched(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sketches x and y."""
+    sketches = sized(content.select("rep", "sketch"), 64)
+    pairs = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
+    return pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+
+
+def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column], Column], percent: int, likely: Callable[[Column, Column, int], Column]) -> DataFrame:
     """Links a, b whose components are those of all pairs in buckets with a similarity of percent/100 or more.
 
-    buckets: key, rep and large (a pair needs one member that is large). sets(df, id, name) adds to df the set of distinct
-    hashes, as name, of each id. Each member of a bucket is held against one leader of it only, and what is linked to the
-    same leader is one component. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
+    buckets: key, rep and large (a pair needs one member that is large). content: a written table of rep, content, of which elements makes the
+    set of distinct hashes, and sketch; likely(x, y, p) tells from two sketches whether the similarity may be p/100 or more, and only such pairs are verified. Each member of a bucket is held against one leader of it only, and what is linked to the
+    same leader is one component. Jaccard distance is a metric, so of the members that are not linked to the leader only
+    those within twice the distance of a link can be linked to one that is, and the others among themselves only. Members that
+    such links could bring together meet again. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
     |E(y)| - 2 |E(x) & E(y)| elements not in common, and linked ones c (|x| + |y|) at most, c = (100 - p) / (100 + p). If not both
     are linked to the leader, they can be linked only if E(x) and E(y) meet, and in so many elements that their first
     ones in one order (see _first) do. So members meet again by equal differences instead of pair by pair: a group of n
     loose copies of one text costs about n pairs, and no link between components is lost.
     """
-    mates = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    central = buckets.join(mates, "key").groupBy("rep").agg(F.sum("n").alias("mates"))  # a text whose copies the others are meets most of them
-    drawn = F.when(F.col("large"), F.struct(-F.col("mates"), F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
-    leaders = buckets.join(central, "rep").groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
-    pairs = buckets.join(leaders, "key").where("rep != leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("large").alias("large"))
-    met = _compared(saved(pairs, "pairs"), sets, percent)
-    met = saved(met.select("a", "b", "large", "ok", "nx", _first(percent, F.array().cast("array<long>")).alias("first")), "compared")
+    leader = sized(saved(leaders(buckets), "leaders"), 24)
+    pairs = buckets.join(leader, "key").where("rep != leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("large").alias("large"))
+    twice = 2 * percent - 100
+    x, y = F.col("x"), F.col("y")
+    guess = saved(_sketched(saved(pairs, "pairs"), content).select("a", "b", "large", likely(x, y, percent).alias("likely"), likely(x, y, twice).alias("near")), "guesses")
+    exact = 100 * F.col("both") >= twice * (F.col("nx") + F.col("ny") - F.col("both"))
+    met = _compared(guess.where("likely").select("a", "b", "large"), content, elements, percent).select("a", "b", "large", "ok", exact.alias("near"))
+    met = saved(met.union(guess.where("NOT likely").select("a", "b", "large", F.lit(False), "near")), "compared")
     links = met.where("ok").select("a", "b")
-    found = components(links).withColumnRenamed("id", "a")
+    found = sized(saved(components(links), "components"), 24).withColumnRenamed("id", "a")
     rooted = met.join(found.withColumnRenamed("component", "root"), "a", "left").join(found.select(F.col("a").alias("b"), F.col("component").alias("leader_root")), "b", "left")
-    rooted = rooted.select("a", "b", "large", "nx", "first", F.coalesce("root", "a").alias("root"), F.coalesce("leader_root", "b").alias("leader_root"))
-    open_ = rooted.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count_if(F.col("root") != F.col("leader_root")).alias("n"), F.count(F.lit(1)).alias("members")).where("n > 0 AND x != y").select("b", "members")
-    rooted = saved(rooted.join(open_, "b"), "rooted")
-    counts = rooted.select("b", "members", F.explode("first").alias("e")).groupBy("b", "members", "e").agg(F.count(F.lit(1)).alias("f"))
+    rooted = rooted.select("a", "b", "large", "ok", "near", F.coalesce("root", "a").alias("root"), F.coalesce("leader_root", "b").alias("leader_root"))
+    rooted = saved(rooted.withColumn("apart", F.col("root") != F.col("leader_root")), "rooted")
+    alone = F.when(~F.col("ok"), F.col("root"))
+    open_ = rooted.groupBy("b").agg(F.count_if(F.expr("near AND apart")).alias("n_near"), F.count_if("ok").alias("n_ok"), F.min(alone).alias("x"), F.max(alone).alias("y"), F.count(F.lit(1)).alias("members"))
+    open_ = open_.select("b", (F.col("n_near") * F.col("n_ok") > 0).alias("with_linked"), F.coalesce(F.col("x") != F.col("y"), F.lit(False)).alias("others"), "members").where("with_linked OR others")
+    again = rooted.join(sized(saved(open_, "open"), 24), "b").where("ok AND with_linked OR NOT ok AND (others OR near AND apart AND with_linked)").select("a", "b", "large", "root", "members")
+
+    none = F.array().cast("array<long>")
+    first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", _first(percent, none).alias("first")), "first")
+    counts = first.select("b", "members", F.explode("first").alias("e")).groupBy("b", "members", "e").agg(F.count(F.lit(1)).alias("f"))
     common = counts.where(f"f >= 8 AND {COMMON} * f > members").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("c")).select("b", F.transform("c", lambda s: s.e).alias("common"))
-    again = _compared(rooted.select("a", "b", "large", "root").join(common, "b", "left"), sets, percent)
-    again = once(again, "first", _first(percent, F.coalesce("common", F.array().cast("array<long>"))))
-    rows = saved(again.select("a", "large", "nx", "root", F.explode("first").alias("e"), "b").select("a", "large", "nx", "root", F.xxhash64("b", "e").alias("key")), "differences")
+    common = saved(common, "common")
+    differing = _compared(first.select("a", "b", "large", "root").join(common, "b"), content, elements, percent)
+    differing = once(differing, "first", _first(percent, F.col("common"))).select("a", "b", "large", "nx", "root", "first")
+    differing = differing.union(first.join(common, "b", "left_anti").select("a", "b", "large", "nx", "root", "first"))
+    rows = saved(differing.select("a", "b", "large", "nx", "root", F.explode("first").alias("e")).select("a", "large", "nx", "root", F.xxhash64("b", "e").alias("key")), "differences")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rows = saved(rows.join(shared, "key"), "differences")
+    rows = saved(rows.join(sized(saved(shared, "shared"), 16), "key"), "differences")
     other = rows.select("key", F.col("a").alias("b"), F.col("large").alias("large2"), F.col("nx").alias("ny"), F.col("root").alias("root2"))
-    again = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    more = _compared(saved(again.select("a", "b").distinct(), "pairs"), sets, percent).where("ok").select("a", "b")
-    return links.union(saved(more, "links"))
+    more = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    more = saved(_sketched(more.select("a", "b").distinct(), content).where(likely(x, y, percent)).select("a", "b"), "pairs")
+    return links.union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
 
 
 def _first(percent: int, common: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, buffers, chunks, grams, mixed, saved, sized, text_hash, words
@@ -48,30 +48,22 @@ class Bands:
         return int(2 * self.tops[band] * (100 - self.percent) // (100 + self.percent))
 
 
-#: A set leaves out up to one in so many parts that have few bits set: they tell little, and many texts share them.
-SPARE = 32
-#: Bits up to which a part may be left out.
-FEW_BITS = 3
+#: A set may leave out one in so many of its parts: those that most sets have.
+SPARE = 8
 
 
 def part_keys(shingles: np.ndarray, band: int, differ: int) -> np.ndarray:
-    """Keys of the parts of the parity sketch (64 bits each). A shingle turns one bit over, so the sketches of two sets
+    """Keys of the parts of the parity sketch. A shingle turns one bit over, so the sketches of two sets
     differ in no more bits, and no more parts, than the sets in shingles.
 
-    Of differ + 1 + 2 * spare parts, linked sets have 1 + 2 * spare equal ones at least. Each set leaves out spare of
-    its parts at most, so one part that both keep is equal.
+    Of differ + 1 + 2 * spare parts, linked sets have 1 + 2 * spare equal ones at least. Whichever spare of its parts
+    each set leaves out, one part that both keep is equal. The sketch has 2^64 bits, so that a part with a single bit set tells
+    texts apart already; it is not stored, a part's key is the XOR of hashes of the bits set in it.
     """
-    spare = differ // SPARE
-    n_parts = differ + 1 + 2 * spare
-    place = mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5 + band))
-    part = ((place >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-    sketch = np.zeros(n_parts, np.uint64)
-    np.bitwise_xor.at(sketch, part, np.uint64(1) << (place & np.uint64(63)))
-    keys = mixed(sketch * np.uint64(0x9E3779B97F4A7C15) ^ mixed(np.arange(n_parts, dtype=np.uint64) + np.uint64(band << 40)))
-    if spare:
-        bits = np.bitwise_count(sketch)
-        least = np.argsort(bits, kind="stable")[:spare]
-        keys = np.delete(keys, least[bits[least] <= FEW_BITS])
+    n_parts = differ + 1 + 2 * (differ // SPARE)
+    bit = mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5 + band))
+    keys = mixed(np.arange(n_parts, dtype=np.uint64) + np.uint64(band << 40))
+    np.bitwise_xor.at(keys, ((bit >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64), mixed(bit * np.uint64(0x9E3779B97F4A7C15)))
     return keys
 
 
@@ -92,17 +84,19 @@ def _profiles(k: int):
 
 
 def _parts(k: int, bands: Bands):
-    """The keys of each text's sketch in its own size band (large) and in the next one's."""
+    """The keys of each text's sketch in its own size band (large) and in the next one's, and how many of them it may leave out."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 hashes, _, _, ptr = words(data, offsets[a : b + 1], SPACE_BYTES)
-                sets = shingle_sets(hashes, ptr, k)
+                sets = [(rep, s, bands.band(len(s))) for rep, s in zip(batch.column("doc_id")[a:b].to_pylist(), shingle_sets(hashes, ptr, k)) if len(s)]
                 for step in (0, 1):
-                    keys = [part_keys(s, (v := bands.band(len(s)) + step), bands.differ(v)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([step == 0] * (b - a)), pa.array(keys, pa.list_(pa.int64()))], ["rep", "large", "keys"])
+                    differ = [bands.differ(v + step) for _, _, v in sets]
+                    keys = [part_keys(s, v + step, d).view(np.int64) for (_, s, v), d in zip(sets, differ)]
+                    rep = pa.array([rep for rep, _, _ in sets], batch.column("doc_id").type)
+                    yield pa.RecordBatch.from_arrays([rep, pa.array([step == 0] * len(sets), pa.bool_()), pa.array([d // SPARE for d in differ], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["rep", "large", "spare", "keys"])
 
     return of
 
@@ -113,11 +107,32 @@ def _sets(k: int):
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 hashes, _, _, ptr = words(data, offsets[a : b + 1], SPACE_BYTES)
-                yield pa.RecordBatch.from_arrays([batch.column("rep")[a:b], pa.array([s.view(np.int64) for s in shingle_sets(hashes, ptr, k)], pa.list_(pa.int64()))], ["rep", "shingles"])
+                sets = shingle_sets(hashes, ptr, k)
+                sketches = [np.concatenate([whole_sketch(s), np.array([len(s)], np.int64)]) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[a:b], *(pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], sketches))], ["rep", "content", "sketch"])
 
     return of
 
 
+#: Words of 64 bits in the parity sketch of a whole set.
+WHOLE = 12
+
+
+def whole_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, in WHOLE words."""
+    place = mixed(shingles ^ np.uint64(0x3C6EF372FE94F82B))
+    sketch = np.zeros(WHOLE, np.uint64)
+    np.bitwise_xor.at(sketch, ((place >> np.uint64(32)) % np.uint64(WHOLE)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return sketch.view(np.int64)
+
+
+def _likely(x: Column, y: Column, percent: int) -> Column:
+    """Whether whole sketches (and, at the end, sizes) allow a Jaccard of percent / 100: the sets differ in as many shingles as the sketches in bits at least."""
+    bits = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, WHOLE)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    nx, ny = x[WHOLE], y[WHOLE]
+    return (bits * (100 + percent) <= (nx + ny) * (100 - percent)) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+
+
 def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles long, component_id.
 
@@ -131,9 +146,9 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
     named = documents.select("doc_id", "text", text_hash().alias("text_hash"))
     profile = saved(named.mapInArrow(_profiles(k), f"doc_id {kind}, text_hash long, n_shingles long, one long, two long"), "profiles")
-    of_set = ["n_shingles", "one", "two"]
-    some = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_hash", *of_set)).alias("t")).select("doc_id", "t.*")
-    classes = some.groupBy(*of_set).agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(*of_set, F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"))
+    same = ["n_shingles", "one", "two"]
+    some = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text_hash", *same)).alias("t")).select("doc_id", "t.*")
+    classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(*same, F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"))
     classes = saved(classes, "classes")
 
     standing = classes.select(F.col("rep").alias("doc_id"), "text_hash")
@@ -141,15 +156,16 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     reps = named.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
     if profile.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         reps = reps.dropDuplicates(["doc_id", "text_hash"])
-    rows = reps.mapInArrow(_parts(k, bands), f"rep {kind}, large boolean, keys array<long>").select(F.explode("keys").alias("key"), "rep", "large").repartition("key")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("any")).where("n > 1 AND any").select("key")
-    buckets = saved(rows.join(shared, "key"), "buckets")  # only parts that several texts have; both sides read one shuffle
+    rows = reps.mapInArrow(_parts(k, bands), f"rep {kind}, large boolean, spare int, keys array<long>").select(F.explode("keys").alias("key"), "rep", "large", "spare")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("any")).where("n > 1 AND any").select("key", "n")
+    of_set = rows.join(sized(saved(shared, "shared"), 24), "key").groupBy("rep", "large", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # no more than a set has parts
+    kept = F.slice("keys", 1, F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))
+    buckets = saved(of_set.select(F.explode(kept).alias("k"), "rep", "large").select("k.key", "rep", "large"), "buckets")
 
     wanted = sized(saved(buckets.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"), "wanted"), 32)
     texts = named.join(wanted, (named.doc_id == wanted.rep) & (named.text_hash == wanted.text_hash)).select("rep", wanted.text_hash, "text").dropDuplicates(["rep", "text_hash"])
-    sets = saved(texts.select("rep", "text").mapInArrow(_sets(k), f"rep {kind}, shingles array<long>"), "sets")
-
-    links = linked(buckets, lambda df, rep, name: df.join(sets.select(F.col("rep").alias(rep), F.col("shingles").alias(name)), rep), percent)
+    content = saved(texts.select("rep", "text").mapInArrow(_sets(k), f"rep {kind}, content array<long>, sketch array<long>"), "sets")
+    links = linked(buckets, content, lambda shingles: shingles, percent, _likely)
     found = components(links).withColumnRenamed("id", "rep")
-    root = some.join(classes.select(*of_set, "rep"), of_set).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    root = some.join(classes.select(*same, "rep"), same).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return profile.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

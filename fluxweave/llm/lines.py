@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +13,13 @@ from .graph import components, linked, once
 
 #: Characters in a shingle, and hundredths of Jaccard similarity from which lines are one.
 SHINGLE, PERCENT = 8, 80
-#: Bands, and minima (each of a hash function of its own) in a band: lines of similarity s share a band with a probability of
-#: 1 - (1 - s^ROWS)^BANDS, 0.995 at 0.8, however short they are: minima are taken over all shingles and no two bands share a function.
-BANDS, ROWS = 10, 4
+#: Bands, and minima in a band: lines of similarity s share a band with a probability of 1 - (1 - s^ROWS)^BANDS, 0.99 at 0.8.
+BANDS, ROWS = 7, 3
+#: A line is signed over the shingles that begin at words, if it has LONG of them or more, and over all its shingles if it has
+#: fewer than SHORT. Lines of between LONG and SHORT are signed both ways, so that similar lines are signed alike in one way at least.
+LONG, SHORT = 24, 40
+#: Of a pair's BANDS * ROWS minima, four bits each, so many agree if the similarity is 0.8 (but for one pair in 110) or 0.6 (but for one in 500).
+AGREE = {PERCENT: 13, 2 * PERCENT - 100: 7}
 
 
 def normal(line: str) -> Column:
@@ -20,27 +27,52 @@ def normal(line: str) -> Column:
     return F.lower(F.btrim(F.col(line), F.lit(" \t\r\f\v")))
 
 
-def _hashed(line: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda s: F.xxhash64(s))
+def _cut(line: Column, where: str = "") -> Column:
+    """The shingles that begin at the places where a pattern holds, as often as they come."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s){where}(?=(.{{{SHINGLE}}}))"), F.lit(1))
 
 
 def shingles(line: Column) -> Column:
     """Hashes of all distinct shingles; a line shorter than one is a shingle itself."""
-    return F.array_distinct(F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashed(line, rf"(?s)(?=(.{{{SHINGLE}}}))")))
+    return F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(_cut(line)), lambda s: F.xxhash64(s)))
+
+
+def _minima() -> list[Column]:
+    """Minima of as many hash functions of a shingle: two hashes of it, seen from points that are spread over all hashes."""
+    draw = random.Random(8)
+    points = [((k << 60) | draw.getrandbits(60)) - (1 << 63) for k in range(16)]
+    return [F.min(F.col(f"h{k % 2}").bitwiseXOR(F.lit(points[k // 2]))).alias(f"m{k}") for k in range(BANDS * ROWS)]
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """id and bands, the keys of a line, of each distinct line (id, line).
+def _signatures(lines: DataFrame) -> DataFrame:
+    """id, long (which shingles were signed), bands (the keys) and s0, s1 (four bits of each minimum) of each distinct line (id, line).
 
     Lines come together by id first, so that the minima over a line's exploded shingles need no further shuffle.
     """
-    distinct = lines.groupBy("id").agg(F.first("line").alias("line"))
-    line = F.col("line")
-    every = F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashed(line, rf"(?s)(?=(.{{{SHINGLE}}}))"))
-    rows = distinct.select("id", F.explode(every).alias("h"))
-    minima = rows.groupBy("id").agg(*[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
-    return minima.select("id", F.array(*keys).alias("bands"))
+    distinct = once(lines.groupBy("id").agg(F.first("line").alias("line")), "some", _cut(F.col("line"), "(?<![a-z])"))
+    ways = F.array_compact(F.array(F.when(F.size("some") < SHORT, False), F.when(F.size("some") >= LONG, True)))
+    placed = distinct.select("id", "line", "some", F.explode(ways).alias("long"))
+    n = F.when(F.col("long"), F.size("some")).otherwise(F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
+    placed = placed.select("id", "line", "some", "long", F.explode(F.sequence(F.lit(1), n)).alias("p"))
+    shingle = F.when(F.col("long"), F.get("some", F.col("p") - 1)).otherwise(F.substring("line", F.col("p"), F.lit(SHINGLE)))
+    rows = placed.select("id", "long", shingle.alias("s")).select("id", "long", F.xxhash64("s").alias("h0"), F.xxhash64("s", F.lit(1)).alias("h1"))
+    minima = rows.groupBy("id", "long").agg(*_minima())
+    keys = [F.xxhash64(F.lit(b), "long", *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
+    bits = [F.shiftleft(F.col(f"m{k}").bitwiseAND(15), k % 16 * 4) for k in range(BANDS * ROWS)]
+    return minima.select("id", "long", F.array(*keys).alias("bands"), reduce(Column.bitwiseOR, bits[:16]).alias("s0"), reduce(Column.bitwiseOR, bits[16:]).alias("s1"))
+
+
+def _likely(x: Column, y: Column, percent: int) -> Column:
+    """Whether enough minima agree, in one of the two ways, for a similarity of percent / 100."""
+
+    def agree(k: int) -> Column:
+        d = x[k].bitwiseXOR(y[k])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return 16 - F.bit_count(d.bitwiseAND(0x1111111111111111))
+
+    unused = 32 - BANDS * ROWS
+    return F.coalesce(F.greatest(agree(0) + agree(1), agree(2) + agree(3)) - unused >= AGREE[percent], F.lit(False))
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
@@ -53,17 +85,16 @@ def line_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, text_hash, line_no, id), and component of the ids that are similar to another."""
     lines = occurrences(documents)
     placed = saved(lines.select("doc_id", "text_hash", "line_no", "id"), "occurrences")
-    rows = saved(_bands(lines), "signatures").select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
-    shared = saved(rows.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x != y").select("key"), "shared")
+    signed = saved(_signatures(lines), "signatures")
+    rows = signed.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
+    shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
     buckets = saved(rows.join(sized(shared, 16), "key").withColumn("large", F.lit(True)), "buckets")
     wanted = sized(saved(buckets.select(F.col("rep").alias("id")).distinct(), "wanted"), 16)
-    texts = saved(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "lines")
-
-    def sets(df: DataFrame, rep: str, name: str) -> DataFrame:
-        named = df.join(texts.select(F.col("id").alias(rep), F.col("line").alias(f"_{name}")), rep)
-        return once(named, name, shingles(F.col(f"_{name}"))).drop(f"_{name}")
-
-    return placed, saved(components(linked(buckets, sets, PERCENT)), "components")
+    sketch = F.array(*[F.max(F.when(F.col("long") == way, F.col(s))) for way in (False, True) for s in ("s0", "s1")])
+    sketches = signed.join(wanted, "id", "left_semi").groupBy("id").agg(sketch.alias("sketch"))
+    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("content"))
+    content = saved(texts.join(sketches, "id").withColumnRenamed("id", "rep"), "lines")
+    return placed, saved(components(linked(buckets, content, shingles, PERCENT, _likely)), "components")
 
 
 def removed(documents: DataFrame) -> DataFrame:
@@ -85,11 +116,13 @@ def dedup(documents: DataFrame) -> DataFrame:
     null text stays null and has no lines. Rows with a null id keep all lines. A repeated row (same id and text) is the same
     document, so both keep the same lines. Columns of documents named n_lines or n_removed are replaced, all others kept.
     """
-    documents = documents.drop("n_lines", "n_removed").withColumn("_text_hash", text_hash())
-    gone = sized(saved(removed(documents), "removed"), 96).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_gone_hash"), F.col("lines").alias("_gone"))
-    same = (documents.doc_id == gone["_doc_id"]) & (documents["_text_hash"] == gone["_gone_hash"])
-    joined = documents.join(gone, same, "left").drop("_doc_id", "_gone_hash", "_text_hash")
-    lines, none = F.split("text", "\n"), F.col("_gone").isNull()
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(none, 0).otherwise(F.size("_gone")).cast("long")})
-    return out.withColumn("text", F.when(none, F.col("text")).otherwise(kept)).drop("_gone")
+    names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    rows = documents.select(F.struct(*quoted).alias("row"), F.col("doc_id").alias("row_id"), text_hash().alias("row_hash"))  # no name of theirs can clash
+    gone = sized(saved(removed(documents), "removed"), 96)
+    joined = rows.join(gone, (rows.row_id == gone.doc_id) & (rows.row_hash == gone.text_hash), "left").select("row", F.split("row.text", "\n").alias("all"), F.col("lines").alias("gone"))
+    none = F.col("gone").isNull()
+    left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")
+    text = F.when(none, F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("all", i)), "\n"))
+    counts = [F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size("gone")).cast("long").alias("n_removed")]
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"row.{q}") for c, q in zip(names, quoted)], *counts)
