@@ -112,19 +112,22 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     again = rooted.join(sized(saved(open_, "open"), 24), "b").where("ok AND with_linked OR NOT ok AND (others OR near AND apart AND with_linked)").select("a", "b", "large", "root", "members")
 
     none = F.array().cast("array<long>")
-    first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", _first(percent, none).alias("first")), "first")
+    first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("away"), _first(percent, none).alias("first")), "first")
     counts = first.select("b", "members", F.explode("first").alias("e")).groupBy("b", "members", "e").agg(F.count(F.lit(1)).alias("f"))
     common = counts.where(f"f >= 8 AND {COMMON} * f > members").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("c")).select("b", F.transform("c", lambda s: s.e).alias("common"))
     common = saved(common, "common")
-    differing = _compared(first.select("a", "b", "large", "root").join(common, "b"), content, elements, percent)
-    differing = once(differing, "first", _first(percent, F.col("common"))).select("a", "b", "large", "nx", "root", "first")
-    differing = differing.union(first.join(common, "b", "left_anti").select("a", "b", "large", "nx", "root", "first"))
-    rows = saved(differing.select("a", "b", "large", "nx", "root", F.explode("first").alias("e")).select("a", "large", "nx", "root", F.xxhash64("b", "e").alias("key")), "differences")
+    differing = _compared(first.select("a", "b", "large", "root", "away").join(common, "b"), content, elements, percent)
+    differing = once(differing, "first", _first(percent, F.col("common"))).select("a", "b", "large", "nx", "root", "away", "first")
+    differing = differing.union(first.join(common, "b", "left_anti").select("a", "b", "large", "nx", "root", "away", "first"))
+    rows = saved(differing.select("a", "b", "large", "nx", "root", "away", F.explode("first").alias("e")).select("a", "large", "nx", "root", "away", F.xxhash64("b", "e").alias("key")), "differences")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rows = saved(rows.join(sized(saved(shared, "shared"), 16), "key"), "differences")
-    other = rows.select("key", F.col("a").alias("b"), F.col("large").alias("large2"), F.col("nx").alias("ny"), F.col("root").alias("root2"))
-    more = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    more = saved(_sketched(more.select("a", "b").distinct(), content).where(likely(x, y, percent)).select("a", "b"), "pairs")
+    rows = rows.join(sized(saved(shared, "shared"), 16), "key")
+    rows = saved(rows.join(sized(content.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), 64), "a"), "differences")
+    other = rows.select("key", F.col("a").alias("b"), F.col("large").alias("large2"), F.col("nx").alias("ny"), F.col("root").alias("root2"), F.col("away").alias("away2"), F.col("x").alias("y"))
+    of_size = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    of_distance = 100 * F.abs(F.col("away") - F.col("away2")) <= 100 - percent + 1e-6  # from the leader; else they are too far from each other
+    more = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & of_size & of_distance & likely(x, y, percent))
+    more = saved(more.select("a", "b").distinct(), "pairs")
     return links.union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
 
 

@@ -19,7 +19,7 @@ from .common import with_fields
 #: What the model's pieces have for a blank.
 BLANK = "▁"
 #: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it starts anew; chunks indexed at once.
-KEPT, INDEXED = 400_000, 60_000
+KEPT, INDEXED = 120_000, 60_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 _loaded: dict[str, Model] = {}
 
