@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -19,17 +20,17 @@ from .common import sized
 END = 0
 #: Ids coded together: as many blocks run in step as this holds. A document is never cut.
 PART_IDS = 1 << 22
-#: Distinct pieces of text whose ids a worker keeps before it starts anew.
-KEPT = 500_000
-_SPACES = re.compile(r"\s\s")
+#: Distinct pieces of text whose ids a worker keeps before it drops the rare ones.
+KEPT = 400_000
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
     """The ids of texts by the tokenizers library, which sees each distinct piece once.
 
-    This tokenizer's own splitting always cuts before a blank that stands between two other characters. So a text without
-    neighbouring white space is the sequence of its pieces cut there, each encoded by itself; other texts are encoded whole.
+    A byte-level tokenizer with the usual pattern always cuts before a blank that stands between two other characters. So a text without
+    neighbouring white space is the sequence of its pieces cut there, each encoded by itself. Other texts, those that hold
+    the string of an added token (the library's default makes it that one id), and all texts of another kind of tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -37,26 +38,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        before = made.get("pre_tokenizer") or {}
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        added = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
+        self.whole = re.compile("|".join([r"\s\s|\0", *added] if usual else [""]))
+        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_break = ids[0] if len(ids) == 1 else -1
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.first, self.length, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.first, self.length, self.used = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.ids, self.n = np.zeros(1 << 18, np.int32), 0
+
+    def _thin(self) -> None:
+        """Keeps the pieces that came three times or more."""
+        keep = np.flatnonzero(self.used[: len(self.numbers)] > 2)[: KEPT // 2]
+        names, length = list(self.numbers), self.length[keep]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(self.first[keep] - (ends - length), length) + np.arange(length.sum())]
+        self.clear()
+        self.numbers = dict(zip((names[k] for k in keep), range(len(keep))))
+        self._room(len(keep), len(ids))
+        self.first[: len(keep)], self.length[: len(keep)], self.used[: len(keep)], self.ids[: len(ids)], self.n = ends - length, length, 1, ids, len(ids)
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while pieces > len(self.first):
+            self.first, self.length, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.used))
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of each piece. Pieces without a line break are encoded together, one a line: the pattern cuts before and after a break that stands alone."""
+        alone = [k for k, p in enumerate(pieces) if "\n" in p]
+        found = dict(zip(alone, self._whole([pieces[k] for k in alone])))
+        rest = [k for k in range(len(pieces)) if k not in found]
+        every = self._whole(["\n".join(pieces[k] for k in rest)])[0] if rest else np.zeros(0, np.int32)
+        cut = np.flatnonzero(every == self.line_break)
+        if len(cut) == len(rest) - 1:
+            found |= dict(zip(rest, (every[a:b] for a, b in zip(np.append(0, cut + 1), np.append(cut, len(every))))))
+        else:
+            found |= dict(zip(rest, self._whole([pieces[k] for k in rest])))
+        return [found[k] for k in range(len(pieces))]
+
     def _learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
-            found = self._whole(part)
+            found = self._each(part)
             sizes = np.array([len(x) for x in found], np.int64)
             start = len(self.numbers)
-            while start + len(part) > len(self.first):
-                self.first, self.length = np.concatenate([self.first, self.first]), np.concatenate([self.length, self.length])
-            while self.n + sizes.sum() > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids])
+            self._room(start + len(part), self.n + int(sizes.sum()))
             self.first[start : start + len(part)] = self.n + np.cumsum(sizes) - sizes
             self.length[start : start + len(part)] = sizes
             self.ids[self.n : self.n + sizes.sum()] = np.concatenate(found)
@@ -66,18 +102,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if len(self.numbers) > KEPT:
-            self.clear()
+            self._thin()
         rows, odd = [], {}
         for k, text in enumerate(texts):
-            if not text or _SPACES.search(text):
+            if not text or self.whole.search(text):
                 odd[k] = text
                 rows.append([])
             else:
-                rows.append(text.replace(" ", "\0 ").split("\0") if "\0" not in text else odd.setdefault(k, text) and [])
+                rows.append(text.replace(" ", "\0 ").split("\0"))
         pieces = [p for row in rows for p in row]
         unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
         self._learn(unknown)
         number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        np.add.at(self.used, number, 1)
         length = self.length[number]
         total = np.concatenate([[0], np.cumsum(length)])
         at = np.repeat(self.first[number] - total[:-1], length) + np.arange(total[-1])

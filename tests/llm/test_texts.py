@@ -2,9 +2,11 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from fluxweave.llm import codec, common, decontamination, jaccard, licenses, lines, personal, pieces, quality, tokens, toxicity
@@ -229,15 +231,35 @@ def test_personal_without_digits():
 def test_codec():
     r = np.random.default_rng(4)
     for n in (0, 1, 2047, 2048, 2049, 9000):
-        ids = r.choice([r.integers(0, codec.MAX_ID, n), r.zipf(1.3, n) % 500])[:n].astype(np.int32) if n else np.zeros(0, np.int32)
-        data = codec.encode(ids)
-        assert (codec.decode(data) == ids).all()
+        for ids in (r.integers(0, 60_000, n), r.zipf(1.3, n) % 500, r.integers(0, 1 << 32, n)):
+            data = codec.encode(ids)
+            assert (codec.decode(data) == ids).all()
     damaged = bytearray(data)
     damaged[-40] ^= 1
     with pytest.raises(ValueError):
         codec.decode(bytes(damaged))
-    with pytest.raises(ValueError):
-        codec.encode(np.array([codec.MAX_ID]))
+    for wrong in (-1, 1 << 32):
+        with pytest.raises(ValueError):
+            codec.encode(np.array([wrong]))
+
+
+def test_codec_compresses():
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    ids = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)[0].astype(np.int64)
+    data = codec.encode(ids)
+    assert (codec.decode(data) == ids).all()
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    order0 = -(share * np.log2(share)).sum()
+    assert 8 * len(data) / len(ids) < min(order0, 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)) - 0.3
+
+
+def test_encoder_forgets_only_rare_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 300)
+    r, one = random.Random(9), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(6):
+        texts = [prose(r, 80, 500) + r.choice(["", " a\nb c", "\n", " <|endoftext|> z", "  two"]) for _ in range(20)]
+        ids, sizes = one.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files(spark, tmp_path):
@@ -246,7 +268,6 @@ def test_token_files(spark, tmp_path):
     rows = [(50, "zebra  two spaces\n\nand <|endoftext|> lines"), (40, "plain words only here"), *ODD]
     tokens.write(docs(spark, rows, "start"), str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     want, start = [], 0
     for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
         ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
