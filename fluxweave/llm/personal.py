@@ -20,12 +20,18 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 
-#: Characters in a window, and from one window's start to the next's.
-WINDOW, STEP = 64, 32
-#: Any span that passes valid() has one of these: a digit, or an at sign in one of its spellings.
-_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
-EMBED, HIDDEN, EPOCHS, BATCH, RATE, N_TRAIN = 12, 20, 10, 64, 0.01, 2600
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+#: The tagger's kinds: secrets (keys, tokens, passwords) have no pattern.
+TAGGED = (*KINDS, "secret")
+#: Characters in a window that is learned from.
+WINDOW = 64
+#: Characters in a window that is read, and from one window's start to the next's.
+READ, STEP = 256, 224
+EMBED, HIDDEN, EPOCHS, BATCH, RATE, N_TRAIN = 12, 16, 11, 64, 0.012, 3400
+TAGS = 1 + 2 * len(TAGGED)  # outside, then begin and inside of each kind
+#: By how much, in the logarithm of its likelihood, a span must be likelier than none.
+KEEP = 4.0
+#: Characters around those that may be in a span; windows whose emissions are made at once.
+AROUND, AT_ONCE = 8, 512
 
 
 def luhn(digits: str) -> bool:
@@ -80,19 +86,6 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
-def valid(kind: int, found: str) -> bool:
-    """What a span of the tagger must show: enough of the kind's signs to be one."""
-    digits = sum(c in "0123456789" for c in found)
-    name = KINDS[kind]
-    if name == "email":
-        return 6 <= len(found) <= 254 and not re.search(r"\s\s|\n", found) and bool(re.fullmatch(r"[^\s@]+ ?(@|\(at\)|\[at\]) ?[^\s@]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+", found))
-    if name == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(( ?\. ?|\[\.\])[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", found))
-    if name == "card":
-        return 12 <= digits <= 19 and bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", found)) and luhn(re.sub(r"[^0-9]", "", found))
-    return 9 <= digits <= 15 and bool(re.fullmatch(r"(\+|00|\()[0-9][0-9 ()./-]+[0-9]", found))
-
-
 def symbols(text: str) -> np.ndarray:
     """A small alphabet: ASCII as it is, digits as one sign, the rest as one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -105,51 +98,59 @@ def labelled(n: int = N_TRAIN, seed: int = 11) -> list[tuple[str, list[tuple[int
     r = np.random.default_rng(seed)
     pick = lambda *x: x[r.integers(len(x))]
     num = lambda k: "".join(str(d) for d in r.integers(0, 10, k))
-    syllables = ["an", "the", "re", "tion", "ou", "er", "in", "st", "ent", "de", "la", "con", "ung", "schen", "né", "ío", "ly", "ha"]
-    word = lambda: "".join(r.choice(syllables, r.integers(1, 4)))
+    syllables = ["an", "the", "re", "tion", "ou", "er", "in", "st", "ent", "de", "la", "con", "ung", "schen", "né", "ío", "ly", "ha", "ß", "ço", "ä"]
+    letters = "aaaeeeeiiioouunnrrssttllddhcmgpbfvkwzyxjqéèàöüñçó"
+    hexa = lambda k: "".join("0123456789abcdef"[d] for d in r.integers(0, 16, k))
+    base64 = lambda k: "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[d] for d in r.integers(0, 62, k))
+
+    def word() -> str:
+        some = syllables if r.random() < 0.3 else list(letters)
+        made = "".join(r.choice(some, r.integers(1, 5 if some is syllables else 11)))
+        return pick(made, made, made, made, made.capitalize(), made.upper())
 
-    def card() -> str:
-        body = pick("4", "5", "37", "6") + num(int(r.integers(10, 15)))
-        last = next(d for d in "0123456789" if luhn(body + d))
-        full, sep = body + last, pick("", " ", "-", ".", "/")
-        return sep.join(full[i : i + 4] for i in range(0, len(full), 4))
+    def name() -> str:
+        return pick(f"{word()}{pick('.', '_', '-', '')}{pick(word(), num(int(r.integers(1, 4))))}", word())
 
-    def made(kind: int) -> str:
+    def made(kind: int) -> tuple[str, str, str]:
+        """What stands before, the span and what stands after."""
         if kind == 0:
-            at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"))
-            return f"{word()}{pick('', '.', '_', '-')}{pick(word(), num(2))}{at}{word()}{pick('', num(1))}{dot}{pick('com', 'org', 'net', 'example' + dot + 'com')}"
+            at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), ("(at)", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("[at]", "[dot]"))
+            return pick("", "mail ", "<"), f"{name()}{at}{word().lower()}{pick('', num(1))}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'example' + dot + 'com')}", ""
         if kind == 1:
-            return pick(".", ".", " . ", "[.]").join(str(int(x)) for x in r.integers(0, 256, 4))
+            return pick("", "", "ip "), pick(".", ".", ".", " . ", "[.]").join(str(int(x)) for x in r.integers(0, 256, 4)), pick("", "", ":80")
         if kind == 2:
-            return card()
-        a, b, c = num(3), num(3), num(4)
-        return pick(f"+{pick('1', '44', '49', '33')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"00{num(2)}-{a}-{b}-{c}", f"+{num(1)}/{a}/{b}/{c}", f"({a}) {b}.{c}")
+            body = pick("4", "5", "37", "6") + num(int(r.integers(11, 15)))
+            full = body + next(d for d in "0123456789" if luhn(body + d))
+            sep = pick("-", " ", ".", "/", "_")
+            return pick("", "card "), sep.join(full[i : i + 4] for i in range(0, len(full), 4)), ""
+        if kind == 3:
+            a, b, c = num(3), num(3), num(4)
+            return pick("", "", "tel "), pick(f"+{pick('1', '44', '49', '33')} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"00{num(2)}-{a}-{b}-{c}", f"+{num(1)}/{a}/{b}/{c}", f"({a}) {b}.{c}", f"{a}-{b}-{c}"), ""
+        label = pick("token", "key", "api_key", "secret", "password", "TOKEN", "access_token")
+        quote = pick('"', '"', "'")
+        return f"{label}{pick(' = ', '=', ': ')}{quote}", pick(hexa(40), hexa(32), hexa(40), base64(int(r.integers(20, 41))), hexa(40).upper()), quote
 
     def other() -> str:
-        return pick(num(int(r.integers(1, 8))), num(16) if r.random() < 0.5 else num(20), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(1)}", f"@{word()}", f"${num(3)}.{num(2)}", f"{num(2)}:{num(2)}", f"v{num(1)}.{num(1)}", f"{num(3)}%", f"({num(4)})", f"{num(12)}abc{num(5)}")
+        return pick(num(int(r.integers(1, 8))), num(16), num(int(r.integers(9, 21))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(2)}.{num(1)}", f"@{word()}", f"${num(3)}.{num(2)}", f"{num(2)}:{num(2)}", f"v{num(1)}.{num(1)}", f"{num(3)}%", f"({num(4)})", f"{num(12)}abc{num(5)}", f'"{word()}"', f'{word()} = "{word()}"', f"{word()}@", "CC BY-NC 4.0.", "version 3.", f"{word()} at {word()}", f"({word()}) {word()}", hexa(6))
 
     out = []
     for _ in range(n):
-        text, spans = "", []
-        while len(text) < WINDOW * 0.8:
+        text, spans, empty, style = "", [], r.random() < 0.35, pick(" ", " ", " ", " ", " | ", "!! ", "### ", "$$$ ", "\n")
+        while len(text) < WINDOW * 1.2:
             roll = r.random()
-            if roll < 0.28:
-                kind = int(r.integers(len(KINDS)))
-                found = made(kind)
-                spans.append((len(text), kind, len(text) + len(found)))
-                text += found
+            if roll < 0.16 and not empty:
+                kind = int(r.integers(len(TAGGED)))
+                before, found, after = made(kind)
+                spans.append((len(text) + len(before), kind, len(text) + len(before) + len(found)))
+                text += before + found + after
             else:
-                text += other() if roll < 0.45 else word()
-            text += pick(" ", " ", " ", ", ", ". ", "\n", "### ", "$$$ ", "; ")
-        cut = int(r.integers(0, 12))  # a window begins anywhere, also within a span
+                text += other() if roll < 0.32 and roll > 0.3 * empty else word()
+            text += pick(style, style, " ", ", ", ". ", "; ")
+        cut = int(r.integers(0, 24))  # a window begins anywhere, also within a span
         out.append((text[cut : cut + WINDOW], [(max(s - cut, 0), k, min(e - cut, WINDOW)) for s, k, e in spans if e - cut > 0 and s - cut < WINDOW]))
     return out
 
 
-def _sig(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
     """Embedding, one LSTM each way, emissions, CRF transitions. Windows of a batch have one length; mask tells real characters."""
 
@@ -165,13 +166,20 @@ class Tagger:
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         out, kept = np.empty((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
-            a = x[t] + h @ self.p[way + "H"]
-            s = _sig(a[:, : 3 * HIDDEN])
-            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(a[:, 3 * HIDDEN :])
+            a = h @ self.p[way + "H"]
+            a += x[t]
+            a[:, : 3 * HIDDEN] *= 0.5  # a sigmoid is half a tanh of the half, plus a half
+            np.tanh(a, out=a)
+            s = a[:, : 3 * HIDDEN]
+            s *= 0.5
+            s += 0.5
+            i, f, o, g = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], a[:, 3 * HIDDEN :]
             before, was = c, h
-            c = f * c + i * g
+            c = f * c
+            c += i * g
             tc = np.tanh(c)
-            h = out[t] = o * tc
+            h = out[t]
+            np.multiply(o, tc, out=h)
             if keep:
                 kept.append((t, was, before, i, f, o, g, tc))
         return out, kept
@@ -248,79 +256,94 @@ class Tagger:
                     self.p[n] = (self.p[n] - RATE * (1 - 0.9 * epoch / EPOCHS) * (m1[n] / (1 - 0.9**t)) / (np.sqrt(m2[n] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each window and their emissions' lead, windows by characters."""
-        em, _ = self.emissions(x)
-        time, n = len(em), x.shape[0]
-        best, back = em[0], np.empty((time, n, TAGS), np.int8)
+    def best(self, em: np.ndarray) -> np.ndarray:
+        """Best tags, by time and row, of emissions by time, row and tag, where outside comes before and after."""
+        time, n, _ = em.shape
+        best, back = em[0] + self.p["T"][0], np.empty((time, n, TAGS), np.int8)
         for t in range(1, time):
             v = best[:, :, None] + self.p["T"]
             back[t] = v.argmax(1)
             best = em[t] + v.max(1)
         tags = np.empty((time, n), np.int64)
-        tags[-1] = best.argmax(1)
+        tags[-1] = (best + self.p["T"][:, 0]).argmax(1)
         for t in range(time - 1, 0, -1):
             tags[t - 1] = back[t, np.arange(n), tags[t]]
-        return tags.T, np.take_along_axis(em, tags[:, :, None], 2)[:, :, 0].T
+        return tags
+
+
+def emitted(codes: list[np.ndarray], model: Tagger) -> list[np.ndarray]:
+    """Emissions of each text, characters by tags: every window is read; where windows overlap, their emissions are averaged, by the distance to the nearer end of each."""
+    out = [np.zeros((len(c), TAGS), np.float32) for c in codes]
+    weight = np.minimum(np.arange(READ) + 1, READ - np.arange(READ)).astype(np.float32)[:, None]
+    total = [np.zeros((len(c), 1), np.float32) for c in codes]
+    windows = [(n, a) for n, c in enumerate(codes) for a in range(0, max(len(c) - (READ - STEP), min(len(c), 1)), STEP)]
+    windows.sort(key=lambda w: min(READ, len(codes[w[0]]) - w[1]))
+    for i in range(0, len(windows), AT_ONCE):
+        some = windows[i : i + AT_ONCE]
+        parts = [codes[n][a : a + READ] for n, a in some]
+        x = np.zeros((len(some), max(map(len, parts))), np.int64)
+        for row, part in zip(x, parts):
+            row[: len(part)] = part
+        em = model.emissions(x)[0].transpose(1, 0, 2)
+        for (n, a), part, e in zip(some, parts, em):
+            k = len(part)
+            out[n][a : a + k] += e[:k] * weight[:k]
+            total[n][a : a + k] += weight[:k]
+    return [e / w for e, w in zip(out, total)]
 
 
-def _read(codes: list[np.ndarray], triggers: list[set[int]], model: Tagger) -> list[dict[int, np.ndarray]]:
-    """Tags of each text by block of STEP characters, as if all overlapping windows (a multiple of STEP each) were decoded.
+def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """start, kind and end of the spans of each text's best tags that are likelier than none by KEEP.
 
-    Where windows overlap, the one whose middle is nearer decides. Blocks with a trigger are read first, then every block that
-    a span goes on into, until all spans end: what is never read lies in no span with a trigger.
+    Tags are the best ones of the whole text by emissions and transitions. A span likely enough has a character where the
+    lead of outside is less than transitions within a span make good. So only what lies around such characters is decoded.
     """
-    out: list[dict[int, np.ndarray]] = [{} for _ in codes]
-    decoded: list[dict[int, np.ndarray]] = [{} for _ in codes]
-    wanted = [(n, b) for n, blocks in enumerate(triggers) for b in sorted(blocks)]
-    while wanted:
-        new = sorted({(n, w) for n, b in wanted for w in (b - 1, b) if w >= 0 and w not in decoded[n]})
-        for i in range(0, len(new), 256):
-            x = np.zeros((len(new[i : i + 256]), WINDOW), np.int64)
-            for row, (n, w) in zip(x, new[i : i + 256]):
-                part = codes[n][w * STEP : w * STEP + WINDOW]
-                row[: len(part)] = part
-            for (n, w), tags in zip(new[i : i + 256], model.decode(x)[0]):
-                decoded[n][w] = tags
-        more = set()
-        for n, b in wanted:
-            tags = decoded[n][b][:STEP].copy()
-            if b:
-                tags[: STEP // 2] = decoded[n][b - 1][STEP : STEP + STEP // 2]
-            tags = out[n][b] = tags[: len(codes[n]) - b * STEP]
-            more |= {(n, c) for c, tag in ((b - 1, tags[0]), (b + 1, tags[-1])) if tag and 0 <= c * STEP < len(codes[n])}
-        wanted = sorted((n, c) for n, c in more if c not in out[n])
-    return out
-
-
-def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of each text that the decoded windows give; those without a trigger, none of them valid, may be missing."""
-    triggers = [{m.start() // STEP for m in _TRIGGER.finditer(t)} for t in texts]
-    read = _read([symbols(t) if x else np.zeros(0, np.int64) for t, x in zip(texts, triggers)], triggers, model)
+    trans = model.p["T"]
+    edges = float(trans[0, 1:].max() + trans[1:, 0].max() - 2 * trans[0, 0])
+    need = max(float(trans[1:, 1:].max() - trans[0, 0]), edges - KEEP, 0.0)
+    em = emitted([symbols(t) for t in texts], model)
+    parts = []
+    for n, e in enumerate(em):
+        at = np.flatnonzero(e[:, 0] - e[:, 1:].max(1, initial=-np.inf) < need) if len(e) else np.zeros(0, np.int64)
+        if len(at):
+            cut = np.flatnonzero(np.diff(at) > 2 * AROUND)
+            for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]):
+                parts.append((n, max(int(a) - AROUND, 0), min(int(b) + AROUND + 1, len(e))))
+    parts.sort(key=lambda x: x[2] - x[1])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for n, blocks in enumerate(read):
-        tag = {b * STEP + int(p): int(blocks[b][p]) for b in sorted(blocks) for p in np.flatnonzero(blocks[b])}
-        run: list[int] = []
-        for p, v in tag.items():
-            kind, begins = (v - 1) // 2, v % 2 == 1
-            if run and p == run[2] and kind == run[1] and not begins:
-                run[2] = p + 1
-                continue
-            if run:
-                out[n].append(tuple(run))
-            run = [p, kind, p + 1]
-        if run:
-            out[n].append(tuple(run))
-    return out
+    for i in range(0, len(parts), 256):
+        some = parts[i : i + 256]
+        x = np.full((max(b - a for _, a, b in some), len(some), TAGS), -1e4, np.float32)
+        x[:, :, 0] = 0
+        for k, (n, a, b) in enumerate(some):
+            x[: b - a, k] = em[n][a:b]
+        for (n, a, b), tags in zip(some, model.best(x).T):
+            out[n] += _spans(tags[: b - a], em[n][a:b], a, trans)
+    return [sorted(x) for x in out]
+
+
+def _spans(tags: np.ndarray, em: np.ndarray, first: int, trans: np.ndarray) -> list[tuple[int, int, int]]:
+    """The spans of a part's tags that are likely enough."""
+    found, start = [], None
+    for p in [*np.flatnonzero(tags).tolist(), len(tags) + 1]:
+        if start is not None and (p != end or tags[p] % 2 or tags[p] != tags[start] + 1):
+            path = np.concatenate([[0], tags[start:end], [0]])
+            more = (em[np.arange(start, end), tags[start:end]] - em[start:end, 0]).sum() + trans[path[:-1], path[1:]].sum() - (len(path) - 1) * trans[0, 0]
+            if more >= KEEP:
+                found.append((first + start, int(tags[start] - 1) // 2, first + end))
+            start = None
+        if p < len(tags):
+            start, end = p if start is None else start, p + 1
+    return found
 
 
 def merged(text: str, base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans stay; of the tagger's, trimmed, those that are valid and touch no other span join them."""
+    """Base spans stay; of the tagger's, without white space and stops at their ends, those that touch no other span join them."""
     taken = sorted(base)
     for start, kind, end in more:
         found = text[start:end]
         start, end = start + len(found) - len(found.lstrip(" .,;\n")), end - len(found) + len(found.rstrip(" .,;\n"))
-        if end > start and valid(kind, text[start:end]) and not any(s < end and start < e for s, _, e in taken):
+        if end > start and not any(s < end and start < e for s, _, e in taken):
             taken.append((start, kind, end))
     return sorted(taken)
 
@@ -336,7 +359,7 @@ def model() -> Tagger:
 
 
 def find(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """documents with base and spans: arrays of struct<start int, kind string, end int> by start, then kind as in KINDS.
+    """documents with base and spans: arrays of struct<start int, kind string, end int> by start, then kind as in TAGGED.
 
     Offsets are code points, ends exclusive. base has what the patterns find; spans has base and what the tagger
     adds. A null text counts as empty and has no span. Each row is read by itself and whole: repeated rows get
@@ -347,7 +370,7 @@ def find(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def rows(spans: list) -> pa.Array:
-        return pa.array([[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in x] for x in spans], kind)
+        return pa.array([[{"start": s, "kind": TAGGED[k], "end": e} for s, k, e in x] for x in spans], kind)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
