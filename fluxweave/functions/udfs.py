@@ -80,19 +80,20 @@ def lz78_phrases(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def hurst_rs(values: pd.Series) -> pd.Series:
-    """Slope of log rescaled range over log block size, blocks of 8, 16, ... up to half the sequence; 0.5 without two sizes."""
+    """Slope of log rescaled range over log block size, blocks of 8, 16, ... up to half the sequence; 0.5 without two sizes.
+
+    A size's rescaled range is the mean over all its blocks, of range over sample deviation; a constant block counts as 0.
+    """
 
     def slope(xs) -> float:
         x, points, size = np.asarray([] if xs is None else xs, float), [], 8
-        if len(x) < 16:
-            return 0.5
         while size <= len(x) // 2:
             blocks = x[: len(x) // size * size].reshape(-1, size)
             deviation = blocks - blocks.mean(1, keepdims=True)
-            walk, sd = np.cumsum(deviation, 1), np.sqrt((deviation**2).mean(1))
-            ratios = (walk.max(1) - walk.min(1))[sd > 0] / sd[sd > 0]
-            if len(ratios) and ratios.mean() > 0:
-                points.append((np.log(size), np.log(ratios.mean())))
+            walk, sd = np.cumsum(deviation, 1), np.sqrt((deviation**2).sum(1) / (size - 1))
+            ratio = np.divide(np.maximum(walk.max(1), 0) - np.minimum(walk.min(1), 0), sd, out=np.zeros(len(sd)), where=sd > 0).mean()
+            if ratio > 0:
+                points.append((np.log(size), np.log(ratio)))
             size *= 2
         if len(points) < 2:
             return 0.5

@@ -77,18 +77,20 @@ def bigrams(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
 
 
 def periodicity(pk: DataFrame) -> DataFrame:
-    """Largest of five autocorrelations of the gaps, by the whole sum of squares, over the first; none up to six gaps."""
+    """Largest of five autocorrelations of the gaps, by the whole sum of squares, over the first (by itself where that is next to 0); none up to six gaps."""
     g = gaps(pk).where("iat IS NOT NULL").select("flow_id", "pkt_no", (F.col("iat").cast("double") - F.avg(F.col("iat").cast("double")).over(of_flow())).alias("_d"))
     g = g.withColumns({f"_d{k}": F.lead("_d", k).over(in_order()) for k in range(1, 6)})
     below = F.sum(F.col("_d") * F.col("_d"))
     parts = g.groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n"), *[F.when(below > 0, F.abs(F.sum(F.col("_d") * F.col(f"_d{k}")) / below)).alias(f"_r{k}") for k in range(1, 6)])
-    ratio = F.when((F.col("_n") > 6) & (F.col("_r1") > 0), F.greatest(*[f"_r{k}" for k in range(1, 6)]) / F.col("_r1")).otherwise(0.0)
+    largest = F.greatest(*[f"_r{k}" for k in range(1, 6)])
+    ratio = F.when((F.col("_n") > 6) & largest.isNotNull(), F.when(F.col("_r1") > 1e-9, largest / F.col("_r1")).otherwise(largest)).otherwise(0.0)
     return parts.select("flow_id", ratio.alias("periodic_dominant_freq_ratio")).withColumn("has_strong_periodicity", (F.col("periodic_dominant_freq_ratio") > 1.5).cast("int"))
 
 
 def complexity(pk: DataFrame) -> DataFrame:
-    s = sequence(pk, F.col("pkt_len"), "_s")
-    out = s.select("flow_id", lz78_phrases("_s").alias("lz78_complexity_index"), hurst_rs("_s").alias("hurst_exponent_estimate"), F.size("_s").alias("_n"))
+    """Phrases of the lengths' parse, absolute and by packet, and the Hurst exponent of the gaps."""
+    s = sequence(pk, F.col("pkt_len"), "_s").join(sequence(gaps(pk).where("iat IS NOT NULL"), F.col("iat").cast("double"), "_g"), "flow_id", "left")
+    out = s.select("flow_id", lz78_phrases("_s").alias("lz78_complexity_index"), hurst_rs("_g").alias("hurst_exponent_estimate"), F.size("_s").alias("_n"))
     return out.withColumn("length_sequence_complexity", F.col("lz78_complexity_index") / F.col("_n")).drop("_n")
 
 

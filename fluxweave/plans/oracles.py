@@ -148,7 +148,15 @@ def oracle_sql() -> dict[str, str]:
         "length_corr": query(EVENTS, "x AS (SELECT *, lead(ts_us) OVER (PARTITION BY flow_id ORDER BY pkt_no) - ts_us AS gap FROM pk)", f"s AS (SELECT flow_id, {r('covar_pop(CAST(pkt_len AS DOUBLE), CAST(gap AS DOUBLE))/nullif(stddev_pop(pkt_len) FILTER (WHERE gap IS NOT NULL)*stddev_pop(gap),0)')} AS a, {r('covar_pop(CAST(pkt_len AS DOUBLE), CAST(direction AS DOUBLE))/nullif(stddev_pop(pkt_len)*stddev_pop(direction),0)')} AS b FROM x GROUP BY flow_id)", select="coalesce(a,0) AS length_iat_correlation, coalesce(b,0) AS length_direction_correlation", joins=("s",)),
         "direction_stats": query(TALKS, "x AS (SELECT *, lag(direction) OVER (PARTITION BY flow_id ORDER BY pkt_no) AS p FROM pk)", "s AS (SELECT flow_id, count(*) FILTER (WHERE direction=1) AS f, count(*) FILTER (WHERE direction=-1) AS b, count(*) AS n, count(*) FILTER (WHERE p<>direction) AS ch, count(DISTINCT CASE WHEN p IS NOT NULL THEN CAST(p>0 AS INT)*2+CAST(direction>0 AS INT) END) AS u FROM x GROUP BY flow_id)", select=f"CASE WHEN f>0 AND b>0 THEN {r('-(f/(f+b))*log2(f/(f+b))-(b/(f+b))*log2(b/(f+b))')} ELSE 0 END AS direction_sequence_entropy, CASE WHEN n>1 THEN {r('ch/(n-1)')} ELSE 0 END AS direction_change_frequency, u AS direction_transition_unique_count", joins=("s",)),
         "length_values": query(EVENTS, "mx AS (SELECT *, max(pkt_len) OVER (PARTITION BY flow_id) AS m FROM pk)", entropy("mx", "CASE WHEN m<4096 THEN pkt_len ELSE least(pkt_len,4095) END", "packet_length_entropy"), "q AS (SELECT flow_id, count(*) AS n, count(DISTINCT pkt_len) AS u, list_sort(list(CAST(pkt_len AS DOUBLE))) AS l FROM pk GROUP BY flow_id)", f"s AS (SELECT flow_id, {r('u/n')} AS length_sequence_unique_ratio, " + ", ".join(f"{'l[n]' if p == 100 else quantile(p, True)} AS packet_length_percentile_{p}" for p in (1, 5, 10, 90, 95, 99, 100)) + " FROM q)", select="* EXCLUDE (flow_id)", joins=("s", "en")),
-        "periodicity": query(*iat, "d AS (SELECT flow_id, pkt_no, CAST(iat AS DOUBLE) - avg(iat) OVER (PARTITION BY flow_id) AS e FROM g WHERE iat IS NOT NULL)", "dd AS (SELECT *, " + ", ".join(f"lead(e,{k}) OVER (PARTITION BY flow_id ORDER BY pkt_no) AS e{k}" for k in range(1, 6)) + " FROM d)", "a AS (SELECT flow_id, count(*) AS n, " + ", ".join(f"abs(sum(e*e{k})/sum(e*e)) AS r{k}" for k in range(1, 6)) + " FROM dd GROUP BY flow_id)", "s AS (SELECT flow_id, CASE WHEN n>6 AND r1>0 THEN greatest(r1,r2,r3,r4,r5)/r1 ELSE 0 END AS x FROM a)", select=f"coalesce({r('x', 3)},0) AS periodic_dominant_freq_ratio, CAST(coalesce(x,0)>1.5 AS BIGINT) AS has_strong_periodicity", joins=("s",)),
+        "hurst": query(*iat, "q AS (SELECT flow_id, CAST(iat AS DOUBLE) AS x, row_number() OVER (PARTITION BY flow_id ORDER BY pkt_no) - 1 AS i, count(*) OVER (PARTITION BY flow_id) AS n FROM g WHERE iat IS NOT NULL)",
+            "b AS (SELECT flow_id, x, i, n, s, i // s AS k FROM q, (SELECT CAST(8 * 2**e AS BIGINT) AS s FROM range(12) t(e)) WHERE s <= n // 2 AND i // s < n // s)",
+            "d AS (SELECT flow_id, i, n, s, k, x, x - avg(x) OVER (PARTITION BY flow_id, s, k) AS d FROM b)",
+            "w AS (SELECT flow_id, s, k, x, sum(d) OVER (PARTITION BY flow_id, s, k ORDER BY i) AS c FROM d)",
+            "z AS (SELECT flow_id, s, k, CASE WHEN stddev_samp(x) > 0 THEN (greatest(max(c),0) - least(min(c),0)) / stddev_samp(x) ELSE 0 END AS rs FROM w GROUP BY ALL)",
+            "p AS (SELECT flow_id, s, avg(rs) AS rs FROM z GROUP BY ALL)",
+            "h AS (SELECT flow_id, least(greatest(regr_slope(ln(rs), ln(s)), 0), 1.5) AS x FROM p WHERE rs > 0 GROUP BY flow_id HAVING count(*) > 1)",
+            select=f"coalesce({r('x')}, 0.5) AS hurst_exponent_estimate", joins=("h",)),
+        "periodicity": query(*iat, "d AS (SELECT flow_id, pkt_no, CAST(iat AS DOUBLE) - avg(iat) OVER (PARTITION BY flow_id) AS e FROM g WHERE iat IS NOT NULL)", "dd AS (SELECT *, " + ", ".join(f"lead(e,{k}) OVER (PARTITION BY flow_id ORDER BY pkt_no) AS e{k}" for k in range(1, 6)) + " FROM d)", "a AS (SELECT flow_id, count(*) AS n, " + ", ".join(f"abs(sum(e*e{k})/nullif(sum(e*e),0)) AS r{k}" for k in range(1, 6)) + " FROM dd GROUP BY flow_id)", "s AS (SELECT flow_id, CASE WHEN n>6 THEN greatest(r1,r2,r3,r4,r5)/CASE WHEN r1>1e-9 THEN r1 ELSE 1 END ELSE 0 END AS x FROM a)", select=f"coalesce({r('x', 3)},0) AS periodic_dominant_freq_ratio, CAST(coalesce(x,0)>1.5 AS BIGINT) AS has_strong_periodicity", joins=("s",)),
         "bigrams": query(EVENTS, "x AS (SELECT flow_id, pkt_no, CASE WHEN pkt_len<=64 THEN 0 WHEN pkt_len<=1200 THEN 1 ELSE 2 END AS c FROM pk)", "y AS (SELECT flow_id, lag(c,1,0) OVER (PARTITION BY flow_id ORDER BY pkt_no)*3+c AS p FROM x)", f"z AS (SELECT flow_id, list_sort([{', '.join(f'[-count(*) FILTER (WHERE p={k}), {k}]' for k in range(9))}]) AS l FROM y GROUP BY flow_id)", select=", ".join(bigram), joins=("z",)),
         "raw_sequences": query(*iat, "s AS (SELECT flow_id, string_agg(pkt_len, ',' ORDER BY pkt_no) AS packet_length_seq, coalesce(string_agg(iat, ',' ORDER BY pkt_no), '') AS packet_iat_seq, string_agg(direction, ',' ORDER BY pkt_no) AS packet_direction_seq, string_agg('0/0/0/' || payload_len || '/' || coalesce(iat,0), ',' ORDER BY pkt_no) AS l2l3l4pl_iat FROM g GROUP BY flow_id)", select="* EXCLUDE (flow_id)", joins=("s",)),
         "chunk_sequence": query(*iat, f"x AS (SELECT *, CAST(coalesce(direction <> lag(direction) OVER (PARTITION BY flow_id ORDER BY pkt_no) OR iat > {2 * HOUR6}, false) AS INT) AS nw FROM g)", "y AS (SELECT *, sum(nw) OVER (PARTITION BY flow_id ORDER BY pkt_no) AS ch FROM x)", "z AS (SELECT flow_id, ch, CAST(sum(pkt_len) AS BIGINT) AS b FROM y GROUP BY ALL)", "s AS (SELECT flow_id, string_agg(b, ',' ORDER BY ch) AS dl_chunk_seq, count(*) AS dl_chunk_seq_len FROM z GROUP BY flow_id)", select="* EXCLUDE (flow_id)", joins=("s",)),

@@ -108,6 +108,7 @@ QUERIES = {
     "direction_stats": ("talks", DAYS, S.sequence_stats, ["direction_sequence_entropy", "direction_change_frequency", "direction_transition_unique_count"], 4),
     "length_values": ("events", EVENTS, S.sequence_stats, ["length_sequence_unique_ratio", "packet_length_entropy", *[f"packet_length_percentile_{p}" for p in S.PERCENTILES]], 4),
     "complexity": ("events", EVENTS, S.sequence_stats, ["lz78_complexity_index", "length_sequence_complexity", "hurst_exponent_estimate"], 4),
+    "hurst": ("events", EVENTS, S.sequence_stats, ["hurst_exponent_estimate"], 4),
     "periodicity": ("events", EVENTS, S.sequence_stats, ["periodic_dominant_freq_ratio", "has_strong_periodicity"], 3),
     "bigrams": ("events", EVENTS, S.bigrams, None, 4),
     "raw_sequences": ("events", EVENTS, S.raw_sequences, None, 4),
