@@ -191,6 +191,25 @@ def test_lines_find_short_similar_lines(spark):
     assert sum(got[2 * n + 1] == "" for n in range(600)) >= 0.99 * 600
 
 
+def test_lines_find_long_similar_lines(spark):
+    """Pairs of 20 to 90 words, around the lengths where the way of signing changes, each of a similarity of 0.8 to 0.9."""
+    r = random.Random(9)
+    pairs = []
+    while len(pairs) < 400:
+        one = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(20, 91))]
+        other = list(one)
+        for _ in range(r.randrange(1, 5)):
+            other[r.randrange(len(other))] = r.choice(["new", "other words", "0", "changed"])
+        one, other = " ".join(one), " ".join(other)
+        x, y = ({t[n : n + 8] for n in range(len(t) - 7)} for t in (one, other))
+        if 90 * len(x | y) >= 100 * len(x & y) >= 80 * len(x | y):
+            pairs.append((one, other))
+    got = {x.doc_id: x.text for x in lines.dedup(docs(spark, [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p)])).collect()}
+    found = sum(got[2 * n + 1] == "" for n in range(400))
+    print("long lines found", found)
+    assert found >= 0.97 * 400
+
+
 def test_personal():
     text = "ö a.b@c.de, 10.0.0.1 1.2.3.456 +1 (743) 555-3824, 4111 1111 1111 1111; 4111 1111 1111 1112 x@y"
     assert [(personal.KINDS[k], text[s:e]) for s, k, e in personal.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "10.0.0.1"), ("phone", "+1 (743) 555-3824"), ("card", "4111 1111 1111 1111")]
