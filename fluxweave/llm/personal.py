@@ -30,8 +30,8 @@ EMBED, HIDDEN, EPOCHS, BATCH, RATE, N_TRAIN = 12, 16, 11, 64, 0.012, 3400
 TAGS = 1 + 2 * len(TAGGED)  # outside, then begin and inside of each kind
 #: By how much, in the logarithm of its likelihood, a span must be likelier than none.
 KEEP = 4.0
-#: Characters around those that may be in a span; windows whose emissions are made at once.
-AROUND, AT_ONCE = 8, 512
+#: Characters around those that may be in a span; windows whose emissions are made at once, so few that a product of matrices stays on one core.
+AROUND, AT_ONCE = 8, 128
 
 
 def luhn(digits: str) -> bool:
@@ -195,6 +195,35 @@ class Tagger:
     def _input(self, x: np.ndarray, way: str) -> np.ndarray:
         return (self.p["E"] @ self.p[way + "X"] + self.p[way + "c"])[x.T]
 
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """The same emissions by window, tag and character, with nothing kept for gradients: both ways run in step, and each gate of all windows is one block of memory."""
+        n, time = x.shape
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), HIDDEN)  # a sigmoid is half a tanh of the half, plus a half
+        w = np.stack([(np.concatenate([self.p[way + "H"], self.p[way + "X"], self.p[way + "c"][None]]) * half).T for way in "fb"])
+        signs, at = np.ascontiguousarray(self.p["E"].T), np.ascontiguousarray(x.T)
+        z, a = np.zeros((2, HIDDEN + EMBED + 1, n), np.float32), np.empty((2, 4 * HIDDEN, n), np.float32)
+        z[:, -1] = 1
+        h, s = z[:, :HIDDEN], a[:, : 3 * HIDDEN]
+        i, f, o, g = (a[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        c, tc, e = np.zeros((2, HIDDEN, n), np.float32), np.empty((2, HIDDEN, n), np.float32), np.empty((EMBED, n), np.float32)
+        out = np.empty((time, 2 * HIDDEN, n), np.float32)
+        for t in range(time):
+            for way, u in enumerate((t, time - 1 - t)):
+                z[way, HIDDEN:-1] = np.take(signs, at[u], axis=1, out=e, mode="clip")
+            np.matmul(w, z, out=a)
+            np.tanh(a, out=a)
+            s *= 0.5
+            s += 0.5
+            c *= f
+            i *= g
+            c += i
+            np.tanh(c, out=tc)
+            np.multiply(o, tc, out=h)
+            out[t, :HIDDEN] = h[0]
+            out[time - 1 - t, HIDDEN:] = h[1]
+        em = np.matmul(np.ascontiguousarray(self.p["O"].T), out)
+        return np.ascontiguousarray(em.transpose(2, 1, 0)) + self.p["b"][:, None]
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Negative log-likelihood of the tags y (windows by characters) under the CRF, and its gradients."""
         em, (e, s, kf, kb) = self.emissions(x, True)
@@ -272,11 +301,11 @@ class Tagger:
 
 
 def emitted(codes: list[np.ndarray], model: Tagger) -> list[np.ndarray]:
-    """Emissions of each text, characters by tags: every window is read; where windows overlap, their emissions are averaged, by the distance to the nearer end of each."""
-    out = [np.zeros((len(c), TAGS), np.float32) for c in codes]
-    weight = np.minimum(np.arange(READ) + 1, READ - np.arange(READ)).astype(np.float32)[:, None]
-    total = [np.zeros((len(c), 1), np.float32) for c in codes]
-    windows = [(n, a) for n, c in enumerate(codes) for a in range(0, max(len(c) - (READ - STEP), min(len(c), 1)), STEP)]
+    """Emissions of each text, tags by characters: every window is read; where two windows overlap, their emissions are averaged, by the distance to the nearer end of each."""
+    out = [np.zeros((TAGS, len(c)), np.float32) for c in codes]
+    both = READ - STEP
+    rising = (np.arange(1, both + 1) / (both + 1)).astype(np.float32)
+    windows = [(n, a) for n, c in enumerate(codes) for a in range(0, max(len(c) - both, min(len(c), 1)), STEP)]
     windows.sort(key=lambda w: min(READ, len(codes[w[0]]) - w[1]))
     for i in range(0, len(windows), AT_ONCE):
         some = windows[i : i + AT_ONCE]
@@ -284,12 +313,14 @@ def emitted(codes: list[np.ndarray], model: Tagger) -> list[np.ndarray]:
         x = np.zeros((len(some), max(map(len, parts))), np.int64)
         for row, part in zip(x, parts):
             row[: len(part)] = part
-        em = model.emissions(x)[0].transpose(1, 0, 2)
-        for (n, a), part, e in zip(some, parts, em):
+        for (n, a), part, e in zip(some, parts, model.read(x)):
             k = len(part)
-            out[n][a : a + k] += e[:k] * weight[:k]
-            total[n][a : a + k] += weight[:k]
-    return [e / w for e, w in zip(out, total)]
+            if a:
+                e[:, :both] *= rising
+            if a + k < len(codes[n]):
+                e[:, k - both : k] *= rising[::-1]
+            out[n][:, a : a + k] += e[:, :k]
+    return out
 
 
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
@@ -304,11 +335,11 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     em = emitted([symbols(t) for t in texts], model)
     parts = []
     for n, e in enumerate(em):
-        at = np.flatnonzero(e[:, 0] - e[:, 1:].max(1, initial=-np.inf) < need) if len(e) else np.zeros(0, np.int64)
+        at = np.flatnonzero(e[0] - e[1:].max(0) < need)
         if len(at):
             cut = np.flatnonzero(np.diff(at) > 2 * AROUND)
             for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]):
-                parts.append((n, max(int(a) - AROUND, 0), min(int(b) + AROUND + 1, len(e))))
+                parts.append((n, max(int(a) - AROUND, 0), min(int(b) + AROUND + 1, e.shape[1])))
     parts.sort(key=lambda x: x[2] - x[1])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i in range(0, len(parts), 256):
@@ -316,9 +347,9 @@ def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
         x = np.full((max(b - a for _, a, b in some), len(some), TAGS), -1e4, np.float32)
         x[:, :, 0] = 0
         for k, (n, a, b) in enumerate(some):
-            x[: b - a, k] = em[n][a:b]
+            x[: b - a, k] = em[n][:, a:b].T
         for (n, a, b), tags in zip(some, model.best(x).T):
-            out[n] += _spans(tags[: b - a], em[n][a:b], a, trans)
+            out[n] += _spans(tags[: b - a], em[n][:, a:b].T, a, trans)
     return [sorted(x) for x in out]
 
 

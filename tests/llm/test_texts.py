@@ -257,7 +257,9 @@ def test_personal_reads_every_window():
         hits += any(k == 0 and a >= len(before) - 2 and b <= len(before) + len(found) + 2 and b - a > len(found) // 2 for a, k, b in spans)
     assert hits >= 3
     texts = ["".join(t for t, _ in personal.labelled(40, 78))]
-    em = personal.emitted([personal.symbols(texts[0])], model)
+    em = [personal.emitted([personal.symbols(texts[0])], model)[0].T]
+    x = np.random.default_rng(2).integers(0, 128, (9, 50))
+    assert np.abs(model.read(x).transpose(2, 0, 1) - model.emissions(x)[0]).max() < 1e-2
     whole = personal._spans(model.best(em[0][:, None])[:, 0], em[0], 0, model.p["T"])
     assert personal.tagged(texts, model)[0] == whole
 
