@@ -17,8 +17,10 @@ DEGREE, MEMBERS = 32, 56
 REPORTED = 10
 #: First graph: random hyperplane tables and aimed-at rows of a bucket; a larger bucket is dealt out into several.
 TABLES, BUCKET = 8, 320
-#: Rounds of NN-descent; of a search, with the nodes that each round expands and the candidates that a query keeps.
-DESCENTS, ROUNDS, EXPANDED, BEAM = 4, 8, 24, 160
+#: NN-descent goes on until a round renews less than this share of the graph's links, however many rounds that takes.
+SETTLED = 0.02
+#: Nodes that a round of a search expands for each query, and candidates that a query keeps. A query's search ends when its CERTAIN best are expanded.
+EXPANDED, BEAM, CERTAIN = 24, 160, 96
 
 
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
@@ -129,7 +131,8 @@ def graph(vectors: DataFrame) -> DataFrame:
     first = dealt.groupBy("key", "block").agg(F.collect_list(member).alias("members"))
     rows = first.select("members").mapInArrow(_joined("members", REPORTED), "id long, other long, score float")
     now = saved(_kept(rows, DEGREE), "graph")
-    for round_ in range(DESCENTS):
+    renewed, round_ = 1.0, 0
+    while renewed >= SETTLED:
         edges = _edges(now)
         both = edges.select("id", "other").union(edges.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct()
         members = _limited(both, MEMBERS, round_)
@@ -137,10 +140,18 @@ def graph(vectors: DataFrame) -> DataFrame:
         info = points.withColumnRenamed("id", "other").join(worst, "other", "left").select("other", "vec", F.coalesce("least", lowest).alias("least"))
         met = members.join(info, "other").groupBy("id").agg(F.collect_list(F.struct(F.col("other").alias("id"), "vec", "least")).alias("members"))
         found = met.select("members").mapInArrow(_joined("members", REPORTED), "id long, other long, score float")
-        now = saved(_kept(found.union(edges.select("id", "other", "score")), DEGREE), "graph")
+        before, now = now, saved(_kept(found.union(edges.select("id", "other", "score")), DEGREE), "graph")
+        renewed, round_ = _renewed(before, now), round_ + 1
     return now
 
 
+def _renewed(before: DataFrame, now: DataFrame) -> float:
+    """The share of the links of a graph that an earlier one of the same nodes does not have. Links only get better, so it falls to 0."""
+    both = now.join(before.select("id", F.col("near").alias("was")), "id", "left").select(F.transform("near", lambda e: e.other).alias("near"), F.transform("was", lambda e: e.other).alias("was"))
+    new, all_ = both.agg(F.sum(F.size(F.array_except("near", F.coalesce("was", F.array().cast("array<long>"))))), F.sum(F.size("near"))).head()
+    return (new or 0) / max(all_ or 0, 1)
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 4096):
@@ -198,9 +209,10 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     start = asking.select(F.col("id").alias("query"), F.explode(F.concat(F.array("id"), F.array(*[F.lit(e).cast("long") for e in entry]) if entry else F.array().cast("array<long>"))).alias("other")).distinct()
     beam = saved(_beam(_dots(start, asking, points).withColumn("done", F.lit(False))), "beam")
-    for _ in range(ROUNDS):
+    open_ = F.exists(F.slice("beam", 1, CERTAIN), lambda e: ~e.done)
+    while not beam.where(open_).isEmpty():
         held = beam.select("query", F.explode("beam").alias("e")).select("query", F.col("e.other").alias("other"), (-F.col("e.away")).alias("score"), F.col("e.done").alias("done"))
-        front = beam.select("query", F.explode(F.slice(F.filter("beam", lambda e: ~e.done), 1, EXPANDED)).alias("e")).select("query", F.col("e.other").alias("id"))
+        front = beam.where(open_).select("query", F.explode(F.slice(F.filter("beam", lambda e: ~e.done), 1, EXPANDED)).alias("e")).select("query", F.col("e.other").alias("id"))
         new = front.join(links, "id").select("query", F.explode("others").alias("other")).distinct().join(held.select("query", "other"), ["query", "other"], "left_anti")
         marked = held.join(front.select("query", F.col("id").alias("other"), F.lit(True).alias("now")), ["query", "other"], "left").select("query", "other", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         beam = saved(_beam(marked.unionByName(_dots(new, asking, points).withColumn("done", F.lit(False)))), "beam")
