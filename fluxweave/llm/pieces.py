@@ -19,7 +19,7 @@ from .common import with_fields
 #: What the model's pieces have for a blank.
 BLANK = "▁"
 #: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it starts anew; chunks indexed at once.
-KEPT, INDEXED = 120_000, 60_000
+KEPT, INDEXED = 120_000, 15_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 _loaded: dict[str, Model] = {}
 
@@ -268,6 +268,21 @@ def model(path: str) -> Model:
     return _loaded[path]
 
 
+def _with_ids(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    texts = part.column("text").to_pylist()
+    ids, size = model(path).encode([t or "" for t in texts])
+    ptr = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    missing = pa.array([t is None for t in texts])
+    return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids, pa.int32()), mask=missing)], [*part.schema.names, "ids"])
+
+
+def _with_texts(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    column = part.column("ids")
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), [0 if x is None else x for x in column.value_lengths().to_pylist()]
+    texts = model(path).decode(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([*part.columns, pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())], pa.string())], [*part.schema.names, "decoded"])
+
+
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """documents with ids array<int>, the pieces of the text.
 
@@ -279,12 +294,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
-                texts = part.column("text").to_pylist()
-                ids, size = model(path).encode([t or "" for t in texts])
-                ptr = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                missing = pa.array([t is None for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ptr), pa.array(ids, pa.int32()), mask=missing)], [*part.schema.names, "ids"])
+                yield _with_ids(batch.slice(a, 512), path)
 
     return documents.mapInArrow(encoded, with_fields(documents.schema, ids="array<int>"))
 
@@ -296,10 +306,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 512):
-                part = batch.slice(a, 512)
-                column = part.column("ids")
-                flat, sizes = column.flatten().to_numpy(zero_copy_only=False), [0 if x is None else x for x in column.value_lengths().to_pylist()]
-                texts = model(path).decode(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())], pa.string())], [*part.schema.names, "decoded"])
+                yield _with_texts(batch.slice(a, 512), path)
 
     return encoded.mapInArrow(back, with_fields(encoded.schema, decoded="string"))
+
+
+def round_trip(documents: DataFrame, path: str) -> DataFrame:
+    """What decode makes of what encode makes, in one pass: one worker a task holds the model, not two."""
+    documents = documents.drop("ids", "decoded")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                yield _with_texts(_with_ids(batch.slice(a, 512), path), path)
+
+    return documents.mapInArrow(both, with_fields(documents.schema, ids="array<int>", decoded="string"))

@@ -70,7 +70,7 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    both = pieces.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     back = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
     return both.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), back.alias("round_trip"))
 

@@ -327,3 +327,4 @@ def test_pieces(spark):
     for x in both:
         assert x.ids == (None if x.text is None else sp.encode(x.text)) and x.decoded == (None if x.text is None else sp.decode(x.ids))
     assert pieces.encode(docs(spark, []), path).count() == 0
+    assert sorted(map(str, pieces.round_trip(docs(spark, rows, "ids decoded"), path).select(pieces.decode(pieces.encode(docs(spark, rows, "ids decoded"), path), path).columns).collect())) == sorted(map(str, both))
