@@ -40,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, the piece ids of the text, their number, and whether they decode to the text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.round_trip(docs, model)
     back = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
     return both.select("doc_id", "lang", "source", "n_chars", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), back.alias("round_trip"))
 
