@@ -170,5 +170,18 @@ def oracle_sql() -> dict[str, str]:
         "behavior_pattern": query(*iat, WINDOWS, f"a AS (SELECT flow_id, coalesce(sum(pkt_len) {fw},0) AS f, coalesce(sum(pkt_len) {bw},0) AS b, coalesce(stddev_samp(iat),0) AS sd, coalesce(avg(iat),0) AS mu FROM g GROUP BY flow_id)", f"pw AS (SELECT flow_id, {r('max(bytes)*8/86400')} AS peak_bitrate FROM w GROUP BY flow_id)", "t AS (SELECT *, CASE WHEN f=0 AND b=0 THEN 1 WHEN b=0 THEN CAST('Infinity' AS DOUBLE) ELSE f/b END AS x FROM a)", select=f"CASE WHEN b>0 OR f=0 THEN {r('x')} END AS flow_asymmetry_ratio, CASE WHEN x<0.5 THEN 'download_heavy' WHEN x>2 THEN 'upload_heavy' WHEN x BETWEEN 0.8 AND 1.25 THEN 'balanced' ELSE 'asymmetric' END AS flow_pattern, CAST(CASE WHEN mu=0 THEN true ELSE sd/mu<0.5 END AS BIGINT) AS has_regular_intervals, CAST(1 AS DOUBLE) AS protocol_tcp_ratio, CAST(0 AS DOUBLE) AS protocol_udp_ratio, CAST(0 AS DOUBLE) AS protocol_icmp_ratio, CAST(0 AS DOUBLE) AS protocol_other_ratio, peak_bitrate", joins=("t", "pw")),
         "behavior_bitrate": query(EVENTS, WINDOWS, "wr AS (SELECT flow_id, pkt_no, bytes*8/86400 AS rate, bytes/sum(bytes) OVER (PARTITION BY flow_id) AS sh FROM w)", nine("wr", "rate", "instant_bitrate", False), f"q AS (SELECT flow_id, count(*) AS n, list_sort(list(rate)) AS l, {r('avg(CASE WHEN sh>0 THEN -sh*log2(sh) ELSE 0 END)')} AS traffic_entropy_ts_mean, {r('max(CASE WHEN sh>0 THEN -sh*log2(sh) ELSE 0 END)')} AS traffic_entropy_ts_peak FROM wr GROUP BY flow_id)", "z AS (SELECT flow_id, traffic_entropy_ts_mean, traffic_entropy_ts_peak, " + ", ".join(f"{r(quantile(p, False))} AS bitrate_percentile_{p}" for p in (25, 50, 75, 90)) + " FROM q)", select=f"{cols('instant_bitrate')}, z.* EXCLUDE (flow_id)", joins=("instant_bitrate_s", "z")),
         "sni_join": "SELECT page_id AS flow_id, greatest(CAST(ceil(octet_length(encode(html))/1460) AS BIGINT), 1) AS total_packets, nullif(substr(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), 1, 127), '') AS sni FROM pages",
+        "payload_entropy": query(TALKS, BYTES,
+            "c1 AS (SELECT flow_id, pkt_no, v, CAST(count(*) AS DOUBLE) AS c FROM b GROUP BY ALL), c2 AS (SELECT *, sum(c) OVER (PARTITION BY flow_id, pkt_no) AS t FROM c1), e1 AS (SELECT flow_id, pkt_no, -sum(c/t*log2(c/t)) AS e FROM c2 GROUP BY ALL)",
+            "nx AS (SELECT flow_id, pkt_no, i, v, lead(v) OVER (PARTITION BY flow_id, pkt_no ORDER BY i) AS u, v - avg(v) OVER (PARTITION BY flow_id, pkt_no) AS d FROM b), nd AS (SELECT *, lead(d) OVER (PARTITION BY flow_id, pkt_no ORDER BY i) AS d1 FROM nx)",
+            "m1 AS (SELECT flow_id, pkt_no, v, u, CAST(count(*) AS DOUBLE) AS c FROM nx WHERE u IS NOT NULL GROUP BY ALL), m2 AS (SELECT *, sum(c) OVER (PARTITION BY flow_id, pkt_no, v) AS t, sum(c) OVER (PARTITION BY flow_id, pkt_no) AS a FROM m1), mk AS (SELECT flow_id, pkt_no, -sum(c/a*log2(c/t)) AS m FROM m2 GROUP BY ALL)",
+            "au AS (SELECT flow_id, pkt_no, CASE WHEN sum(d*d) FILTER (WHERE d1 IS NOT NULL) > 0 THEN sum(d*d1)/sum(d*d) FILTER (WHERE d1 IS NOT NULL) ELSE 0 END AS a FROM nd GROUP BY ALL HAVING count(*) > 1)",
+            f"p AS (SELECT flow_id, {r('avg(e)')} AS payload_entropy, {r('avg(coalesce(m,0))')} AS payload_markov_entropy, {r('coalesce(avg(a),0)')} AS payload_autocorrelation_lag1 FROM e1 LEFT JOIN mk USING (flow_id, pkt_no) LEFT JOIN au USING (flow_id, pkt_no) GROUP BY flow_id)",
+            "o AS (SELECT flow_id, v, row_number() OVER (PARTITION BY flow_id ORDER BY pkt_no, i) AS place FROM b)",
+            *[f"h{k} AS (SELECT flow_id, v, CAST(count(*) AS DOUBLE) AS c FROM o WHERE place <= {k} GROUP BY ALL), g{k} AS (SELECT *, sum(c) OVER (PARTITION BY flow_id) AS t FROM h{k}), f{k} AS (SELECT flow_id, {r('-sum(c/t*log2(c/t))')} AS payload_first_{k}_entropy FROM g{k} GROUP BY flow_id)" for k in (128, 256)],
+            select="* EXCLUDE (flow_id)", joins=("p", "f128", "f256")),
+        "rate_text": query(EVENTS, f"x AS (SELECT flow_id, direction, pkt_len, (ts_us - min(ts_us) OVER (PARTITION BY flow_id))//{DAY} AS k FROM pk)", "y AS (SELECT flow_id, k, coalesce(sum(pkt_len) FILTER (WHERE direction=1),0)*8/86400 AS up, coalesce(sum(pkt_len) FILTER (WHERE direction=-1),0)*8/86400 AS down FROM x GROUP BY ALL)",
+            "z AS (SELECT flow_id, unnest(range(0, max(k)+1)) AS k FROM x GROUP BY flow_id)",
+            "s AS (SELECT flow_id, string_agg(format('{:g}', CAST(coalesce(up,0) AS DOUBLE)), ',' ORDER BY k) AS uplink_rate_seq, string_agg(format('{:g}', CAST(coalesce(down,0) AS DOUBLE)), ',' ORDER BY k) AS downlink_rate_seq, count(*) AS uplink_rate_seq_len, count(*) AS downlink_rate_seq_len FROM z LEFT JOIN y USING (flow_id, k) GROUP BY flow_id)",
+            select="* EXCLUDE (flow_id)", joins=("s",)),
     }
     return sql
