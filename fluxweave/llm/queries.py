@@ -19,40 +19,48 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; null and empty texts have one too, a repeated row repeats its result."""
     scored = quality.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", held("doc_id", quality.FOLDS, quality.HELD).alias("held_out"), "score", "predicted")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document; a null text counts as empty and has none."""
     return licenses.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document; null texts and texts without words have none."""
     found = decontamination.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0), lambda total, s: total + s.end - s.start).cast("long")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back; a null text is empty and has the end id alone."""
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     tokens.write(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; null and empty texts have one too, a repeated row repeats its result."""
     scored = toxicity.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", held("doc_id", toxicity.FOLDS, toxicity.HELD).alias("held_out"), "score", "predicted")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by their word shingles; a document without words is linked with nothing."""
     return jaccard.join(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector; vectors without a direction take no part."""
     return neighbours.search(_read(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its duplicate lines; the first of each group of similar lines stays."""
     return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -62,6 +70,7 @@ def _written(spans: str) -> Column:
 
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; a null text counts as empty and has none."""
     found = personal.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s.kind)
     counts = [F.size(F.filter(kinds, (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{k}") for k in personal.KINDS]
@@ -69,6 +78,7 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to its text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     both = pieces.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     back = F.col("decoded").eqNullSafe(F.replace("text", F.lit(pieces.BLANK), F.lit(" ")))
