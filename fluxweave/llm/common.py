@@ -117,26 +117,47 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return _POWERS[kind][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows' words in order: hashes, first and past-last byte (from the first row's start), and each row's first word."""
+def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows' words in order: first and past-last byte (from the first row's start), and each row's first word."""
     base = int(offsets[0])
-    raw = LOWER[data[base : int(offsets[-1])]]
     rows = offsets - base
-    mask = is_word[raw]
-    first = np.zeros(len(raw) + 1, bool)
+    mask = is_word[data[base : int(offsets[-1])]]
+    first = np.zeros(len(mask) + 1, bool)
     first[rows] = True
-    before = np.empty(len(raw), bool)
+    before = np.empty(len(mask), bool)
     before[:1] = False
     before[1:] = mask[:-1]
     starts = np.flatnonzero(mask & (~before | first[:-1]))
-    after = np.empty(len(raw), bool)
+    after = np.empty(len(mask), bool)
     after[-1:] = False
     after[:-1] = mask[1:]
     ends = np.flatnonzero(mask & (~after | first[1:])) + 1
+    return starts, ends, np.searchsorted(starts, rows)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows' words in order, A-Z lower-cased: hashes, first and past-last byte (from the first row's start), and each row's first word."""
+    starts, ends, ptr = spans(data, offsets, is_word)
+    raw = LOWER[data[int(offsets[0]) : int(offsets[-1])]]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("up", len(raw)), out=total[1:])
     hashes = (total[ends] - total[starts]) * _powers("down", len(raw) + 1)[starts]
-    return mixed(hashes ^ (ends - starts).astype(np.uint64)), starts, ends, np.searchsorted(starts, rows)
+    return mixed(hashes ^ (ends - starts).astype(np.uint64)), starts, ends, ptr
+
+
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each count, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal bytes and for those alone."""
+    size = ends - starts
+    data = raw[np.repeat(starts, size) + ramp(size)]
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    every = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return every.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def grams(hashes: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

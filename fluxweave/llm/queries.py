@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, licenses, lines, neighbours, personal, pieces, quality, tokens, toxicity
-from .common import held, shared_dir
+from . import collocations, decontamination, jaccard, licenses, lines, neighbours, personal, pieces, quality, runs, tokens, toxicity
+from .common import SPACE_WORD, held, shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,10 +85,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_ids"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), back.alias("round_trip"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language; null texts have no words, a null language is und."""
+    return collocations.mine(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def repeating(documents: DataFrame) -> DataFrame:
+    """doc_id and text of documents, in which a tenth, by the id's hash, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, a = F.size("w"), F.col("a")
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({SPACE_WORD})"), 1)).alias("w"))
+    rows = rows.select("doc_id", "text", "w", F.floor(F.col("h") / 10).alias("g"), F.when(n > 0, F.floor(F.col("h") / 10) % n).alias("a"))
+    rows = rows.select("doc_id", "text", "w", "a", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).alias("p"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, of which a tenth is made to repeat itself; a null text counts as empty and has none."""
+    found = runs.find(repeating(_read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    whole = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(whole, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best")["length"], -F.col("best")["col3"]
+    return rows.select("doc_id", "n_runs", (-F.col("best")["col2"]).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length DIV -best.col3").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    single = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal, op10_sentencepiece)}
+    single = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal, op10_sentencepiece, op11_collocations, op12_runs)}
     return {**single, "pipeline": corpus_pipeline.run}
 
 
@@ -103,6 +129,15 @@ def oracle_sql() -> dict[str, str]:
  o AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.k=bw.k AND dw.win=bw.win), p AS (SELECT doc_id, unnest(range(i,i+k)) AS place FROM o), h AS (SELECT doc_id, count(DISTINCT place) AS n FROM p GROUP BY doc_id),
  t AS (SELECT doc_id, count(DISTINCT item_id) AS n, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS l FROM o GROUP BY doc_id)
  SELECT d.doc_id, len(w) AS n_words, coalesce(h.n,0) AS n_hit, coalesce(t.n,0) AS n_items, sha256(coalesce(array_to_string(l,','),'')) AS items_sha256, coalesce(h.n,0)>0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+        "op11_collocations": f"""WITH p AS (SELECT coalesce(lang,'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents), w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+ g AS (SELECT lang, k, unnest([array_to_string(w[i:i+k-1],' ') FOR i IN range(1, len(w)-k+2)]) AS phrase FROM w, (SELECT unnest([1,2,3,4]) AS k)), f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+ n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase,' ') AS w FROM f WHERE k>1 AND f>=30),
+ keyed AS (SELECT concat(lang,chr(9),phrase) AS id, f FROM f), cut AS (SELECT c.*, cut, concat(lang,chr(9),array_to_string(w[1:cut],' ')) AS first, concat(lang,chr(9),array_to_string(w[cut+1:],' ')) AS rest FROM c, (SELECT unnest([1,2,3]) AS cut) WHERE cut<c.k),
+ s AS (SELECT x.lang, x.phrase, x.a, x.cut, y.f AS l, z.f AS r, x.a*2000000//(y.f+z.f) AS score FROM cut x JOIN keyed y ON y.id=x.first JOIN keyed z ON z.id=x.rest),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut)=1),
+ sub AS (SELECT lang, a AS longer, array_to_string(w[i:i+m-1],' ') AS phrase FROM c, (SELECT unnest([1,2,3]) AS i), (SELECT unnest([2,3]) AS m) WHERE m<c.k AND i+m-1<=c.k), h AS (SELECT lang, phrase, max(longer) AS longer FROM sub GROUP BY ALL),
+ kept AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100*longer<80*a), t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t JOIN n USING (lang) WHERE rank<=2000""",
         "op6_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {space} AS w FROM documents), di AS (SELECT doc_id, w, unnest(range(1, greatest(len(w)-2,1)+1)) AS i FROM d WHERE len(w)>0),
  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2],' ') AS g FROM di), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
  both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g=y.g AND x.doc_id<>y.doc_id GROUP BY ALL),
