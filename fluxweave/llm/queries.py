@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontamination, jaccard, licenses, lines, neighbours, personal, pieces, quality, runs, tokens, toxicity
+from . import collocations, decontamination, jaccard, licenses, lines, neighbours, packing, personal, pieces, quality, runs, tokens, toxicity
 from .common import SPACE_WORD, held, shared_dir
 
 
@@ -111,10 +111,17 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", (-F.col("best")["col2"]).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length DIV -best.col3").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1,024 ids, a row a piece; a null text is empty and has the end id alone."""
+    packed = packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces_of = packed.select("sequence_id", F.inline("pieces"))
+    return pieces_of.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    single = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal, op10_sentencepiece, op11_collocations, op12_runs)}
+    single = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontamination, op4_tokens, op5_toxicity, op6_jaccard, op7_neighbours, op8_lines, op9_personal, op10_sentencepiece, op11_collocations, op12_runs, op13_packing)}
     return {**single, "pipeline": corpus_pipeline.run}
 
 
