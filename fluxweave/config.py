@@ -37,6 +37,7 @@ class FlowConfig:
     rate_bin_us: int = 50_000
     max_windows: int = 100
     max_sequence: int = 5000
+    segment: int = 1 << 16  # packets of a flow that are dealt out together
     off: frozenset[str] = field(default_factory=frozenset)
 
     def on(self, group: str) -> bool:

@@ -2,127 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-def of_flow() -> WindowSpec:
-    return Window.partitionBy("flow_id")
-
-
-def in_order() -> WindowSpec:
-    return of_flow().orderBy("pkt_no")
-
-
-def so_far() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+from .recipe import Recipe
 
+NINE = ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")
 
-def before_it() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, -1)
 
+def whole(value: Column, integer: bool) -> Column:
+    return F.floor(value).cast("double") if integer else value
 
-NINE = ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")
 
+def flag(condition: Column) -> Column:
+    return condition.cast("int")
 
-def col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
 
+class Stats:
+    """The nine statistics of a value over a flow's packets (or cells) where it is not null.
 
-def quantile(a: Column, p: float, integer: bool) -> Column:
-    """Of a sorted array, interpolated between neighbours; of integers cut to one."""
-    n = F.size(a)
-    i = F.lit(float(p)) / 100 * (n - 1)
-    lo = F.floor(i).cast("int")
-    f = i - lo
-    at = lambda k: F.get(a, k).cast("double")
-    value = at(lo) * (1 - f) + at(F.least(lo + 1, n - 1)) * f
-    return F.when(n > 0, F.floor(value) if integer else value).cast("double")
+    Quantiles are read from counts by value, which combine before the shuffle; no flow is gathered in an array.
+    """
 
+    def __init__(self, r: Recipe, prefix: str, x: Column, integer: bool, cells: bool = False):
+        x, a, add = x.cast("double"), f"_{prefix}", r.cell_agg if cells else r.agg
+        self.prefix, self.integer = prefix, integer
+        self.n, self.mean, self.lo, self.hi = add(a + "_n", F.count(x)), add(a + "_avg", F.avg(x)), add(a + "_lo", F.min(x)), add(a + "_hi", F.max(x))
+        self.deviation, self.ranks = add(a + "_sd", F.stddev_samp(x)), add(a + "_p", F.percentile(x, [0.25, 0.5, 0.75]))
+        self.add, self.a, self.x = add, a, x
 
-def median(a: Column, integer: bool) -> Column:
-    n = F.size(a)
-    value = (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))).cast("double") / 2
-    return F.when(n > 0, F.floor(value) if integer else value).cast("double")
+    def sd(self) -> Column:
+        return F.coalesce(self.deviation, F.lit(0.0))
 
+    def moments(self) -> tuple[Column, Column]:
+        n, sd = self.n, self.sd()
+        skewness, kurtosis = self.add(self.a + "_sk", F.skewness(self.x)), self.add(self.a + "_ku", F.kurtosis(self.x))
+        share = (n - 1) / n
+        return F.when((n < 3) | (sd == 0), 0.0).otherwise(skewness * F.pow(share, F.lit(1.5))), F.when((n < 4) | (sd == 0), 0.0).otherwise((kurtosis + 3) * F.pow(share, F.lit(2.0)) - 3)
 
-class Stats:
-    """The nine statistics of a value over a flow's rows where it is not null: aggregates, then columns made of them."""
-
-    def __init__(self, prefix: str, x: Column | str, integer: bool):
-        x, a = col(x).cast("double"), f"_{prefix}"
-        self.prefix, self.integer, self.a = prefix, integer, a
-        self.aggregates = [F.count(x).alias(a + "_n"), F.avg(x).alias(a + "_avg"), F.stddev_samp(x).alias(a + "_sd"), F.min(x).alias(a + "_lo"), F.max(x).alias(a + "_hi"), F.skewness(x).alias(a + "_sk"), F.kurtosis(x).alias(a + "_ku"), F.sort_array(F.collect_list(col(x))).alias(a + "_all")]
-
-    def columns(self) -> list[Column]:
-        a, n, p = self.a, F.col(self.a + "_n"), self.prefix
-        some = lambda value: F.when(n > 0, value)
-        flat, share, sd = F.coalesce(F.col(a + "_sd"), F.lit(0.0)) == 0, (n - 1) / n, F.coalesce(F.col(a + "_sd"), F.lit(0.0))
-        skew = F.when((n < 3) | flat, 0.0).otherwise(F.col(a + "_sk") * F.pow(share, F.lit(1.5)))
-        kurt = F.when((n < 4) | flat, 0.0).otherwise((F.col(a + "_ku") + 3) * F.pow(share, F.lit(2.0)) - 3)
-        every = F.col(a + "_all")
-        values = (F.col(a + "_avg"), some(sd), F.col(a + "_lo"), F.col(a + "_hi"), median(every, self.integer), quantile(every, 25, self.integer), quantile(every, 75, self.integer), some(skew), some(kurt))
-        return [v.alias(f"{p}_{s}") for v, s in zip(values, NINE)]
+    def columns(self) -> dict[str, Column]:
+        some = lambda value: F.when(F.coalesce(self.n, F.lit(0)) > 0, value)
+        q1, median, q3 = (whole(F.get(self.ranks, F.lit(k)), self.integer) for k in range(3))
+        skew, kurt = self.moments()
+        return {f"{self.prefix}_{s}": v for s, v in zip(NINE, (self.mean, some(self.sd()), self.lo, self.hi, median, q1, q3, some(skew), some(kurt)))}
 
     def cv(self) -> Column:
-        a = self.a
-        return F.when(F.col(a + "_n") > 0, F.when(F.col(a + "_avg") == 0, 0.0).otherwise(F.coalesce(F.col(a + "_sd"), F.lit(0.0)) / F.col(a + "_avg"))).alias(f"{self.prefix}_cv")
+        return F.when(self.n > 0, F.when(self.mean == 0, 0.0).otherwise(self.sd() / self.mean))
 
 
 class RunningStats(Stats):
-    """The same with third and fourth moments by a recurrence that depends on the order of the rows (terms from running_terms)."""
-
-    def __init__(self, prefix: str, x: Column | str, integer: bool):
-        super().__init__(prefix, x, integer)
-        self.aggregates += [F.var_samp(col(x).cast("double")).alias(self.a + "_var"), F.sum(f"_t3_{prefix}").alias(self.a + "_t3"), F.sum(f"_t4_{prefix}").alias(self.a + "_t4")]
-
-    def columns(self) -> list[Column]:
-        a, n = self.a, F.col(self.a + "_n")
-        v = F.coalesce(F.col(a + "_var"), F.lit(0.0))
-        skew = F.when(n > 0, F.when((n < 3) | (v == 0), 0.0).otherwise(F.col(a + "_t3") / n / F.pow(v, F.lit(1.5))))
-        kurt = F.when(n > 0, F.when((n < 4) | (v == 0), 0.0).otherwise(F.col(a + "_t4") / n / F.pow(v, F.lit(2.0)) - 3))
-        return super().columns()[:7] + [skew.alias(f"{self.prefix}_skew"), kurt.alias(f"{self.prefix}_kurt")]
-
-
-def running_terms(df: DataFrame, **values: Column | str) -> DataFrame:
-    """df with the terms of the recurrence for each value, over the rows where it is not null, in the order of pkt_no."""
-    for name, x in values.items():
-        x = col(x).cast("double")
-        df = df.withColumns({"_x": x, "_k": F.count(x).over(so_far()).cast("double"), "_m1": F.avg(x).over(so_far()), "_m0": F.coalesce(F.avg(x).over(before_it()), F.lit(0.0))})
-        d, d2, k = F.col("_x") - F.col("_m0"), F.col("_x") - F.col("_m1"), F.col("_k")
-        t3 = d * d2 * d2 * (1 - 3 / k)
-        t4 = d * F.pow(d2, F.lit(3.0)) - 4 * d * d * d2 * d2 / k + 6 * F.pow(d2, F.lit(3.0)) / (k * k)
-        df = df.withColumns({f"_t3_{name}": F.when(F.col("_x").isNotNull(), t3), f"_t4_{name}": F.when(F.col("_x").isNotNull(), t4)}).drop("_x", "_k", "_m1", "_m0")
-    return df
-
-
-def summarized(df: DataFrame, stats: list[Stats], more: list[Column] = (), then: list[Column | str] = ()) -> DataFrame:
-    """One row for each flow: the statistics, and columns (then) of further aggregates (more)."""
-    out = df.groupBy("flow_id").agg(*[a for s in stats for a in s.aggregates], *more) if stats or more else df.select("flow_id").distinct()
-    return out.select("flow_id", *[c for s in stats for c in s.columns()], *then)
-
-
-def entropy(df: DataFrame, value: Column | str, name: str) -> DataFrame:
-    """flow_id and the Shannon entropy (bits) of a value's counts over the flow's rows where it is not null."""
-    counts = df.select("flow_id", col(value).alias("_v")).where("_v IS NOT NULL").groupBy("flow_id", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    both = counts.groupBy("flow_id").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_s"))
-    return both.select("flow_id", (F.log2("_n") - F.col("_s") / F.col("_n")).alias(name))
-
-
-def autocorrelations(df: DataFrame, value: str, prefix: str, lags=(1, 2, 3, 4, 5), least: int | None = None) -> DataFrame:
-    """flow_id and prefix_1.. of the lags: products with the value so many rows on, over the squares of the rows that have one."""
-    d = df.where(F.col(value).isNotNull()).select("flow_id", "pkt_no", (F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(of_flow())).alias("_d"))
-    ahead = d.withColumns({f"_d{k}": F.lead("_d", k).over(in_order()) for k in lags})
-    n = F.count(F.lit(1))
-    parts = []
-    for k in lags:
-        above, below = F.sum(F.col("_d") * F.col(f"_d{k}")), F.sum(F.when(F.col(f"_d{k}").isNotNull(), F.col("_d") * F.col("_d")))
-        parts.append(F.when((n > (least if least is not None else k)) & (below > 0), above / below).otherwise(0.0).alias(f"{prefix}_{k}"))
-    return ahead.groupBy("flow_id").agg(*parts)
-
-
-def joined(first: DataFrame, *more: DataFrame) -> DataFrame:
-    """Feature groups side by side; all are dealt out by flow_id, so nothing moves again."""
-    for m in more:
-        first = first.join(m, "flow_id", "left")
-    return first
+    """The same with third and fourth moments by a recurrence that depends on the order of the packets."""
+
+    def __init__(self, r: Recipe, prefix: str, x: Column, integer: bool):
+        super().__init__(r, prefix, x, integer)
+        x = x.cast("double")
+        k, s = r.so_far(f"_k_{prefix}", x.isNotNull().cast("long")), r.so_far(f"_s_{prefix}", x)
+        before, k = F.when(k > 1, (s - x) / (k - 1)).otherwise(0.0), F.nullif(k, F.lit(0))
+        d, d2 = r.column(f"_d_{prefix}", x - before, 1), r.column(f"_e_{prefix}", x - s / k, 1)
+        self.t3 = r.agg(self.a + "_t3", F.sum(d * d2 * d2 * (1 - 3 / k)))
+        self.t4 = r.agg(self.a + "_t4", F.sum(d * d2 * d2 * d2 - 4 * d * d * d2 * d2 / k + 6 * d2 * d2 * d2 / (k * k)))
+
+    def moments(self) -> tuple[Column, Column]:
+        n, v = self.n, self.sd() * self.sd()
+        return F.when((n < 3) | (v == 0), 0.0).otherwise(self.t3 / n / F.pow(v, F.lit(1.5))), F.when((n < 4) | (v == 0), 0.0).otherwise(self.t4 / n / F.pow(v, F.lit(2.0)) - 3)
+
+
+def entropy(r: Recipe, grain: str, name: str) -> Column:
+    """Shannon entropy (bits) of the counts n of a grain's cells."""
+    n = F.when(F.col("grain") == grain, F.col("n"))
+    total, terms = r.cell_agg(f"_n_{name}", F.sum(n)), r.cell_agg(f"_t_{name}", F.sum(n * F.log2(n)))
+    return F.log2(total) - terms / total
+
+
+class Lagged:
+    """Sums of products of a value with that of so many packets before, less a constant near it; means come off afterwards."""
+
+    def __init__(self, r: Recipe, prefix: str, x: Column, before: dict[int, Column]):
+        """before: the value so many packets before, null where there is none."""
+        total = lambda name, v: r.agg(f"_{prefix}_{name}", F.coalesce(F.sum(v.cast("double")), F.lit(0.0)))
+        self.n, self.s, self.s2 = r.agg(f"_{prefix}_n", F.count(x)), total("s", x), total("s2", x.cast("double") * x)
+        self.mean = F.when(self.n > 0, self.s / self.n)
+        self.parts = {}
+        for k, y in before.items():
+            x_, y_ = F.when(y.isNotNull(), x).cast("double"), F.when(x.isNotNull(), y).cast("double")
+            self.parts[k] = (r.agg(f"_{prefix}_c{k}", F.count(y_ * x_)), total(f"x{k}", x_), total(f"y{k}", y_), total(f"xy{k}", x_ * y_), total(f"yy{k}", y_ * y_))
+
+    def products(self, k: int) -> Column:
+        c, x, y, xy, _ = self.parts[k]
+        return xy - self.mean * (x + y) + c * self.mean * self.mean
+
+    def squares(self, k: int | None = None) -> Column:
+        """Of all values, or of those that have one k packets later."""
+        c, y, yy = (self.n, self.s, self.s2) if k is None else (self.parts[k][0], self.parts[k][2], self.parts[k][4])
+        return yy - 2 * self.mean * y + c * self.mean * self.mean
+
+    def correlations(self, name: str, least: int | None = None) -> dict[str, Column]:
+        """name_1.. of the lags; 0 for up to least values (as many as the lag by default)."""
+        return {f"{name}_{k}": F.when((self.n > (k if least is None else least)) & (self.squares(k) > 0), self.products(k) / self.squares(k)).otherwise(0.0) for k in self.parts}

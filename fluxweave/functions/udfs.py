@@ -16,46 +16,66 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-@F.pandas_udf(T.StructType([*[T.StructField(n, T.DoubleType()) for n in ("entropy", "markov", "autocorr", "zlib")], T.StructField("printable", T.LongType()), T.StructField("alnum", T.LongType()), T.StructField("hist", T.ArrayType(T.LongType()))]))
-def byte_stats(payloads: pd.Series) -> pd.DataFrame:
+def _bits(counts: np.ndarray) -> float:
+    """Sum of c * log2(c)."""
+    c = counts[counts > 0]
+    return float((c * np.log2(c)).sum())
+
+
+def _numbers(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def byte_counts(payloads: pd.Series) -> pd.Series:
+    """How often each byte comes; null for no bytes."""
+    return payloads.map(lambda p: np.bincount(np.frombuffer(p, np.uint8), minlength=256) if p else None)
+
+
+@F.pandas_udf(_numbers("entropy", "markov", "autocorr"))
+def byte_order(payloads: pd.Series) -> pd.DataFrame:
+    """Entropy of the bytes and of each byte given the one before, and their autocorrelation at lag 1; null for no bytes."""
     rows = []
     for p in payloads:
         if not p:
-            rows.append((None,) * 7)
+            rows.append((None,) * 3)
             continue
-        x = np.frombuffer(p, np.uint8)
-        hist = np.bincount(x, minlength=256)
-        markov = auto = 0.0
+        x, markov, auto = np.frombuffer(p, np.uint8), 0.0, None
         if len(x) > 1:
-            pairs = np.bincount(x[:-1].astype(np.int64) * 256 + x[1:], minlength=65536).reshape(256, 256)
-            totals = pairs.sum(1)
-            for t in np.flatnonzero(totals):
-                markov += totals[t] / (len(x) - 1) * _entropy(pairs[t])
+            pairs = np.unique(x[:-1].astype(np.int32) * 256 + x[1:], return_counts=True)[1]
+            markov = (_bits(np.bincount(x[:-1])) - _bits(pairs)) / (len(x) - 1)
             d = x - x.mean()
             below = (d[:-1] ** 2).sum()
             auto = float((d[:-1] * d[1:]).sum() / below) if below > 0 else 0.0
-        rows.append((_entropy(hist), float(markov), auto if len(x) > 1 else None, len(zlib.compress(p)) / len(p), int(((x >= 32) & (x <= 126)).sum()), int((((x >= 48) & (x <= 57)) | ((x >= 65) & (x <= 90)) | ((x >= 97) & (x <= 122))).sum()), hist.tolist()))
-    return pd.DataFrame(rows, columns=["entropy", "markov", "autocorr", "zlib", "printable", "alnum", "hist"])
+        rows.append((_entropy(np.bincount(x)), max(markov, 0.0), auto))
+    return pd.DataFrame(rows, columns=["entropy", "markov", "autocorr"])
+
+
+@F.pandas_udf(T.DoubleType())
+def compressed_share(payloads: pd.Series) -> pd.Series:
+    """Size by zlib over size; null for no bytes."""
+    return payloads.map(lambda p: len(zlib.compress(p)) / len(p) if p else None)
 
 
 @F.pandas_udf(T.DoubleType())
 def byte_entropy(payloads: pd.Series) -> pd.Series:
-    return payloads.map(lambda p: _entropy(np.bincount(np.frombuffer(p, np.uint8), minlength=256)) if p else 0.0)
+    return payloads.map(lambda p: None if p is None else _entropy(np.bincount(np.frombuffer(p, np.uint8))) if p else 0.0)
 
 
-@F.pandas_udf(T.StructType([T.StructField("skew", T.DoubleType()), T.StructField("kurt", T.DoubleType())]))
-def byte_moments(rows: pd.Series) -> pd.DataFrame:
-    """Skewness and kurtosis of all bytes of some payloads, in their order, by the recurrence."""
-    out = []
-    for parts in rows:
-        x = np.frombuffer(b"".join(p for p in parts if p), np.uint8).astype(float)
-        n, k = len(x), np.arange(1, len(x) + 1)
-        m1 = np.cumsum(x) / np.maximum(k, 1)
-        d, d2 = x - np.concatenate([[0.0], m1[:-1]])[: len(x)], x - m1
-        v = x.var(ddof=1) if n > 1 else 0.0
-        skew = 0.0 if n < 3 or v == 0 else (d * d2 * d2 * (1 - 3 / k)).sum() / n / v**1.5
-        out.append((skew, 0.0 if n < 4 or v == 0 else (d * d2**3 - 4 * d * d * d2 * d2 / k + 6 * d2**3 / (k * k)).sum() / n / v**2 - 3))
-    return pd.DataFrame(out, columns=["skew", "kurt"])
+@F.pandas_udf(_numbers("t3", "t4"))
+def byte_terms(payloads: pd.Series, before: pd.Series, sums: pd.Series) -> pd.DataFrame:
+    """What a payload's bytes add to third and fourth moments by the recurrence, after so many bytes with such a sum."""
+    rows = []
+    for p, n, s in zip(payloads, before, sums):
+        if not p:
+            rows.append((None, None))
+            continue
+        x = np.frombuffer(p, np.uint8).astype(float)
+        k = n + np.arange(1, len(x) + 1)
+        total = s + np.cumsum(x)
+        d, d2 = x - np.divide(total - x, k - 1, out=np.zeros(len(x)), where=k > 1), x - total / k
+        rows.append(((d * d2 * d2 * (1 - 3 / k)).sum(), (d * d2**3 - 4 * d * d * d2 * d2 / k + 6 * d2**3 / (k * k)).sum()))
+    return pd.DataFrame(rows, columns=["t3", "t4"])
 
 
 @F.pandas_udf(T.LongType())
@@ -137,5 +157,5 @@ def spectrum(values: pd.Series) -> pd.DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions callable from SQL."""
-    for f in (byte_stats, byte_entropy, byte_moments, lz78_phrases, hurst_rs, short_numbers, spectrum):
+    for f in (byte_counts, byte_order, compressed_share, byte_entropy, byte_terms, lz78_phrases, hurst_rs, short_numbers, spectrum):
         spark.udf.register(f.__name__, f)

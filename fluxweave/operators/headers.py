@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FlowConfig
-from ..functions.kernels import in_order, RunningStats, joined, running_terms, summarized
-from ..functions.udfs import byte_entropy, byte_moments, byte_stats
+from ..functions.kernels import RunningStats, flag
+from ..functions.recipe import Recipe, feature_group
+from ..functions.udfs import byte_counts, byte_entropy, byte_order, byte_terms, compressed_share
 
+#: Bytes and non-empty packets that the entropies of a flow's beginning look at.
+HEAD = 256
 
 
 def is_tcp() -> Column:
@@ -35,36 +37,38 @@ def has(bits: int) -> Column:
     return is_tcp() & (F.col("tcp_flags").bitwiseAND(bits) == bits)
 
 
-def tcp_flags(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    w = pk.withColumn("_window", F.lag("tcp_window").over(in_order()))
-    n = lambda c, name: F.count_if(c).alias(name)
-    only_ack = is_tcp() & (F.col("tcp_flags") == ACK) & ~has_bytes()
-    out = w.groupBy("flow_id").agg(
-        n(is_tcp(), "_tcp"), n(has(SYN), "tcp_syn_count"), n(has(FIN), "tcp_fin_count"), n(has(RST), "tcp_rst_count"), n(has(ACK), "tcp_ack_count"), n(has(PSH), "tcp_psh_count"), n(has(URG), "tcp_urg_count"),
-        n(has(SYN), "tcp_syn_packets"), n(has(SYN | ACK), "tcp_syn_ack_packets"), n(only_ack, "tcp_ack_only_count"), n(is_tcp() & has_bytes(), "tcp_payload_packets"), n(is_tcp() & (F.col("tcp_window") == 0), "tcp_zero_window_count"),
-        n(has(ACK) & ~has_bytes() & (F.col("_window") != F.col("tcp_window")), "window_update_frequency"), F.count(F.lit(1)).alias("l2_packets_count"), n(has(SYN) & ~has(ACK), "_syn_only"),
+def main_flags(r: Recipe) -> dict[str, Column]:
+    return {f"tcp_{name}_count": r.agg(f"_{name}", F.count_if(has(bits))) for name, bits in (("syn", SYN), ("fin", FIN), ("rst", RST), ("ack", ACK))}
+
+
+@feature_group
+def tcp_flags(r: Recipe) -> None:
+    n = lambda name, c: r.agg(f"_{name}", F.count_if(c))
+    main, update = main_flags(r), has(ACK) & ~has_bytes() & (r.lag("tcp_window") != F.col("tcp_window"))
+    tcp, syn, syn_ack, syn_only = n("tcp", is_tcp()), main["tcp_syn_count"], n("syn_ack", has(SYN | ACK)), n("syn_only", has(SYN) & ~has(ACK))
+    only_ack, payload = n("ack_only", is_tcp() & (F.col("tcp_flags") == ACK) & ~has_bytes()), n("tcp_payload", is_tcp() & has_bytes())
+    share = lambda a, b: F.when(b > 0, a / b)
+    r.out(
+        **main, tcp_psh_count=n("psh", has(PSH)), tcp_urg_count=n("urg", has(URG)), tcp_syn_packets=syn, tcp_syn_ack_packets=syn_ack, tcp_ack_only_count=only_ack, tcp_payload_packets=payload,
+        tcp_zero_window_count=n("zero_window", is_tcp() & (F.col("tcp_window") == 0)), window_update_frequency=n("window_update", update), l2_packets_count=r.agg("_n", F.count(F.lit(1))),
+        **{c: F.lit(0) for c in ("icmp_packet_count", "header_anomaly_count", "tcp_header_anomaly_count")}, header_anomaly_ratio=F.lit(0.0), tcp_connection_success_rate=share(syn_ack, syn), tcp_syn_ratio=share(syn, tcp), tcp_rst_ratio=share(main["tcp_rst_count"], tcp),
+        tcp_ack_only_ratio=share(only_ack, tcp), tcp_payload_packet_ratio=share(payload, tcp), tcp_syn_only_ratio=share(syn_only, tcp), tcp_half_open_ratio=F.when(syn == 0, 0.0).otherwise((syn - syn_ack) / syn),
     )
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    zero = {c: F.lit(0) for c in ("icmp_packet_count", "header_anomaly_count", "tcp_header_anomaly_count")}
-    return out.withColumns({
-        **zero, "header_anomaly_ratio": F.lit(0.0), "tcp_connection_success_rate": share("tcp_syn_ack_packets", "tcp_syn_packets"), "tcp_syn_ratio": share("tcp_syn_packets", "_tcp"), "tcp_rst_ratio": share("tcp_rst_count", "_tcp"),
-        "tcp_ack_only_ratio": share("tcp_ack_only_count", "_tcp"), "tcp_payload_packet_ratio": share("tcp_payload_packets", "_tcp"), "tcp_syn_only_ratio": share("_syn_only", "_tcp"),
-        "tcp_half_open_ratio": F.when(F.col("tcp_syn_packets") == 0, 0.0).otherwise((F.col("tcp_syn_packets") - F.col("tcp_syn_ack_packets")) / F.col("tcp_syn_packets")),
-    }).drop("_tcp", "_syn_only")
 
 
-def tcp_window(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return summarized(running_terms(pk.where(is_tcp()), tcp_window="tcp_window"), [RunningStats("tcp_window", "tcp_window", True)])
+@feature_group
+def tcp_window(r: Recipe) -> None:
+    r.out(**RunningStats(r, "tcp_window", F.when(is_tcp(), F.col("tcp_window")), True).columns())
 
 
-def ip(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    counts = [F.count_if(F.col("ttl") == v).alias(f"ip_ttl_eq_{v}_count") for v in (32, 64, 128, 255)]
-    return summarized(running_terms(pk, ip_ttl="ttl", ip_tos="tos"), [RunningStats("ip_ttl", "ttl", True), RunningStats("ip_tos", "tos", True)], counts, [f"ip_ttl_eq_{v}_count" for v in (32, 64, 128, 255)])
+@feature_group
+def ip(r: Recipe) -> None:
+    r.out(**RunningStats(r, "ip_ttl", F.col("ttl"), True).columns(), **RunningStats(r, "ip_tos", F.col("tos"), True).columns(), **{f"ip_ttl_eq_{v}_count": r.agg(f"_ttl_{v}", F.count_if(F.col("ttl") == v)) for v in (32, 64, 128, 255)})
 
 
-def udp(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    u = pk.where(is_udp()).withColumn("_length", F.col("payload_len") + 8)
-    return summarized(running_terms(u, udp_length="_length"), [RunningStats("udp_length", "_length", True)])
+@feature_group
+def udp(r: Recipe) -> None:
+    r.out(**RunningStats(r, "udp_length", F.when(is_udp(), F.col("payload_len") + 8), True).columns())
 
 
 def private_address(address: Column) -> Column:
@@ -79,67 +83,82 @@ def port_range(port: Column) -> Column:
     return F.when(port < 1024, "well_known").when(port < 49152, "registered").otherwise("dynamic")
 
 
-def retransmissions(pk: DataFrame) -> DataFrame:
-    """Non-empty TCP packets with again: not beyond the last such packet's sequence number of their direction."""
-    own = Window.partitionBy("flow_id", "direction").orderBy("pkt_no")
-    return pk.where(is_tcp() & has_bytes()).withColumn("again", F.coalesce(F.col("tcp_seq") <= F.lag("tcp_seq").over(own), F.lit(False)))
+@feature_group
+def port(r: Recipe) -> None:
+    """A packet is sent again if it is TCP, has bytes and is not beyond the sequence number of the last such packet of its direction."""
+    mine, way = is_tcp() & has_bytes(), F.col("direction")
+    before = F.coalesce(*[F.when(way == d, r.last(f"_seq_{name}", F.when(mine & (way == d), F.col("tcp_seq")))) for name, d in (("fwd", 1), ("bwd", -1), ("none", 0))])
+    again = r.column("_again", mine & F.coalesce(F.col("tcp_seq") <= before, F.lit(False)))
+    sent, repeated, first = r.agg("_sent", F.count_if(mine)), r.agg("_repeated", F.count_if(again)), r.agg("_seq", F.max_by("tcp_seq", F.when(mine & (way == 1), F.col("pkt_no"))))
+    reset = r.column("_reset_gap", F.when(has(RST), (F.col("ts_us") - r.last("_reset_ts", F.when(has(RST), F.col("ts_us")))) / 1e6))
+    src, dst, sp, dp = (r.agg(f"_last_{c}", F.max_by(c, "pkt_no")) for c in ("src_ip", "dst_ip", "src_port", "dst_port"))
+    low = lambda c: r.agg(f"_low_{c}", F.avg(flag(F.col(c) < 1024)))
+    r.out(
+        avg_retransmission_rate=F.when(sent > 0, repeated / sent).otherwise(0.0), tcpseqfaultcnt=repeated, tcpseqsntbytes=r.agg("_sent_bytes", F.coalesce(F.sum(F.when(mine, F.col("payload_len"))), F.lit(0))), tcpiseqn=first, rst_trigger_interval=r.agg("_reset_mean", F.avg(reset)),
+        ip_fragmentation_flag=r.agg("_fragment", F.max(flag(F.col("frag_offset") > 0))), well_known_src_port_ratio=low("src_port"), well_known_dst_port_ratio=low("dst_port"), tcppackcnt=r.agg("_ack", F.count_if(has(ACK))), tcppseqcnt=r.agg("_tcp", F.count_if(is_tcp())),
+        tcpinitwinsz=r.agg("_window_mean", F.avg(F.when(is_tcp(), F.col("tcp_window")))), src_ip_is_private=flag(private_address(src)), dst_ip_is_private=flag(private_address(dst)), src_port_is_ephemeral=flag(sp.between(1024, 65535)), dst_port_is_ephemeral=flag(dp.between(1024, 65535)),
+        is_common_service=flag((sp < 1024) | (dp < 1024)), quic_usage_flag=flag(dp == 443), src_port_range=port_range(sp), src_port_protocol=port_name(sp), dst_port_protocol=port_name(dp), unique_src_ports=flag(sp > 0), unique_dst_ports=flag(dp > 0),
+        tcpackfaultcnt=F.lit(0), tcpbflgtmx=F.lit(0), tcpflwlssackrcvdbytes=F.lit(0),
+    )
 
 
-def port(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    again = retransmissions(pk).groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("again").alias("_again"), F.sum("payload_len").alias("_bytes"), F.max(F.when(F.col("direction") == 1, F.struct("pkt_no", "tcp_seq")))["tcp_seq"].alias("tcpiseqn"))
-    resets = pk.where(has(RST)).withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(in_order())) / 1e6).groupBy("flow_id").agg(F.avg("_gap").alias("rst_trigger_interval"))
-    last = lambda c: F.max_by(c, "pkt_no")
-    out = pk.groupBy("flow_id").agg(
-        *[last(c).alias(f"_{c}") for c in ("src_ip", "dst_ip", "src_port", "dst_port")], F.max((F.col("frag_offset") > 0).cast("int")).alias("ip_fragmentation_flag"),
-        F.avg((F.col("src_port") < 1024).cast("int")).alias("well_known_src_port_ratio"), F.avg((F.col("dst_port") < 1024).cast("int")).alias("well_known_dst_port_ratio"),
-        F.count_if(has(ACK)).alias("tcppackcnt"), F.count_if(is_tcp()).alias("tcppseqcnt"), F.avg(F.when(is_tcp(), F.col("tcp_window"))).alias("tcpinitwinsz"),
-    )
-    sp, dp = F.col("_src_port"), F.col("_dst_port")
-    flag = lambda c: c.cast("int")
-    out = joined(out, again, resets).withColumns({
-        "avg_retransmission_rate": F.when(F.col("_n") > 0, F.col("_again") / F.col("_n")).otherwise(0.0), "src_ip_is_private": flag(private_address(F.col("_src_ip"))), "dst_ip_is_private": flag(private_address(F.col("_dst_ip"))),
-        "src_port_is_ephemeral": flag(sp.between(1024, 65535)), "dst_port_is_ephemeral": flag(dp.between(1024, 65535)), "is_common_service": flag((sp < 1024) | (dp < 1024)), "quic_usage_flag": flag(dp == 443),
-        "src_port_range": port_range(sp), "src_port_protocol": port_name(sp), "dst_port_protocol": port_name(dp), "unique_src_ports": flag(sp > 0), "unique_dst_ports": flag(dp > 0),
-        "tcpackfaultcnt": F.lit(0), "tcpbflgtmx": F.lit(0), "tcpflwlssackrcvdbytes": F.lit(0), "tcpseqfaultcnt": F.coalesce("_again", F.lit(0)), "tcpseqsntbytes": F.coalesce("_bytes", F.lit(0)),
-    })
-    return out.drop("_n", "_again", "_bytes", "_src_ip", "_dst_ip", "_src_port", "_dst_port")
+@feature_group
+def payload_size(r: Recipe) -> None:
+    size = F.when(has_bytes(), F.col("payload_len"))
+    change = r.column("_size_change", F.abs(size - r.last("_size_before", size)))
+    r.out(**RunningStats(r, "payload_size", size, True).columns(), **RunningStats(r, "payload_size_diff", change, True).columns())
 
 
-def payload_size(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    p = pk.where(has_bytes()).withColumn("_diff", F.abs(F.col("payload_len") - F.lag("payload_len").over(in_order())))
-    return summarized(running_terms(p, payload_size="payload_len", payload_size_diff="_diff"), [RunningStats("payload_size", "payload_len", True), RunningStats("payload_size_diff", "_diff", True)])
+def payload(r: Recipe, what: Column, kind: str) -> Column:
+    """What is measured of payload bytes; null without reading any where the packets have none."""
+    return what if "payload" in r.has else F.lit(None).cast(kind)
 
 
-def measured(pk: DataFrame) -> DataFrame:
-    """Non-empty packets with their byte statistics, in one vectorised call."""
-    return pk.where(has_bytes()).withColumn("_b", byte_stats("payload")).select("*", *[F.col(f"_b.{c}").alias(f"_{c}") for c in ("entropy", "markov", "autocorr", "zlib", "printable", "alnum", "hist")]).drop("_b")
+def histogram(r: Recipe) -> Column:
+    """How often the flow's payloads have each byte."""
+    b = r.value("_counts", payload(r, byte_counts("payload"), "array<long>"))
+    if "payload" not in r.has:
+        return F.lit(None).cast("array<long>")
+    return r.after("_hist", F.array(*[r.agg(f"_h{k}", F.sum(F.get(b, F.lit(k)))) for k in range(256)]))
 
 
-def payload_content(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    total = pk.groupBy("flow_id").agg(F.avg(has_bytes().cast("int")).alias("payload_non_empty_ratio"))
-    b = measured(pk).groupBy("flow_id").agg((F.sum("_printable") / F.sum("payload_len")).alias("payload_printable_ratio"), (F.sum("_alnum") / F.sum("payload_len")).alias("payload_alnum_ratio"))
-    return joined(total, b)
+def added(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def histogram(pk: DataFrame) -> DataFrame:
-    """flow_id and hist: how often the flow's payloads have each byte."""
-    sums = [F.sum(F.get("_hist", F.lit(k))).alias(f"_h{k}") for k in range(256)]
-    return measured(pk).select("flow_id", "_hist").groupBy("flow_id").agg(*sums).select("flow_id", F.array(*[f"_h{k}" for k in range(256)]).alias("hist"))
+@feature_group
+def payload_content(r: Recipe) -> None:
+    b = r.value("_counts", payload(r, byte_counts("payload"), "array<long>"))
+    of = lambda name, lo, hi: r.agg(f"_{name}", F.sum(added(F.slice(b, lo + 1, hi - lo + 1))))
+    size, letters = r.agg("_payload_bytes", F.sum("payload_len")), of("digits", 48, 57) + of("upper", 65, 90) + of("lower", 97, 122)
+    r.out(payload_non_empty_ratio=r.agg("_non_empty", F.avg(flag(has_bytes()))), payload_printable_ratio=F.when(size > 0, of("printable", 32, 126) / size), payload_alnum_ratio=F.when(size > 0, letters / size))
 
 
-def payload_hist(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    h, n = F.col("hist"), F.col("_n")
-    rows = histogram(pk).withColumn("_n", F.aggregate("hist", F.lit(0).cast("long"), lambda a, x: a + x))
-    sums = lambda power: F.aggregate(F.transform("hist", lambda x, i: x * F.pow(i.cast("double"), F.lit(float(power)))), F.lit(0.0), lambda a, x: a + x)
-    cum = F.transform(h, lambda _, i: F.aggregate(F.slice(h, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = rows.withColumns({"_s1": sums(1), "_s2": sums(2), "_cum": cum})
-    at = lambda p: F.size(F.filter("_cum", lambda c: c <= F.floor(F.lit(p) * (n - 1)))).cast("double")
+@feature_group
+def payload_hist(r: Recipe) -> None:
+    """Bins, and statistics of all bytes: quantiles from their counts, third and fourth moments by the recurrence, of which each packet adds its terms."""
+    h = histogram(r)
+    n = r.after("_hist_n", added(h))
+    power = lambda k: F.aggregate(F.transform(h, lambda x, i: x * F.pow(i.cast("double"), F.lit(float(k)))), F.lit(0.0), lambda a, x: a + x)
+    mean = r.after("_hist_mean", F.when(n > 0, power(1) / n))
+    v = r.after("_hist_v", F.when(n > 1, (power(2) - n * mean * mean) / (n - 1)).otherwise(0.0))
+
+    def at(p: float) -> Column:  # counts are taken off the rank until none is left
+        rank = F.floor(F.lit(p) * (n - 1))
+        start = F.struct(rank.alias("left"), F.lit(0).cast("long").alias("byte"))
+        step = lambda a, x: F.struct((a["left"] - x).alias("left"), (a["byte"] + F.when(a["left"] >= x, 1).otherwise(0)).alias("byte"))
+        return F.when(n > 0, F.aggregate(h, start, lambda a, x: F.when(a["left"] < 0, a).otherwise(step(a, x)))["byte"].cast("double"))
+
     present = F.filter(F.transform(h, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
-    mean = F.col("_s1") / n
-    bins = [(F.aggregate(F.slice(h, 16 * k + 1, 16), F.lit(0).cast("long"), lambda a, x: a + x) / n).alias(f"payload_hist_bin_{k}") for k in range(16)]
-    out = rows.select("flow_id", *bins, mean.alias("payload_byte_mean"), F.when(n > 1, F.sqrt((F.col("_s2") - n * mean * mean) / (n - 1))).otherwise(0.0).alias("payload_byte_std"), F.array_min(present).cast("double").alias("payload_byte_min"), F.array_max(present).cast("double").alias("payload_byte_max"), at(0.25).alias("payload_byte_q1"), at(0.5).alias("payload_byte_median"), at(0.75).alias("payload_byte_q3"))
-    ordered = pk.where(has_bytes()).groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", "payload"))).alias("_p")).select("flow_id", byte_moments(F.transform("_p", lambda s: s.payload)).alias("_m"))
-    return joined(out, ordered.select("flow_id", F.col("_m.skew").alias("payload_byte_skew"), F.col("_m.kurt").alias("payload_byte_kurt")))
+    counts = F.col("_counts")
+    sum_ = r.column("_byte_sum", F.aggregate(F.transform(counts, lambda x, i: x * i), F.lit(0).cast("long"), lambda a, x: a + x) if "payload" in r.has else F.lit(None).cast("long"))
+    before, sum_before = r.so_far("_bytes_so_far", F.col("payload_len")) - F.col("payload_len"), r.so_far("_sum_so_far", sum_) - F.coalesce(sum_, F.lit(0))
+    terms = r.column("_terms", payload(r, byte_terms("payload", before, sum_before), "struct<t3:double,t4:double>"), 1)
+    t3, t4 = r.agg("_b3", F.sum(terms["t3"])), r.agg("_b4", F.sum(terms["t4"]))
+    r.out(
+        **{f"payload_hist_bin_{k}": F.when(n > 0, added(F.slice(h, 16 * k + 1, 16)) / n) for k in range(16)}, payload_byte_mean=mean, payload_byte_std=F.when(n > 1, F.sqrt(v)).when(n > 0, 0.0), payload_byte_min=F.array_min(present).cast("double"), payload_byte_max=F.array_max(present).cast("double"),
+        payload_byte_q1=at(0.25), payload_byte_median=at(0.5), payload_byte_q3=at(0.75), payload_byte_skew=F.when(n > 0, F.when((n < 3) | (v <= 0), 0.0).otherwise(t3 / n / F.pow(v, F.lit(1.5)))), payload_byte_kurt=F.when(n > 0, F.when((n < 4) | (v <= 0), 0.0).otherwise(t4 / n / (v * v) - 3)),
+    )
 
 
 # What payloads begin with, in hexadecimal.
@@ -170,29 +189,37 @@ def looks_like() -> dict[str, Column]:
     }
 
 
-def first_bytes(pk: DataFrame) -> DataFrame:
-    """flow_id and head: the first 256 payload bytes, of the first 256 non-empty packets at most."""
-    first = pk.where(has_bytes()).select("flow_id", "pkt_no", "payload").withColumn("_r", F.row_number().over(in_order())).where("_r <= 256")
-    parts = first.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", F.hex(F.substring("payload", 1, 256)).alias("h")))).alias("_p"))
-    return parts.select("flow_id", F.unhex(F.substring(F.array_join(F.transform("_p", lambda s: s.h), ""), 1, 512)).alias("head"))
+def first_bytes(r: Recipe) -> Column:
+    """The first HEAD payload bytes of a flow, of its first HEAD non-empty packets at most."""
+    before, packets = r.so_far("_bytes_so_far", F.col("payload_len")) - F.col("payload_len"), r.so_far("_non_empty_so_far", flag(has_bytes()))
+    part = r.column("_head", payload(r, F.when(has_bytes() & (packets <= HEAD) & (before < HEAD), F.hex(F.substring("payload", 1, HEAD))), "string"), 1)
+    parts = r.agg("_heads", F.collect_list(F.when(part.isNotNull(), F.struct("pkt_no", part.alias("h")))))
+    text = F.substring(F.array_join(F.transform(F.sort_array(parts), lambda s: s.h), ""), 1, 2 * HEAD)
+    return r.after("_first_bytes", F.when(F.size(parts) > 0, F.unhex(text)))
 
 
-def payload_magic(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    p = pk.where(has_bytes())
+@feature_group
+def payload_magic(r: Recipe) -> None:
     flags = {**{f"payload_magic_{k}": c for k, c in magic_flags().items()}, **{f"payload_looks_like_{k}": c for k, c in looks_like().items()}}
-    out = p.groupBy("flow_id").agg(*[F.max(c.cast("int")).alias(k) for k, c in flags.items()])
-    known = F.greatest(*[F.col(f"payload_magic_{k}") for k in magic_flags()])
-    out = out.withColumn("payload_magic_unknown", (known == 0).cast("int"))
-    bins = [F.aggregate(F.slice("hist", 16 * k + 1, 16), F.lit(0).cast("long"), lambda a, x: a + x) for k in range(16)]
-    h = histogram(pk).select("flow_id", F.array(*bins).alias("_b")).withColumn("_e", F.aggregate("_b", F.lit(0).cast("long"), lambda a, x: a + x) / 16)
-    chi = h.select("flow_id", F.aggregate(F.transform("_b", lambda x: (x - F.col("_e")) * (x - F.col("_e")) / F.col("_e")), F.lit(0.0), lambda a, x: a + x).alias("payload_chi_square"))
-    return joined(out, chi, first_bytes(pk).select("flow_id", byte_entropy(F.substring("head", 1, 64)).alias("payload_first_64_entropy")))
-
-
-def payload_stats(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    n = F.col("payload_len")
-    moduli = (2, 4, 8, 16, 32, 64, 128, 256)
-    mods = [a for m in moduli for a in (F.avg(n % m).alias(f"payload_length_mod_{m}_mean"), F.coalesce(F.stddev_samp(n % m), F.lit(0.0)).alias(f"payload_length_mod_{m}_std"))]
-    own = [F.avg("_entropy").alias("payload_entropy"), F.avg("_markov").alias("payload_markov_entropy"), F.avg("_zlib").alias("payload_compression_ratio"), F.coalesce(F.avg("_autocorr"), F.lit(0.0)).alias("payload_autocorrelation_lag1")]
-    heads = first_bytes(pk).select("flow_id", byte_entropy(F.substring("head", 1, 128)).alias("payload_first_128_entropy"), byte_entropy("head").alias("payload_first_256_entropy"))
-    return joined(measured(pk).groupBy("flow_id").agg(*mods, *own), heads)
+    found = {k: r.agg(f"_{k}", F.max(payload(r, F.when(has_bytes(), flag(c)), "int"))) for k, c in flags.items()}
+    known = F.greatest(*[found[f"payload_magic_{k}"] for k in magic_flags()])
+    h = histogram(r)
+    bins = [added(F.slice(h, 16 * k + 1, 16)) for k in range(16)]
+    expected = r.after("_expected", F.nullif(added(h), F.lit(0)) / 16)
+    chi = sum(((b - expected) * (b - expected) / expected for b in bins[1:]), (bins[0] - expected) * (bins[0] - expected) / expected)
+    r.out(**found, payload_magic_unknown=flag(known == 0), payload_chi_square=chi, payload_first_64_entropy=byte_entropy(F.substring(first_bytes(r), 1, 64)))
+
+
+@feature_group
+def payload_stats(r: Recipe) -> None:
+    n = F.when(has_bytes(), F.col("payload_len"))
+    for m in (2, 4, 8, 16, 32, 64, 128, 256):
+        mean, sd = r.agg(f"_mod_{m}", F.avg(n % m)), r.agg(f"_mod_sd_{m}", F.stddev_samp(n % m))
+        r.out(**{f"payload_length_mod_{m}_mean": mean, f"payload_length_mod_{m}_std": F.when(mean.isNotNull(), F.coalesce(sd, F.lit(0.0)))})
+    order = r.value("_order", payload(r, byte_order("payload"), "struct<entropy:double,markov:double,autocorr:double>"))
+    share = r.value("_zlib", payload(r, compressed_share("payload"), "double"))
+    entropy, auto, head = r.agg("_entropy", F.avg(order["entropy"])), r.agg("_auto", F.avg(order["autocorr"])), first_bytes(r)
+    r.out(
+        payload_entropy=entropy, payload_markov_entropy=r.agg("_markov", F.avg(order["markov"])), payload_compression_ratio=r.agg("_zlib_mean", F.avg(share)), payload_autocorrelation_lag1=F.when(F.col("_mod_2").isNotNull(), F.coalesce(auto, F.lit(0.0))),
+        payload_first_128_entropy=byte_entropy(F.substring(head, 1, HEAD // 2)), payload_first_256_entropy=byte_entropy(head),
+    )

@@ -1,153 +1,180 @@
-"""Groups about the order of packets: sequence measures, raw, chunk and rate sequences, spectra."""
+"""Groups about the order of packets: sequence measures, raw, chunk and rate sequences, spectra. All look at a flow's last max_sequence packets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FlowConfig
-from ..functions.kernels import of_flow, in_order, so_far, Stats, autocorrelations, entropy, joined, quantile, summarized
+from ..functions.kernels import Lagged, Stats, entropy, flag
+from ..functions.recipe import Recipe, feature_group
 from ..functions.udfs import hurst_rs, lz78_phrases, short_numbers, spectrum
-from .timing import gaps
+from .timing import LAGS
 
 PERCENTILES = (1, 5, 10, 90, 95, 99, 100)
 CLASSES = "sml"
+#: Sizes from here on count as one in the entropy of a flow that has a larger one.
+LARGEST = 4096
 
 
-def last_rows(pk: DataFrame, n: int) -> DataFrame:
-    """The last n packets of each flow: what bounded sequences keep. Longer flows are cut before they move."""
-    late = Window.partitionBy("flow_id").orderBy(F.col("pkt_no").desc())
-    return pk.withColumn("_late", F.row_number().over(late)).where(F.col("_late") <= n).drop("_late")
+def kept_packets(r: Recipe) -> Column:
+    """The tail's packets by pkt_no, with their parts; at most max_sequence."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in r.has else F.lit(0)
+    mine, inner = r.tail()
+    iat = F.when(inner, r.iat())
+    cells = F.concat_ws("/", part("l2_len"), part("l3_len"), part("l4_len"), F.col("payload_len"), F.coalesce(iat, F.lit(0)))
+    every = r.agg("_tail", F.collect_list(F.when(mine, F.struct("pkt_no", "pkt_len", iat.alias("iat"), "direction", cells.alias("cells")))))
+    return r.after("_kept", F.sort_array(every))
 
 
-def sequence(pk: DataFrame, value: Column | str, name: str, where: Column | None = None) -> DataFrame:
-    """flow_id and an array of the value in the order of the packets."""
-    rows = pk if where is None else pk.where(where)
-    value = F.col(value) if isinstance(value, str) else value
-    parts = rows.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", value.alias("v")))).alias("_p"))
-    return parts.select("flow_id", F.transform("_p", lambda s: s.v).alias(name))
+def length_runs(r: Recipe) -> Column:
+    """Length of each run of packets of one size; null for other cells."""
+    mine, inner = r.tail()
+    new = r.column("_new_run", flag(mine & (~inner | (F.col("pkt_len") != r.lag("pkt_len")))), 0, 1)
+    r.cell("run", F.when(mine, r.so_far("_run", new)), n=F.lit(1))
+    return F.when(F.col("grain") == "run", F.col("n"))
 
 
-def length_runs(pk: DataFrame) -> DataFrame:
-    """flow_id and length of each run of packets of one size."""
-    new = F.coalesce(F.col("pkt_len") != F.lag("pkt_len").over(in_order()), F.lit(True)).cast("int")
-    runs = pk.withColumn("_new", new).withColumn("_run", F.sum("_new").over(so_far()))
-    return runs.groupBy("flow_id", "_run").agg(F.count(F.lit(1)).alias("run"))
-
-
-def directions(pk: DataFrame) -> DataFrame:
-    d = pk.withColumn("_before", F.lag("direction").over(in_order()))
-    f, b, n = F.count_if(F.col("direction") == 1), F.count_if(F.col("direction") == -1), F.count(F.lit(1))
-    pf = f / (f + b)
-    h = F.when((f > 0) & (b > 0), -pf * F.log2(pf) - (1 - pf) * F.log2(1 - pf)).otherwise(0.0)
-    pair = F.when(F.col("_before").isNotNull(), (F.col("_before") > 0).cast("int") * 2 + (F.col("direction") > 0).cast("int"))
-    changed = F.count_if(F.col("_before") != F.col("direction"))
-    return d.groupBy("flow_id").agg(h.alias("direction_sequence_entropy"), F.when(n > 1, changed / (n - 1)).otherwise(0.0).alias("direction_change_frequency"), F.count_distinct(pair).alias("direction_transition_unique_count"))
-
-
-def correlation(x: Column, y: Column) -> Column:
+def correlation(r: Recipe, name: str, x: Column, y: Column) -> Column:
     """Pearson's; 0 where either does not vary."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x).cast("double"), F.when(both, y).cast("double")
-    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))), F.lit(0.0))
+    of = lambda part, a: r.agg(f"_{name}_{part}", a)
+    return F.coalesce(F.try_divide(of("xy", F.covar_pop(x, y)), F.nullif(of("x", F.stddev_pop(x)) * of("y", F.stddev_pop(y)), F.lit(0.0))), F.lit(0.0))
 
 
-def correlations(pk: DataFrame) -> DataFrame:
-    g = pk.withColumn("_gap", F.lead("ts_us").over(in_order()) - F.col("ts_us"))
-    return g.groupBy("flow_id").agg(correlation(F.col("pkt_len"), F.col("_gap")).alias("length_iat_correlation"), correlation(F.col("pkt_len"), F.col("direction")).alias("length_direction_correlation"))
+def directions(r: Recipe) -> dict[str, Column]:
+    (mine, inner), way = r.tail(), F.col("direction")
+    before = F.when(inner, r.lag("direction"))
+    f, b, n = r.agg("_tail_fwd", F.count_if(mine & (way == 1))), r.agg("_tail_bwd", F.count_if(mine & (way == -1))), r.agg("_tail_n", F.count_if(mine))
+    share = f / (f + b)
+    pair = (before > 0).cast("int") * 2 + (way > 0).cast("int")
+    pairs = [r.agg(f"_turn_{k}", F.coalesce(F.max(flag(pair == k)), F.lit(0))) for k in range(4)]
+    changed = r.agg("_turns", F.count_if(before != way))
+    return {
+        "direction_sequence_entropy": F.when((f > 0) & (b > 0), -share * F.log2(share) - (1 - share) * F.log2(1 - share)).otherwise(0.0), "direction_change_frequency": F.when(n > 1, changed / (n - 1)).otherwise(0.0),
+        "direction_transition_unique_count": (pairs[0] + pairs[1] + pairs[2] + pairs[3]).cast("long"),
+    }
 
 
-def length_values(pk: DataFrame) -> DataFrame:
+def length_values(r: Recipe) -> dict[str, Column]:
     """How many different sizes, their entropy, and percentiles."""
-    capped = pk.withColumn("_v", F.when(F.max("pkt_len").over(of_flow()) < 4096, F.col("pkt_len")).otherwise(F.least(F.col("pkt_len"), F.lit(4095))))
-    out = pk.groupBy("flow_id").agg((F.count_distinct("pkt_len") / F.count(F.lit(1))).alias("length_sequence_unique_ratio"), F.sort_array(F.collect_list("pkt_len")).alias("_a"))
-    out = out.select("flow_id", "length_sequence_unique_ratio", *[(F.element_at("_a", -1).cast("double") if p == 100 else quantile(F.col("_a"), p, True)).alias(f"packet_length_percentile_{p}") for p in PERCENTILES])
-    return joined(out, entropy(capped, "_v", "packet_length_entropy"))
-
-
-def bigrams(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
+    mine, _ = r.tail()
+    size = F.when(mine, F.col("pkt_len"))
+    r.cell("size", size, n=F.lit(1))
+    here, n, key = F.col("grain") == "size", F.col("n"), F.col("key")
+    different, total = r.cell_agg("_sizes", F.count_if(here)), r.cell_agg("_sizes_n", F.sum(F.when(here, n)))
+    terms, large = r.cell_agg("_sizes_t", F.sum(F.when(here & (key < LARGEST - 1), n * F.log2(n)))), r.cell_agg("_sizes_l", F.sum(F.when(here & (key >= LARGEST - 1), n)))
+    rest = F.coalesce(terms, F.lit(0.0)) + F.coalesce(large * F.log2(large), F.lit(0.0))
+    ranks, most = r.agg("_size_p", F.percentile(size.cast("double"), [p / 100 for p in PERCENTILES[:-1]])), r.agg("_size_max", F.max(size))
+    columns = {f"packet_length_percentile_{p}": F.floor(F.get(ranks, F.lit(k))).cast("double") for k, p in enumerate(PERCENTILES[:-1])} | {"packet_length_percentile_100": most.cast("double")}
+    return columns | {"length_sequence_unique_ratio": different / total, "packet_length_entropy": F.log2(total) - rest / total}
+
+
+def bigram_columns(r: Recipe) -> dict[str, Column]:
     """Of the nine pairs of neighbouring size classes the five most frequent, one column a rank and pair; the first packet follows a small one, ties go to the first pair."""
-    size = F.when(F.col("pkt_len") <= cfg.small_pkt_threshold, 0).when(F.col("pkt_len") <= cfg.large_pkt_threshold, 1).otherwise(2)
-    rows = pk.withColumn("_c", size).withColumn("_pair", F.lag("_c", 1, 0).over(in_order()) * 3 + F.col("_c"))
-    counts = rows.groupBy("flow_id").agg(F.array(*[F.struct((-F.count_if(F.col("_pair") == k)).alias("n"), F.lit(k).alias("k")) for k in range(9)]).alias("_n"))
-    top = counts.select("flow_id", F.sort_array("_n").alias("_n"))
+    mine, inner = r.tail()
+    of = lambda size: F.when(size <= r.cfg.small_pkt_threshold, 0).when(size <= r.cfg.large_pkt_threshold, 1).otherwise(2)
+    pair = F.when(inner, of(r.lag("pkt_len"))).otherwise(0) * 3 + of(F.col("pkt_len"))
+    found = r.after("_pairs", F.sort_array(F.array(*[F.struct((-r.agg(f"_pair_{k}", F.count_if(mine & (pair == k)))).alias("n"), F.lit(k).alias("k")) for k in range(9)])))
     names = [a + b for a in CLASSES for b in CLASSES]
-    cells = [F.when(F.get("_n", F.lit(r))["k"] == k, -F.get("_n", F.lit(r))["n"]).otherwise(0).alias(f"top_{r + 1}_bigram_{name}_freq") for r in range(5) for k, name in enumerate(names)]
-    return top.select("flow_id", *cells)
+    return {f"top_{place + 1}_bigram_{name}_freq": F.when(F.get(found, F.lit(place))["k"] == k, -F.get(found, F.lit(place))["n"]).otherwise(0) for place in range(5) for k, name in enumerate(names)}
 
 
-def periodicity(pk: DataFrame) -> DataFrame:
-    """Largest of five autocorrelations of the gaps, by the whole sum of squares, over the first (by itself where that is next to 0); none up to six gaps."""
-    g = gaps(pk).where("iat IS NOT NULL").select("flow_id", "pkt_no", (F.col("iat").cast("double") - F.avg(F.col("iat").cast("double")).over(of_flow())).alias("_d"))
-    g = g.withColumns({f"_d{k}": F.lead("_d", k).over(in_order()) for k in range(1, 6)})
-    below = F.sum(F.col("_d") * F.col("_d"))
-    parts = g.groupBy("flow_id").agg(F.count(F.lit(1)).alias("_n"), *[F.when(below > 0, F.abs(F.sum(F.col("_d") * F.col(f"_d{k}")) / below)).alias(f"_r{k}") for k in range(1, 6)])
-    largest = F.greatest(*[f"_r{k}" for k in range(1, 6)])
-    ratio = F.when((F.col("_n") > 6) & largest.isNotNull(), F.when(F.col("_r1") > 1e-9, largest / F.col("_r1")).otherwise(largest)).otherwise(0.0)
-    return parts.select("flow_id", ratio.alias("periodic_dominant_freq_ratio")).withColumn("has_strong_periodicity", (F.col("periodic_dominant_freq_ratio") > 1.5).cast("int"))
-
-
-def complexity(pk: DataFrame) -> DataFrame:
-    """Phrases of the lengths' parse, absolute and by packet, and the Hurst exponent of the gaps."""
-    s = sequence(pk, F.col("pkt_len"), "_s").join(sequence(gaps(pk).where("iat IS NOT NULL"), F.col("iat").cast("double"), "_g"), "flow_id", "left")
-    out = s.select("flow_id", lz78_phrases("_s").alias("lz78_complexity_index"), hurst_rs("_g").alias("hurst_exponent_estimate"), F.size("_s").alias("_n"))
-    return out.withColumn("length_sequence_complexity", F.col("lz78_complexity_index") / F.col("_n")).drop("_n")
+@feature_group
+def bigrams(r: Recipe) -> None:
+    r.out(**bigram_columns(r))
 
 
-def sequence_stats(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    pk = last_rows(pk, cfg.max_sequence)
-    n = F.count(F.lit(1))
-    sizes = pk.groupBy("flow_id").agg(n.alias("packet_length_seq_len"), (n - 1).alias("packet_iat_seq_len"), n.alias("packet_direction_seq_len"))
-    out = joined(sizes, autocorrelations(pk, "pkt_len", "length_autocorr_lag", least=5), summarized(length_runs(pk), [Stats("length_run", "run", True)]), correlations(pk), directions(pk), length_values(pk), complexity(pk), periodicity(pk), bigrams(pk, cfg))
-    out = out.fillna(0, ["periodic_dominant_freq_ratio", "has_strong_periodicity"])
-    return out.withColumns({"custom_protocol_length_pattern": F.lit("unknown"), "ar_prediction_mse": F.lit(0.0), "ar_prediction_mae": F.lit(0.0)})
+def lagged_in_tail(r: Recipe, name: str, prefix: str, less: Column, first: int, layer: int) -> Lagged:
+    """Products of the tail's values of a column; its first values, so many, have none."""
+    r.tail()
+    place = F.col("pkt_no") - r.tail_first() - first
+    return Lagged(r, prefix, F.when(place >= 0, F.col(name)) - less, {k: F.when(place >= k, r.lag(name, k, layer)) - less for k in LAGS})
 
 
-def raw_sequences(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    g = gaps(last_rows(pk, cfg.max_sequence))
-    part = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in pk.columns else F.lit(0)
-    cells = F.concat_ws("/", part("l2_len"), part("l3_len"), part("l4_len"), F.col("payload_len"), F.coalesce("iat", F.lit(0)))
-    rows = g.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("pkt_no", "pkt_len", "iat", "direction", cells.alias("cells")))).alias("_p"))
-    text = lambda f: F.array_join(F.transform("_p", f), ",")
-    return rows.select("flow_id", text(lambda s: s.pkt_len).alias("packet_length_seq"), text(lambda s: s.iat).alias("packet_iat_seq"), text(lambda s: s.direction).alias("packet_direction_seq"), text(lambda s: s.cells).alias("l2l3l4pl_iat"))
+def periodicity(r: Recipe) -> dict[str, Column]:
+    """Largest of five autocorrelations of the gaps, by the whole sum of squares, over the first (by itself where that is next to 0); none up to six gaps."""
+    r.iat()
+    s = lagged_in_tail(r, "iat", "tail_gaps", r.total("_iat_lo", "min", F.col("iat"), 1), 1, 1)
+    shares = [F.when(s.squares() > 0, F.abs(s.products(k) / s.squares())) for k in LAGS]
+    largest = F.greatest(*shares)
+    ratio = r.after("_periodic", F.when((s.n > 6) & largest.isNotNull(), F.when(shares[0] > 1e-9, largest / shares[0]).otherwise(largest)).otherwise(0.0))
+    return {"periodic_dominant_freq_ratio": ratio, "has_strong_periodicity": flag(ratio > 1.5)}
 
 
-def chunk_sequences(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
+def complexity(r: Recipe) -> dict[str, Column]:
+    """Phrases of the lengths' parse, absolute and by packet, and the Hurst exponent of the gaps."""
+    kept = kept_packets(r)
+    phrases = r.after("_phrases", lz78_phrases(F.transform(kept, lambda s: s.pkt_len)))
+    gaps = F.transform(F.filter(kept, lambda s: s.iat.isNotNull()), lambda s: s.iat.cast("double"))
+    return {"lz78_complexity_index": phrases, "length_sequence_complexity": phrases / F.size(kept), "hurst_exponent_estimate": hurst_rs(gaps)}
+
+
+@feature_group
+def sequence_stats(r: Recipe) -> None:
+    (mine, inner), n = r.tail(), F.col("_tail_n")
+    least = r.total("_size_lo", "min", F.col("pkt_len"))
+    sizes = r.column("_size_over", F.col("pkt_len") - least)
+    lengths = lagged_in_tail(r, "_size_over", "tail_sizes", F.lit(0), 0, 1)
+    gap, before = F.when(inner, r.iat()), F.when(inner, r.lag("pkt_len"))
+    r.out(
+        **directions(r), **lengths.correlations("length_autocorr_lag", least=5), **Stats(r, "length_run", length_runs(r), True, cells=True).columns(), **length_values(r), **complexity(r), **periodicity(r), **bigram_columns(r),
+        packet_length_seq_len=n, packet_iat_seq_len=n - 1, packet_direction_seq_len=n, length_iat_correlation=correlation(r, "size_gap", before, gap), length_direction_correlation=correlation(r, "size_way", F.when(mine, sizes), F.col("direction")),
+        custom_protocol_length_pattern=F.lit("unknown"), ar_prediction_mse=F.lit(0.0), ar_prediction_mae=F.lit(0.0),
+    )
+
+
+@feature_group
+def raw_sequences(r: Recipe) -> None:
+    kept = kept_packets(r)
+    text = lambda f: F.array_join(F.transform(kept, f), ",")
+    r.out(packet_length_seq=text(lambda s: s.pkt_len), packet_iat_seq=text(lambda s: s.iat), packet_direction_seq=text(lambda s: s.direction), l2l3l4pl_iat=text(lambda s: s.cells))
+
+
+@feature_group
+def chunk_sequences(r: Recipe) -> None:
     """Bytes of groups that end where the direction changes or a gap is long."""
-    g = gaps(last_rows(pk, cfg.max_sequence)).withColumn("_new", ((F.col("direction") != F.lag("direction").over(in_order())) | (F.col("iat") > cfg.chunk_gap_us)))
-    chunks = g.withColumn("_chunk", F.sum(F.coalesce(F.col("_new"), F.lit(False)).cast("int")).over(so_far())).groupBy("flow_id", "_chunk").agg(F.sum("pkt_len").alias("bytes"))
-    rows = chunks.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("_chunk", "bytes"))).alias("_p"))
-    return rows.select("flow_id", F.array_join(F.transform("_p", lambda s: s.bytes), ",").alias("dl_chunk_seq"), F.size("_p").alias("dl_chunk_seq_len"))
-
-
-def rate_arrays(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    """flow_id, up and down: bits a second of each time bin from the first packet to the last, empty ones too."""
-    b = last_rows(pk, cfg.max_sequence).withColumn("_bin", F.floor((F.col("ts_us") - F.min("ts_us").over(of_flow())) / cfg.rate_bin_us))
-    sums = b.groupBy("flow_id", "_bin").agg(F.coalesce(F.sum(F.when(F.col("direction") == 1, F.col("pkt_len"))), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(F.col("direction") == -1, F.col("pkt_len"))), F.lit(0)).alias("down"))
-    rows = sums.groupBy("flow_id").agg(F.map_from_entries(F.collect_list(F.struct("_bin", F.struct("up", "down")))).alias("_m"), F.max("_bin").alias("_last"))
-    rate = lambda way: F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last")), lambda k: F.coalesce(F.try_element_at("_m", k)[way], F.lit(0)) * 8 / (cfg.rate_bin_us / 1e6))
-    return rows.select("flow_id", rate("up").alias("up"), rate("down").alias("down"))
-
-
-def rate_sequences(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    r = rate_arrays(pk, cfg)
-    return r.select("flow_id", short_numbers("up").alias("uplink_rate_seq"), short_numbers("down").alias("downlink_rate_seq"), F.size("up").alias("uplink_rate_seq_len"), F.size("down").alias("downlink_rate_seq_len"))
-
-
-def _fft(pk: DataFrame, cfg: FlowConfig, prefix: str, where: Column | None, psd: bool) -> DataFrame:
-    s = sequence(last_rows(pk, cfg.max_sequence), F.col("pkt_len"), "_s", where).select("flow_id", spectrum("_s").alias("_f"))
-    cells = [F.get("_f.idx", F.lit(k)).alias(f"{prefix}_fft_freq_{k}_idx") for k in range(5)] + [F.get("_f.mag", F.lit(k)).alias(f"{prefix}_fft_mag_{k}") for k in range(5)]
-    cells += [F.col(f"_f.{n}").alias(f"{prefix}_fft_magnitude_{n}") for n in ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")]
-    return s.select("flow_id", *cells, *([F.col("_f.psd").alias("psd_peak")] if psd else []))
-
-
-def fft_global(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return _fft(pk, cfg, "all", None, True)
-
-
-def fft_fwd(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return _fft(pk, cfg, "fwd", F.col("direction") == 1, False)
-
-
-def fft_bwd(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return _fft(pk, cfg, "bwd", F.col("direction") == -1, False)
+    mine, inner = r.tail()
+    new = r.column("_new_chunk", flag(inner & ((F.col("direction") != r.lag("direction")) | (r.iat() > r.cfg.chunk_gap_us))), 0, 1)
+    r.cell("chunk", F.when(mine, r.so_far("_chunk", new)), size=F.col("pkt_len"))
+    every = r.after("_chunks", F.sort_array(r.cell_agg("_chunk_list", F.collect_list(F.when(F.col("grain") == "chunk", F.struct("key", "size"))))))
+    r.out(dl_chunk_seq=F.array_join(F.transform(every, lambda s: s["size"]), ","), dl_chunk_seq_len=F.size(every))
+
+
+@feature_group
+def rate_sequences(r: Recipe) -> None:
+    """Bits a second of each time bin from the first packet of the tail to the last, empty ones too."""
+    (mine, _), size, way = r.tail(), F.col("pkt_len"), F.col("direction")
+    begin = r.total("_tail_begin", "min", F.when(mine, F.col("ts_us")), 1)
+    r.cell("rate", F.when(mine, F.floor((F.col("ts_us") - begin) / r.cfg.rate_bin_us)), up=F.when(way == 1, size), down=F.when(way == -1, size))
+    mine = F.col("grain") == "rate"
+    bins, last = r.cell_agg("_bins", F.collect_list(F.when(mine, F.struct("key", F.struct("up", "down"))))), r.cell_agg("_last_bin", F.max(F.when(mine, F.col("key"))))
+    by_bin = r.after("_by_bin", F.map_from_entries(bins))
+    rate = lambda way: r.after(f"_{way}_rate", F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.coalesce(F.try_element_at(by_bin, k)[way], F.lit(0)) * 8 / (r.cfg.rate_bin_us / 1e6)))
+    up, down = rate("up"), rate("down")
+    r.out(uplink_rate_seq=short_numbers(up), downlink_rate_seq=short_numbers(down), uplink_rate_seq_len=F.size(up), downlink_rate_seq_len=F.size(down))
+
+
+def _fft(r: Recipe, prefix: str, way: int | None) -> None:
+    kept = kept_packets(r)
+    mine = F.filter(kept, lambda s: s.direction == way) if way else kept
+    f = r.after(f"_{prefix}_spectrum", spectrum(F.transform(mine, lambda s: s.pkt_len)))
+    r.out(
+        **{f"{prefix}_fft_freq_{k}_idx": F.get(f["idx"], F.lit(k)) for k in range(5)}, **{f"{prefix}_fft_mag_{k}": F.get(f["mag"], F.lit(k)) for k in range(5)},
+        **{f"{prefix}_fft_magnitude_{n}": f[n] for n in ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")}, **({} if way else {"psd_peak": f["psd"]}),
+    )
+
+
+@feature_group
+def fft_global(r: Recipe) -> None:
+    _fft(r, "all", None)
+
+
+@feature_group
+def fft_fwd(r: Recipe) -> None:
+    _fft(r, "fwd", 1)
+
+
+@feature_group
+def fft_bwd(r: Recipe) -> None:
+    _fft(r, "bwd", -1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FlowConfig
-from ..functions.kernels import of_flow, in_order, so_far, RunningStats, Stats, autocorrelations, entropy, joined, quantile, running_terms, summarized
+from ..functions.kernels import Lagged, RunningStats, Stats, entropy, flag
+from ..functions.recipe import Recipe, feature_group
+
+LAGS = (1, 2, 3, 4, 5)
 
 
 def forward() -> Column:
@@ -21,157 +23,173 @@ def ways() -> tuple[tuple[str, Column], ...]:
     return ("fwd", forward()), ("bwd", backward())
 
 
-def counters(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    """Counts and bytes, ratios, duration: what a flow shows without order, combined before the shuffle."""
-    n, b = F.count(F.lit(1)), F.sum("pkt_len")
-    out = pk.groupBy("flow_id").agg(
-        n.alias("total_packets"), F.count_if(forward()).alias("fwd_packets"), F.count_if(backward()).alias("bwd_packets"), b.alias("total_bytes"),
-        F.coalesce(F.sum(F.when(forward(), F.col("pkt_len"))), F.lit(0)).alias("fwd_bytes"), F.coalesce(F.sum(F.when(backward(), F.col("pkt_len"))), F.lit(0)).alias("bwd_bytes"),
-        ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("_duration"), F.min("ts_us").alias("_first"), F.min("proto").alias("_proto"), F.max_by("direction", "pkt_no").alias("stream_dir"),
+def counts(r: Recipe) -> None:
+    """Counts, bytes and times of a flow."""
+    r.agg("_n", F.count(F.lit(1)))
+    r.agg("_bytes", F.sum("pkt_len"))
+    for w, c in ways():
+        r.agg(f"_{w}_n", F.count_if(c))
+        r.agg(f"_{w}_bytes", F.coalesce(F.sum(F.when(c, F.col("pkt_len"))), F.lit(0)))
+    r.agg("_duration", (F.max("ts_us") - F.min("ts_us")) / 1e6)
+
+
+@feature_group
+def counters(r: Recipe) -> None:
+    """What a flow shows without order, combined before the shuffle."""
+    counts(r)
+    first, proto = r.agg("_first", F.min("ts_us")), r.agg("_proto", F.min("proto"))
+    r.out(
+        total_packets=F.col("_n"), fwd_packets=F.col("_fwd_n"), bwd_packets=F.col("_bwd_n"), total_bytes=F.col("_bytes"), fwd_bytes=F.col("_fwd_bytes"), bwd_bytes=F.col("_bwd_bytes"),
+        stream_dir=r.agg("_last_direction", F.max_by("direction", "pkt_no")), createtime=F.when(proto == 0, first).otherwise(0), trans_proto=proto,
     )
-    return out.withColumns({"createtime": F.when(F.col("_proto") == 0, F.col("_first")).otherwise(0), "trans_proto": F.col("_proto")})
 
 
-def _ratio(a: str, b: str):
+def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) == 0, F.lit(float("inf"))).otherwise(F.col(a) / F.col(b))
 
 
-def basic_ratios(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
+@feature_group
+def basic_ratios(r: Recipe) -> None:
+    counts(r)
     part = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
-    return counters(pk, cfg).select("flow_id", _ratio("fwd_packets", "bwd_packets").alias("fwd_bwd_packet_ratio"), _ratio("fwd_bytes", "bwd_bytes").alias("fwd_bwd_byte_ratio"), part("total_bytes", "total_packets").alias("avg_packet_length"), part("fwd_bytes", "fwd_packets").alias("fwd_avg_packet_length"), part("bwd_bytes", "bwd_packets").alias("bwd_avg_packet_length"))
+    r.out(fwd_bwd_packet_ratio=_ratio("_fwd_n", "_bwd_n"), fwd_bwd_byte_ratio=_ratio("_fwd_bytes", "_bwd_bytes"), avg_packet_length=part("_bytes", "_n"), fwd_avg_packet_length=part("_fwd_bytes", "_fwd_n"), bwd_avg_packet_length=part("_bwd_bytes", "_bwd_n"))
 
 
-def basic_payload_dir(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    stats = [Stats(f"{w}_payload", F.when(c & (F.col("payload_len") > 0), F.col("payload_len")), True) for w, c in ways()]
-    more = [a for w, c in ways() for a in (F.coalesce(F.sum(F.when(c, F.col("payload_len"))), F.lit(0)).alias(f"_{w}_total"), F.count_if(c).alias(f"_{w}_n"))]
-    then = []
-    for w, _ in ways():
-        n = F.col(f"_{w}_n")
-        then += [F.col(f"_{w}_total").alias(f"{w}_total_payload"), n, F.when(n > 0, F.col(f"_{w}_total") / n).alias(f"{w}_payload_mean_all")]
-    out = summarized(pk, stats, more, then)
-    for w, _ in ways():
-        some = F.col(f"_{w}_n") > 0
-        out = out.withColumns({f"{w}_payload_mean": F.col(f"{w}_payload_mean_all"), **{f"{w}_payload_{s}": F.when(some, F.coalesce(f"{w}_payload_{s}", F.lit(0.0))) for s in ("std", "min", "max")}}).drop(f"_{w}_n", f"{w}_payload_mean_all")
-    return out
+@feature_group
+def basic_payload_dir(r: Recipe) -> None:
+    counts(r)
+    size = F.col("payload_len")
+    for w, c in ways():
+        total, n, p = r.agg(f"_{w}_total", F.coalesce(F.sum(F.when(c, size)), F.lit(0))), F.col(f"_{w}_n"), f"{w}_payload"
+        some = Stats(r, p, F.when(c & (size > 0), size), True).columns()
+        r.out(**some | {f"{w}_total_payload": total, f"{p}_mean": F.when(n > 0, total / n), **{f"{p}_{s}": F.when(n > 0, F.coalesce(some[f"{p}_{s}"], F.lit(0.0))) for s in ("std", "min", "max")}})
 
 
-def basic_first_n(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return summarized(pk.where(F.col("pkt_no") <= cfg.first_n_packets), [Stats("first_n_packets_length", "pkt_len", True)])
+@feature_group
+def basic_first_n(r: Recipe) -> None:
+    r.out(**Stats(r, "first_n_packets_length", F.when(F.col("pkt_no") <= r.cfg.first_n_packets, F.col("pkt_len")), True).columns())
 
 
-def basic_pkt_length(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    stats = [Stats(f"{w}_packet_length", F.when(c, F.col("pkt_len")), True) for w, c in ways()]
+@feature_group
+def basic_pkt_length(r: Recipe) -> None:
     size = F.col("pkt_len")
-    more = [F.avg((size <= cfg.small_pkt_threshold).cast("int")).alias("small_packet_ratio"), F.avg((size >= cfg.large_pkt_threshold).cast("int")).alias("large_packet_ratio")]
-    return summarized(pk, stats, more, ["small_packet_ratio", "large_packet_ratio", *[s.cv() for s in stats]])
-
-
-def gaps(pk: DataFrame) -> DataFrame:
-    """pk with iat: µs since the flow's last packet, null for its first."""
-    return pk.withColumn("iat", F.col("ts_us") - F.lag("ts_us").over(in_order()))
-
-
-def iat_stats(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    g = running_terms(gaps(pk), iat="iat")
-    before = F.lag("iat").over(in_order())
-    g = g.withColumn("_ratio", F.when(before > 0, F.col("iat") / before))
-    run, seq, log = RunningStats("iat", "iat", False), Stats("iat_sequence", "iat", False), Stats("log_iat_sequence", F.log1p("iat"), False)
-    out = summarized(g, [run, seq, log], [F.avg("_ratio").alias("_r")], [run.cv().alias("interval_coefficient_of_variation"), F.coalesce("_r", F.lit(0.0)).alias("interval_ratio_mean")])
-    lo, hi = F.min("iat").over(of_flow()), F.max("iat").over(of_flow())
-    binned = g.select("flow_id", F.when(hi > lo, F.floor((F.col("iat") - lo) / (hi - lo) * 31)).otherwise(F.when(F.col("iat").isNotNull(), 0)).alias("bin"))
-    out = joined(out, entropy(binned, "bin", "iat_entropy"), autocorrelations(g, "iat", "iat_autocorr_lag"))
-    zero = ["iat_median", "iat_q1", "iat_q3", "iat_entropy", "interval_ratio_mean", "interval_coefficient_of_variation", "iat_mean", "iat_std", "iat_skew", "iat_kurt", *[c for c in out.columns if "sequence" in c or "autocorr" in c]]
-    return out.fillna(0.0, zero)
-
-
-def iat_fwd_bwd(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
+    for w, c in ways():
+        s = Stats(r, f"{w}_packet_length", F.when(c, size), True)
+        r.out(**s.columns(), **{f"{w}_packet_length_cv": s.cv()})
+    r.out(small_packet_ratio=r.agg("_small", F.avg(flag(size <= r.cfg.small_pkt_threshold))), large_packet_ratio=r.agg("_large", F.avg(flag(size >= r.cfg.large_pkt_threshold))))
+
+
+@feature_group
+def iat_stats(r: Recipe) -> None:
+    iat, before = r.iat(), r.lag("iat", 1, 1)
+    ratio = r.agg("_iat_ratio", F.avg(F.when(before > 0, iat / before)))
+    run, seq, log = RunningStats(r, "iat", iat, False), Stats(r, "iat_sequence", iat, False), Stats(r, "log_iat_sequence", F.log1p("iat"), False)
+    lo, hi = r.total("_iat_lo", "min", iat, 1), r.total("_iat_hi", "max", iat, 1)
+    r.cell("iat", F.when(hi > lo, F.floor((iat - lo) / (hi - lo) * 31)).otherwise(F.when(iat.isNotNull(), 0)), n=F.lit(1))
+    lagged = Lagged(r, "iat_lag", iat - lo, {k: r.lag("iat", k, 1) - lo for k in LAGS})
+    columns = {**run.columns(), **seq.columns(), **log.columns(), "interval_coefficient_of_variation": run.cv(), "interval_ratio_mean": ratio, "iat_entropy": entropy(r, "iat", "iat_entropy"), **lagged.correlations("iat_autocorr_lag")}
+    r.out(**{name: c if name in ("iat_min", "iat_max") else F.coalesce(c, F.lit(0.0)) for name, c in columns.items()})
+
+
+@feature_group
+def iat_fwd_bwd(r: Recipe) -> None:
     """Gaps between packets of one direction; the flow's first packet starts none."""
-    own = Window.partitionBy("flow_id", "direction").orderBy("pkt_no")
-    g = pk.where("pkt_no > 1 AND direction <> 0").withColumn("_gap", F.col("ts_us") - F.lag("ts_us").over(own))
-    g = g.withColumns({f"_{w}": F.when(c, F.col("_gap")) for w, c in ways()})
-    g = running_terms(g, fwd_iat="_fwd", bwd_iat="_bwd")
-    stats = [RunningStats(f"{w}_iat", f"_{w}", False) for w, _ in ways()]
-    return summarized(g, stats, [], [s.cv() for s in stats])
-
-
-def iat_active(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    thr, iat = cfg.active_iat_threshold_us, F.col("iat")
-    out = gaps(pk).groupBy("flow_id").agg((F.coalesce(F.sum(F.when(iat <= thr, iat)), F.lit(0)) / 1e6).alias("active_time"), (F.coalesce(F.sum(F.when(iat > thr, iat)), F.lit(0)) / 1e6).alias("idle_time"))
-    total = F.col("active_time") + F.col("idle_time")
-    return out.withColumn("active_time_ratio", F.when(total > 0, F.col("active_time") / total))
+    for w, c in ways():
+        mine = (F.col("pkt_no") > 1) & c
+        gap = r.column(f"_{w}_gap", F.when(mine, F.col("ts_us") - r.last(f"_{w}_ts", F.when(mine, F.col("ts_us")))))
+        s = RunningStats(r, f"{w}_iat", gap, False)
+        r.out(**s.columns(), **{f"{w}_iat_cv": s.cv()})
+
+
+@feature_group
+def iat_active(r: Recipe) -> None:
+    thr, iat = r.cfg.active_iat_threshold_us, r.iat()
+    active, idle = (r.agg(name, F.coalesce(F.sum(F.when(c, iat)), F.lit(0)) / 1e6) for name, c in (("_active", iat <= thr), ("_idle", iat > thr)))
+    r.out(active_time=active, idle_time=idle, active_time_ratio=F.when(active + idle > 0, active / (active + idle)))
+
+
+@feature_group
+def iat_response(r: Recipe) -> None:
+    """Delays (ms) of a backward packet since the forward one that is the last with a direction before it."""
+    before = r.last("_with_direction", F.when(F.col("direction") != 0, F.struct("direction", "ts_us")))
+    delay = r.column("_delay", F.when(backward() & (before["direction"] == 1), (F.col("ts_us") - before["ts_us"]) / 1000))
+    s = Stats(r, "response_delay", delay, False)
+    r.out(**s.columns(), is_interactive_session=flag(s.mean < r.cfg.interactive_threshold_ms))
+
+
+@feature_group
+def burst(r: Recipe) -> None:
+    """Packets without a larger gap between them, closed by a later packet, of two at least; a burst lasts to the packet that closes it."""
+    new = r.column("_new_burst", flag(F.coalesce(r.iat(), F.lit(0)) > r.cfg.burst_iat_threshold_us), 0, 1)
+    number, ts = r.so_far("_burst", new), F.col("ts_us")
+    r.cell("burst", number, n=F.lit(1), size=F.col("pkt_len"), begin=F.when((new == 1) | (F.col("pkt_no") == 1), ts))
+    r.cell("burst", F.when(new == 1, number - 1), close=ts, gap=F.col("iat"))  # the packet that closes a burst
+    n, size, gap = F.col("n"), F.col("size"), F.col("gap")
+    closed = (F.col("grain") == "burst") & F.col("close").isNotNull() & (n >= 2)
+    lasts = F.when(closed, F.col("close") - F.col("begin"))
+    add = r.cell_agg
+    count, first = add("_bursts", F.count_if(closed)), add("_first_gap", F.min_by(gap, F.when(closed, F.col("key"))))
+    mean, variance = add("_gap_avg", F.avg(F.when(closed, gap.cast("double")))), add("_gap_var", F.var_samp(F.when(closed, gap.cast("double"))))
+    rest = count - 1  # gaps but the first, which no burst of two comes before
+    rest_mean = F.when(rest > 0, (mean * count - first) / rest)
+    squares = F.greatest(F.lit(0.0), variance * rest - (first - mean) * (first - mean) * count / rest)
+    r.out(
+        burst_count=F.coalesce(count, F.lit(0)), avg_burst_size=add("_size_avg", F.avg(F.when(closed, size))), burst_size_std=F.when(count > 0, F.coalesce(add("_size_sd", F.stddev_samp(F.when(closed, size))), F.lit(0.0))),
+        avg_burst_duration=add("_lasts_avg", F.avg(lasts)) / 1e6, burst_packet_count_mean=add("_packets_avg", F.avg(F.when(closed, n))), burst_packet_rate_peak=add("_peak", F.max(F.when(lasts > 0, n * 1e6 / lasts))),
+        burst_interval_mean=rest_mean / 1e6, burstiness_index=F.when(count == 1, 0.0).when(rest > 1, F.sqrt(squares / (rest - 1)) / rest_mean),
+    )
 
 
-def responses(pk: DataFrame) -> DataFrame:
-    """pk with delay (ms): of a backward packet since the forward one that is the last with a direction before it."""
-    d = pk.where("direction <> 0")
-    before = F.lag(F.struct("direction", "ts_us")).over(in_order())
-    return d.withColumn("delay", F.when(backward() & (before["direction"] == 1), (F.col("ts_us") - before["ts_us"]) / 1000))
+def windows(r: Recipe) -> tuple[Column, Column]:
+    """Packets and bytes of each window, from the flow's first packet on, that has a packet; null for other cells."""
+    w = F.floor((F.col("ts_us") - r.begin()) / (r.cfg.window_size_ms * 1000))
+    r.cell("window", F.when(w < r.cfg.max_windows, w), n=F.lit(1), size=F.col("pkt_len"))
+    mine = F.col("grain") == "window"
+    return F.when(mine, F.col("n")), F.when(mine, F.col("size"))
 
 
-def iat_response(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    out = summarized(responses(pk), [Stats("response_delay", "delay", False)])
-    return out.withColumn("is_interactive_session", F.when(F.col("response_delay_mean").isNotNull(), (F.col("response_delay_mean") < cfg.interactive_threshold_ms).cast("int")))
+@feature_group
+def window_pkt(r: Recipe) -> None:
+    r.out(**Stats(r, "window_packet_count", windows(r)[0], True, cells=True).columns())
 
 
-def bursts(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    """Groups of packets without a larger gap, closed by a later packet, of two at least: size, packets, duration (µs to the closing packet), the gap that closes."""
-    g = gaps(pk).withColumn("_new", (F.coalesce(F.col("iat"), F.lit(0)) > cfg.burst_iat_threshold_us).cast("int")).withColumn("_burst", F.sum("_new").over(so_far()))
-    groups = g.groupBy("flow_id", "_burst").agg(F.sum("pkt_len").alias("size"), F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("start"), F.max("ts_us").alias("last"))
-    next_ = F.lead("start").over(Window.partitionBy("flow_id").orderBy("_burst"))
-    closed = groups.withColumn("next", next_).where("next IS NOT NULL AND packets >= 2")
-    rank = F.row_number().over(Window.partitionBy("flow_id").orderBy("_burst"))
-    return closed.select("flow_id", "size", "packets", (F.col("next") - F.col("start")).alias("duration"), F.when(rank > 1, F.col("next") - F.col("last")).alias("gap"))
+@feature_group
+def window_byte(r: Recipe) -> None:
+    r.out(**Stats(r, "window_byte_count", windows(r)[1], True, cells=True).columns())
 
 
-def burst(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    b = bursts(pk, cfg).groupBy("flow_id").agg(
-        F.count(F.lit(1)).alias("burst_count"), F.avg("size").alias("avg_burst_size"), F.coalesce(F.stddev_samp("size"), F.lit(0.0)).alias("burst_size_std"), (F.avg("duration") / 1e6).alias("avg_burst_duration"),
-        F.avg("packets").alias("burst_packet_count_mean"), F.max(F.when(F.col("duration") > 0, F.col("packets") * 1e6 / F.col("duration"))).alias("burst_packet_rate_peak"),
-        (F.avg("gap") / 1e6).alias("burst_interval_mean"), F.when(F.count("gap") < 1, 0.0).when(F.count("gap") > 1, F.stddev_samp("gap") / F.avg("gap")).alias("burstiness_index"),
+@feature_group
+def behavior_basic(r: Recipe) -> None:
+    counts(r)
+    d, bits = F.col("_duration"), F.col("_bytes") * 8
+    some = lambda v: F.when(d > 0, v)
+    r.out(
+        flow_duration=d, avg_bitrate=some(bits / d), avg_packet_rate=some(F.col("_n") / d), avg_throughput=some(F.col("_bytes") / 1024 / d),
+        is_bulk_transfer=some(flag(bits / d / 1000 > r.cfg.bulk_transfer_kbps)), short_connection_ratio=some(flag(d < r.cfg.short_conn_threshold_s)),
     )
-    return joined(pk.select("flow_id").distinct(), b).fillna(0, ["burst_count"])
-
-
-def windows(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    """Packets and bytes of each window, from the flow's first packet on, that has a packet."""
-    w = cfg.window_size_ms * 1000
-    at = pk.withColumn("_w", F.floor((F.col("ts_us") - F.min("ts_us").over(of_flow())) / w)).where(F.col("_w") < cfg.max_windows)
-    return at.groupBy("flow_id", "_w").agg(F.count(F.lit(1)).alias("packets"), F.sum("pkt_len").alias("bytes"))
-
 
-def window_pkt(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return summarized(windows(pk, cfg), [Stats("window_packet_count", "packets", True)])
 
-
-def window_byte(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    return summarized(windows(pk, cfg), [Stats("window_byte_count", "bytes", True)])
-
-
-def behavior_basic(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    d, bits = F.col("_duration"), F.col("total_bytes") * 8
-    some = lambda v: F.when(d > 0, v)
-    return counters(pk, cfg).select(
-        "flow_id", d.alias("flow_duration"), some(bits / d).alias("avg_bitrate"), some(F.col("total_packets") / d).alias("avg_packet_rate"), some(F.col("total_bytes") / 1024 / d).alias("avg_throughput"),
-        some((bits / d / 1000 > cfg.bulk_transfer_kbps).cast("int")).alias("is_bulk_transfer"), some((d < cfg.short_conn_threshold_s).cast("int")).alias("short_connection_ratio"),
+@feature_group
+def behavior_pattern(r: Recipe) -> None:
+    counts(r)
+    a = F.when((F.col("_fwd_bytes") == 0) & (F.col("_bwd_bytes") == 0), 1.0).otherwise(_ratio("_fwd_bytes", "_bwd_bytes"))
+    iat, size = r.iat(), windows(r)[1]
+    mean, sd = F.coalesce(r.agg("_gap_mean", F.avg(iat)), F.lit(0.0)), F.coalesce(r.agg("_gap_sd", F.stddev_samp(iat)), F.lit(0.0))
+    tcp, udp = (r.agg(f"_proto_{k}", F.avg(flag(F.col("proto") == k))) for k in (0, 1))
+    r.out(
+        flow_asymmetry_ratio=a, flow_pattern=F.when(a < 0.5, "download_heavy").when(a > 2, "upload_heavy").when(a.between(0.8, 1.25), "balanced").otherwise("asymmetric"), protocol_tcp_ratio=tcp, protocol_udp_ratio=udp,
+        peak_bitrate=r.cell_agg("_window_peak", F.max(size)) * 8 / (r.cfg.window_size_ms / 1000), has_regular_intervals=flag(F.when(mean == 0, 0.0).otherwise(sd / mean) < 0.5), protocol_icmp_ratio=F.lit(0.0), protocol_other_ratio=1 - tcp - udp,
     )
 
 
-def behavior_pattern(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    c = counters(pk, cfg)
-    asymmetry = F.when((F.col("fwd_bytes") == 0) & (F.col("bwd_bytes") == 0), 1.0).otherwise(_ratio("fwd_bytes", "bwd_bytes"))
-    c = c.withColumn("flow_asymmetry_ratio", asymmetry)
-    a = F.col("flow_asymmetry_ratio")
-    pattern = F.when(a < 0.5, "download_heavy").when(a > 2, "upload_heavy").when(a.between(0.8, 1.25), "balanced").otherwise("asymmetric")
-    regular = gaps(pk).groupBy("flow_id").agg(F.when(F.coalesce(F.avg("iat"), F.lit(0.0)) == 0, 0.0).otherwise(F.coalesce(F.stddev_samp("iat"), F.lit(0.0)) / F.avg("iat")).alias("_cv"))
-    proto = pk.groupBy("flow_id").agg(F.avg((F.col("proto") == 0).cast("int")).alias("protocol_tcp_ratio"), F.avg((F.col("proto") == 1).cast("int")).alias("protocol_udp_ratio"))
-    rate = windows(pk, cfg).groupBy("flow_id").agg((F.max("bytes") * 8 / (cfg.window_size_ms / 1000)).alias("peak_bitrate"))
-    out = joined(c.select("flow_id", "flow_asymmetry_ratio", pattern.alias("flow_pattern")), regular, proto, rate)
-    return out.withColumns({"has_regular_intervals": (F.col("_cv") < 0.5).cast("int"), "protocol_icmp_ratio": F.lit(0.0), "protocol_other_ratio": 1 - F.col("protocol_tcp_ratio") - F.col("protocol_udp_ratio")}).drop("_cv")
-
-
-def behavior_bitrate(pk: DataFrame, cfg: FlowConfig) -> DataFrame:
-    w = windows(pk, cfg).withColumn("rate", F.col("bytes") * 8 / (cfg.window_size_ms / 1000))
-    share = F.col("bytes") / F.sum("bytes").over(of_flow())
-    w = w.withColumn("_term", F.when(share > 0, -share * F.log2(share)).otherwise(0.0))
-    s = Stats("instant_bitrate", "rate", False)
-    return summarized(w, [s], [F.avg("_term").alias("traffic_entropy_ts_mean"), F.max("_term").alias("traffic_entropy_ts_peak")], ["traffic_entropy_ts_mean", "traffic_entropy_ts_peak", *[quantile(F.col(s.a + "_all"), p, False).alias(f"bitrate_percentile_{p}") for p in (25, 50, 75, 90)]])
+@feature_group
+def behavior_bitrate(r: Recipe) -> None:
+    """A flow has at most max_windows windows, so their bytes fit into an array."""
+    size = windows(r)[1]
+    rate = size * 8 / (r.cfg.window_size_ms / 1000)
+    s = Stats(r, "instant_bitrate", rate, False, cells=True)
+    ranks, every = r.cell_agg("_rate_p", F.percentile(rate, [0.25, 0.5, 0.75, 0.9])), r.cell_agg("_window_sizes", F.collect_list(size))
+    total = F.aggregate(every, F.lit(0).cast("long"), lambda a, x: a + x)
+    terms = F.transform(every, lambda x: F.when(x > 0, -x / total * F.log2(x / total)).otherwise(0.0))
+    mean = F.when(F.size(every) > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(every))
+    r.out(**s.columns(), traffic_entropy_ts_mean=mean, traffic_entropy_ts_peak=F.array_max(terms), **{f"bitrate_percentile_{p}": F.get(ranks, F.lit(k)) for k, p in enumerate((25, 50, 75, 90))})

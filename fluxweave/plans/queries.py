@@ -44,10 +44,8 @@ def plain(df: DataFrame, digits: int = 4) -> DataFrame:
 
 def _query(view: str, cfg: FlowConfig, group: Callable[[DataFrame, FlowConfig], DataFrame], columns: list[str] | None, digits: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pk = engine.complete(VIEWS[view](spark, sf_dir))
-        found = group(pk, cfg)
-        found = found.select("flow_id", *columns) if columns else found
-        return plain(pk.select("flow_id").distinct().join(found, "flow_id", "left"), digits)
+        found = engine.features(VIEWS[view](spark, sf_dir), cfg, [group])
+        return plain(found.select("flow_id", *columns) if columns else found, digits)
 
     return run
 
@@ -70,7 +68,7 @@ def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name: view, thresholds, group, columns (None: all), digits.
 QUERIES = {
-    "flow_counters": ("events", EVENTS, lambda pk, c: G.counters(pk, c).select("flow_id", "total_packets", "fwd_packets", "bwd_packets", "total_bytes", "fwd_bytes", "bwd_bytes", "createtime", "trans_proto", "stream_dir"), None, 4),
+    "flow_counters": ("events", EVENTS, G.counters, None, 4),
     "basic_ratios": ("events", EVENTS, G.basic_ratios, None, 4),
     "payload_dir": ("lines", DAYS, G.basic_payload_dir, None, 4),
     "first_n": ("events", EVENTS, G.basic_first_n, None, 4),

@@ -15,7 +15,8 @@ from ..config import FlowConfig
 from ..operators.headers import FIN, RST
 from ..plans.engine import OPTIONAL, flow_features
 
-_CARRIED = ["ts_us", "direction", "payload_len", "pkt_len", *OPTIONAL]
+_PARTS = OPTIONAL | {"payload": "binary"}
+_CARRIED = ["ts_us", "direction", "payload_len", "pkt_len", *_PARTS]
 
 
 def closed_flows(packets: DataFrame, idle: str = "60 seconds", delay: str = "10 seconds", cfg: FlowConfig = FlowConfig()) -> DataFrame:
@@ -24,7 +25,7 @@ def closed_flows(packets: DataFrame, idle: str = "60 seconds", delay: str = "10
     A flow closes with a FIN or RST, or when event time has passed its last packet by idle; packets later than delay are
     dropped with the watermark. State keeps all packets of an open flow; cfg.max_sequence bounds the sequence groups alone.
     """
-    missing = {c: F.lit(None).cast(t) for c, t in OPTIONAL.items() if c not in packets.columns}
+    missing = {c: F.lit(None).cast(t) for c, t in _PARTS.items() if c not in packets.columns}
     stream = packets.withColumns(missing).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
     fields = {f.name: f for f in stream.schema.fields}
     kept = T.StructType([fields[c] for c in _CARRIED])
