@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .recipe import Recipe
 
+QUARTILES = (0.25, 0.5, 0.75)
 NINE = ("mean", "std", "min", "max", "median", "q1", "q3", "skew", "kurt")
 
 
@@ -21,14 +22,16 @@ def flag(condition: Column) -> Column:
 class Stats:
     """The nine statistics of a value over a flow's packets (or cells) where it is not null.
 
-    Quantiles are read from counts by value, which combine before the shuffle; no flow is gathered in an array.
+    Quantiles are read from counts by value; no flow is gathered in an array.
     """
 
-    def __init__(self, r: Recipe, prefix: str, x: Column, integer: bool, cells: bool = False):
+    def __init__(self, r: Recipe, prefix: str, x: Column, integer: bool, cells: str | None = None):
+        """cells: of cells, by which of their measures x grows."""
         x, a, add = x.cast("double"), f"_{prefix}", r.cell_agg if cells else r.agg
         self.prefix, self.integer = prefix, integer
         self.n, self.mean, self.lo, self.hi = add(a + "_n", F.count(x)), add(a + "_avg", F.avg(x)), add(a + "_lo", F.min(x)), add(a + "_hi", F.max(x))
-        self.deviation, self.ranks = add(a + "_sd", F.stddev_samp(x)), add(a + "_p", F.percentile(x, [0.25, 0.5, 0.75]))
+        self.deviation = add(a + "_sd", F.stddev_samp(x))
+        self.ranks = r.cell_quantiles(prefix, x, list(QUARTILES), cells) if cells else r.quantiles(prefix, x, list(QUARTILES))
         self.add, self.a, self.x = add, a, x
 
     def sd(self) -> Column:
@@ -42,7 +45,7 @@ class Stats:
 
     def columns(self) -> dict[str, Column]:
         some = lambda value: F.when(F.coalesce(self.n, F.lit(0)) > 0, value)
-        q1, median, q3 = (whole(F.get(self.ranks, F.lit(k)), self.integer) for k in range(3))
+        q1, median, q3 = (whole(q, self.integer) for q in self.ranks)
         skew, kurt = self.moments()
         return {f"{self.prefix}_{s}": v for s, v in zip(NINE, (self.mean, some(self.sd()), self.lo, self.hi, median, q1, q3, some(skew), some(kurt)))}
 

@@ -50,6 +50,10 @@ class Recipe:
         self.aggregates: dict[str, Column] = {}
         self.cells: dict[tuple[str, ...], tuple[Column, dict[str, Column]]] = {}
         self.cell_aggregates: dict[str, Column] = {}
+        self.gathers: dict[str, Column] = {}
+        self.cell_gathers: dict[str, Column] = {}
+        self.ranked: dict[str, tuple[Column, list[float]]] = {}
+        self.cell_orders: set[tuple[str, float]] = set()
         self.afters: dict[str, Column] = {}
         self.outputs: dict[str, Column] = {}
 
@@ -83,13 +87,33 @@ class Recipe:
         return F.col(name)
 
     def agg(self, name: str, aggregate: Column) -> Column:
+        """An aggregate of packets with a buffer of fixed size; gathered() is for others."""
         self.aggregates[name] = aggregate
         return F.col(name)
 
+    def gathered(self, name: str, aggregate: Column) -> Column:
+        """A bounded array or a text of a flow's packets: kept apart, so that the other aggregates stay in rows of fixed size."""
+        self.gathers[name] = aggregate
+        return F.col(name)
+
+    def quantiles(self, name: str, x: Column, shares: list[float]) -> list[Column]:
+        """Quantiles of a value of packets, between neighbouring ranks by proportion; read from running counts of the values in order."""
+        self.ranked[name] = (x, shares)
+        return [F.col(f"_{name}_q{k}") for k in range(len(shares))]
+
+    def cell_quantiles(self, name: str, x: Column, shares: list[float], by: str) -> list[Column]:
+        """The same of a value of cells that grows with their measure by (n or size) within a grain."""
+        self.cell_orders |= {(by, share) for share in shares}
+        return [self.cell_agg(f"_{name}_q{k}", F.sum(x.cast("double") * F.col(_by(by, share)))) for k, share in enumerate(shares)]
+
     def cell(self, grain: str, key: Column, **sums: Column) -> None:
         """Packets with a key that is not null add to the cell of that key; measures are summed, null is none."""
         self.cells[grain, *sums] = (key, sums)
 
+    def cell_gathered(self, name: str, aggregate: Column) -> Column:
+        self.cell_gathers[name] = aggregate
+        return F.col(name)
+
     def cell_agg(self, name: str, aggregate: Column) -> Column:
         self.cell_aggregates[name] = aggregate
         return F.col(name)
@@ -104,7 +128,7 @@ class Recipe:
 
     def needed(self, columns: list[str]) -> list[str]:
         """Those of the columns that anything of packets names."""
-        every = [*self.made.values(), *self.aggregates.values(), *(c for key, sums in self.cells.values() for c in (key, *sums.values()))]
+        every = [*self.made.values(), *self.aggregates.values(), *self.gathers.values(), *(x for x, _ in self.ranked.values()), *(c for key, sums in self.cells.values() for c in (key, *sums.values()))]
         for layer in self.layers:
             every += [*layer.lasts.values(), *layer.sums.values(), *(v for _, v in layer.totals.values()), *(c for columns in layer.columns for c in columns.values()), *(F.col(c) for c, _ in layer.lags.values())]
         named = set(re.findall(r"\w+", " ".join(map(str, every)))) | {"pkt_no"}
@@ -163,15 +187,39 @@ def _dealt(pk: DataFrame, segment: int) -> DataFrame:
     place = F.col("pkt_no") - 1
     own = F.floor(place / segment).cast("int")
     to = F.when(place % segment >= segment - HALO, F.array(own, own + 1)).otherwise(F.array(own))
-    packed = pk.select("flow_id", F.array(F.struct(*[c for c in pk.columns if c != "flow_id"])).alias("_p"), own.alias("_own"), F.explode(to).alias("_segment"))
-    # In an array, no reader's columns can be pruned below the exchange: so it is the same for all readers, and reused.
-    dealt = packed.select("flow_id", "_segment", "_p", (F.col("_own") < F.col("_segment")).alias("_halo")).repartition("flow_id", "_segment")
-    return dealt.select("flow_id", "_segment", "_halo", *[F.get("_p", F.lit(0))[c].alias(c) for c in pk.columns if c != "flow_id"])
+    each = pk.select("*", own.alias("_own"), F.explode(to).alias("_segment")).withColumn("_halo", F.col("_own") < F.col("_segment"))
+    # What is in an array is neither pruned nor filtered below the exchange: so that is the same for all readers, and made once.
+    packed = each.select("flow_id", "_segment", F.array(F.struct("_halo", *[c for c in pk.columns if c != "flow_id"])).alias("_p"))
+    return packed.repartition("flow_id", "_segment").select("flow_id", "_segment", F.inline("_p"))
+
+
+def _by(measure: str, share: float) -> str:
+    return f"_{measure}_{round(1000 * share)}"
+
+
+def _weight(before: Column, upto: Column, n: Column, share: float) -> Column:
+    """What part of a quantile of n values a value is that has the ranks from before (the first is 0) to upto; it lies between two ranks by proportion."""
+    place = F.lit(float(share)) * (n - 1)
+    low = F.floor(place)
+    over, inside = place - low, lambda rank: ((before <= rank) & (rank < upto)).cast("double")
+    return inside(low) * (1 - over) + inside(F.least(low + 1, n - 1)) * over
+
+
+def _ranked(rows: DataFrame, asked: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """A flow's quantiles of several values: equal values are counted before the shuffle, their counts summed up in order, ranks read from the sums."""
+    each = rows.select("flow_id", F.explode(F.array(*[F.struct(F.lit(k).alias("which"), x.cast("double").alias("v")) for k, (x, _) in enumerate(asked.values())])).alias("x")).where("x.v IS NOT NULL")
+    counts = each.groupBy("flow_id", F.col("x.which").alias("which"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("flow_id", "which").orderBy("v")
+    counts = counts.withColumns({"_upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    shares = sorted({share for _, s in asked.values() for share in s})
+    counts = counts.select("flow_id", "which", *[(F.col("v") * _weight(F.col("_upto") - F.col("n"), F.col("_upto"), F.col("_all"), share)).alias(f"_{j}") for j, share in enumerate(shares)])
+    return counts.groupBy("flow_id").agg(*[F.sum(F.when(F.col("which") == k, F.col(f"_{shares.index(share)}"))).alias(f"_{name}_q{j}") for k, (name, (_, s)) in enumerate(asked.items()) for j, share in enumerate(s)])
 
 
 def table(pk: DataFrame, r: Recipe) -> DataFrame:
-    """A row for each flow of pk: flow_id and the recipe's output columns."""
-    rows = pk.withColumns(r.made) if r.made else pk
+    """A row for each flow of pk: flow_id and the recipe's output columns. Packets without a flow_id are left out."""
+    rows = pk.where("flow_id IS NOT NULL")
+    rows = rows.withColumns(r.made) if r.made else rows
     if any(layer.ordered for layer in r.layers):
         rows = _dealt(rows.select("flow_id", *r.needed(rows.columns)), r.cfg.segment)
         for layer in r.layers:
@@ -180,17 +228,51 @@ def table(pk: DataFrame, r: Recipe) -> DataFrame:
     else:
         for columns in (c for layer in r.layers for c in layer.columns if c):
             rows = rows.withColumns(columns)
-    out = rows.groupBy("flow_id").agg(*[a.alias(name) for name, a in r.aggregates.items()]) if r.aggregates else rows.select("flow_id").distinct()
+    grouped = lambda of, aggregates: of.groupBy("flow_id").agg(*[a.alias(name) for name, a in aggregates.items()])
+    parts = [grouped(rows, r.aggregates or {"_any": F.first(F.lit(1))})]
+    if r.gathers:
+        parts.append(grouped(rows, r.gathers))
+    if r.ranked:
+        parts.append(_ranked(rows, r.ranked))
     if r.cells:
         measures = list(dict.fromkeys(m for _, sums in r.cells.values() for m in sums))
         part = lambda grain, key, sums: F.struct(F.lit(grain).alias("grain"), key.cast("long").alias("key"), *[sums.get(m, F.lit(None)).cast("long").alias(m) for m in measures])
         each = rows.select("flow_id", F.explode(F.array(*[part(name[0], key, sums) for name, (key, sums) in r.cells.items()])).alias("c")).where("c.key IS NOT NULL")
         cells = each.groupBy("flow_id", F.col("c.grain").alias("grain"), F.col("c.key").alias("key")).agg(*[F.sum(f"c.{m}").alias(m) for m in measures])
-        of_cells = cells.groupBy("flow_id").agg(*[a.alias(name) for name, a in r.cell_aggregates.items()])
-        out = out.join(of_cells, "flow_id", "left")
+        if r.cell_aggregates:
+            of_grain, weighed = Window.partitionBy("flow_id", "grain"), cells
+            for by in sorted({by for by, _ in r.cell_orders}):
+                weighed = weighed.withColumns({f"_at_{by}": F.row_number().over(of_grain.orderBy(by)), "_cells": F.count(F.lit(1)).over(of_grain)})
+            weighed = weighed.withColumns({_by(by, share): _weight(F.col(f"_at_{by}") - 1, F.col(f"_at_{by}"), F.col("_cells"), share) for by, share in sorted(r.cell_orders)}) if r.cell_orders else cells
+            parts.append(grouped(weighed, r.cell_aggregates))
+        if r.cell_gathers:
+            parts.append(grouped(cells, r.cell_gathers))
+    return _finished(parts, r)
+
+
+def _finished(parts: list[DataFrame], r: Recipe) -> DataFrame:
+    """The parts side by side. What needs the columns of one part is computed there, so that joins and vectorised functions see narrow rows."""
+    known = {name for part in parts for name in part.columns} - {"flow_id"}
+    words_of = lambda column: set(re.findall(r"\w+", str(column))) & known
+    home = lambda needs: next((k for k, part in enumerate(parts) if needs <= set(part.columns)), None)
+    late = {}
     for name, column in r.afters.items():
+        k = home(words_of(column))
+        known.add(name)
+        if k is None:
+            late[name] = column
+        else:
+            parts[k] = parts[k].withColumn(name, column)
+    needs = {name: words_of(column) for name, column in r.outputs.items()}
+    homes = {name: None if need & set(late) else home(need) for name, need in needs.items()}
+    shared = set().union(*(need for name, need in needs.items() if homes[name] is None), *map(words_of, late.values()))
+    out = None
+    for k, part in enumerate(parts):
+        mine = part.select("flow_id", *[c for c in part.columns if c in shared], *[r.outputs[name].alias(name) for name, at in homes.items() if at == k])
+        out = mine if out is None else out.join(mine, "flow_id", "left")
+    for name, column in late.items():
         out = out.withColumn(name, column)
-    return out.select("flow_id", *[c.alias(name) for name, c in r.outputs.items()])
+    return out.select("flow_id", *[(c if homes[name] is None else F.col(name)).alias(name) for name, c in r.outputs.items()])
 
 
 def feature_group(ask: Callable[[Recipe], None]) -> Callable[[DataFrame, FlowConfig], DataFrame]:

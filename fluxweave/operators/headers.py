@@ -91,7 +91,7 @@ def port(r: Recipe) -> None:
     again = r.column("_again", mine & F.coalesce(F.col("tcp_seq") <= before, F.lit(False)))
     sent, repeated, first = r.agg("_sent", F.count_if(mine)), r.agg("_repeated", F.count_if(again)), r.agg("_seq", F.max_by("tcp_seq", F.when(mine & (way == 1), F.col("pkt_no"))))
     reset = r.column("_reset_gap", F.when(has(RST), (F.col("ts_us") - r.last("_reset_ts", F.when(has(RST), F.col("ts_us")))) / 1e6))
-    src, dst, sp, dp = (r.agg(f"_last_{c}", F.max_by(c, "pkt_no")) for c in ("src_ip", "dst_ip", "src_port", "dst_port"))
+    src, dst, sp, dp = (r.gathered(f"_last_{c}", F.max_by(c, "pkt_no")) for c in ("src_ip", "dst_ip", "src_port", "dst_port"))
     low = lambda c: r.agg(f"_low_{c}", F.avg(flag(F.col(c) < 1024)))
     r.out(
         avg_retransmission_rate=F.when(sent > 0, repeated / sent).otherwise(0.0), tcpseqfaultcnt=repeated, tcpseqsntbytes=r.agg("_sent_bytes", F.coalesce(F.sum(F.when(mine, F.col("payload_len"))), F.lit(0))), tcpiseqn=first, rst_trigger_interval=r.agg("_reset_mean", F.avg(reset)),
@@ -193,7 +193,7 @@ def first_bytes(r: Recipe) -> Column:
     """The first HEAD payload bytes of a flow, of its first HEAD non-empty packets at most."""
     before, packets = r.so_far("_bytes_so_far", F.col("payload_len")) - F.col("payload_len"), r.so_far("_non_empty_so_far", flag(has_bytes()))
     part = r.column("_head", payload(r, F.when(has_bytes() & (packets <= HEAD) & (before < HEAD), F.hex(F.substring("payload", 1, HEAD))), "string"), 1)
-    parts = r.agg("_heads", F.collect_list(F.when(part.isNotNull(), F.struct("pkt_no", part.alias("h")))))
+    parts = r.gathered("_heads", F.collect_list(F.when(part.isNotNull(), F.struct("pkt_no", part.alias("h")))))
     text = F.substring(F.array_join(F.transform(F.sort_array(parts), lambda s: s.h), ""), 1, 2 * HEAD)
     return r.after("_first_bytes", F.when(F.size(parts) > 0, F.unhex(text)))
 

@@ -22,7 +22,7 @@ def kept_packets(r: Recipe) -> Column:
     mine, inner = r.tail()
     iat = F.when(inner, r.iat())
     cells = F.concat_ws("/", part("l2_len"), part("l3_len"), part("l4_len"), F.col("payload_len"), F.coalesce(iat, F.lit(0)))
-    every = r.agg("_tail", F.collect_list(F.when(mine, F.struct("pkt_no", "pkt_len", iat.alias("iat"), "direction", cells.alias("cells")))))
+    every = r.gathered("_tail", F.collect_list(F.when(mine, F.struct("pkt_no", "pkt_len", iat.alias("iat"), "direction", cells.alias("cells")))))
     return r.after("_kept", F.sort_array(every))
 
 
@@ -65,8 +65,8 @@ def length_values(r: Recipe) -> dict[str, Column]:
     different, total = r.cell_agg("_sizes", F.count_if(here)), r.cell_agg("_sizes_n", F.sum(F.when(here, n)))
     terms, large = r.cell_agg("_sizes_t", F.sum(F.when(here & (key < LARGEST - 1), n * F.log2(n)))), r.cell_agg("_sizes_l", F.sum(F.when(here & (key >= LARGEST - 1), n)))
     rest = F.coalesce(terms, F.lit(0.0)) + F.coalesce(large * F.log2(large), F.lit(0.0))
-    ranks, most = r.agg("_size_p", F.percentile(size.cast("double"), [p / 100 for p in PERCENTILES[:-1]])), r.agg("_size_max", F.max(size))
-    columns = {f"packet_length_percentile_{p}": F.floor(F.get(ranks, F.lit(k))).cast("double") for k, p in enumerate(PERCENTILES[:-1])} | {"packet_length_percentile_100": most.cast("double")}
+    ranks, most = r.quantiles("tail_size", size, [p / 100 for p in PERCENTILES[:-1]]), r.agg("_size_max", F.max(size))
+    columns = {f"packet_length_percentile_{p}": F.floor(ranks[k]).cast("double") for k, p in enumerate(PERCENTILES[:-1])} | {"packet_length_percentile_100": most.cast("double")}
     return columns | {"length_sequence_unique_ratio": different / total, "packet_length_entropy": F.log2(total) - rest / total}
 
 
@@ -118,7 +118,7 @@ def sequence_stats(r: Recipe) -> None:
     lengths = lagged_in_tail(r, "_size_over", "tail_sizes", F.lit(0), 0, 1)
     gap, before = F.when(inner, r.iat()), F.when(inner, r.lag("pkt_len"))
     r.out(
-        **directions(r), **lengths.correlations("length_autocorr_lag", least=5), **Stats(r, "length_run", length_runs(r), True, cells=True).columns(), **length_values(r), **complexity(r), **periodicity(r), **bigram_columns(r),
+        **directions(r), **lengths.correlations("length_autocorr_lag", least=5), **Stats(r, "length_run", length_runs(r), True, cells="n").columns(), **length_values(r), **complexity(r), **periodicity(r), **bigram_columns(r),
         packet_length_seq_len=n, packet_iat_seq_len=n - 1, packet_direction_seq_len=n, length_iat_correlation=correlation(r, "size_gap", before, gap), length_direction_correlation=correlation(r, "size_way", F.when(mine, sizes), F.col("direction")),
         custom_protocol_length_pattern=F.lit("unknown"), ar_prediction_mse=F.lit(0.0), ar_prediction_mae=F.lit(0.0),
     )
@@ -137,7 +137,7 @@ def chunk_sequences(r: Recipe) -> None:
     mine, inner = r.tail()
     new = r.column("_new_chunk", flag(inner & ((F.col("direction") != r.lag("direction")) | (r.iat() > r.cfg.chunk_gap_us))), 0, 1)
     r.cell("chunk", F.when(mine, r.so_far("_chunk", new)), size=F.col("pkt_len"))
-    every = r.after("_chunks", F.sort_array(r.cell_agg("_chunk_list", F.collect_list(F.when(F.col("grain") == "chunk", F.struct("key", "size"))))))
+    every = r.after("_chunks", F.sort_array(r.cell_gathered("_chunk_list", F.collect_list(F.when(F.col("grain") == "chunk", F.struct("key", "size"))))))
     r.out(dl_chunk_seq=F.array_join(F.transform(every, lambda s: s["size"]), ","), dl_chunk_seq_len=F.size(every))
 
 
@@ -148,7 +148,7 @@ def rate_sequences(r: Recipe) -> None:
     begin = r.total("_tail_begin", "min", F.when(mine, F.col("ts_us")), 1)
     r.cell("rate", F.when(mine, F.floor((F.col("ts_us") - begin) / r.cfg.rate_bin_us)), up=F.when(way == 1, size), down=F.when(way == -1, size))
     mine = F.col("grain") == "rate"
-    bins, last = r.cell_agg("_bins", F.collect_list(F.when(mine, F.struct("key", F.struct("up", "down"))))), r.cell_agg("_last_bin", F.max(F.when(mine, F.col("key"))))
+    bins, last = r.cell_gathered("_bins", F.collect_list(F.when(mine, F.struct("key", F.struct("up", "down"))))), r.cell_agg("_last_bin", F.max(F.when(mine, F.col("key"))))
     by_bin = r.after("_by_bin", F.map_from_entries(bins))
     rate = lambda way: r.after(f"_{way}_rate", F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.coalesce(F.try_element_at(by_bin, k)[way], F.lit(0)) * 8 / (r.cfg.rate_bin_us / 1e6)))
     up, down = rate("up"), rate("down")

@@ -150,12 +150,12 @@ def windows(r: Recipe) -> tuple[Column, Column]:
 
 @feature_group
 def window_pkt(r: Recipe) -> None:
-    r.out(**Stats(r, "window_packet_count", windows(r)[0], True, cells=True).columns())
+    r.out(**Stats(r, "window_packet_count", windows(r)[0], True, cells="n").columns())
 
 
 @feature_group
 def window_byte(r: Recipe) -> None:
-    r.out(**Stats(r, "window_byte_count", windows(r)[1], True, cells=True).columns())
+    r.out(**Stats(r, "window_byte_count", windows(r)[1], True, cells="size").columns())
 
 
 @feature_group
@@ -187,9 +187,9 @@ def behavior_bitrate(r: Recipe) -> None:
     """A flow has at most max_windows windows, so their bytes fit into an array."""
     size = windows(r)[1]
     rate = size * 8 / (r.cfg.window_size_ms / 1000)
-    s = Stats(r, "instant_bitrate", rate, False, cells=True)
-    ranks, every = r.cell_agg("_rate_p", F.percentile(rate, [0.25, 0.5, 0.75, 0.9])), r.cell_agg("_window_sizes", F.collect_list(size))
+    s = Stats(r, "instant_bitrate", rate, False, cells="size")
+    ranks, every = r.cell_quantiles("bitrate", rate, [0.25, 0.5, 0.75, 0.9], "size"), r.cell_gathered("_window_sizes", F.collect_list(size))
     total = F.aggregate(every, F.lit(0).cast("long"), lambda a, x: a + x)
     terms = F.transform(every, lambda x: F.when(x > 0, -x / total * F.log2(x / total)).otherwise(0.0))
     mean = F.when(F.size(every) > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.size(every))
-    r.out(**s.columns(), traffic_entropy_ts_mean=mean, traffic_entropy_ts_peak=F.array_max(terms), **{f"bitrate_percentile_{p}": F.get(ranks, F.lit(k)) for k, p in enumerate((25, 50, 75, 90))})
+    r.out(**s.columns(), traffic_entropy_ts_mean=mean, traffic_entropy_ts_peak=F.array_max(terms), **{f"bitrate_percentile_{p}": ranks[k] for k, p in enumerate((25, 50, 75, 90))})
