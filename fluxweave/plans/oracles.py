@@ -96,6 +96,32 @@ def _flags() -> str:
  coalesce({r(f"(count(*) FILTER (WHERE {has(2)}) - count(*) FILTER (WHERE {has(18)}))/nullif(count(*) FILTER (WHERE {has(2)}),0)")}, 0) AS tcp_half_open_ratio FROM w GROUP BY flow_id"""
 
 
+CAPTURE = """raw AS (SELECT user_id AS flow_id, event_id, epoch_us(ts) AS ts_us, event_id % 3 = 0 AS udp, CASE WHEN event_type IN ('click','signup','purchase') THEN 1 WHEN event_type = 'view' THEN -1 ELSE 0 END AS direction, CAST(floor(value*4) AS BIGINT) AS payload_len,
+ CASE WHEN event_id % 7 <> 0 THEN (5 + event_id % 3)*4 END AS ip, (5 + event_id % 4)*4 AS tcp, CAST(floor(value*4) AS BIGINT) + 30 + event_id % 50 AS raw_len, event_id % 4 <> 2 AS layer2 FROM events),
+ lens AS (SELECT *, coalesce(ip, 0) AS l3_len, CASE WHEN udp THEN 8 WHEN ip IS NULL THEN 0 ELSE tcp END AS l4_len FROM raw), pk AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY ts_us, event_id) AS pkt_no,
+ CASE WHEN layer2 THEN greatest(raw_len - l3_len - l4_len - payload_len, 0) ELSE 0 END AS l2_len, payload_len + l3_len + l4_len + CASE WHEN layer2 THEN greatest(raw_len - l3_len - l4_len - payload_len, 0) ELSE 0 END AS pkt_len FROM lens)"""
+
+
+def _magic() -> str:
+    starts = lambda *p: "len(s) >= 8 AND (" + " OR ".join(f"starts_with(s,'{x}')" for x in p) + ")"
+    flags = {f"payload_magic_{k}": starts(*p) for k, p in {"http_get": ("47455420",), "http_post": ("504F535420",), "ssh": ("5353482D",), "jpeg": ("FFD8",), "png": ("89504E47",), "gif": ("474946383761", "474946383961")}.items()}
+    flags |= {f"payload_magic_tls_{k}": f"len(s) >= 8 AND starts_with(s,'1603') AND substr(s,5,2) IN ({v})" for k, v in {"1_0": "'00','01'", "1_1": "'02'", "1_2": "'03'", "1_3": "'04'"}.items()}
+    magic = list(flags)
+    byte = lambda k: f"CAST('0x' || substr(s,{k},2) AS INTEGER)"
+    flags["payload_looks_like_http"] = starts("47455420", "504F535420", "50555420", "4845414420", "48545450")
+    flags["payload_looks_like_json"] = "len(s) >= 4 AND substr(s,1,2) IN ('7B','5B') AND right(s,2) IN ('7D','5D')"
+    flags["payload_looks_like_xml"] = "len(s) >= 10 AND starts_with(s,'3C')"
+    flags["payload_looks_like_tls"] = "len(s) >= 6 AND substr(s,1,2) IN ('16','17','15') AND substr(s,3,2) = '03'"
+    flags["payload_looks_like_ssh"] = f"len(s) >= 8 AND (starts_with(s,'5353482D') OR ({byte(1)} < 200 AND {byte(3)} < 10))"
+    found = ", ".join(f"max(CAST({c} AS BIGINT)) AS {k}" for k, c in flags.items())
+    return f"""WITH pk AS (SELECT page_id AS flow_id, hex(encode(coalesce(html,''))) AS h FROM pages), seg AS (SELECT flow_id, substr(h, unnest(range(1, len(h)+1, 2920)), 2920) AS s FROM pk),
+ m AS (SELECT flow_id, {found} FROM seg WHERE s <> '' GROUP BY flow_id), b AS (SELECT flow_id, unnest(range(1, len(h), 2)) AS i, CAST('0x' || substr(h, unnest(range(1, len(h), 2)), 2) AS INTEGER) AS v FROM pk),
+ bins AS (SELECT flow_id, v//16 AS bin, CAST(count(*) AS DOUBLE) AS c FROM b GROUP BY ALL), t AS (SELECT flow_id, sum(c)/16 AS e, count(*) AS present FROM bins GROUP BY flow_id),
+ chi AS (SELECT flow_id, {r('sum((c-e)*(c-e)/e) + (16-min(present))*min(e)', 3)} AS payload_chi_square FROM bins JOIN t USING (flow_id) GROUP BY flow_id),
+ f64 AS (SELECT flow_id, v, CAST(count(*) AS DOUBLE) AS c FROM b WHERE i <= 127 GROUP BY ALL), n64 AS (SELECT flow_id, sum(c) AS n FROM f64 GROUP BY flow_id), h64 AS (SELECT flow_id, {r('-sum(c/n*log2(c/n))', 3)} AS payload_first_64_entropy FROM f64 JOIN n64 USING (flow_id) GROUP BY flow_id)
+ SELECT DISTINCT pk.flow_id, m.* EXCLUDE (flow_id), CAST(greatest({', '.join(magic)}) = 0 AS BIGINT) AS payload_magic_unknown, payload_chi_square, payload_first_64_entropy FROM pk LEFT JOIN m USING (flow_id) LEFT JOIN chi USING (flow_id) LEFT JOIN h64 USING (flow_id)"""
+
+
 PORT_CASE = "CASE {} WHEN 20 THEN 'FTP-DATA' WHEN 21 THEN 'FTP' WHEN 22 THEN 'SSH' WHEN 23 THEN 'TELNET' WHEN 25 THEN 'SMTP' WHEN 53 THEN 'DNS' WHEN 80 THEN 'HTTP' WHEN 110 THEN 'POP3' WHEN 143 THEN 'IMAP' WHEN 443 THEN 'HTTPS' WHEN 465 THEN 'SMTPS' WHEN 587 THEN 'SUBMISSION' WHEN 993 THEN 'IMAPS' WHEN 995 THEN 'POP3S' WHEN 3306 THEN 'MYSQL' WHEN 3389 THEN 'RDP' WHEN 5432 THEN 'POSTGRESQL' WHEN 6379 THEN 'REDIS' WHEN 8080 THEN 'HTTP-ALT' WHEN 8443 THEN 'HTTPS-ALT' ELSE 'UNKNOWN' END"
 
 
@@ -184,4 +210,14 @@ def oracle_sql() -> dict[str, str]:
             "s AS (SELECT flow_id, string_agg(format('{:g}', CAST(coalesce(up,0) AS DOUBLE)), ',' ORDER BY k) AS uplink_rate_seq, string_agg(format('{:g}', CAST(coalesce(down,0) AS DOUBLE)), ',' ORDER BY k) AS downlink_rate_seq, count(*) AS uplink_rate_seq_len, count(*) AS downlink_rate_seq_len FROM z LEFT JOIN y USING (flow_id, k) GROUP BY flow_id)",
             select="* EXCLUDE (flow_id)", joins=("s",)),
     }
+    sql["payload_magic"] = _magic()
+    sql["packet_source"] = f"WITH {CAPTURE} SELECT flow_id, pkt_no, event_id, ts_us, CAST(direction AS BIGINT) AS direction, payload_len, l2_len, CAST(l3_len AS BIGINT) AS l3_len, CAST(l4_len AS BIGINT) AS l4_len, pkt_len FROM pk"
+    way = lambda d: f"count(*) FILTER (WHERE direction = {d})"
+    of = lambda d: f"CAST(coalesce(sum(pkt_len) FILTER (WHERE direction = {d}), 0) AS BIGINT)"
+    opening = "o AS (SELECT flow_id, min(pkt_no) AS first FROM pk WHERE udp OR event_id % 5 = 0 GROUP BY flow_id)"
+    sql["opened_flows"] = f"WITH {CAPTURE}, {opening} SELECT flow_id, count(*) AS total_packets, {way(1)} AS fwd_packets, {way(-1)} AS bwd_packets, CAST(sum(pkt_len) AS BIGINT) AS total_bytes, {of(1)} AS fwd_bytes, {of(-1)} AS bwd_bytes, {r('(max(ts_us)-min(ts_us))/1e6')} AS flow_duration FROM pk JOIN o USING (flow_id) WHERE pkt_no >= first GROUP BY flow_id"
+    from .queries import JSON_FIELDS, RECORD
+
+    for name, parts in (("flow_record", RECORD), ("flow_json_fields", JSON_FIELDS)):  # the record is its groups side by side
+        sql[name] = f"SELECT * FROM ({sql[parts[0]]})" + "".join(f" JOIN ({sql[part]}) USING (flow_id)" for part in parts[1:])
     return sql

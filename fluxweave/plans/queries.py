@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from ..config import EVENTS, FlowConfig
 from ..functions.kernels import NINE
+from ..functions.recipe import Recipe
 from ..operators import headers as H
 from ..operators import sequences as S
 from ..operators import timing as G
 from ..sources import packets as P
+from ..sources import raw
 from . import engine
 
 DAYS = replace(EVENTS, rate_bin_us=30 * 24 * 3600 * 10**6)
@@ -31,15 +33,15 @@ def nine(*prefixes: str) -> list[str]:
     return [f"{p}_{s}" for p in prefixes for s in NINE]
 
 
-def plain(df: DataFrame, digits: int = 4) -> DataFrame:
-    """df with rounded doubles, null for what is not finite, and integers of one kind."""
-    out = {}
+def plain(df: DataFrame, digits: int | dict[str, int] = 4) -> DataFrame:
+    """df with doubles rounded to so many digits (of each column), null for what is not finite, and integers of one kind."""
+    out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = F.when(F.abs(f.name) < float("inf"), F.round(f.name, digits) + 0.0)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            out[f.name] = F.col(f.name).cast("long")
-    return df.withColumns(out)
+            out.append(f"CASE WHEN abs(`{f.name}`) < DOUBLE('Infinity') THEN round(`{f.name}`, {digits if isinstance(digits, int) else digits[f.name]}) + 0.0D END AS `{f.name}`")
+        else:
+            out.append(f"CAST(`{f.name}` AS LONG) AS `{f.name}`" if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else f"`{f.name}`")
+    return df.selectExpr(*out)
 
 
 def _query(view: str, cfg: FlowConfig, group: Callable[[DataFrame, FlowConfig], DataFrame], columns: list[str] | None, digits: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -62,6 +64,46 @@ def flow_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.as_json(engine.flow_features(P.from_events(spark, sf_dir), EVENTS))
 
 
+#: Queries whose columns flow_record and flow_json_fields return of the whole record.
+RECORD = ("payload_dir", "tcp_flags", "tcp_window", "ip_ttl_tos", "port_features", "retransmission", "rst_interval", "payload_size", "payload_size_diff", "payload_mod", "length_runs")
+JSON_FIELDS = ("flow_counters", "basic_ratios", "first_n", "pkt_length_dir", "iat_stats", "iat_autocorr", "iat_fwd_bwd", "burst", "behavior_pattern", "length_values", "bigrams", "chunk_sequence", "window_bytes", "response_delay")
+
+
+def _columns(names: tuple[str, ...], cfg: FlowConfig) -> dict[str, int]:
+    """Columns of some queries, with their digits."""
+    found = {}
+    for _, _, group, columns, digits in (QUERIES[name] for name in names):
+        r = Recipe(cfg, [])
+        group.ask(r)
+        found |= dict.fromkeys(columns or r.outputs, digits)
+    return found
+
+
+def flow_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of eleven groups, out of the record of all."""
+    columns = _columns(RECORD, DAYS)
+    return plain(engine.flow_features(P.from_lines(spark, sf_dir), DAYS).select("flow_id", *columns), columns)
+
+
+def flow_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the JSON text of the event flows' record, read back."""
+    columns, record = _columns(JSON_FIELDS, EVENTS), engine.flow_features(P.from_events(spark, sf_dir), EVENTS)
+    schema = T.StructType([record.schema[c] for c in columns])
+    return plain(engine.as_json(record).select("flow_id", F.from_json("value", schema).alias("v")).select("flow_id", "v.*"), columns)
+
+
+def packet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the events as a capture, with recovered lengths, numbered."""
+    pk = raw.numbered(raw.derived(P.raw_events(spark, sf_dir)), "event_id")
+    return plain(pk.select("flow_id", "pkt_no", "event_id", "ts_us", "direction", "payload_len", "l2_len", "l3_len", "l4_len", "pkt_len"))
+
+
+def opened_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the capture's flows from their opening on."""
+    pk = raw.opened(raw.numbered(raw.derived(P.raw_events(spark, sf_dir)), "event_id"))
+    return plain(engine.features(pk, EVENTS, [G.counters, G.behavior_basic]).select("flow_id", "total_packets", "fwd_packets", "bwd_packets", "total_bytes", "fwd_bytes", "bwd_bytes", "flow_duration"))
+
+
 def flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(engine.flow_features(P.from_lines(spark, sf_dir), DAYS))
 
@@ -125,4 +167,4 @@ QUERIES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: _query(*of) for name, of in QUERIES.items()}, "sni_join": sni_join, "flow_json": flow_json, "flow_features": flow_features}
+    return {**{name: _query(*of) for name, of in QUERIES.items()}, "sni_join": sni_join, "flow_json": flow_json, "flow_features": flow_features, "flow_record": flow_record, "flow_json_fields": flow_json_fields, "packet_source": packet_source, "opened_flows": opened_flows}

@@ -1,6 +1,10 @@
 """Hand-computed fixtures, properties, and parity with SQL on the smallest tables."""
 
 import math
+import random
+import zlib
+from collections import Counter
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -11,7 +15,8 @@ from fluxweave.operators import sequences as S
 from fluxweave.operators import timing as T
 from fluxweave.plans import engine, oracles
 from fluxweave.plans import queries as Q
-from fluxweave.sources import packets
+from fluxweave.functions import udfs
+from fluxweave.sources import packets, raw
 
 SF = "/root/testdata/sf0.001"
 F1 = [(1000000, 1, 60, 0), (1000400, -1, 60, 0), (1000900, 1, 52, 0), (1001500, 1, 569, 517), (1041500, -1, 1500, 1448), (1041900, -1, 1500, 1448), (1042300, -1, 700, 648), (1192300, 1, 52, 0), (2292300, 1, 252, 200), (2342300, -1, 52, 0)]
@@ -98,9 +103,64 @@ def test_parity_with_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours = Q.queries()[name](spark, SF)
     theirs = con.sql(oracles.oracle_sql()[name])
-    names, order = sorted(ours.columns), list(theirs.columns)
-    assert sorted(order) == names
-    rows = sorted(tuple(r) for r in ours.select("flow_id", *[c for c in names if c != "flow_id"]).collect())
-    at = [order.index(c) for c in ["flow_id", *[c for c in names if c != "flow_id"]]]
-    for x, y in zip(rows, sorted((tuple(r[k] for k in at) for r in theirs.fetchall()), key=lambda r: r[0]), strict=True):
+    keys, order = [c for c in ("flow_id", "pkt_no") if c in ours.columns], list(theirs.columns)
+    names = keys + sorted({*ours.columns} - {*keys})
+    assert sorted(order) == sorted(names)
+    first = lambda r: r[: len(keys)]
+    rows = sorted((tuple(r) for r in ours.select(*names).collect()), key=first)
+    at = [order.index(c) for c in names]
+    for x, y in zip(rows, sorted((tuple(r[k] for k in at) for r in theirs.fetchall()), key=first), strict=True):
         assert x == y
+
+
+def test_segments_of_a_long_flow_are_nothing(spark):
+    """Dealt out in segments of 40 packets, a flow has the features it has as one; so has a tail of 130 packets."""
+    r = random.Random(5)
+    rows, t = [], 0
+    for n in range(1, 1001):
+        t += r.choice([3, 400, 1500, 200_000])
+        size = r.choice([0, 0, 10, 500, 1448])
+        rows.append((n % 2 and 1, n // 2 + 1 if n % 2 else n // 2, t, r.choice([1, -1, 1, 0]), size + 52, size, 0, r.choice([2, 16, 18, 24, 4]), r.randrange(5000), r.randrange(900), bytes(r.randrange(256) for _ in range(size))))
+    pk = spark.createDataFrame(rows, "flow_id long, pkt_no int, ts_us long, direction int, pkt_len long, payload_len long, proto int, tcp_flags int, tcp_window int, tcp_seq long, payload binary")
+    cfg = FlowConfig(max_sequence=130)
+    whole, parts = ({x.flow_id: x.asDict() for x in engine.flow_features(pk, c).collect()} for c in (cfg, replace(cfg, segment=40)))
+    assert set(whole) == set(parts) == {0, 1}
+    for k in whole:
+        for name, v in whole[k].items():
+            w = parts[k][name]
+            assert v == w or (isinstance(v, float) and math.isclose(v, w, rel_tol=1e-7, abs_tol=1e-9)), (name, v, w)
+
+
+def test_numbering_by_spans(spark):
+    pk = packets.raw_events(spark, SF)
+    a = raw.numbered(raw.derived(pk), "event_id", span_us=3600 * 10**6).select("flow_id", "event_id", "pkt_no")
+    b = packets.numbered(raw.derived(pk), "ts_us", "event_id").select("flow_id", "event_id", "pkt_no")
+    assert a.count() > 100 and a.exceptAll(b).count() == 0
+    assert raw.derived(pk, "arrival").where("ts_us % 1000 = 0").count() == pk.count()
+    assert raw.derived(pk.withColumn("arrived_ms", F.lit(7)), "arrival").agg(F.min("ts_us"), F.max("ts_us")).head() == (7000, 7000)
+
+
+def phrases(xs):
+    seen, word, n = set(), (), 0
+    for x in xs:
+        word += (x,)
+        if word not in seen:
+            seen.add(word)
+            word, n = (), n + 1
+    return n if len(xs) > 1 else 0
+
+
+def test_vectorised_functions_from_sql(spark):
+    """Registered, by name, against plain versions."""
+    udfs.register(spark)
+    r = random.Random(3)
+    rows = [(k, [r.randrange(3) for _ in range(r.randrange(0, 80))], bytes(r.randrange(4) for _ in range(r.randrange(0, 60)))) for k in range(40)] + [(40, None, None)]
+    spark.createDataFrame(rows, "id int, xs array<int>, b binary").createOrReplaceTempView("things")
+    got = {x.id: x for x in spark.sql("SELECT id, lz78_phrases(xs) AS n, compressed_share(b) AS z, byte_counts(b) AS c, byte_order(b) AS o FROM things").collect()}
+    for k, xs, b in rows:
+        assert got[k].n == (phrases(xs) if xs else 0)
+        assert got[k].z == (len(zlib.compress(b)) / len(b) if b else None) and got[k].c == ([b.count(v) for v in range(256)] if b else None)
+        if b:
+            pairs, firsts = Counter(zip(b, b[1:])), Counter(b[:-1])
+            want = -sum(n / (len(b) - 1) * math.log2(n / firsts[x]) for (x, _), n in pairs.items())
+            assert math.isclose(got[k].o.markov, want, abs_tol=1e-9)
