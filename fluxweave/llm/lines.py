@@ -15,9 +15,10 @@ from .graph import components, linked, once
 SHINGLE, PERCENT = 8, 80
 #: Bands, and minima in a band: lines of similarity s share a band with a probability of 1 - (1 - s^ROWS)^BANDS, 0.99 at 0.8.
 BANDS, ROWS = 7, 3
-#: A line is signed over the shingles that begin at words, if it has LONG of them or more, and over all its shingles if it has
-#: fewer than SHORT. Lines of between LONG and SHORT are signed both ways, so that similar lines are signed alike in one way at least.
-LONG, SHORT = 24, 40
+#: A line is signed over the shingles that begin at words, if it has LONG of them or more and they are one in FEW of all or more; over all its shingles
+#: if it has fewer than SHORT, or they are less than one in MANY. Lines between these bounds are signed both ways, so that similar lines are signed alike in
+#: one way at least. A line whose words stand beside a long unbroken run is so signed over the run, too.
+LONG, SHORT, FEW, MANY = 24, 40, 10, 8
 #: Of a pair's BANDS * ROWS minima, four bits each, so many agree if the similarity is 0.8 (but for one pair in 110) or 0.6 (but for one in 500).
 AGREE = {PERCENT: 13, 2 * PERCENT - 100: 7}
 
@@ -50,7 +51,8 @@ def _signatures(lines: DataFrame) -> DataFrame:
     Lines come together by id first, so that the minima over a line's exploded shingles need no further shuffle.
     """
     distinct = once(lines.groupBy("id").agg(F.first("line").alias("line")), "some", _cut(F.col("line"), "(?<![a-z])"))
-    ways = F.array_compact(F.array(F.when(F.size("some") < SHORT, False), F.when(F.size("some") >= LONG, True)))
+    some, all_ = F.size("some"), F.length("line") - (SHINGLE - 1)
+    ways = F.array_compact(F.array(F.when((some < SHORT) | (some * MANY < all_), False), F.when((some >= LONG) & (some * FEW >= all_), True)))
     placed = distinct.select("id", "line", "some", F.explode(ways).alias("long"))
     n = F.when(F.col("long"), F.size("some")).otherwise(F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
     placed = placed.select("id", "line", "some", "long", F.explode(F.sequence(F.lit(1), n)).alias("p"))

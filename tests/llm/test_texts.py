@@ -191,6 +191,30 @@ def test_lines_find_short_similar_lines(spark):
     assert sum(got[2 * n + 1] == "" for n in range(600)) >= 0.99 * 600
 
 
+def test_lines_find_similar_lines_of_any_kind(spark):
+    """Pairs of a similarity of 0.8 to 0.9 of words beside a long unbroken run, of base64, of numbers and of signs without blanks."""
+    r = random.Random(12)
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + k) for k in range(800)]
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    made = {
+        "run": lambda: (lambda run: [" ".join(pick(letters, 6) for _ in range(42)) + " " + run for _ in range(2)])(pick(letters, 3000)),
+        "base64": lambda: (lambda run: [pick(letters + "0123456789+/", 40) + run for _ in range(2)])(pick(letters.upper() + letters + "0123456789+/", 420)),
+        "numbers": lambda: (lambda run: [pick("0123456789 ", 60) + run for _ in range(2)])(pick("0123456789 .", 600)),
+        "signs": lambda: (lambda run: [pick(signs, 25) + run for _ in range(2)])(pick(signs, 250)),
+    }
+    pairs = []
+    for kind, pair in made.items():
+        for _ in range(25):
+            one, other = (x.strip() for x in pair())
+            x, y = ({t[n : n + 8] for n in range(len(t) - 7)} for t in (one.lower(), other.lower()))
+            assert 80 <= 100 * len(x & y) / len(x | y) <= 92, kind
+            pairs.append((kind, one, other))
+    got = {x.doc_id: x.text for x in lines.dedup(docs(spark, [(2 * n + k, t) for n, p in enumerate(pairs) for k, t in enumerate(p[1:])])).collect()}
+    assert all(got[2 * n] == p[1] for n, p in enumerate(pairs))
+    for kind in made:
+        assert sum(got[2 * n + 1] == "" for n, p in enumerate(pairs) if p[0] == kind) >= 24, kind
+
+
 def test_lines_find_long_similar_lines(spark):
     """Pairs of 20 to 90 words, around the lengths where the way of signing changes, each of a similarity of 0.8 to 0.9."""
     r = random.Random(9)
