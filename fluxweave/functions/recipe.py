@@ -254,17 +254,28 @@ def _finished(parts: list[DataFrame], r: Recipe) -> DataFrame:
     """The parts side by side. What needs the columns of one part is computed there, so that joins and vectorised functions see narrow rows."""
     known = {name for part in parts for name in part.columns} - {"flow_id"}
     words_of = lambda column: set(re.findall(r"\w+", str(column))) & known
-    home = lambda needs: next((k for k, part in enumerate(parts) if needs <= set(part.columns)), None)
-    late = {}
+    late, waiting = {}, [{} for _ in parts]
+    columns = [set(part.columns) for part in parts]
+
+    def settle(k: int) -> None:
+        parts[k] = parts[k].withColumns(waiting[k]) if waiting[k] else parts[k]
+        waiting[k] = {}
+
     for name, column in r.afters.items():
-        k = home(words_of(column))
+        need = words_of(column)
+        k = next((k for k, have in enumerate(columns) if need <= have), None)
         known.add(name)
         if k is None:
             late[name] = column
-        else:
-            parts[k] = parts[k].withColumn(name, column)
+            continue
+        if need & set(waiting[k]):
+            settle(k)
+        waiting[k][name] = column
+        columns[k].add(name)
+    for k in range(len(parts)):
+        settle(k)
     needs = {name: words_of(column) for name, column in r.outputs.items()}
-    homes = {name: None if need & set(late) else home(need) for name, need in needs.items()}
+    homes = {name: None if need & set(late) else next((k for k, have in enumerate(columns) if need <= have), None) for name, need in needs.items()}
     shared = set().union(*(need for name, need in needs.items() if homes[name] is None), *map(words_of, late.values()))
     out = None
     for k, part in enumerate(parts):

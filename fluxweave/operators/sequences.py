@@ -75,9 +75,9 @@ def bigram_columns(r: Recipe) -> dict[str, Column]:
     mine, inner = r.tail()
     of = lambda size: F.when(size <= r.cfg.small_pkt_threshold, 0).when(size <= r.cfg.large_pkt_threshold, 1).otherwise(2)
     pair = F.when(inner, of(r.lag("pkt_len"))).otherwise(0) * 3 + of(F.col("pkt_len"))
-    found = r.after("_pairs", F.sort_array(F.array(*[F.struct((-r.agg(f"_pair_{k}", F.count_if(mine & (pair == k)))).alias("n"), F.lit(k).alias("k")) for k in range(9)])))
+    r.after("_pairs", F.sort_array(F.array(*[F.struct((-r.agg(f"_pair_{k}", F.count_if(mine & (pair == k)))).alias("n"), F.lit(k).alias("k")) for k in range(9)])))
     names = [a + b for a in CLASSES for b in CLASSES]
-    return {f"top_{place + 1}_bigram_{name}_freq": F.when(F.get(found, F.lit(place))["k"] == k, -F.get(found, F.lit(place))["n"]).otherwise(0) for place in range(5) for k, name in enumerate(names)}
+    return {f"top_{place + 1}_bigram_{name}_freq": F.expr(f"IF({at}.k = {k}, -{at}.n, 0)") for place in range(5) for at in [f"get(_pairs, {place})"] for k, name in enumerate(names)}
 
 
 @feature_group
