@@ -19,9 +19,10 @@ SUBSUMED = 80
 #: Phrases returned for each language.
 TOP = 2000
 #: Bytes of text in the automaton of one shard.
-SHARD_BYTES = 2 << 20
-#: A pair of words is looked up by so many bits of its hash (2^27 bits: 16 MB). Pairs that meet in a place are only counted in vain.
-FILTER_BITS = 27
+SHARD_BYTES = 1 << 20
+#: Pairs and triples of words are counted by so many bits of their hashes, and looked up by the first of these (2^27 bits: 16 MB). Those that meet are only
+#: counted in vain; while the bitmap has room (some 10^7 frequent ones), 2^32 numbers seldom hold 30 rare ones in one.
+NUMBER_BITS, FILTER_BITS = 32, 27
 #: Parts in which a language's phrases are ranked before its first ones are ranked together.
 PARTS = 32
 
@@ -46,10 +47,15 @@ class Shard:
         self.raw[self.ends[:-1][self.follows[1:]]] = 32
 
     def pairs(self, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Second words of the pairs in a piece, and hashes of the pairs; salt has a number for each row."""
+        """Last words of the pairs in a piece, and the pairs' hashes; salt has a number for each row."""
         at = np.flatnonzero(self.follows)
         return at, mixed(mixed(self.hashes[at - 1] + salt[self.row[at]]) * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at])
 
+    def triples(self, at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last words of the triples made of two of these pairs, and the triples' hashes."""
+        here = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        return at[here], mixed(pair[here - 1] * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at[here]])
+
     def texts(self, first: np.ndarray, n: int) -> pa.Array:
         """The n words from each place on, one blank between them."""
         size = self.ends[first + n - 1] - self.starts[first]
@@ -125,17 +131,42 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Shard]]:
         yield a, b, Shard(data, offsets[a : b + 1])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        salt = batch.column("salt").to_numpy().view(np.uint64)
-        for a, b, shard in _rows(batch):
-            found, n = np.unique(shard.pairs(salt[a:b])[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["pair", "n"])
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a bitmap has the hashes' places."""
+    place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+
 
+def _numbers(frequent: Broadcast | None) -> Callable:
+    """Numbers of the pairs of a shard, or of the triples of frequent pairs, and how often they come."""
 
-def _phrases(frequent: Broadcast, depth: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = frequent.value
+        for batch in batches:
+            salt = batch.column("salt").to_numpy().view(np.uint64)
+            for a, b, shard in _rows(batch):
+                at, hashes = shard.pairs(salt[a:b])
+                if frequent is not None:
+                    keep = _has(frequent.value, hashes)
+                    at, hashes = shard.triples(at[keep], hashes[keep])
+                found, n = np.unique(hashes >> np.uint64(64 - NUMBER_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["number", "n"])
+
+    return of
+
+
+def _bitmap(rows: DataFrame, frequent: Broadcast | None, least: int) -> Broadcast:
+    """A bit for each place of FILTER_BITS that the number of a pair (of a triple of frequent pairs, if these are given) has, whose occurrences are least or more."""
+    counts = rows.select("text", "salt").mapInArrow(_numbers(frequent), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    place = F.shiftright("number", NUMBER_BITS - FILTER_BITS)
+    cells = counts.select(F.shiftright(place, 6).alias("cell"), F.lit(1).cast("long").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
+    cells = cells.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _phrases(pairs: Broadcast, triples: Broadcast, depth: int) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             salt, langs = batch.column("salt").to_numpy().view(np.uint64), batch.column("lang")
             names = langs.dictionary_encode()
@@ -155,18 +186,23 @@ def _phrases(frequent: Broadcast, depth: int) -> Callable:
                 some = np.flatnonzero(total)
                 at = np.array([int(np.flatnonzero(number == k)[0]) for k in some])
                 yield made(at, pa.array([""] * len(some)), total[some])  # all words of a language
-                second, pair = shard.pairs(salt[a:b])
-                place = (pair >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                second = second[(bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0]
-                linked = np.zeros(len(code) + 1, bool)
-                linked[second] = True
+                last, pair = shard.pairs(salt[a:b])
+                keep = _has(pairs.value, pair)
+                last, pair = last[keep], pair[keep]
+                linked, ends_triple = np.zeros(len(code) + 1, bool), np.zeros(len(code), bool)
+                linked[last] = True
+                last, triple = shard.triples(last, pair)
+                ends_triple[last[_has(triples.value, triple)]] = True
                 inside = np.flatnonzero(linked[:-1] | linked[1:])
                 if not len(inside):
                     continue
                 link, length, end, count = automaton(code[inside].tolist(), (~linked[inside]).tolist())
                 for k in range(2, depth + 1):
                     state = np.flatnonzero((length >= k) & (length[np.maximum(link, 0)] < k))
-                    first = inside[end[state]] - (k - 1)
+                    last = inside[end[state]]
+                    for back in range(k - 2):  # all its triples must be frequent
+                        state, last = state[ends_triple[last - back]], last[ends_triple[last - back]]
+                    first = last - (k - 1)
                     yield made(a + shard.row[first], shard.texts(first, k), count[state])
 
     return of
@@ -175,17 +211,14 @@ def _phrases(frequent: Broadcast, depth: int) -> Callable:
 def counted(documents: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """lang, phrase and f, its occurrences, of the phrases of at most depth words that have least or more; the empty phrase has the language's number of words.
 
-    A phrase of that many occurrences is made of pairs that have as many. So pairs are counted first, by hashes; a bitmap of FILTER_BITS
-    of the frequent ones' hashes, the same size for any corpus, then leaves only stretches of frequent pairs to the automata.
+    A phrase of that many occurrences is made of pairs and triples that have as many. So pairs are counted first, by numbers, then triples of frequent pairs;
+    two bitmaps of the frequent ones, the same size for any corpus, leave only stretches of frequent pairs to the automata, and of the longer
+    phrases only those that can be frequent.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").withColumn("salt", F.xxhash64("lang"))
-    pairs = rows.select("text", "salt").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.shiftrightunsigned("pair", 64 - FILTER_BITS)
-    cells = pairs.select(F.shiftright(place, 6).alias("cell"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(pair, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
-    found = rows.mapInArrow(_phrases(spark.sparkContext.broadcast(bits), depth), "lang string, phrase string, n long")
+    pairs = _bitmap(rows, None, least)
+    triples = _bitmap(rows, pairs, least)
+    found = rows.mapInArrow(_phrases(pairs, triples, depth), "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
