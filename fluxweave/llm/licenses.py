@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, ALNUM_WORD, buffers, chunks, grams, text_hash, words, words_of
+from .common import ALNUM_BYTES, buffers, chunks, grams, text_hash, words, words_of
+from .common import spans as words_at
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -35,9 +37,9 @@ NOTICES = {
 
 #: Words in a gram of a base phrase and of a notice.
 PHRASE_K, NOTICE_K = 2, 4
-#: Diagonals of a notice that differ by so many words at most are one span (words put in or left out).
-SLACK = 8
-#: Least share of a notice's grams that a verified span has.
+#: Parts of a notice belong together if their diagonals differ by this share of its words, or SLACK words, at most: so many words may be put in or left out.
+STRETCH, SLACK = 0.5, 8
+#: Least share of a notice's grams that a verified span has, in their order.
 COVERAGE = 0.5
 
 
@@ -74,22 +76,55 @@ def votes(documents: DataFrame, phrases: dict[str, str] = BASE_PHRASES, notices:
     return hits.groupBy("doc_id", "text_hash", "template", "label", "exact", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("seen"))
 
 
+def _in_order(seen: list[dict]) -> tuple[int, int, int]:
+    """Of hits (diagonal, template positions): the longest chain that ascends in the template and in the text; its length, first and past-last text position."""
+    hits = sorted((at, -(part["diagonal"] + at)) for part in seen for at in part["seen"])
+    tails, ends, back = [], [], []  # a template position's later places come first, so that a chain takes one of them
+    for n, (_, minus) in enumerate(hits):
+        k = bisect_left(tails, -minus)
+        back.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [-minus], [n]
+    n = ends[-1]
+    while back[n] >= 0:
+        n = back[n]
+    return len(tails), -hits[n][1], tails[-1] + 1
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = np.array([_in_order(x) for x in batch.column("parts").to_pylist()], np.int32).reshape(-1, 3)
+        rest = batch.drop_columns(["parts"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, found.T)], [*rest.schema.names, "n_found", "start", "last"])
+
+
 def spans(documents: DataFrame, phrases: dict[str, str] = BASE_PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """Verified spans: doc_id, text_hash, template, label, exact, start and end (words, end exclusive), coverage (0 to 1).
 
-    A phrase is verified where one diagonal has all its grams: its words stand there consecutively. A notice is
-    verified where diagonals at most SLACK words apart have COVERAGE of its grams within half as many words again.
+    A phrase is verified where one diagonal has all its grams: its words stand there consecutively. For a notice,
+    each diagonal opens a window of the diagonals up to STRETCH of its words on; it is verified where a chain of its
+    grams within the window, in order in text and notice, has COVERAGE of them. Of windows that lie so near to each
+    other the one of greatest coverage stays, the shortest, then the first. However many diagonals follow on each
+    other, none is dropped: only the window's width, not the chain of neighbours, decides.
     """
     found = votes(documents, phrases, notices)
     whole = found.where(F.col("exact") & (F.size("seen") == F.col("n_grams"))).select("doc_id", "text_hash", "template", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + PHRASE_K - 1).alias("end"), F.lit(1.0).alias("coverage"))
-    of = Window.partitionBy("doc_id", "text_hash", "template")
-    near = found.where(~F.col("exact")).withColumn("apart", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(of.orderBy("diagonal")) > SLACK, F.lit(False)).cast("int"))
-    near = near.withColumn("island", F.sum("apart").over(of.orderBy("diagonal").rowsBetween(Window.unboundedPreceding, 0)))
-    merged = near.groupBy("doc_id", "text_hash", "template", "label", "exact", "n_grams", "island").agg(
-        F.min(F.col("diagonal") + F.array_min("seen")).alias("start"), F.max(F.col("diagonal") + F.array_max("seen") + NOTICE_K).alias("end"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen")
-    )
-    merged = merged.withColumn("coverage", F.size("seen") / F.col("n_grams")).where((F.col("coverage") >= COVERAGE) & (F.col("end") - F.col("start") <= 1.5 * (F.col("n_grams") + NOTICE_K) + SLACK))
-    return whole.unionByName(merged.select(*whole.columns))
+    parts = found.where(~F.col("exact")).withColumn("cell", F.col("diagonal") / F.greatest(F.lit(float(SLACK)), F.col("n_grams") * STRETCH))
+    near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("cell")
+    opened = parts.withColumn("votes", F.sum(F.size("seen")).over(near.rangeBetween(0, 1))).withColumn("parts", F.collect_list(F.struct("diagonal", "seen")).over(near.rangeBetween(0, 1)))
+    likely = opened.where(F.col("votes") >= COVERAGE * F.col("n_grams")).select("doc_id", "text_hash", "template", "label", "exact", "n_grams", "cell", "parts")
+    kind = dict(documents.dtypes)["doc_id"]
+    chained = likely.mapInArrow(_chained, f"doc_id {kind}, text_hash long, template string, label string, exact boolean, n_grams int, cell double, n_found int, start int, last int")
+    chained = chained.where(F.col("n_found") >= COVERAGE * F.col("n_grams")).withColumn("rank", F.struct("n_found", F.col("start") - F.col("last"), -F.col("cell")))
+    best = chained.withColumn("best", F.max("rank").over(near.rangeBetween(-1, 1))).where("rank = best")
+    merged = best.select("doc_id", "text_hash", "template", "label", "exact", "start", (F.col("last") + NOTICE_K - 1).alias("end"), (F.col("n_found") / F.col("n_grams")).alias("coverage"))
+    return whole.unionByName(merged)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = buffers(batch.column("text"))
+        n = [np.diff(np.append(ptr, len(starts))[: b - a + 1]) for a, b in chunks(offsets) for starts, _, ptr in [words_at(data, offsets[a : b + 1], ALNUM_BYTES)]]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["doc_id", "text_hash", "n_words"])
 
 
 def _joined(of: Column) -> Column:
@@ -109,7 +144,7 @@ def scan(documents: DataFrame, phrases: dict[str, str] = BASE_PHRASES, notices:
         F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         _joined(F.when(base, F.col("label"))).alias("base_labels"), _joined(F.col("label")).alias("labels"), F.max("coverage").alias("score"),
     )
-    counted = documents.select("doc_id", text_hash().alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long").alias("n_words"))
+    counted = documents.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(_counted, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, n_words long")
     same = counted.doc_id.eqNullSafe(of_text.doc_id) & (counted.text_hash == of_text.text_hash)
     return counted.join(of_text, same, "left").select(
         counted.doc_id, "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),

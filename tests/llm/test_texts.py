@@ -66,6 +66,41 @@ def test_licenses(spark):
     assert len(licenses.scan(docs(spark, ODD)).collect()) == len(ODD)
 
 
+def test_license_notices_with_words_put_in_and_in_long_chains(spark):
+    """A notice stays one span with words put in near its middle; copies in a row, and grams strewn about, hide none."""
+    r = random.Random(14)
+    rows, want = [], {}
+    for n, (label, notice) in enumerate(licenses.NOTICES.items()):
+        w = notice.split()
+        rows += [(3 * n, f"{prose(r, 20)} {' '.join(w[: len(w) // 2])} {prose(r, len(w) // 4)} {' '.join(w[len(w) // 2 :])} {prose(r, 9)}"), (3 * n + 1, " ".join([notice] * 4))]
+        strewn = [x for i in r.choices(range(len(w) - 4), k=60) for x in w[i : i + 4] + prose(r, 3).split()]
+        rows.append((3 * n + 2, " ".join(strewn[: len(strewn) // 2]) + f" {notice} " + " ".join(strewn[len(strewn) // 2 :])))
+        want |= {3 * n: (label, 1), 3 * n + 1: (label, 4), 3 * n + 2: (label, 1)}
+    found = {}
+    for x in licenses.spans(docs(spark, rows)).where("NOT exact").collect():
+        found.setdefault(x.doc_id, []).append((x.label, x.start, x.end, x.coverage))
+    for i, (label, n) in want.items():
+        own = [x for x in found[i] if x[0] == label]
+        assert len(own) >= n and (i % 3 == 2 or len(own) == n), (i, label, own)
+        assert max(x[3] for x in own) > 0.8
+    back = " ".join(reversed([" ".join(licenses.NOTICES["mit"].split()[k : k + 6]) for k in range(0, 70, 6)]))
+    assert {x.labels for x in licenses.scan(docs(spark, [(1, back)])).collect()} == {""}
+
+
+def test_license_base_columns(spark):
+    """All documents of sf0.01 against phrases looked up word by word."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {x.doc_id: x.text for x in documents.collect()}
+    got = licenses.scan(documents).collect()
+    assert len(got) == len(texts) and sum(x.n_base for x in got) > 20
+    for x in got:
+        w = ALNUM.findall((texts[x.doc_id] or "").translate(UPPER))
+        at = [(k, label) for phrase, label in licenses.BASE_PHRASES.items() for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
+        starts = [k for k, _ in at]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({b for _, b in at})))
+        assert {b for _, b in at} <= set(x.labels.split(","))
+
+
 def hits(text, windows):
     w = ALNUM.findall((text or "").translate(UPPER))
     hit, items = set(), set()
