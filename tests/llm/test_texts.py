@@ -54,6 +54,66 @@ def test_quality_and_toxicity(spark):
     assert quality.classify(made.limit(0), nothing).count() == 0
 
 
+def area(found):
+    """Share of pairs of a document of label 1 and one of label 0 that the scores put in order."""
+    one, none = ([s for s, y in found if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in one for b in none) / (len(one) * len(none))
+
+
+@pytest.mark.parametrize("operator, label, least", [(quality, "quality", 0.9), (toxicity, "toxic", 0.9)])
+def test_held_out_documents(spark, operator, label, least):
+    """The fold of sf0.01 that is not learned from; other labels there change no score."""
+    documents, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = {x.doc_id for x in documents.where(common.held("doc_id", operator.FOLDS, operator.HELD)).collect()}
+    truth = {x.doc_id: x[label] for x in marks.collect() if x.doc_id in fold and x[label] is not None}
+    got = {x.doc_id: x.score for x in operator.classify(documents.select("doc_id", "text"), marks).collect()}
+    found = [(got[i], y) for i, y in truth.items()]
+    print(label, len(found), area(found))
+    assert len(got) == documents.count() and len(found) > 40 and area(found) >= least
+
+
+def test_toxicity_weighs_all_grams(spark):
+    """At the end no n-gram of the texts that is not in the model would come in; the gradient is that of finite differences."""
+    r = random.Random(21)
+    words = ["über", "日本語", "plain", "other", "groß", "näher", "fool", "word", "Ärger", "так"]
+    texts = [" ".join(r.choices(words[: 6 + 4 * (i % 3 == 0)], k=12)) for i in range(120)]
+    y = [int(i % 3 == 0) for i in range(120)]
+    marks = spark.createDataFrame([(i, None, t) for i, t in enumerate(y)], "doc_id long, quality int, toxic int")
+    rows = [(i, t) for i, t in enumerate(texts)]
+    model = toxicity.fit(docs(spark, rows + rows[:40]), marks)
+    used = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    sets = {i: {t[k : k + n] for t in [texts[i].translate(UPPER)] for n in toxicity.SIZES for k in range(len(t) - n + 1)} for i in used}
+    data = [np.frombuffer(texts[i].encode(), np.uint8) for i in used]
+    scores = model.score(np.concatenate(data), np.cumsum([0, *map(len, data)]))
+    n1 = sum(y[i] for i in used)
+    share = {i: 0.5 / (n1 if y[i] else len(used) - n1) for i in used}
+    assert (model.n_clean, model.n_toxic) == (len(used) - n1, n1)
+    within = set(model.grams.tolist())
+    for gram in set().union(*sets.values()):
+        own = [i for i in used if gram in sets[i]]
+        raw = np.frombuffer(gram.encode(), np.uint8)
+        own_hash = [g[-1] for n, (_, g) in zip(toxicity.SIZES, toxicity._hashed(raw, np.array([0, len(raw)]))) if n == len(gram)]
+        assert len(own_hash) == 1
+        if len(own) >= toxicity.LEAST and own_hash[0] not in within:
+            toxic = sum(y[i] for i in own)
+            ratio = np.log((toxic + 1) / (n1 + 2) / ((len(own) - toxic + 1) / (len(used) - n1 + 2)))
+            assert abs(ratio * sum((scores[used.index(i)] - y[i]) * share[i] for i in own)) <= toxicity.L1 * (1 + toxicity.SLACK) + 1e-6, gram
+    assert 0 < len(within) < len(set().union(*sets.values()))
+    one = toxicity.Model(7, 5)
+    one.add(np.arange(6), np.array([1, 2, 3, 4, 5, 6]), np.array([5, 1, 4, 2, 0, 3]))
+    row, feature = np.nonzero(np.random.default_rng(3).random((12, 6)) < 0.5)
+    label, w = np.array([0.0] * 7 + [1.0] * 5), np.linspace(-0.4, 0.5, 6)
+
+    def loss(w, b):
+        p = 1 / (1 + np.exp(-np.bincount(row, one.ratio[feature] * w[feature], 12) - b))
+        return -(one.share(label) * (label * np.log(p) + (1 - label) * np.log(1 - p))).sum()
+
+    g, h = one.gradient(row, feature, label, w, 0.2)
+    for k in range(6):
+        assert abs((loss(w + 1e-5 * np.eye(6)[k], 0.2) - loss(w - 1e-5 * np.eye(6)[k], 0.2)) / 2e-5 - g[k]) < 1e-8
+    assert abs((loss(w, 0.2 + 1e-5) - loss(w, 0.2 - 1e-5)) / 2e-5 - h) < 1e-8
+
+
 def test_licenses(spark):
     mit = licenses.NOTICES["mit"]
     changed = mit.replace("free of charge", "free of any charge").replace("deal in", "work in")
