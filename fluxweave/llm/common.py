@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,25 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         start = min(end, n)
 
 
+def stretches(text: str, at: re.Pattern, limit: int = CHUNK_BYTES) -> Iterator[str]:
+    """text in parts, cut before the first match of at after so many characters of each; one part where none follows."""
+    a = 0
+    while len(text) - a > limit and (found := at.search(text, a + limit)):
+        yield text[a : found.start()]
+        a = found.start()
+    yield text[a:]
+
+
+def in_stretches(texts: list[str], at: re.Pattern, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, and how many each has, by an encoder that may be given any text cut at at: no more than a stretch of a long text is in work."""
+    parts = [list(stretches(t, at)) for t in texts]
+    if all(len(p) == 1 for p in parts):
+        return encode(texts)
+    ids = [encode([p])[0] for row in parts for p in row]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])[np.cumsum([0, *map(len, parts)])]
+    return np.concatenate(ids), np.diff(ends)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

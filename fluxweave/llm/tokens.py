@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codec
-from .common import sized
+from .common import buffers, chunks, in_stretches, sized
 
 #: The id after each document.
 END = 0
@@ -44,6 +44,7 @@ class Encoder:
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
         added = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
         self.whole = re.compile("|".join([r"\s\s|\0", *added] if usual else [""]))
+        self.cuts = re.compile(r"(?<=\S) (?=\S)" if usual and not any(" " in t for t in added) else r"(?!)")
         ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = ids[0] if len(ids) == 1 else -1
         self.clear()
@@ -100,7 +101,10 @@ class Encoder:
             self.numbers.update(zip(part, range(start, start + len(part))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
+        """All ids, and how many each text has. A long text is cut where the tokenizer always cuts, if there is such a place."""
+        return in_stretches(texts, self.cuts, self._encoded)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > KEPT:
             self._thin()
         rows, odd = [], {}
@@ -153,10 +157,8 @@ def _written(path: str, kind: pa.DataType) -> Callable:
             return out
 
         for batch in batches:
-            k = 0
-            while k < len(batch):
-                part_batch = batch.slice(k, 512)
-                k += len(part_batch)
+            for first, last in chunks(buffers(batch.column("text"))[1]):
+                part_batch = batch.slice(first, last - first)
                 texts = [t or "" for t in part_batch.column("text").to_pylist()]
                 found, size = encoder(path).encode(texts)
                 ends = np.cumsum(size)
