@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import buffers, chunks, in_stretches, with_fields
 
 #: What the model's pieces have for a blank.
 BLANK = "▁"
 #: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it starts anew; chunks indexed at once.
 KEPT, INDEXED = 120_000, 15_000
 _CHUNK = re.compile(r" *[^ ]+| +")
+_BREAK = re.compile(r"(?<=[^ ]) ")
 _loaded: dict[str, Model] = {}
 
 
@@ -226,12 +227,15 @@ class Model:
         self.numbers.update(zip(chunks, range(k, k + len(chunks))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
+        """All ids, and how many each text has. A text is a row of chunks, so a long one is cut before one of them."""
+        return in_stretches([" " + t.replace(BLANK, " ") if t else "" for t in texts], _BREAK, self._chunked)
+
+    def _chunked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that begin with a blank, or are empty."""
         if len(self.numbers) > KEPT:
             self.clear()
         rows = []
         for t in texts:
-            t = " " + t.replace(BLANK, " ") if t else ""
             rows.append(_CHUNK.findall(t) if "  " in t or "\0" in t else t.replace(" ", "\0 ").split("\0")[1:])
         pieces = [p for row in rows for p in row]
         unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
@@ -293,8 +297,8 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                yield _with_ids(batch.slice(a, 512), path)
+            for a, b in chunks(buffers(batch.column("text"))[1]):
+                yield _with_ids(batch.slice(a, b - a), path)
 
     return documents.mapInArrow(encoded, with_fields(documents.schema, ids="array<int>"))
 
@@ -317,7 +321,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 512):
-                yield _with_texts(_with_ids(batch.slice(a, 512), path), path)
+            for a, b in chunks(buffers(batch.column("text"))[1]):
+                yield _with_texts(_with_ids(batch.slice(a, b - a), path), path)
 
     return documents.mapInArrow(both, with_fields(documents.schema, ids="array<int>", decoded="string"))
