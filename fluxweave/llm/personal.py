@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import buffers, chunks, with_fields
 
 # Kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -26,6 +28,8 @@ TAGGED = (*KINDS, "secret")
 WINDOW = 64
 #: Characters in a window that is read, and from one window's start to the next's.
 READ, STEP = 256, 224
+#: A text longer than this is tagged in stretches of about so many characters.
+LONG = 1 << 19
 EMBED, HIDDEN, EPOCHS, BATCH, RATE, N_TRAIN = 12, 16, 11, 64, 0.012, 3400
 TAGS = 1 + 2 * len(TAGGED)  # outside, then begin and inside of each kind
 #: By how much, in the logarithm of its likelihood, a span must be likelier than none.
@@ -328,36 +332,71 @@ def emitted(codes: list[np.ndarray], model: Tagger) -> list[np.ndarray]:
     return out
 
 
+def _stretches(text: str, model: Tagger) -> Iterator[np.ndarray]:
+    """The emissions of a text, a stretch of LONG characters or so after the other, as emitted() gives them for the whole: stretches share a window."""
+    both, m, k, done = READ - STEP, LONG // STEP, 0, 0
+    while done < len(text):
+        a = k * STEP
+        b = min(a + m * STEP + both, len(text))
+        end = b if b == len(text) else a + m * STEP
+        yield emitted([symbols(text[a:b])], model)[0][:, done - a : end - a]
+        done, k = end, k + m - 1
+
+
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """start, kind and end of the spans of each text's best tags that are likelier than none by KEEP.
 
     Tags are the best ones of the whole text by emissions and transitions. A span likely enough has a character where the
-    lead of outside is less than transitions within a span make good. So only what lies around such characters is decoded.
+    lead of outside is less than transitions within a span make good. So only what lies around such characters is decoded,
+    and of a text longer than LONG no more is held than a stretch and the uncertain characters at the end of the one before.
     """
     trans = model.p["T"]
     edges = float(trans[0, 1:].max() + trans[1:, 0].max() - 2 * trans[0, 0])
     need = max(float(trans[1:, 1:].max() - trans[0, 0]), edges - KEEP, 0.0)
-    em = emitted([symbols(t) for t in texts], model)
-    parts = []
-    for n, e in enumerate(em):
-        at = np.flatnonzero(e[0] - e[1:].max(0) < need)
-        if len(at):
-            cut = np.flatnonzero(np.diff(at) > 2 * AROUND)
-            for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]):
-                parts.append((n, max(int(a) - AROUND, 0), min(int(b) + AROUND + 1, e.shape[1])))
-    parts.sort(key=lambda x: x[2] - x[1])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i in range(0, len(parts), 256):
-        some = parts[i : i + 256]
-        x = np.full((max(b - a for _, a, b in some), len(some), TAGS), -1e4, np.float32)
-        x[:, :, 0] = 0
-        for k, (n, a, b) in enumerate(some):
-            x[: b - a, k] = em[n][:, a:b].T
-        for (n, a, b), tags in zip(some, model.best(x).T):
-            out[n] += _spans(tags[: b - a], em[n][:, a:b].T, a, trans)
+    parts = []  # text, its part's first character, emissions of the part
+
+    def decode() -> None:
+        parts.sort(key=lambda x: x[2].shape[1])
+        for i in range(0, len(parts), 256):
+            some = parts[i : i + 256]
+            x = np.full((some[-1][2].shape[1], len(some), TAGS), -1e4, np.float32)
+            x[:, :, 0] = 0
+            for k, (_, _, e) in enumerate(some):
+                x[: e.shape[1], k] = e.T
+            for (n, a, e), tags in zip(some, model.best(x).T):
+                out[n] += _spans(tags[: e.shape[1]], e.T, a, trans)
+        parts.clear()
+
+    short = [n for n, t in enumerate(texts) if len(t) <= LONG]
+    for n, e in zip(short, emitted([symbols(texts[n]) for n in short], model)):
+        parts += [(n, a, e[:, a:b]) for a, b in _uncertain(e, need)]
+    decode()
+    for n in sorted(set(range(len(texts))) - set(short)):
+        first, rest = 0, np.zeros((TAGS, 0), np.float32)
+        for e in _stretches(texts[n], model):
+            e = np.concatenate([rest, e], 1)
+            size = e.shape[1]
+            last, keep = first + size == len(texts[n]), max(size - AROUND, 0)
+            for a, b in _uncertain(e, need):
+                if last or b <= size - AROUND:  # nothing uncertain that is still to come can be of this part
+                    parts.append((n, first + a, e[:, a:b]))
+                else:
+                    keep = a
+            decode()
+            first, rest = first + keep, e[:, keep:].copy()
     return [sorted(x) for x in out]
 
 
+def _uncertain(em: np.ndarray, need: float) -> list[tuple[int, int]]:
+    """First and past-last character of the parts around characters where outside does not lead by as much."""
+    at = np.flatnonzero(em[0] - em[1:].max(0) < need)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > 2 * AROUND)
+    return [(max(int(a) - AROUND, 0), min(int(b) + AROUND + 1, em.shape[1])) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
+
+
 def _spans(tags: np.ndarray, em: np.ndarray, first: int, trans: np.ndarray) -> list[tuple[int, int, int]]:
     """The spans of a part's tags that are likely enough."""
     found, start = [], None
@@ -375,13 +414,16 @@ def _spans(tags: np.ndarray, em: np.ndarray, first: int, trans: np.ndarray) -> l
 
 def merged(text: str, base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans stay; of the tagger's, without white space and stops at their ends, those that touch no other span join them."""
-    taken = sorted(base)
-    for start, kind, end in more:
+    base, added, last = sorted(base), [], 0
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    for start, kind, end in sorted(more):
         found = text[start:end]
         start, end = start + len(found) - len(found.lstrip(" .,;\n")), end - len(found) + len(found.rstrip(" .,;\n"))
-        if end > start and not any(s < end and start < e for s, _, e in taken):
-            taken.append((start, kind, end))
-    return sorted(taken)
+        before = bisect_left(starts, end)  # base spans that begin before the end
+        if end > start >= last and not (before and reach[before - 1] > start):
+            added.append((start, kind, end))
+            last = end
+    return sorted(base + added)
 
 
 _trained: list[Tagger] = []
@@ -410,8 +452,8 @@ def find(documents: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
+            for a, b in chunks(buffers(batch.column("text"))[1]):
+                part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 base = [base_spans(t) for t in texts]
                 spans = [merged(*x) for x in zip(texts, base, tagged(texts, tagger))]
