@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -18,8 +19,8 @@ import numpy as np
 BLOCK, SLOTS = 2048, 2048
 #: What a seen decision's count grows by, and the sum from which counts are halved.
 GROW, LIMIT = 24, 1 << 12
-_MAGIC = b"FWR2"
-_HEAD = struct.Struct("<4sIQII")
+_MAGIC = b"FWR3"
+_HEAD = struct.Struct("<4sIQIII")  # magic, blocks, ids, ids that occur, bytes of the prior; crc32 of all that and the prior
 
 
 _U = np.uint64
@@ -172,24 +173,32 @@ def encode(ids: np.ndarray) -> bytes:
     words = (out & 0xFFFF).astype("<u2")
     body = words[np.arange(words.shape[1]) < count[:, None]]
     table = prior.packed()
-    return _HEAD.pack(_MAGIC, blocks, n, len(prior.ids), len(table)) + table + count.astype("<u4").tobytes() + crc.astype("<u4").tobytes() + body.tobytes()
+    head = (_MAGIC, blocks, n, len(prior.ids), len(table))
+    return _HEAD.pack(*head, zlib.crc32(table, zlib.crc32(_HEAD.pack(*head, 0)))) + table + count.astype("<u4").tobytes() + crc.astype("<u4").tobytes() + body.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids; ValueError where a block does not match its checksum."""
-    magic, blocks, n, d, table = _HEAD.unpack_from(data)
+def decode(data: bytes, blocks: Sequence[int] | None = None) -> np.ndarray:
+    """The ids, or those of the blocks named by their numbers, each decoded by itself; ValueError where head, prior or one of these blocks does not match its checksum."""
+    if len(data) < _HEAD.size:
+        raise ValueError("cut short")
+    *head, sum_ = _HEAD.unpack_from(data)
+    magic, every, n, d, table = head
     if magic != _MAGIC:
         raise ValueError("not a part of this format")
     first = _HEAD.size + table
+    if zlib.crc32(data[_HEAD.size : first], zlib.crc32(_HEAD.pack(*head, 0))) != sum_:
+        raise ValueError("the head is damaged")
     prior = _Prior.unpacked(data[_HEAD.size : first], d)
     bits, top = _U(prior.bits), (1 << prior.bits) - 1
     number_at = np.repeat(np.arange(d, dtype=np.int32), prior.freq.astype(np.int64)) if prior.bits <= 20 else None
-    count = np.frombuffer(data, "<u4", blocks, first).astype(np.int64)
-    crc = np.frombuffer(data, "<u4", blocks, first + 4 * blocks)
-    words = np.concatenate([np.frombuffer(data, "<u2", -1, first + 8 * blocks), np.zeros(4, "<u2")]).astype(np.uint64)
+    count = np.frombuffer(data, "<u4", every, first).astype(np.int64)
+    crc = np.frombuffer(data, "<u4", every, first + 4 * every)
+    words = np.concatenate([np.frombuffer(data, "<u2", -1, first + 8 * every), np.zeros(4, "<u2")]).astype(np.uint64)
     if len(words) != count.sum() + 4:
         raise ValueError("cut short")
-    at = np.cumsum(count) - count
+    wanted = np.arange(every) if blocks is None else np.asarray(blocks, np.int64)
+    at = (np.cumsum(count) - count)[wanted]
+    blocks = len(wanted)
     model = _Lanes(blocks, prior)
     code, size = np.zeros(blocks, np.uint64), np.full(blocks, 1 << 48, np.uint64)
     for _ in range(3 if blocks else 0):
@@ -223,8 +232,10 @@ def decode(data: bytes) -> np.ndarray:
             now[more] = number
         x[t] = now
         model.update(now, decision)
-    ids = prior.ids.take(np.ascontiguousarray(x.T).reshape(-1)[:n]) if n else np.zeros(0, np.int64)
-    for k in range(blocks):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != crc[k]:
+    size = np.minimum(n - wanted * BLOCK, BLOCK)
+    ids = prior.ids.take(np.ascontiguousarray(x.T)[np.arange(BLOCK) < size[:, None]]) if blocks else np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    for k, a, b in zip(wanted.tolist(), (ends - size).tolist(), ends.tolist()):
+        if zlib.crc32(ids[a:b].astype("<u4").tobytes()) != crc[k]:
             raise ValueError(f"block {k} is damaged")
     return ids

@@ -398,6 +398,55 @@ def test_codec():
             codec.encode(np.array([wrong]))
 
 
+def test_codec_blocks_stand_alone():
+    """Any block is decoded without the others, whatever became of them; a damaged head or prior is found."""
+    ids = np.random.default_rng(6).zipf(1.3, 5 * codec.BLOCK + 77) % 900
+    data = codec.encode(ids)
+    for k in range(6):
+        assert (codec.decode(data, [k]) == ids[k * codec.BLOCK : (k + 1) * codec.BLOCK]).all()
+    assert (codec.decode(data, [5, 2]) == np.concatenate([ids[5 * codec.BLOCK :], ids[2 * codec.BLOCK : 3 * codec.BLOCK]])).all()
+    damaged = bytearray(data)
+    damaged[-1500] ^= 64
+    bad = [k for k in range(6) if not _holds(bytes(damaged), ids, k)]
+    assert len(bad) == 1
+    for at in (5, 9, 20, codec._HEAD.size + 3, codec._HEAD.size + 400):
+        damaged = bytearray(data)
+        damaged[at] ^= 1
+        with pytest.raises(ValueError):
+            codec.decode(bytes(damaged), [0])
+    with pytest.raises(ValueError):
+        codec.decode(data[:10])
+
+
+def _holds(data, ids, k):
+    try:
+        return (codec.decode(data, [k]) == ids[k * codec.BLOCK : (k + 1) * codec.BLOCK]).all()
+    except ValueError:
+        return False
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """Ids and spans of texts that are cut into many stretches are those of the whole texts."""
+    import sentencepiece
+
+    monkeypatch.setattr(common.stretches, "__defaults__", (40,))
+    r = random.Random(31)
+    texts = ["".join(r.choice(["word ", "a", "  ", "\n", " \n", "▁", " 日本", "<|endoftext|>", " it's", "\t", "9 "]) for _ in range(r.randrange(400))) for _ in range(60)]
+    ids, sizes = (one := tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids, sizes = pieces.Model(path).encode(texts)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [sp.encode(t) for t in texts]
+    model = personal.model()
+    long = [" ".join(t for t, _ in personal.labelled(60, seed)) for seed in (81, 82, 83)]
+    whole = personal.tagged(long, model)
+    assert all(len(x) > 20 for x in whole)
+    for limit in (personal.READ * 2, 1500):
+        monkeypatch.setattr(personal, "LONG", limit)
+        assert personal.tagged(long, model) == whole
+
+
 def test_codec_compresses():
     texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
     ids = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)[0].astype(np.int64)
