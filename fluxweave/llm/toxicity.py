@@ -175,7 +175,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
         def left(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
             return [np.rint((model.score(data, offsets) - y) * model.share(y) / UNIT).astype(np.int64)]
 
-        slopes = learned.mapInArrow(_totals(left, ["slope"]), "gram long, slope long").groupBy("gram").agg(F.sum("slope").alias("slope")).join(counts, "gram")
+        if len(model.grams):
+            slopes = learned.mapInArrow(_totals(left, ["slope"]), "gram long, slope long").groupBy("gram").agg(F.sum("slope").alias("slope")).join(counts, "gram")
+        else:  # every text's score is a half, so the counts tell the gradients
+            slopes = counts.withColumn("slope", (F.col("clean") / model.n_clean - F.col("toxic") / model.n_toxic) / (4 * UNIT))
         slope = F.abs(F.col("slope") * UNIT * ratio)
         worst = slopes.where(slope > L1 * (1 + SLACK)).orderBy(slope.desc(), "gram").select("gram", "clean", "toxic").limit(AT_ONCE + len(model.grams)).toPandas()
         worst = worst[~worst.gram.isin(model.grams)][:AT_ONCE]
