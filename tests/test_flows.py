@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -113,6 +114,30 @@ def test_parity_with_sql(spark, name):
         assert x == y
 
 
+def test_packets_are_dealt_out_once(spark):
+    """Flows of at most one segment need no exchange but the one that numbers them, however many readers and quantiles there are."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is reused
+    try:
+        for name in ("length_runs", "iat_stats"):
+            plan = Q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"- Exchange ", plan)) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_long_and_short_flows_together(spark):
+    """Each flow is dealt out by its own length: beside one of several segments, short ones have the features they have alone, numbered by a window or not."""
+    rng = random.Random(7)
+    pk = flow(spark, {f: [(k * 1000 + rng.randrange(900), rng.choice((1, -1, 0)), rng.randrange(40, 1500), 0) for k in range(n)] for f, n in enumerate((300, 40, 41, 1, 7))})
+    groups = [T.iat_stats, T.burst, S.sequence_stats]
+    found = [{x.flow_id: x.asDict() for x in engine.features(pk, FlowConfig(segment=n), groups, together).collect()} for n, together in ((1 << 16, False), (40, False), (40, True))]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys() == set(range(5))
+        for f, row in found[0].items():
+            assert all(v == other[f][k] or isinstance(v, float) and math.isclose(v, other[f][k], rel_tol=1e-9, abs_tol=1e-9) for k, v in row.items())
+
+
 def test_segments_of_a_long_flow_are_nothing(spark):
     """Dealt out in segments of 40 packets, a flow has the features it has as one; so has a tail of 130 packets."""
     r = random.Random(5)
