@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, sized
@@ -44,6 +45,10 @@ def _star(a: Column, b: Column, m: Column) -> Column:
     return F.array(F.struct(a.alias("a"), m.alias("b")), F.struct(b.alias("a"), m.alias("b")))
 
 
+#: Rows whose keys could bring together more than so many pairs a row are tied first; for as long as that leaves at most this share of the pairs.
+PAIRS, LEFT = 2, 0.5
+#: Words of 64 bits of a set's parities.
+PARITY = 8
 #: An element is common if more than one in so many members of a leader's group differ from the leader by it.
 COMMON = 16
 
@@ -90,7 +95,7 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     such links could bring together meet again. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
     |E(y)| - 2 |E(x) & E(y)| elements not in common, and linked ones c (|x| + |y|) at most, c = (100 - p) / (100 + p). If not both
     are linked to the leader, they can be linked only if E(x) and E(y) meet, and in so many elements that their first
-    ones in one order (see _first) do. So members meet again by equal differences instead of pair by pair: a group of n
+    ones in one order (see _first) do; parities rule out most of those that are not. So members meet again by equal differences instead of pair by pair: a group of n
     loose copies of one text costs about n pairs, and no link between components is lost.
     """
     leader = sized(saved(leaders(buckets), "leaders"), 24)
@@ -112,7 +117,7 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     again = rooted.join(sized(saved(open_, "open"), 24), "b").where("ok AND with_linked OR NOT ok AND (others OR near AND apart AND with_linked)").select("a", "b", "large", "root", "members")
 
     none = F.array().cast("array<long>")
-    first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("away"), _first(percent, none).alias("first")), "first")
+    first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("away"), _first(percent, none).alias("first"), _parity(x).alias("parity")), "first")
     counts = first.select("b", "members", F.explode("first").alias("e")).groupBy("b", "members", "e").agg(F.count(F.lit(1)).alias("f"))
     common = counts.where(f"f >= 8 AND {COMMON} * f > members").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("c")).select("b", F.transform("c", lambda s: s.e).alias("common"))
     common = saved(common, "common")
@@ -122,13 +127,59 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     rows = saved(differing.select("a", "b", "large", "nx", "root", "away", F.explode("first").alias("e")).select("a", "large", "nx", "root", "away", F.xxhash64("b", "e").alias("key")), "differences")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
     rows = rows.join(sized(saved(shared, "shared"), 16), "key")
-    rows = saved(rows.join(sized(content.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), 64), "a"), "differences")
-    other = rows.select("key", F.col("a").alias("b"), F.col("large").alias("large2"), F.col("nx").alias("ny"), F.col("root").alias("root2"), F.col("away").alias("away2"), F.col("x").alias("y"))
+    rows = rows.join(sized(content.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), 64), "a")
+    rows = saved(rows.join(sized(saved(first.groupBy("a").agg(F.first("parity").alias("parity")), "parities"), 16 + 8 * PARITY), "a"), "differences")
     of_size = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     of_distance = 100 * F.abs(F.col("away") - F.col("away2")) <= 100 - percent + 1e-6  # from the leader; else they are too far from each other
-    more = rows.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & of_size & of_distance & likely(x, y, percent))
+    meet = (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2")) & of_size & of_distance & likely(x, y, percent) & _alike(percent)
+    rows, ties = _tied(rows, meet, content, elements, percent)
+    more = rows.join(rows.select("key", *_other()), "key").where((F.col("a") < F.col("b")) & meet)
     more = saved(more.select("a", "b").distinct(), "pairs")
-    return links.union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
+    return reduce(DataFrame.union, ties, links).union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
+
+
+def _other() -> list[Column]:
+    """The columns of the other one of two rows that meet."""
+    return [F.col(c).alias(other) for c, other in (("a", "b"), ("large", "large2"), ("nx", "ny"), ("root", "root2"), ("away", "away2"), ("x", "y"), ("parity", "parity2"))]
+
+
+def _parity(x: Column) -> Column:
+    """Of 64 * PARITY classes of a set's elements whether their number is odd: sets have as many elements not in common, at least, as these differ."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    word = lambda k: F.aggregate(x, F.lit(0).cast("long"), lambda s, h: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(PARITY - 1) == k, s.bitwiseXOR(bit(h))).otherwise(s))
+    return F.array(*map(word, range(PARITY)))
+
+
+def _alike(percent: int) -> Column:
+    """Whether two rows' parities let a similarity of percent / 100 be; no such pair is lost."""
+    differ = reduce(Column.__add__, [F.bit_count(F.get("parity", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(PARITY)])
+    return (100 + percent) * differ <= (100 - percent) * (F.col("nx") + F.col("ny"))
+
+
+def _tied(rows: DataFrame, meet: Column, content: DataFrame, elements: Callable[[Column], Column], percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """rows with the roots that links between neighbours give, without keys of one root, and those links.
+
+    The members of a key are put in an order drawn anew each round, and each is held against the next one: as many pairs as rows. What is linked gets one root,
+    and members of one root need not meet. Where loose copies of a text are linked here and there, a round or two bring most of them under
+    one root. Rounds end when the pairs of different roots that are left are few, or no longer become fewer; all of those pairs still meet afterwards.
+    """
+    ties, before = [], None
+    while True:
+        of_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        of_key = of_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        n, pairs = of_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")).cast("double") / 2), F.lit(0.0))).head()
+        if pairs <= PAIRS * n or (before is not None and pairs > LEFT * before):
+            return rows, ties
+        before = pairs
+        order = Window.partitionBy("key").orderBy(F.xxhash64("a", F.lit(len(ties))), "a")
+        next_ = rows.select("*", F.lead(F.struct(*_other())).over(order).alias("_next")).select("*", "_next.*").where(meet)
+        next_ = next_.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("root").alias("root"), F.first("root2").alias("root2"))
+        tied = saved(_compared(saved(next_, "neighbours"), content, elements, percent).where("ok").select("a", "b", "root", "root2"), "ties")
+        ties.append(tied.select("a", "b"))
+        found = sized(saved(components(tied, "root", "root2"), "components"), 24).select(F.col("id").alias("root"), "component")
+        rows = rows.join(found, "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+        shared = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        rows = saved(rows.join(sized(saved(shared, "shared"), 16), "key"), "differences")
 
 
 def _first(percent: int, common: Column) -> Column:

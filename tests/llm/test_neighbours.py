@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from fluxweave.llm import graph, neighbours
 
@@ -33,3 +36,34 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40, 90)] + [(7, 3), (3, 1), (5, 5), (200, 90)]
     got = {x.id: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([*range(40, 91), 200], 40), 1: 1, 3: 1, 7: 1}
+
+
+def test_loose_copies_meet_few_times(spark, monkeypatch):
+    """Copies of a text that are loosely like each other (0.75 or so) and linked here and there: few pairs of them are looked at, and no link between components is lost."""
+    r, n, met, saved = random.Random(4), 160, [], graph.saved
+
+    def counted(df, name="table"):
+        out = saved(df, name)
+        met.extend([out.count()] if name in ("neighbours", "pairs") else [])
+        return out
+
+    monkeypatch.setattr(graph, "saved", counted)
+    text, draw = [r.getrandbits(62) for _ in range(200)], lambda k: [r.getrandbits(62) for _ in range(k)]
+    sets = [text] + [[e for e in text if r.random() > 0.13] + draw(8) for _ in range(n)]
+    sets += [x[:-3] + draw(3) for x in sets[1 : n // 2]]  # each linked to one of them alone
+    content = saved(spark.createDataFrame([(k, x, [0]) for k, x in enumerate(sets)], "rep long, content array<long>, sketch array<long>"))
+    buckets = saved(spark.createDataFrame([(1, k, True) for k in range(len(sets))], "key long, rep long, large boolean"))
+    links = graph.linked(buckets, content, lambda c: c, 80, lambda x, y, p: F.lit(True)).collect()
+    own = [set(x) for x in sets]
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    assert {(min(x), max(x)) for x in links} <= set(alike) and len(alike) < len(sets) ** 2 // 8
+    root = list(range(len(sets)))
+    for edges, check in ((links, False), (alike, True)):
+        for a, b in edges:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            assert a == b or not check
+            root[a] = b
+    assert sum(met[1:]) < 6 * len(sets)  # the first are members and leaders
