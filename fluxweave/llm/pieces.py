@@ -14,18 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffers, chunks, in_stretches, with_fields
+from .common import Memo, buffers, chunks, in_stretches, with_fields
 
 #: What the model's pieces have for a blank.
 BLANK = "▁"
-#: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it starts anew; chunks indexed at once.
-KEPT, INDEXED = 120_000, 15_000
+#: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it drops the rare ones; chunks indexed at once.
+KEPT, INDEXED = 200_000, 60_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 _BREAK = re.compile(r"(?<=[^ ]) ")
 _loaded: dict[str, Model] = {}
 
 
-class Model:
+class Model(Memo):
     """The pieces of a model file, ranked: single characters first, then the others by falling score, as merges make them."""
 
     def __init__(self, path: str):
@@ -57,6 +57,8 @@ class Model:
             self.letters[k, : len(p)] = [ord(x) for x in p]
         self.single = {p for p in self.pieces if len(p) == 1}
         self._merges(rank)
+        self.alphabet: dict[str, int] = {}  # of the characters that came so far
+        self.bounds = None
         self.clear()
 
     def _merges(self, rank: dict[str, int]) -> None:
@@ -133,12 +135,24 @@ class Model:
             open_ = open_[take_x | take_y]
         return ok
 
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.first, self.length, self.ids, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+    def _bounds(self, alphabet: dict[str, int], bits: int, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ranks of the pieces that are made of the alphabet and by merges, and the least and the largest key of a place where each begins, by level; kept while the alphabet is the same."""
+        if self.bounds is None or self.bounds[0] != alphabet:
+            of = np.zeros(0x110000, np.int32)
+            of[[ord(x) for x in alphabet]] = list(alphabet.values())
+            c, inside = of[self.letters], np.arange(self.longest) < self.sizes[:-1, None]
+            ranks = np.flatnonzero(((c > 0) | ~inside).all(1) & self.made[:-1])
+            levels = -(-self.longest // per)
+            low = np.zeros((len(ranks), levels * per), np.int64)
+            low[:, : self.longest] = np.where(inside, c, 0)[ranks]
+            high = np.full_like(low, (1 << bits) - 1)
+            high[:, : self.longest] = np.where(inside, c, (1 << bits) - 1)[ranks]
+            weight = np.int64(1) << bits * np.arange(per - 1, -1, -1)
+            self.bounds = dict(alphabet), ranks, low.reshape(-1, levels, per) @ weight, high.reshape(-1, levels, per) @ weight
+        return self.bounds[1:]
 
     def matches(self, codes: np.ndarray, alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edges start, end, rank: every occurrence of every piece in the codes (0 ends a chunk, 1 is no piece's character)."""
+        """Edges start, end, rank: every occurrence of every piece that merges make in the codes (0 ends a chunk, 1 is no piece's character)."""
         bits = max(2, (len(alphabet) + 2).bit_length())
         per = 62 // bits
         n, levels = len(codes), -(-self.longest // per)
@@ -151,21 +165,10 @@ class Model:
             keys.append(key)
         order = np.lexsort(keys[::-1]) if levels > 1 else np.argsort(keys[0])
         keys = [k[order] for k in keys]
-        of = np.zeros(0x110000, np.int32)
-        for x, k in alphabet.items():
-            of[ord(x)] = k
-        c, inside = of[self.letters], np.arange(self.longest) < self.sizes[:-1, None]
-        ranks = np.flatnonzero(((c > 0) | ~inside).all(1))
-        low = np.zeros((len(ranks), levels * per), np.int64)
-        low[:, : self.longest] = np.where(inside, c, 0)[ranks]
-        high = np.full_like(low, (1 << bits) - 1)
-        high[:, : self.longest] = np.where(inside, c, (1 << bits) - 1)[ranks]
+        ranks, least, most = self._bounds(alphabet, bits, per)
         a, b = np.zeros(len(ranks), np.int64), np.full(len(ranks), n, np.int64)
         for v in range(levels):
-            least = most = np.zeros(len(ranks), np.int64)
-            for j in range(v * per, (v + 1) * per):
-                least, most = least << bits | low[:, j], most << bits | high[:, j]
-            a, b = _bisect(keys[v], least, a, b, False), _bisect(keys[v], most, a, b, True)
+            a, b = _bisect(keys[v], least[:, v], a, b, False), _bisect(keys[v], most[:, v], a, b, True)
         count = b - a
         which = np.repeat(np.arange(len(ranks)), count)
         start = order[np.repeat(a, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]
@@ -179,7 +182,8 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(size + 1)])
         known, at = np.unique(joined, return_inverse=True)
         letters = [chr(x) for x in known]
-        alphabet = {x: k for k, x in enumerate([x for x in letters if x in self.single], 2)}
+        alphabet = self.alphabet
+        alphabet.update((x, k) for k, x in enumerate([x for x in letters if x in self.single and x not in alphabet], len(alphabet) + 2))
         codes = np.array([alphabet.get(x, 1) for x in letters], np.int64)[at]
         codes[begin[1:] - 1] = 0
         offset = np.arange(len(codes)) - np.repeat(begin[:-1], size + 1)
@@ -216,15 +220,7 @@ class Model:
             ids, owner = np.repeat(ids, times), np.repeat(owner, times)
             ids[ids == -1] = [y for x in spelled for y in x]
         count = np.bincount(owner, minlength=len(chunks))
-        k = len(self.numbers)
-        while k + len(chunks) > len(self.first):
-            self.first, self.length = np.concatenate([self.first, self.first]), np.concatenate([self.length, self.length])
-        while self.n + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.first[k : k + len(chunks)], self.length[k : k + len(chunks)] = self.n + np.cumsum(count) - count, count
-        self.ids[self.n : self.n + len(ids)] = ids
-        self.n += len(ids)
-        self.numbers.update(zip(chunks, range(k, k + len(chunks))))
+        self.add(chunks, count, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. A text is a row of chunks, so a long one is cut before one of them."""
@@ -233,7 +229,7 @@ class Model:
     def _chunked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts that begin with a blank, or are empty."""
         if len(self.numbers) > KEPT:
-            self.clear()
+            self.thin(KEPT // 2)
         rows = []
         for t in texts:
             rows.append(_CHUNK.findall(t) if "  " in t or "\0" in t else t.replace(" ", "\0 ").split("\0")[1:])
@@ -241,10 +237,7 @@ class Model:
         unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
         for k in range(0, len(unknown), INDEXED):
             self._learn(unknown[k : k + INDEXED])
-        number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        length = self.length[number]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(self.first[number] - total[:-1], length) + np.arange(total[-1])]
+        ids, total = self.of(pieces)
         cut = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
         return ids, total[cut[1:]] - total[cut[:-1]]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codec
-from .common import buffers, chunks, in_stretches, sized
+from .common import Memo, buffers, chunks, in_stretches, sized
 
 #: The id after each document.
 END = 0
@@ -25,7 +25,7 @@ KEPT = 400_000
 _loaded: dict[str, Encoder] = {}
 
 
-class Encoder:
+class Encoder(Memo):
     """The ids of texts by the tokenizers library, which sees each distinct piece once.
 
     A byte-level tokenizer with the usual pattern always cuts before a blank that stands between two other characters. So a text without
@@ -49,28 +49,6 @@ class Encoder:
         self.line_break = ids[0] if len(ids) == 1 else -1
         self.clear()
 
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.first, self.length, self.used = (np.zeros(1 << 16, np.int64) for _ in range(3))
-        self.ids, self.n = np.zeros(1 << 18, np.int32), 0
-
-    def _thin(self) -> None:
-        """Keeps the pieces that came three times or more."""
-        keep = np.flatnonzero(self.used[: len(self.numbers)] > 2)[: KEPT // 2]
-        names, length = list(self.numbers), self.length[keep]
-        ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.first[keep] - (ends - length), length) + np.arange(length.sum())]
-        self.clear()
-        self.numbers = dict(zip((names[k] for k in keep), range(len(keep))))
-        self._room(len(keep), len(ids))
-        self.first[: len(keep)], self.length[: len(keep)], self.used[: len(keep)], self.ids[: len(ids)], self.n = ends - length, length, 1, ids, len(ids)
-
-    def _room(self, pieces: int, ids: int) -> None:
-        while pieces > len(self.first):
-            self.first, self.length, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.used))
-        while ids > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -91,14 +69,7 @@ class Encoder:
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
             found = self._each(part)
-            sizes = np.array([len(x) for x in found], np.int64)
-            start = len(self.numbers)
-            self._room(start + len(part), self.n + int(sizes.sum()))
-            self.first[start : start + len(part)] = self.n + np.cumsum(sizes) - sizes
-            self.length[start : start + len(part)] = sizes
-            self.ids[self.n : self.n + sizes.sum()] = np.concatenate(found)
-            self.n += int(sizes.sum())
-            self.numbers.update(zip(part, range(start, start + len(part))))
+            self.add(part, np.array([len(x) for x in found], np.int64), np.concatenate(found))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. A long text is cut where the tokenizer always cuts, if there is such a place."""
@@ -106,7 +77,7 @@ class Encoder:
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > KEPT:
-            self._thin()
+            self.thin(KEPT // 2)
         rows, odd = [], {}
         for k, text in enumerate(texts):
             if not text or self.whole.search(text):
@@ -117,14 +88,9 @@ class Encoder:
         pieces = [p for row in rows for p in row]
         unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
         self._learn(unknown)
-        number = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
-        np.add.at(self.used, number, 1)
-        length = self.length[number]
-        total = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(self.first[number] - total[:-1], length) + np.arange(total[-1])
+        ids, total = self.of(pieces)
         cut = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
         sizes = total[cut[1:]] - total[cut[:-1]]
-        ids = self.ids[at]
         if any(odd.values()):
             parts = np.split(ids, total[cut[1:-1]])
             for k, x in zip(odd, self._whole(list(odd.values()))):

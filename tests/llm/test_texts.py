@@ -466,6 +466,24 @@ def test_encoder_forgets_only_rare_pieces(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_forget_only_rare_chunks(monkeypatch):
+    """Chunks that come often are indexed once, the bounds of pieces are made anew only for new characters; ids are the library's."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "KEPT", 300)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, one, r, learned = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path), random.Random(9), []
+    learn = one._learn
+    monkeypatch.setattr(one, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    kept = []
+    for k in range(8):
+        texts = [prose(r, 60, 50_000) + " often" * 4 + ("  é日" if k > 5 else "") for _ in range(20)]
+        ids, sizes = one.encode(texts)
+        kept.append(one.bounds)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [sp.encode(t) for t in texts]
+    assert learned.count(" often") == 1 and len(set(map(id, kept))) == 2
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
