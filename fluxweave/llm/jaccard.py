@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, buffers, chunks, grams, mixed, saved, sized, text_hash, words
+from .common import SPACE_BYTES, buffers, chunks, grams, mixed, saved, settled, sized, text_hash, words
 from .graph import components, linked
 
 
@@ -83,20 +83,69 @@ def _profiles(k: int):
     return of
 
 
-def _parts(k: int, bands: Bands):
-    """The keys of each text's sketch in its own size band (large) and in the next one's, and how many of them it may leave out."""
+#: Bits of a key besides those of its group; rows are dealt out by groups, of GROUP shingles of the corpus each. Keys that a worker holds before it deals them out.
+LOW, GROUP, HELD = 28, 1 << 19, 1 << 20
+
+
+def _dealt(k: int, bands: Bands, bits: int):
+    """The keys of each text's sketch in its own size band (large) and in the next one's, LOW + bits bits of each, as one row for each group that has some: eight bytes a key, with large and 32 bits that name the text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            number, row = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(number)
+            group, row = number[order] >> np.uint64(LOW), row[order]
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            at = np.append(first, len(row)).astype(np.int32) * 8
+            return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(row)])], ["group", "rows"])
+
+        n = 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             for a, b in chunks(offsets):
                 hashes, _, _, ptr = words(data, offsets[a : b + 1], SPACE_BYTES)
-                sets = [(rep, s, bands.band(len(s))) for rep, s in zip(batch.column("doc_id")[a:b].to_pylist(), shingle_sets(hashes, ptr, k)) if len(s)]
-                for step in (0, 1):
-                    differ = [bands.differ(v + step) for _, _, v in sets]
-                    keys = [part_keys(s, v + step, d).view(np.int64) for (_, s, v), d in zip(sets, differ)]
-                    rep = pa.array([rep for rep, _, _ in sets], batch.column("doc_id").type)
-                    yield pa.RecordBatch.from_arrays([rep, pa.array([step == 0] * len(sets), pa.bool_()), pa.array([d // SPARE for d in differ], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["rep", "large", "spare", "keys"])
+                names = batch.column("name")[a:b].to_numpy().astype(np.uint64)
+                for name, s in zip(names, shingle_sets(hashes, ptr, k)):
+                    for step in (0, 1) if len(s) else ():
+                        band = bands.band(len(s)) + step
+                        number = part_keys(s, band, bands.differ(band)) >> np.uint64(64 - LOW - bits)
+                        low = number & np.uint64((1 << LOW) - 1)
+                        held.append((number, (low << np.uint64(1) | np.uint64(1 - step)) << np.uint64(32) | name))
+                        n += len(number)
+                    if n >= HELD:
+                        yield flush()
+                        n = 0
+        if held:
+            yield flush()
+
+    return of
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Of a group the keys that several rows have, one of them large: key, name, large and how many rows have the key."""
+    group = rows.column("group")[0].as_py()
+    row = np.sort(np.frombuffer(b"".join(rows.column("rows").to_pylist()), np.uint64))
+    low = row >> np.uint64(33)
+    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    size = np.diff(np.append(first, len(row)))
+    large = row >> np.uint64(32) & np.uint64(1)
+    several = np.repeat((size > 1) & (large[first + size - 1] > 0), size)  # large ones are the last of a key
+    found, n = row[several], np.repeat(size, size)[several]
+    key = (found >> np.uint64(33)).astype(np.int64) | group << LOW
+    return pa.table([key, (found & np.uint64(0xFFFFFFFF)).astype(np.int64), large[several] > 0, n.astype(np.int64)], names=["key", "name", "large", "n"])
+
+
+def _spares(bands: Bands):
+    """How many parts each set may leave out in its own band and in the next one."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        differ = np.array([bands.differ(v) // SPARE for v in range(len(bands.tops))], np.int64)
+        for batch in batches:
+            band = np.searchsorted(bands.tops, batch.column("n_shingles").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("name"), pa.array(differ[band]), pa.array(differ[band + 1])], ["rep", "name", "own", "next"])
 
     return of
 
@@ -142,7 +191,6 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     Equal sets are one class and enter the join once. Repeated rows get equal results: an id names one document, for which, where its rows differ in text, the text of the smallest hash
     stands. A row with a null id keeps it, takes no part and has a null component. Other columns are not read.
     """
-    bands = Bands(percent)
     kind = dict(documents.dtypes)["doc_id"]
     named = documents.select("doc_id", "text", text_hash().alias("text_hash"))
     profile = saved(named.mapInArrow(_profiles(k), f"doc_id {kind}, text_hash long, n_shingles long, one long, two long"), "profiles")
@@ -151,21 +199,29 @@ def join(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     classes = some.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(*same, F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"))
     classes = saved(classes, "classes")
 
+    found = settled(lambda: components(_links(named, profile, classes, k, percent)), "components", documents.sparkSession).withColumnRenamed("id", "rep")
+    root = some.join(classes.select(*same, "rep"), same).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
+    return profile.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _links(named: DataFrame, profile: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the classes of equal sets."""
+    bands, kind = Bands(percent), dict(named.dtypes)["doc_id"]
     standing = classes.select(F.col("rep").alias("doc_id"), "text_hash")
     copies = sized(saved(profile.where("n_shingles > 0").select("doc_id", "text_hash").join(standing, ["doc_id", "text_hash"], "left_anti").distinct(), "copies"), 48)
     reps = named.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
     if profile.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         reps = reps.dropDuplicates(["doc_id", "text_hash"])
-    rows = reps.mapInArrow(_parts(k, bands), f"rep {kind}, large boolean, spare int, keys array<long>").select(F.explode("keys").alias("key"), "rep", "large", "spare")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("large").alias("any")).where("n > 1 AND any").select("key", "n")
-    of_set = rows.join(sized(saved(shared, "shared"), 24), "key").groupBy("rep", "large", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # no more than a set has parts
+    name = F.xxhash64("doc_id").bitwiseAND(0xFFFFFFFF)  # texts of one name are taken for each other where they meet others, and told apart when pairs are verified
+    bits = int(np.clip(np.ceil(np.log2(max(classes.agg(F.sum("n_shingles")).head()[0] or 0, 1) / GROUP)), 4, 30))
+    met = reps.select("text", name.alias("name")).mapInArrow(_dealt(k, bands, bits), "group int, rows binary").groupBy("group").applyInArrow(_met, "key long, name long, large boolean, n long")
+    spares = classes.select("rep", F.xxhash64("rep").bitwiseAND(0xFFFFFFFF).alias("name"), "n_shingles").mapInArrow(_spares(bands), f"rep {kind}, name long, own long, next long")
+    rows = saved(met, "met").join(spares, "name").select("key", "n", "rep", "large", F.when(F.col("large"), F.col("own")).otherwise(F.col("next")).cast("int").alias("spare"))
+    of_set = rows.groupBy("rep", "large", "spare").agg(F.sort_array(F.collect_set(F.struct("n", "key"))).alias("keys"))  # no more than a set has parts
     kept = F.slice("keys", 1, F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))
     buckets = saved(of_set.select(F.explode(kept).alias("k"), "rep", "large").select("k.key", "rep", "large"), "buckets")
 
     wanted = sized(saved(buckets.select("rep").distinct().join(classes.select("rep", "text_hash"), "rep"), "wanted"), 32)
     texts = named.join(wanted, (named.doc_id == wanted.rep) & (named.text_hash == wanted.text_hash)).select("rep", wanted.text_hash, "text").dropDuplicates(["rep", "text_hash"])
     content = saved(texts.select("rep", "text").mapInArrow(_sets(k), f"rep {kind}, content array<long>, sketch array<long>"), "sets")
-    links = linked(buckets, content, lambda shingles: shingles, percent, _likely)
-    found = components(links).withColumnRenamed("id", "rep")
-    root = some.join(classes.select(*same, "rep"), same).join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    return profile.select("doc_id", "n_shingles").join(root, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked(buckets, content, lambda shingles: shingles, percent, _likely)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized, text_hash
+from .common import saved, settled, sized, text_hash
 from .graph import components, linked, once
 
 #: Characters in a shingle, and hundredths of Jaccard similarity from which lines are one.
@@ -87,6 +87,11 @@ def line_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, text_hash, line_no, id), and component of the ids that are similar to another."""
     lines = occurrences(documents)
     placed = saved(lines.select("doc_id", "text_hash", "line_no", "id"), "occurrences")
+    return placed, settled(lambda: _components(lines), "components", documents.sparkSession)
+
+
+def _components(lines: DataFrame) -> DataFrame:
+    """id and component of the lines that are similar to another."""
     signed = saved(_signatures(lines), "signatures")
     rows = signed.select(F.explode("bands").alias("key"), F.col("id").alias("rep"))
     shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
@@ -96,7 +101,7 @@ def line_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = signed.join(wanted, "id", "left_semi").groupBy("id").agg(sketch.alias("sketch"))
     texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("content"))
     content = saved(texts.join(sketches, "id").withColumnRenamed("id", "rep"), "lines")
-    return placed, saved(components(linked(buckets, content, shingles, PERCENT, _likely)), "components")
+    return components(linked(buckets, content, shingles, PERCENT, _likely))
 
 
 def removed(documents: DataFrame) -> DataFrame:
@@ -121,7 +126,7 @@ def dedup(documents: DataFrame) -> DataFrame:
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     quoted = ["`" + c.replace("`", "``") + "`" for c in names]
     rows = documents.select(F.struct(*quoted).alias("row"), F.col("doc_id").alias("row_id"), text_hash().alias("row_hash"))  # no name of theirs can clash
-    gone = sized(saved(removed(documents), "removed"), 96)
+    gone = sized(settled(lambda: removed(documents), "removed", documents.sparkSession), 96)
     joined = rows.join(gone, (rows.row_id == gone.doc_id) & (rows.row_hash == gone.text_hash), "left").select("row", F.split("row.text", "\n").alias("all"), F.col("lines").alias("gone"))
     none = F.col("gone").isNull()
     left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")

@@ -1,5 +1,6 @@
 """Operators on texts against brute force, and what they do with nulls, empty and long texts, repeats, and clashing columns."""
 
+import os
 import random
 import re
 import zlib
@@ -228,6 +229,44 @@ def test_jaccard(spark, k, percent):
     assert jaccard.join(docs(spark, []), k, percent).count() == 0
 
 
+def test_keys_that_meet_are_all_found():
+    """Keys of sketches are dealt out in eight bytes each, and those that several texts have, one of them in its own band, are all found, and no others."""
+    import pyarrow as pa
+
+    r, bands, bits = random.Random(12), jaccard.Bands(80), 4
+    texts = [prose(r, 60, 10_000) for _ in range(30)]
+    texts += [t + " more" for t in texts[:10]] + [t + " and" * 3 for t in texts[5:15]] + [None, "", "  ", "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)), pa.int64())], ["text", "name"])
+    dealt = pa.Table.from_batches(list(jaccard._dealt(5, bands, bits)(iter([batch.slice(0, 20), batch.slice(20)]))))
+    want, n_keys = {}, 0
+    for name, t in enumerate(texts):
+        words = common.words_of(t or "", common.SPACE_BYTES)
+        s = jaccard.shingle_sets(words, np.array([0, len(words)]), 5)[0]
+        for step in (0, 1) if len(s) else ():
+            band = bands.band(len(s)) + step
+            keys = jaccard.part_keys(s, band, bands.differ(band)) >> np.uint64(64 - jaccard.LOW - bits)
+            n_keys += len(keys)
+            for key in keys.tolist():
+                want.setdefault(key, []).append((name, step == 0))
+    assert sum(map(len, dealt.column("rows").to_pylist())) == 8 * n_keys
+    got = {}
+    for group in set(dealt.column("group").to_pylist()):
+        for key, name, large, n in zip(*jaccard._met(dealt.filter(pa.compute.equal(dealt.column("group"), group))).to_pydict().values()):
+            got.setdefault(key, []).append((name, large, n))
+    assert len(got) > 100 and {k: sorted(v) for k, v in got.items()} == {k: sorted((a, b, len(v)) for a, b in v) for k, v in want.items() if len(v) > 1 and any(b for _, b in v)}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    """Of the tables that an operator writes those stay on disk that its result is read from."""
+    at, r = common.shared_dir(spark), random.Random(5)
+    rows = docs(spark, [(n, "\n".join(prose(r, 12, 30) for _ in range(3))) for n in range(20)] + [(90, "a b c d e f g h"), (91, "a b c d e f g h i")])
+    for make, kept in ((lambda: lines.dedup(rows), ["removed"]), (lambda: jaccard.join(rows, 3, 80), ["classes", "components", "profiles"])):
+        before = set(os.listdir(at))
+        found = make()
+        assert sorted(x.split("-")[0] for x in set(os.listdir(at)) - before) == kept
+        assert found.count() == 22
+
+
 def test_lines(spark):
     r = random.Random(5)
     line = "a line of words that some other document also has, " + prose(r, 20)
