@@ -19,7 +19,7 @@ from .common import Memo, buffers, chunks, in_stretches, with_fields
 #: What the model's pieces have for a blank.
 BLANK = "▁"
 #: Distinct chunks of text (blanks and what follows them) whose ids a worker keeps before it drops the rare ones; chunks indexed at once.
-KEPT, INDEXED = 120_000, 15_000
+KEPT, INDEXED = 250_000, 15_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 _BREAK = re.compile(r"(?<=[^ ]) ")
 _loaded: dict[str, Model] = {}
@@ -176,6 +176,10 @@ class Model(Memo):
         return start, start + self.sizes[rank], rank
 
     def _learn(self, chunks: list[str]) -> None:
+        for k in range(0, len(chunks), INDEXED):
+            self._indexed(chunks[k : k + INDEXED])
+
+    def _indexed(self, chunks: list[str]) -> None:
         """Encodes distinct chunks: index, match, sort, relax."""
         joined = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         size = np.array([len(c) for c in chunks], np.int64)
@@ -234,10 +238,7 @@ class Model(Memo):
         for t in texts:
             rows.append(_CHUNK.findall(t) if "  " in t or "\0" in t else t.replace(" ", "\0 ").split("\0")[1:])
         pieces = [p for row in rows for p in row]
-        unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
-        for k in range(0, len(unknown), INDEXED):
-            self._learn(unknown[k : k + INDEXED])
-        ids, total = self.of(pieces)
+        ids, total = self.of(pieces, self._learn)
         cut = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
         return ids, total[cut[1:]] - total[cut[:-1]]
 

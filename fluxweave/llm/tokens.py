@@ -86,9 +86,7 @@ class Encoder(Memo):
             else:
                 rows.append(text.replace(" ", "\0 ").split("\0"))
         pieces = [p for row in rows for p in row]
-        unknown = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
-        self._learn(unknown)
-        ids, total = self.of(pieces)
+        ids, total = self.of(pieces, self._learn)
         cut = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
         sizes = total[cut[1:]] - total[cut[:-1]]
         if any(odd.values()):

@@ -505,6 +505,21 @@ def test_encoder_forgets_only_rare_pieces(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_memo_looks_up_once():
+    one, asked = common.Memo(), []
+    one.clear()
+
+    def learn(new):
+        asked.append(new)
+        one.add(new, np.array([len(x) for x in new]), np.array([ord(c) for x in new for c in x], np.int32))
+
+    for pieces_, new in ((["ab", "c", "ab"], ["ab", "c"]), (["c", "d", "ab", "d"], ["d"]), (["d"], None)):
+        ids, ends = one.of(pieces_, learn)
+        assert "".join(map(chr, ids)) == "".join(pieces_) and ends.tolist() == np.cumsum([0, *map(len, pieces_)]).tolist()
+        assert new is None or asked[-1] == new
+    assert len(asked) == 2
+
+
 def test_pieces_forget_only_rare_chunks(monkeypatch):
     """Chunks that come often are indexed once, the bounds of pieces are made anew only for new characters; ids are the library's."""
     import sentencepiece
