@@ -12,8 +12,9 @@ from fluxweave.llm.common import saved
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, with their own columns, whatever they are named."""
-    scored = quality.classify(docs.select("doc_id", "text", F.struct("*").alias("row")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select("row.*")
+    own = {c: f"{c} of its own" for c in docs.columns if c.lower() in ("score", "predicted")}  # so a text goes to the workers once
+    scored = quality.classify(docs.withColumnsRenamed(own), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, buffers, chunks, in_stretches, with_fields
+from .common import Memo, buffers, chunks, in_stretches, trimmed, with_fields
 
 #: What the model's pieces have for a blank.
 BLANK = "▁"
@@ -318,4 +318,4 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
             for a, b in chunks(buffers(batch.column("text"))[1]):
                 yield _with_texts(_with_ids(batch.slice(a, b - a), path), path)
 
-    return documents.mapInArrow(both, with_fields(documents.schema, ids="array<int>", decoded="string"))
+    return documents.mapInArrow(lambda batches: trimmed(both(batches)), with_fields(documents.schema, ids="array<int>", decoded="string"))

@@ -68,6 +68,15 @@ def test_stages(spark, tmp_path):
     assert all(list(five[i].ids or []) == model.encode(t or "") and five[i].round_trip for i, t in before.items() if i in (0, 7, 202, 204))
 
 
+def test_quality_sends_a_text_once(spark, tmp_path, monkeypatch):
+    docs, _ = made(spark, str(tmp_path))
+    docs, seen, classify = docs.withColumnRenamed("score", "Score"), [], quality.classify
+    monkeypatch.setattr(quality, "classify", lambda documents, labels: (seen.append(documents.schema), classify(documents, labels))[1])
+    one = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert one.columns == docs.columns and {x.Score for x in one.collect()} == {"kept"}
+    assert seen[0].simpleString().count("text:string") == 1
+
+
 def test_empty(spark, tmp_path):
     docs, _ = made(spark, str(tmp_path))
     for _, stage in corpus_pipeline.STAGES:
