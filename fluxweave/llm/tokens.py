@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,11 @@ END = 0
 PART_IDS = 1 << 22
 #: Distinct pieces of text whose ids a worker keeps before it drops the rare ones.
 KEPT = 400_000
+#: What the usual pattern takes a character for, by code point: letter, number, other sign, and 3 for a character of which it needs more (white space, an apostrophe).
+_KIND = np.array([3 if chr(c).isspace() or c == 39 else {"L": 0, "N": 1}.get(unicodedata.category(chr(c))[0], 2) for c in range(0x250)], np.uint8)
+#: The character that a byte-level vocabulary has for a byte: those that print stand for themselves.
+_PRINT = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE = np.array([b if b in _PRINT else 256 + k for b, k in zip(range(256), np.cumsum([b not in _PRINT for b in range(256)]) - 1)], np.uint32)
 _loaded: dict[str, Encoder] = {}
 
 
@@ -31,6 +37,8 @@ class Encoder(Memo):
     A byte-level tokenizer with the usual pattern always cuts before a blank that stands between two other characters. So a text without
     neighbouring white space is the sequence of its pieces cut there, each encoded by itself. Other texts, those that hold
     the string of an added token (the library's default makes it that one id), and all texts of another kind of tokenizer are encoded whole.
+    Pieces of letters, numbers and signs below U+0250 are cut as the pattern cuts and spelled in the vocabulary's characters for all of
+    them at once; the library merges them. Other pieces go through its own pattern.
     """
 
     def __init__(self, path: str):
@@ -47,6 +55,12 @@ class Encoder(Memo):
         self.cuts = re.compile(r"(?<=\S) (?=\S)" if usual and not any(" " in t for t in added) else r"(?!)")
         ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_break = ids[0] if len(ids) == 1 else -1
+        self.merger = None
+        vocab = self.tokenizer.get_vocab()
+        if usual and made["model"].get("type") == "BPE" and all(chr(c) in vocab for c in _BYTE):
+            self.spelled = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.spelled[list(vocab.values())] = list(map(len, vocab))
+            self.merger = Tokenizer.from_str(json.dumps({**made, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None}))
         self.clear()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -65,11 +79,46 @@ class Encoder(Memo):
             found |= dict(zip(rest, self._whole([pieces[k] for k in rest])))
         return [found[k] for k in range(len(pieces))]
 
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces are of letters, numbers and signs after one blank at most; of those, how many ids each has, and all these ids."""
+        code = np.frombuffer("\n".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        first = np.cumsum(size) - size
+        head = np.zeros(len(code) + 1, bool)
+        head[first] = True
+        kind = _KIND[np.minimum(code, 0x24F)]
+        kind[code >= 0x250] = 3
+        blank = head[:-1] & (code == 32)
+        odd = (kind == 3) & ~blank
+        last = (first + size - 1)[:-1]  # the breaks between pieces
+        odd[last] = False
+        plain = np.add.reduceat(np.append(odd, False), first) == 0
+        keep = np.repeat(plain, size)[: len(code)]
+        cut = np.zeros(len(code), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & ~head[1:-1] & ~blank[:-1]
+        cut[last] = False
+        code, cut, head = code[keep], cut[keep], np.flatnonzero(head[:-1][keep])
+        two = code >= 128
+        n = 1 + two + cut
+        out = np.full(int(n.sum()), 10, np.uint32)
+        at = np.cumsum(n) - n + cut
+        out[at[~two]] = np.where(code == 10, 10, _BYTE[code & 127])[~two]
+        out[at[two]], out[at[two] + 1] = _BYTE[0xC0 | code[two] >> 6], _BYTE[0x80 | code[two] & 63]
+        ids = np.array(self.merger.encode_batch_fast([out.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int32)
+        spelled = np.concatenate([[0], np.cumsum(1 + two - (code == 10))])  # characters of the vocabulary before each of ours: pieces end where as many of theirs end
+        ends = np.searchsorted(np.cumsum(self.spelled[ids]), spelled[np.append(head, len(code))], "right") if len(ids) else np.zeros(len(head) + 1, np.int64)
+        return plain, np.diff(ends), ids
+
     def _learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), 4096):
             part = pieces[k : k + 4096]
-            found = self._each(part)
-            self.add(part, np.array([len(x) for x in found], np.int64), np.concatenate(found))
+            if self.merger:
+                plain, length, ids = self._plain(part)
+                self.add([p for p, x in zip(part, plain) if x], length, ids)
+                part = [p for p, x in zip(part, plain) if not x]
+            if part:
+                found = self._each(part)
+                self.add(part, np.array([len(x) for x in found], np.int64), np.concatenate(found))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. A long text is cut where the tokenizer always cuts, if there is such a place."""

@@ -505,6 +505,19 @@ def test_encoder_forgets_only_rare_pieces(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_cuts_plain_pieces_itself(monkeypatch):
+    """Pieces of letters, numbers and signs are spelled for the library together, all others go through its pattern; ids are the library's."""
+    r, one, whole = random.Random(5), tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    each = one._each
+    monkeypatch.setattr(one, "_each", lambda parts: (whole.extend(parts), each(parts))[1])
+    signs = "aabcdeEFGnrst0123456789.,;:!?-_(){}<|\"#%éèüßñçÀØÿªºµ²¼×÷ƒȀɏɐΩЯ中ー😀ĊĠ\x01\x7f\xad\x85'"
+    texts = [" ".join("".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(40)) + r.choice(["", " ", "\n", "\ta"]) for _ in range(300)]
+    texts += ["", " ", " a", "a ", "it's I'll x's 's 's", " foo, bar", "Ċ ĊĊ a\nb"]
+    ids, sizes = one.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [one.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole and not any(p.strip(" ").isascii() and p.strip(" ").isalnum() for p in whole)
+
+
 def test_memo_looks_up_once():
     one, asked = common.Memo(), []
     one.clear()
