@@ -47,6 +47,8 @@ def _star(a: Column, b: Column, m: Column) -> Column:
 
 #: Rows whose keys could bring together more than so many pairs a row are tied first; for as long as that leaves at most this share of the pairs.
 PAIRS, LEFT = 2, 0.5
+#: Members of a bucket up to which all of its pairs of different roots meet: at most half as many a row, so in proportion to the rows. What larger buckets could bring together meets by differences.
+SMALL = 256
 #: Words of 64 bits of a set's parities.
 PARITY = 8
 #: An element is common if more than one in so many members of a leader's group differ from the leader by it.
@@ -71,11 +73,11 @@ def _compared(pairs: DataFrame, content: DataFrame, elements: Callable[[Column],
 
 
 def leaders(buckets: DataFrame) -> DataFrame:
-    """key and leader: of each bucket the large member that meets the most others in all of its buckets."""
+    """key, leader and n: of each bucket the large member that meets the most others in all of its buckets, and how many members it has."""
     mates = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     central = buckets.join(mates, "key").groupBy("rep").agg(F.sum("n").alias("mates"))  # a text whose copies the others are meets most of them
     drawn = F.when(F.col("large"), F.struct(-F.col("mates"), F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
-    return buckets.join(central, "rep").groupBy("key").agg(F.min(drawn).alias("l")).select("key", F.col("l.rep").alias("leader"))
+    return buckets.join(central, "rep").groupBy("key").agg(F.min(drawn).alias("l"), F.count(F.lit(1)).alias("n")).select("key", F.col("l.rep").alias("leader"), "n")
 
 
 def _sketched(pairs: DataFrame, content: DataFrame) -> DataFrame:
@@ -92,29 +94,33 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     set of distinct hashes, and sketch; likely(x, y, p) tells from two sketches whether the similarity may be p/100 or more, and only such pairs are verified. Each member of a bucket is held against one leader of it only, and what is linked to the
     same leader is one component. Jaccard distance is a metric, so of the members that are not linked to the leader only
     those within twice the distance of a link can be linked to one that is, and the others among themselves only. Members that
-    such links could bring together meet again. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
+    such links could bring together meet again: in buckets of SMALL members at most pair by pair, in larger ones by differences. With E(x) for the difference between x and the leader, sets x and y have |E(x)| +
     |E(y)| - 2 |E(x) & E(y)| elements not in common, and linked ones c (|x| + |y|) at most, c = (100 - p) / (100 + p). If not both
     are linked to the leader, they can be linked only if E(x) and E(y) meet, and in so many elements that their first
     ones in one order (see _first) do; parities rule out most of those that are not. So members meet again by equal differences instead of pair by pair: a group of n
     loose copies of one text costs about n pairs, and no link between components is lost.
     """
-    leader = sized(saved(leaders(buckets), "leaders"), 24)
-    pairs = buckets.join(leader, "key").where("rep != leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("large").alias("large"))
+    leader = sized(saved(leaders(buckets), "leaders"), 32)
+    pairs = buckets.join(leader, "key").where("rep != leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.max("large").alias("large"), F.max(F.col("n") > SMALL).alias("crowded"))
     twice = 2 * percent - 100
     x, y = F.col("x"), F.col("y")
-    guess = saved(_sketched(saved(pairs, "pairs"), content).select("a", "b", "large", likely(x, y, percent).alias("likely"), likely(x, y, twice).alias("near")), "guesses")
+    guess = saved(_sketched(saved(pairs, "pairs"), content).select("a", "b", "large", "crowded", likely(x, y, percent).alias("likely"), likely(x, y, twice).alias("near")), "guesses")
     exact = 100 * F.col("both") >= twice * (F.col("nx") + F.col("ny") - F.col("both"))
-    met = _compared(guess.where("likely").select("a", "b", "large"), content, elements, percent).select("a", "b", "large", "ok", exact.alias("near"))
-    met = saved(met.union(guess.where("NOT likely").select("a", "b", "large", F.lit(False), "near")), "compared")
+    met = _compared(guess.where("likely").select("a", "b", "large", "crowded"), content, elements, percent).select("a", "b", "large", "crowded", "ok", exact.alias("near"))
+    met = saved(met.union(guess.where("NOT likely").select("a", "b", "large", "crowded", F.lit(False), "near")), "compared")
     links = met.where("ok").select("a", "b")
     found = sized(saved(components(links), "components"), 24).withColumnRenamed("id", "a")
-    rooted = met.join(found.withColumnRenamed("component", "root"), "a", "left").join(found.select(F.col("a").alias("b"), F.col("component").alias("leader_root")), "b", "left")
+    direct = _direct(buckets, leader, found, met, content, elements, percent, likely)
+    rooted = met.where("crowded").join(found.withColumnRenamed("component", "root"), "a", "left").join(found.select(F.col("a").alias("b"), F.col("component").alias("leader_root")), "b", "left")
     rooted = rooted.select("a", "b", "large", "ok", "near", F.coalesce("root", "a").alias("root"), F.coalesce("leader_root", "b").alias("leader_root"))
     rooted = saved(rooted.withColumn("apart", F.col("root") != F.col("leader_root")), "rooted")
     alone = F.when(~F.col("ok"), F.col("root"))
     open_ = rooted.groupBy("b").agg(F.count_if(F.expr("near AND apart")).alias("n_near"), F.count_if("ok").alias("n_ok"), F.min(alone).alias("x"), F.max(alone).alias("y"), F.count(F.lit(1)).alias("members"))
     open_ = open_.select("b", (F.col("n_near") * F.col("n_ok") > 0).alias("with_linked"), F.coalesce(F.col("x") != F.col("y"), F.lit(False)).alias("others"), "members").where("with_linked OR others")
-    again = rooted.join(sized(saved(open_, "open"), 24), "b").where("ok AND with_linked OR NOT ok AND (others OR near AND apart AND with_linked)").select("a", "b", "large", "root", "members")
+    open_ = saved(open_, "open")
+    if not open_.limit(1).count():
+        return links.union(direct)
+    again = rooted.join(sized(open_, 24), "b").where("ok AND with_linked OR NOT ok AND (others OR near AND apart AND with_linked)").select("a", "b", "large", "root", "members")
 
     none = F.array().cast("array<long>")
     first = saved(_compared(again, content, elements, percent).select("a", "b", "large", "nx", "root", "members", (1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))).alias("away"), _first(percent, none).alias("first"), _parity(x).alias("parity")), "first")
@@ -135,7 +141,24 @@ def linked(buckets: DataFrame, content: DataFrame, elements: Callable[[Column],
     rows, ties = _tied(rows, meet, content, elements, percent)
     more = rows.join(rows.select("key", *_other()), "key").where((F.col("a") < F.col("b")) & meet)
     more = saved(more.select("a", "b").distinct(), "pairs")
-    return reduce(DataFrame.union, ties, links).union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
+    return reduce(DataFrame.union, ties, links).union(direct).union(saved(_compared(more, content, elements, percent).where("ok").select("a", "b"), "links"))
+
+
+def _direct(buckets: DataFrame, leader: DataFrame, found: DataFrame, met: DataFrame, content: DataFrame, elements: Callable[[Column], Column], percent: int, likely: Callable[[Column, Column, int], Column]) -> DataFrame:
+    """Links between members of small buckets: found has the roots (of a) that links to leaders give, met the pairs that were compared for them."""
+    rows = buckets.join(leader.where(f"n BETWEEN 3 AND {SMALL}"), "key").where("rep != leader").select("key", F.col("rep").alias("a"), "large")
+    rows = rows.join(found.withColumnRenamed("component", "root"), "a", "left").select("key", "a", "large", F.coalesce("root", "a").alias("root"))
+    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("large").alias("any")).where("any AND low != high").select("key")
+    rows = saved(rows.join(apart, "key", "left_semi"), "small")
+    sets = once(content.join(sized(rows.select(F.col("a").alias("rep")).distinct(), 16), "rep", "left_semi"), "set", elements(F.col("content")))
+    known = saved(sets.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.size("set").alias("nx"), _parity(F.col("set")).alias("parity")), "parities")
+    rows = rows.join(sized(known, 80 + 8 * PARITY), "a")
+    other = rows.select("key", *[F.col(c).alias(d) for c, d in (("a", "b"), ("large", "large2"), ("root", "root2"), ("x", "y"), ("nx", "ny"), ("parity", "parity2"))])
+    meet = (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & (F.col("large") | F.col("large2"))
+    of_size = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = rows.join(other, "key").where(meet & of_size & likely(F.col("x"), F.col("y"), percent) & _alike(percent)).select("a", "b").distinct()
+    pairs = pairs.join(met.where("NOT ok").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return saved(_compared(saved(pairs, "pairs"), content, elements, percent).where("ok").select("a", "b"), "links")
 
 
 def _other() -> list[Column]:

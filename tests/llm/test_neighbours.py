@@ -67,3 +67,29 @@ def test_loose_copies_meet_few_times(spark, monkeypatch):
             assert a == b or not check
             root[a] = b
     assert sum(met[1:]) < 6 * len(sets)  # the first are members and leaders
+
+
+def test_small_buckets_meet_pair_by_pair(spark, monkeypatch):
+    """Of buckets with few members no table of differences is made, whose rows are many times the members; the components are those of larger buckets' way."""
+    r, made, saved = random.Random(5), [], graph.saved
+
+    def counted(df, name="table"):
+        out = saved(df, name)
+        made.extend([out.count()] if name == "differences" else [])
+        return out
+
+    monkeypatch.setattr(graph, "saved", counted)
+    draw = lambda k: [r.getrandbits(62) for _ in range(k)]
+    text = draw(100)
+    sets = [text] + [[e for e in text if r.random() > 0.13] + draw(4) for _ in range(30)]
+    sets += [x[:-2] + draw(2) for x in sets[1:16]]
+    content = saved(spark.createDataFrame([(k, x, [0]) for k, x in enumerate(sets)], "rep long, content array<long>, sketch array<long>"))
+    buckets = saved(spark.createDataFrame([(key, k, True) for key in (1, 2) for k in range(len(sets)) if key == 1 or k % 2], "key long, rep long, large boolean"))
+
+    def found() -> dict:
+        return {x.id: x.component for x in graph.components(graph.linked(buckets, content, lambda c: c, 80, lambda x, y, p: F.lit(True))).collect()}
+
+    small = found()
+    assert len(set(small.values())) > 1 and not sum(made)
+    monkeypatch.setattr(graph, "SMALL", 2)
+    assert found() == small and sum(made) > 4 * len(sets)
