@@ -12,11 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxweave.config import EVENTS, GROUPS, FlowConfig
+from fluxweave.operators import headers as H
 from fluxweave.operators import sequences as S
 from fluxweave.operators import timing as T
 from fluxweave.plans import engine, oracles
 from fluxweave.plans import queries as Q
-from fluxweave.functions import udfs
+from fluxweave.functions import recipe, udfs
 from fluxweave.sources import packets, raw
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +139,35 @@ def test_long_and_short_flows_together(spark):
             assert all(v == other[f][k] or isinstance(v, float) and math.isclose(v, other[f][k], rel_tol=1e-9, abs_tol=1e-9) for k, v in row.items())
 
 
+def test_statistics_of_short_flows_from_arrays(spark, monkeypatch):
+    """They are those of aggregates and counts by value; and the plan has no moments and no counts by value."""
+    pk = packets.from_lines(spark, SF).union(packets.from_lines(spark, SF).limit(0))
+    ask = [T.basic_payload_dir, T.iat_stats, T.iat_response, T.burst, T.window_byte, T.behavior_bitrate, H.payload_stats, S.sequence_stats]
+    short = engine.features(pk, Q.DAYS, ask)
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert "skewness" not in plan and "which" not in plan and "of_arrays" in plan
+    monkeypatch.setattr(recipe, "SHORT", 3)  # flows of more packets are computed without arrays then
+    mixed = engine.features(pk, Q.DAYS, ask)
+    assert "skewness" in mixed._jdf.queryExecution().optimizedPlan().toString()
+    a, b = ({x.flow_id: x.asDict() for x in df.collect()} for df in (short, mixed))
+    assert a.keys() == b.keys() and len(a) > 1000
+    for f, row in a.items():
+        assert all(v == b[f][k] or isinstance(v, float) and math.isclose(v, b[f][k], rel_tol=1e-9, abs_tol=1e-9) for k, v in row.items())
+
+
+def test_spectra_together(spark):
+    """Sequences of unlike lengths in one batch have the spectra they have alone."""
+    r = random.Random(2)
+    rows = [[r.randrange(1500) for _ in range(r.choice((0, 1, 2, 3, 7, 40)))] for _ in range(60)]
+    together, alone = (spark.createDataFrame(list(enumerate(rows)), "id int, xs array<long>").coalesce(1).withColumn("f", udfs.spectrum("xs")) for _ in range(2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        one = sorted(map(str, alone.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == sorted(map(str, together.collect()))
+
+
 def test_segments_of_a_long_flow_are_nothing(spark):
     """Dealt out in segments of 40 packets, a flow has the features it has as one; so has a tail of 130 packets."""
     r = random.Random(5)
